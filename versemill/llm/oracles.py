@@ -27,3 +27,16 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, (least(floor((i + 1) * rate + u) - floor(i * rate + u), 3))::BIGINT * size AS taken FROM ranked
 """
+
+ORACLES["op4_format_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(15 + length(coalesce(role, '')) + length(text) + len(regexp_extract_all(text, '<\\*/?turn>')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
