@@ -47,7 +47,7 @@ def _profiles(batches, width: int):
 
 def profiles(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, digest of the set or null where it is empty) for every row."""
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _profiles(it, width), "doc_id long, n_shingles long, digest long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _profiles(it, width), "doc_id long, n_shingles long, digest long")
 
 
 def _send_tokens(batches, width: int, parts: int, block_tokens: int, frequent: int):

@@ -100,8 +100,8 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, stratum_col: str = "lang
     group, stricter = Window.partitionBy("stratum", "rule"), Window.partitionBy("stratum", "rule").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_n", F.sum("_g").over(group))
     cells = cells.withColumn("_false", F.coalesce(F.sum("_g").over(stricter), F.lit(0))).withColumn("_caught", F.coalesce(F.sum("_b").over(stricter), F.lit(0)))
-    tests = cells.agg(F.count_distinct(F.struct("stratum", "rule")).alias("_tests"))
-    allowed = cells.select("stratum", "rule", "_n").distinct().join(tests).withColumn("_most", most_rejections(F.col("_n"), promise / len(RULES), F.lit(delta) / F.col("_tests")))
+    allowed = cells.select("stratum", "rule", "_n").distinct().withColumn("_tests", F.count("*").over(Window.partitionBy()))
+    allowed = allowed.withColumn("_most", most_rejections(F.col("_n"), promise / len(RULES), F.lit(delta) / F.col("_tests")))
     allowed = allowed.select(F.col("stratum").alias("_s"), F.col("rule").alias("_r"), "_most")
     certified = cells.join(allowed, F.col("stratum").eqNullSafe(F.col("_s")) & (F.col("rule") == F.col("_r"))).filter("_false <= _most AND _caught > 0")
     best = certified.groupBy("stratum", "rule").agg(F.max(F.struct("_caught", "step"))["step"].alias("step"))
@@ -127,8 +127,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, whole. Counts are made again beside the text, which is cheaper than joining it."""
+    """The rows of ``docs`` that are kept, whole. The counts are staged beside the rows, so the texts are scanned once."""
     staging = Staging(docs.sparkSession, "quality-rules")
-    stats = staging.write(with_stats(docs.select("doc_id", "lang", "text")).drop("text"), "stats")
-    cutoffs = staging.write(fit_cutoffs(stats, labels, **options), "cutoffs")
-    return judge(with_stats(docs), cutoffs).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = ("doc_id", "lang", "text")
+    rest = [c for c in docs.columns if c not in own]  # set apart, so that their names can't clash with the counts
+    aside = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(True).alias("_")).alias("_rest"))
+    stats = staging.write(with_stats(aside), "stats")
+    cutoffs = staging.write(fit_cutoffs(stats.drop("text", "_rest"), labels, **options), "cutoffs")
+    kept = judge(stats, cutoffs).filter("kept")
+    return kept.select(*[F.col(c) if c in own else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])

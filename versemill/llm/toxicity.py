@@ -192,7 +192,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
             x = text_features(table, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], ["doc_id", *FEATURES])
 
-    scored = docs.select("doc_id", "text").mapInArrow(features, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(features, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
     scored = staging.write(scored, "features")
     sample = scored.join(marked.filter("_curve"), "doc_id").select(*FEATURES, "toxic", "doc_id")
     points = [sample.filter(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(curve_rows) for kind in ("toxic >= 1", "toxic < 1")]
