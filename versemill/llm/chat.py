@@ -63,22 +63,18 @@ def choose_paths(nodes: DataFrame, staging: Staging, paths_per_tree: int = 1) ->
     parents = nodes.select("tree", "node", "parent", "score").alias("c").join(ids.alias("p"), _same_tree("c", "p") & (F.col("c.parent") == F.col("p.node")), "left")
     state = parents.select("c.tree", "c.node", F.col("p.node").alias("jump"), F.col("c.score").cast("double").alias("sum"), F.lit(1).cast("long").alias("depth"))
     state = staging.write(state, "jump")
-    jumps, limit = [], 1
-    total = max(state.count(), 2)
-    while limit < 2 * total:  # more rounds than a path without a cycle can need are never made
-        open_ = state.filter("jump IS NOT NULL")
-        if open_.isEmpty():
-            break
+    # Nodes whose jump is past the root are done; a round joins only the others, with all nodes.
+    done, jumps, limit, total = state.filter("jump IS NULL"), [], 1, max(state.count(), 2)
+    open_ = state.filter("jump IS NOT NULL")
+    while limit < 2 * total and not open_.isEmpty():  # more rounds than a path without a cycle can need are never made
         jumps.append(open_.select("tree", "node", "jump"))
         # sum and depth cover the node itself and the ancestors below its jump; the jump's own cover what follows
-        joined = state.alias("a").join(state.alias("b"), _same_tree("a", "b") & (F.col("a.jump") == F.col("b.node")), "left")
-        state = joined.select(
-            "a.tree", "a.node", F.col("b.jump").alias("jump"),
-            (F.col("a.sum") + F.coalesce(F.col("b.sum"), F.lit(0.0))).alias("sum"), (F.col("a.depth") + F.coalesce(F.col("b.depth"), F.lit(0))).alias("depth"),
-        )
+        joined = open_.alias("a").join(done.unionByName(open_).alias("b"), _same_tree("a", "b") & (F.col("a.jump") == F.col("b.node")))
+        state = joined.select("a.tree", "a.node", F.col("b.jump").alias("jump"), (F.col("a.sum") + F.col("b.sum")).alias("sum"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         state = staging.write(state, "jump")
+        done, open_ = done.unionByName(state.filter("jump IS NULL")), state.filter("jump IS NOT NULL")
         limit *= 2
-    done = state.filter("jump IS NULL").select("tree", "node", F.col("sum").alias("path_score"), "depth")
+    done = done.select("tree", "node", F.col("sum").alias("path_score"), "depth")
     inner = nodes.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
     leaves = done.alias("d").join(inner.alias("i"), _same_tree("d", "i") & (F.col("d.node") == F.col("i.node")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("path_score").desc(), F.col("node").asc()))
