@@ -67,8 +67,8 @@ def between_marks(marks: DataFrame, points: DataFrame, by: str) -> DataFrame:
 def either_contains(rows: DataFrame, names: DataFrame, column: str, default: object) -> DataFrame:
     """The value of the first listed name that contains, or is contained in, ``column``; ``names`` (name, value, place) is a configured list, passed as one array."""
     table = names.agg(F.array_sort(F.collect_list(F.struct("place", "name", "value"))).alias("_names"))
-    hits = F.filter(F.lit(table.scalar()), lambda n: F.contains(F.col(column), n["name"]) | F.contains(n["name"], F.col(column)))
-    return rows.withColumn("value", F.coalesce(F.get(hits, F.lit(0))["value"], F.lit(default)))
+    hits = F.filter("_names", lambda n: F.contains(F.col(column), n["name"]) | F.contains(n["name"], F.col(column)))
+    return rows.withColumn("_names", table.scalar()).withColumn("value", F.coalesce(F.get(hits, F.lit(0))["value"], F.lit(default))).drop("_names")
 
 
 def postings(lines: DataFrame, key: str, text: str = "text") -> DataFrame:
