@@ -173,10 +173,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
     """
     spark, staging = docs.sparkSession, Staging(docs.sparkSession, "toxicity")
     marked = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL")
-    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    marked = marked.filter(crc % folds != held_out).withColumn("_curve", (F.expr(f"crc32(cast(cast(doc_id as string) as binary)) div {folds}") % curve_share) == 0)
-    marked = staging.write(marked, "labels")
-    counted = docs.select("doc_id", "text").join(marked.filter("NOT _curve").select("doc_id", "toxic"), "doc_id").select("text", "toxic")
+    part = lambda doc_id: F.crc32(doc_id.cast("string").cast("binary"))
+    learns, curve = part(F.col("doc_id")) % folds != held_out, F.expr(f"crc32(cast(cast(doc_id as string) as binary)) div {folds}") % curve_share == 0
+    marked = staging.write(marked.filter(learns).withColumn("_curve", curve), "labels")
+    # Rows of other folds go before the shuffle. The labels grow with the corpus, so they are joined by a shuffle at any size.
+    counted = docs.select("doc_id", "text").filter(learns & ~curve).join(marked.filter("NOT _curve").select("doc_id", "toxic").hint("merge"), "doc_id").select("text", "toxic")
     counts = counted.mapInArrow(_count, "code int, toxic long, ordinary long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     known = counts.toPandas()  # CELLS rows at most
     if len(known) and known.toxic.sum() and known.ordinary.sum():
