@@ -46,7 +46,7 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """(src, dst, weight): links between different hosts that both have pages, and ties to the domain above."""
-    _, upper, lower = None, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     targets = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda h: F.translate(h, upper, lower)))
     links = pages.filter(F.rlike("html", F.lit(LINK))).select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
     links = links.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
@@ -66,9 +66,9 @@ def propagate(hosts: DataFrame, edges: DataFrame, staging: Staging, rounds: int,
     arcs = arcs.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
     out = arcs.groupBy("kind", "a").agg(F.sum("weight").alias("out"))
     arcs = staging.write(arcs.join(out, ["kind", "a"]), "arcs")
-    totals = hosts.agg(F.sum("allowed").alias("allowed_all"), F.sum("blocked").alias("blocked_all"))
+    with_totals = hosts.withColumns({f"{n}_all": hosts.agg(F.sum(n)).scalar() for n in ("allowed", "blocked")})
     share = lambda n, total: F.when(F.col(total) > 0, (F.lit(UNIT).cast("decimal(38,0)") * F.col(n) / F.col(total)).cast("long")).otherwise(F.lit(0)).cast("long")
-    starts = hosts.join(totals).select("host", F.explode(F.create_map(F.lit("trust"), share("allowed", "allowed_all"), F.lit("distrust"), share("blocked", "blocked_all"))).alias("kind", "start"))
+    starts = with_totals.select("host", F.explode(F.create_map(F.lit("trust"), share("allowed", "allowed_all"), F.lit("distrust"), share("blocked", "blocked_all"))).alias("kind", "start"))
     sinks = out.select(F.col("kind"), F.col("a").alias("host"), F.lit(1).alias("_out"))
     starts = staging.write(starts.join(sinks, ["kind", "host"], "left").select("kind", "host", "start", F.col("_out").isNull().alias("sink")), "starts")
     passed = int(damping * 1000)
@@ -98,11 +98,12 @@ def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int = 8, damping: floa
     hosts = staging.write(counted, "hosts")
     edges = staging.write(host_edges(parsed, hosts), "edges")
     scores = propagate(hosts, edges, staging, rounds, damping)
-    all_urls = hosts.agg(F.sum("urls").alias("_all"))
     fair = F.expr(f"cast(cast({UNIT} as decimal(38,0)) * urls div _all as bigint)")
     bad = (F.col("distrust") >= block_lift * fair) & (F.col("trust") < F.col("distrust"))
-    verdicts = hosts.join(scores, "host").join(all_urls).select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"), bad.alias("_bad"))
-    # A host's verdict joins a page by host; without the html, and Spark splits the hot host's partition.
+    verdicts = hosts.join(scores, "host").withColumn("_all", hosts.agg(F.sum("urls")).scalar()).select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"), bad.alias("_bad"))
+    # A host's verdict joins a page by host, without the html. As a written table it is a plain side of the join, which Spark
+    # sends to the pages where its size allows, and beyond that splits the hot host's partition.
+    verdicts = staging.write(verdicts, "verdicts")
     out = decided.drop("html").join(verdicts, "host", "left")
     verdict = F.coalesce(F.col("_found.verdict"), F.when(F.col("_bad"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("_found.rule").alias("rule"), verdict.alias("verdict"), "host_trust", "host_distrust")
