@@ -126,3 +126,18 @@ class Admission:
             yield out
 
         return items.groupBy("key").applyInPandasWithState(update, ADMITTED, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def drop_name(at: Column, title: Column) -> Column:
+    """The file name under which a clip is dropped."""
+    from ..functions.text import slug
+
+    return F.concat(F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), slug(title, 40, ascii_only=True), F.lit(".md"))
+
+
+def quiet_triggers(stream: DataFrame, key: str, at: str, quiet: str = "45 minutes", late: str = "0 seconds") -> DataFrame:
+    """One row for each end of activity after which nothing came for ``quiet``: the time to act on one's own.
+
+    Event time replaces the empty-cycle signal of a poller, so a replay triggers at the same places.
+    """
+    return stream.withWatermark(at, late).groupBy(F.session_window(at, quiet).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.end").alias("at"), "n")
