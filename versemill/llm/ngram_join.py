@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .staging import Staging
-from .textbytes import pack_sorted, set_digest, shingle_sets, unpack_sorted
+from .textbytes import pack_sorted, release, set_digest, shingle_sets, unpack_sorted
 
 FREQUENT = 1 << 30
 BLOCK = "part int, kind string, flush long, tokens binary, docs binary, counts binary"
@@ -43,6 +43,7 @@ def _profiles(batches, width: int):
         for row, tokens in shingle_sets(batch.column("text"), width):
             sizes[row], digests[row] = len(tokens), set_digest(tokens)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(digests, mask=sizes == 0)], ["doc_id", "n_shingles", "digest"])
+    release()
 
 
 def profiles(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -59,13 +60,16 @@ def _send_tokens(batches, width: int, parts: int, block_tokens: int, frequent: i
     held = flush = 0
 
     def blocks():
-        tokens, docs = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        lengths = np.array([len(s) for s in sets], np.int64)
+        tokens, docs = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), lengths)
+        sets.clear()
+        rows = [(flush % parts, "d", np.array(digests, np.int64).tobytes(), lengths.tobytes())]
         order = np.argsort(tokens, kind="stable")
         tokens, docs = tokens[order], docs[order]
         runs = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         lengths = np.diff(np.r_[runs, len(tokens)])
         often = np.repeat(lengths > frequent, lengths)
-        rows = [(flush % parts, "d", np.array(digests, np.int64).tobytes(), np.array([len(s) for s in sets], np.int64).tobytes())]
+        del order
         if often.any():
             rows.append((flush % parts, "p", pack_sorted(tokens[often]), docs[often].tobytes()))
         for kind, some, whose in (("n", tokens[~often], docs[~often]), ("f", tokens[runs[lengths > frequent]], None)):
@@ -94,6 +98,7 @@ def _send_tokens(batches, width: int, parts: int, block_tokens: int, frequent: i
             held += len(tokens)
     if sets:
         yield from blocks()
+    release()
 
 
 def _shared_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +224,7 @@ def tiles(found: DataFrame, groups: DataFrame, percent: int, tile: int, staging:
     return small.select(columns).unionByName(large.select(columns))
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, range_tokens: int = 1_500_000, block_tokens: int = 3_000_000, frequent: int = 32, tile: int = 2048) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, range_tokens: int = 1_500_000, block_tokens: int = 1_500_000, frequent: int = 32, tile: int = 2048) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the smallest doc_id that links lead to."""
     staging = Staging(docs.sparkSession, "ngram-join")
     seen = staging.write(profiles(docs, width), "profiles")
@@ -245,7 +250,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component, the one with the smallest doc_id (its first row, if ids repeat)."""
     columns = docs.columns
     found = jaccard_components(docs.select("doc_id", "text"), **options)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # one key for the join and the window: the texts are shuffled once
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    joined = docs.withColumn("_key", key).join(keep, "_key", "left_semi")
+    first = Window.partitionBy("_key").orderBy("text")
     return joined.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in columns])

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Staging
+from .textbytes import release
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,12 +41,19 @@ class Encoder:
     """Ids of a tokenizer file. A byte-level BPE file whose ids are its merge ranks runs on the faster of two exact engines."""
 
     def __init__(self, content: str):
-        import tokenizers
-
-        self.slow = tokenizers.Tokenizer.from_str(content)
-        self.slow.encode_special_tokens = True
+        self.content, self.made = content, None
         self.fast = self._fast(json.loads(content))
 
+    @property
+    def slow(self):
+        """The general engine, loaded only where it is needed."""
+        if self.made is None:
+            import tokenizers
+
+            self.made = tokenizers.Tokenizer.from_str(self.content)
+            self.made.encode_special_tokens = True
+        return self.made
+
     @staticmethod
     def _fast(spec: dict):
         import tiktoken
@@ -91,6 +99,7 @@ def _tokenize(batches, content: str, end_id: int, capacity: int):
                     column.append(value)
         doc = ids_of.take(pa.array(rows[0], pa.int64()))
         yield pa.RecordBatch.from_arrays([doc, pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    release()
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:

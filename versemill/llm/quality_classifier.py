@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Staging
-from .textbytes import _LOWER, slices, word_hashes, words
+from .textbytes import _LOWER, release, slices, word_hashes, words
 
 DIMS = 1 << 13
 REPEAT_BEFORE, REPEAT_ANY = DIMS, DIMS + 1
@@ -157,6 +157,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame, *, least_grade: int = 1,
         for batch in batches:
             expected, tail = _tails(model, batch.column("text"), least_grade)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(expected), pa.array(tail), pa.array(tail >= least_tail)], ["doc_id", "expected_grade", "tail", "kept"])
+        release()
 
     return ids.mapInArrow(score, "doc_id long, expected_grade double, tail double, kept boolean")
 
@@ -176,5 +177,6 @@ def keep_documents(docs: DataFrame, labels: DataFrame, *, least_grade: int = 1,
     def keep(batches):
         for batch in batches:
             yield batch.filter(pa.array(_tails(model, batch.column("text"), least_grade)[1] >= least_tail))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
