@@ -97,21 +97,28 @@ def word_rows(column: pa.Array, lower: bool = True, blank: np.ndarray = _BLANK)
         yield first, word_hashes(data, start, end), bounds
 
 
+SHINGLE_BITS = 56
+
+
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes): shingles of ``width`` words, or all words where there are fewer; none without words."""
+    """(row, sorted distinct shingle hashes): shingles of ``width`` words, or all words where there are fewer; none without words.
+
+    Hashes have ``SHINGLE_BITS`` bits: what is sent for each shingle is mostly its hash.
+    """
     for first, hashes, bounds in word_rows(column):
         n = max(0, len(hashes) - width + 1)
         long = np.zeros(n, np.uint64)
         for k in range(width):
             long += hashes[k : k + n] * _PLACES[k]
-        long = mix(long)
+        cut = np.uint64(64 - SHINGLE_BITS)
+        long = mix(long) >> cut
         for i in range(len(bounds) - 1):
             a, b = int(bounds[i]), int(bounds[i + 1])
             if b - a >= width:
                 yield first + i, np.unique(long[a : b - width + 1])
             elif b > a:
                 short = (hashes[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64)
-                yield first + i, mix(np.array([short], np.uint64) + _PLACES[8 + b - a])
+                yield first + i, mix(np.array([short], np.uint64) + _PLACES[8 + b - a]) >> cut
             else:
                 yield first + i, np.zeros(0, np.uint64)
 
@@ -122,12 +129,22 @@ def set_digest(hashes: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: planes that hardly vary all but vanish."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as differences, byte plane by byte plane: the planes of zeros all but vanish when a shuffle is compressed."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted 64-bit values, as their differences."""
+    return pack(np.diff(values, prepend=np.uint64(0)))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
