@@ -3,8 +3,9 @@
 Old shards are supplies (their bytes), new shards are demands (their capacities); a byte that stays costs nothing, one
 that moves costs its pair's price (1, or a price given for the pair). The flow is solved on shard totals alone: its size
 depends on the number of shards, never on the rows. It is then carried out on documents: inside an old shard, in order of
-falling size, each target takes its stretch of bytes, what stays first; so boundaries fall among small documents and a
-shard misses its capacity by less than the few documents at its boundaries.
+falling size, each target takes its stretch of bytes, what stays first. This is done in levels: the large documents fill a
+share of every stretch, the next smaller ones fill what these left open, and the last few bytes are placed by the smallest
+documents, so shards come out equal but for a small document or two.
 
 Defined results: null text has no bytes; repeated rows are rows of their own; equal sizes are ordered by the md5 of the
 id, then the id; an empty table gives an empty result; extra columns pass through ``rewrite_affected``.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import ranged, with_prefix, with_rank
@@ -79,33 +80,58 @@ def document_size(text: Column, overhead: int = 16) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
 
 
+def _fitted(wanted: list[int], total: int) -> list[int]:
+    """Demands of the given total: none below 0, the others cut in proportion."""
+    wanted = [max(0, w) for w in wanted]
+    over = sum(wanted) - total
+    wanted = [w - over * w // max(1, sum(wanted)) for w in wanted]
+    for j in range(len(wanted)):  # what rounding left
+        change = max(-wanted[j], total - sum(wanted))
+        wanted[j] += change
+    return wanted
+
+
 def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
-def plan_reshard(rows: DataFrame, new_shards: int, *, old_shards: int, capacities: list[int] | None = None, price=None, staging: Staging | None = None) -> DataFrame:
+def plan_reshard(rows: DataFrame, new_shards: int, *, old_shards: int, capacities: list[int] | None = None, price=None, shares: tuple[float, ...] = (0.7, 0.95, 0.995, 1.0), staging: Staging | None = None) -> DataFrame:
     """``rows`` has doc_id, size and old_shard (0 to ``old_shards`` - 1), and what else is to be carried; adds ``shard``."""
     staging = staging or Staging(rows.sparkSession, "resharding")
     totals = {r[0]: r[1] for r in rows.groupBy("old_shard").agg(F.sum("size")).collect()}  # a row for each old shard
     supply = [totals.get(k, 0) for k in range(old_shards)]
     demand = capacities or equal_capacities(sum(supply), new_shards)
-    flow = min_cost_flow(supply, demand, price or (lambda i, j: int(i != j)))
-    stretches = []
-    for i in range(old_shards):  # what stays first, then targets by number
-        at = 0
-        for j in sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j)):
-            stretches.append((i, j, at, at + flow[i, j]))
-            at += flow[i, j]
-    ends = {i: [(j, end) for a, j, _, end in stretches if a == i] for i in range(old_shards)}
-    table = rows.sparkSession.createDataFrame(
-        [(i, [{"shard": j, "end": e} for j, e in e_]) for i, e_ in ends.items()], "old_shard int, _targets array<struct<shard:int,end:bigint>>"
-    )
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     dealt = ranged(rows, staging, "old_shard", [F.col("size").desc(), key.asc(), F.col("doc_id").asc()])
-    placed = with_prefix(dealt, "old_shard", "size").join(F.broadcast(table), "old_shard")  # a row for each old shard
-    middle = F.col("_prefix") + F.expr("size div 2")  # a document goes where its middle byte goes
-    shard = F.coalesce(F.get(F.filter("_targets", lambda t: middle < t["end"]), F.lit(0))["shard"], F.element_at("_targets", -1)["shard"])
-    return placed.withColumn("shard", shard).drop("_prefix", "_targets", "_at")
+    placed = staging.write(with_prefix(dealt, "old_shard", "size").drop("_at"), "placed")
+    # Large documents first, up to a share of what each target is to get; then smaller ones, by a flow over what is left.
+    levels: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {i: [] for i in range(old_shards)}
+    done, got = [0] * old_shards, [0] * new_shards
+    for k, share in enumerate(shares):
+        left = [s - d for s, d in zip(supply, done)]
+        flow = min_cost_flow(left, _fitted([d - g for d, g in zip(demand, got)], sum(left)), price or (lambda i, j: int(i != j)))
+        for i in range(old_shards):
+            stop, at, ends = (int(supply[i] * share) if share < 1 else supply[i] + 1), done[i], []
+            for j in sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j)):  # what stays first, then targets by number
+                at += flow[i, j] * max(0, min(stop, supply[i]) - done[i]) // max(1, left[i])
+                ends.append((j, at))
+            levels[i].append((stop, ends or [(i % new_shards, at)]))
+        if share < 1:
+            here = _assigned(placed, levels).filter(F.col("_level") == k).groupBy("old_shard", "shard").agg(F.sum("size"))
+            for i, j, amount in here.collect():  # a row for each edge of the flow at most
+                done[i], got[j] = done[i] + amount, got[j] + amount
+    return _assigned(placed, levels).drop("_prefix", "_level")
+
+
+def _assigned(placed: DataFrame, levels: dict[int, list[tuple[int, list[tuple[int, int]]]]]) -> DataFrame:
+    """Adds ``shard`` and ``_level``: a document goes where its middle byte goes, by the first level that reaches it (null, if none does yet)."""
+    rows = [(i, [(k, stop, ends) for k, (stop, ends) in enumerate(found)]) for i, found in levels.items()]
+    kind = "old_shard int, _levels array<struct<k:int,stop:bigint,targets:array<struct<shard:int,end:bigint>>>>"
+    middle = F.col("_prefix") + F.expr("size div 2")
+    out = placed.join(F.broadcast(placed.sparkSession.createDataFrame(rows, kind)), "old_shard")  # a row for each old shard
+    out = out.withColumn("_l", F.get(F.filter("_levels", lambda x: middle < x["stop"]), F.lit(0)))
+    hit = F.get(F.filter("_l.targets", lambda t: middle < t["end"]), F.lit(0))["shard"]
+    return out.withColumn("shard", F.coalesce(hit, F.element_at("_l.targets", -1)["shard"])).withColumn("_level", F.col("_l.k")).drop("_levels", "_l")
 
 
 def with_slots(placed: DataFrame, staging: Staging) -> DataFrame:
