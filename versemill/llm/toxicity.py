@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Staging
-from .textbytes import slices
+from .textbytes import release, slices
 
 ORDER, BITS = 5, 5
 CELLS = 1 << (ORDER * BITS)
@@ -41,16 +41,15 @@ _SYMBOL[0xC0:] = 29  # lead bytes
 _SYMBOL[0x80:0xA0], _SYMBOL[0xA0:0xC0] = 30, 31
 
 
-def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, the code of the five symbols that end at each place, whether these lie in one text)."""
+def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, the code of the five symbols that end at each place); before a text stand blanks."""
     s = _SYMBOL[data]
     code = np.zeros(len(s), np.int32)
     for back in range(ORDER - 1, -1, -1):
         code[back:] |= s[: len(s) - back].astype(np.int32) << (BITS * back)
-    whole = np.ones(len(s), bool)
-    for k in range(ORDER - 1):
-        whole[np.minimum(offsets[:-1] + k, offsets[1:] - 1)[offsets[1:] > offsets[:-1]]] = False
-    return s, code, whole
+    for k in range(ORDER - 1):  # what reaches back into the text before is cut off; a blank is 0
+        code[offsets[:-1][np.diff(offsets) > k] + k] &= (1 << (BITS * (k + 1))) - 1
+    return s, code
 
 
 def _count(batches):
@@ -65,15 +64,16 @@ def _count(batches):
         toxic = np.asarray(batch.column("toxic"))
         for first, data, offsets in slices(batch.column("text")):
             if len(data):
-                _, code, whole = codes(data, offsets)
-                label = np.repeat(toxic[first : first + len(offsets) - 1], np.diff(offsets))[whole]
-                kinds, where = np.unique(code[whole], return_inverse=True)
+                _, code = codes(data, offsets)
+                label = np.repeat(toxic[first : first + len(offsets) - 1], np.diff(offsets))
+                kinds, where = np.unique(code, return_inverse=True)
                 ones = np.bincount(where, label, len(kinds)).astype(np.int64)
                 held.append((kinds, ones, np.bincount(where, minlength=len(kinds)) - ones))
                 if len(held) == 32:
                     held = [merged(held)]
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(merged(held), (pa.int32(), pa.int64(), pa.int64()))], ["code", "toxic", "ordinary"])
+    release()
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +125,10 @@ def text_features(table: np.ndarray, column: pa.Array) -> np.ndarray:
     for first, data, offsets in slices(column):
         if not len(data):
             continue
-        s, code, whole = codes(data, offsets)
-        ratio = np.where(whole, table[code], 0)
+        s, code = codes(data, offsets)
+        ratio = table[code]
         run = np.zeros(len(s) + 1, np.int64)
-        np.cumsum(ratio, out=run[1:])
+        np.cumsum(ratio, dtype=np.int64, out=run[1:])
         lengths = np.diff(offsets)
         rows = np.flatnonzero(lengths)
         out[first + rows, 0] = (run[offsets[rows + 1]] - run[offsets[rows]]) * STEP / lengths[rows]
@@ -192,6 +192,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
         for batch in batches:
             x = text_features(table, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], ["doc_id", *FEATURES])
+        release()
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(features, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
     scored = staging.write(scored, "features")
