@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -189,3 +190,17 @@ def test_stream_equals_batch(spark):
 
     a, b = (sorted(map(tuple, QUERIES[f"r10_admission_{k}"](spark, "/root/testdata/sf0.001").collect())) for k in ("batch", "stream"))
     assert a == b
+
+
+def test_safety_reads_every_text_to_its_end(spark, tmp_path):
+    from versemill.plans import catalog
+
+    filler = "mild air and quiet water " * 40
+    said = ["", "the Irish, though never rebel", "a Turk, most cruel", "woman, thy name is frailty", "Romish rites and\nsuperstition", "a savage and a native", "the Jew and the devil", "Shylock", "she is no harlot", "an Irish " + "x" * 201 + " rebel", "her wild wife", "that negro was a slave"]
+    texts = [a + s + b for s in said for a, b in (("", ""), (filler, ""), (filler + "she saw the wild devil\n", filler), ("", "\n" + filler + "popish idol"))]
+    rows = [*enumerate(texts), (900, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.reason for r in catalog.QUERIES["f13_safety_texts"](spark, f"file://{tmp_path}").collect()}
+    first = lambda text: next((c for c, patterns in safety.PATTERNS.items() if any(re.search(p, text, re.I | re.S) for p in patterns)), "")
+    assert got == {i: first(t or "") for i, t in rows}
+    assert set(got.values()) == {"", *safety.PATTERNS}

@@ -294,7 +294,13 @@ def _(t: Tables) -> DataFrame:
     clean = t.documents.filter(r"NOT text RLIKE '(?i)\\b(she|her|wild|weak|savage|devil|wife|jew|moor|irish|turk|native|beast)'")
     k = F.col("doc_id") % 6
     said = F.when(k == 0, "\nRomish rites and\nsuperstition ").when(k == 1, " the Irish, though never rebel ").when(k == 2, " woman, thy name is frailty ").when(k == 3, F.concat(F.lit(" Irish "), F.repeat(F.lit("x"), 201), F.lit(" rebel "))).otherwise("")
-    return clean.select("doc_id", S.safety_reason(F.concat(said, F.substring("text", 1, 400))).alias("reason"))
+    return clean.select("doc_id", S.safety_reason(F.concat(said, "text")).alias("reason"))
+
+
+@query("f13_safety_texts")
+def _(t: Tables) -> DataFrame:
+    # Every text, to its end. The SQL of f13_safety leaves out texts with trigger words, so this one is held against Python's re.
+    return t.documents.select("doc_id", S.safety_reason(F.col("text")).alias("reason"))
 
 
 @query("f15_page_range", "SELECT page_id FROM pages WHERE try_cast(regexp_extract(page_id || 'a', '^(\\d+)', 1) AS INT) BETWEEN 10 AND 99")
