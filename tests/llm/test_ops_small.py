@@ -449,6 +449,21 @@ def test_join_edges(spark):
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and 6 in ids and 7 not in ids and 10 not in ids and 1 in ids and 2 in ids
 
 
+def test_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6))
+    rows = [
+        (1, a, "x"), (2, a + " end", "x"), (2, b, "x"), (3, c, "y"), (3, c, "x"), (3, d, "x"),  # a copy and a clean text under one id; one id, two texts
+        (None, a, "x"), (None, e, "x"), (None, e + " end", "x"), (None, f, "x"), (None, f, "y"), (None, None, "x"), (None, "", "x"), (4, " \t\n\x0b\x0c\r", "x"), (4, "\u00a0", "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    assert sorted(map(str, got)) in [sorted(map(str, [(1, a, "x"), (2, b, "x"), (3, c, "x"), (3, d, "x"), (None, x, "x"), (None, f, "x"), *rows[-4:]])) for x in (e, e + " end")]
+    assert {r.doc_id for r in ngram_join.keep_one(df).collect()} == {1, 2, 3, 4, None}
+
+
 def test_sets_and_packing_of_hashes():
     texts = ["a b c d e f", "A b  c\td e\nf", "a b", "a b c", None, "", "é ü a b c d"]
     sets = dict(textbytes.shingle_sets(pa.array(texts)))

@@ -43,13 +43,14 @@ def _profiles(batches, width: int):
         sizes, digests = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for row, tokens in shingle_sets(batch.column("text"), width):
             sizes[row], digests[row] = len(tokens), set_digest(tokens)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(digests, mask=sizes == 0)], ["doc_id", "n_shingles", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes), pa.array(digests, mask=sizes == 0)], ["doc_id", "text_key", "n_shingles", "digest"])
     release()
 
 
 def profiles(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set or null where it is empty) for every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _profiles(it, width), "doc_id long, n_shingles long, digest long")
+    """(doc_id, text_key, n_shingles, digest of the set or null where it is empty) for every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(lambda it: _profiles(it, width), "doc_id long, text_key long, n_shingles long, digest long")
 
 
 def _send_tokens(batches, width: int, parts: int, block_tokens: int, frequent: int):
@@ -225,9 +226,8 @@ def tiles(found: DataFrame, groups: DataFrame, percent: int, tile: int, staging:
     return small.select(columns).unionByName(large.select(columns))
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, range_tokens: int = 1_500_000, block_tokens: int = 1_500_000, frequent: int = 32, tile: int = 2048) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: the smallest doc_id that links lead to."""
-    staging = Staging(docs.sparkSession, "ngram-join")
+def _classes(docs: DataFrame, staging: Staging, width: int, percent: int, range_tokens: int, block_tokens: int, frequent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows, and (digest, first, root) of each set: its first row as (no_id, doc_id, text_key), and a name its whole component shares."""
     seen = staging.write(profiles(docs, width), "profiles")
     total = seen.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(1, -(-total // range_tokens))
@@ -239,20 +239,42 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, ra
     cells = tiles(found, groups, percent, tile, staging)
     links = staging.write(cells.groupBy("cell").applyInPandas(lambda pdf: _tile_links(pdf, percent), "a long, b long"), "links")
     linked = connected_components(links, staging)
-    classes = seen.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    classes = seen.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(first).alias("first"))
     classes = classes.join(linked.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("label", "digest").alias("root"))
-    classes = staging.write(classes, "classes")
-    names = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return seen, staging.write(classes, "classes")
+
+
+def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, range_tokens: int = 1_500_000, block_tokens: int = 1_500_000, frequent: int = 32, tile: int = 2048) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: the smallest doc_id that links lead to."""
+    seen, classes = _classes(docs, Staging(docs.sparkSession, "ngram-join"), width, percent, range_tokens, block_tokens, frequent, tile)
+    names = classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     named = classes.join(names, "root").select("digest", "component_id")
     return seen.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component, the one with the smallest doc_id (its first row, if ids repeat)."""
+def one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 75, range_tokens: int = 1_500_000, block_tokens: int = 1_500_000, frequent: int = 32, tile: int = 2048) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one row of each component, and every row with an empty set.
+
+    Rows of a component are ordered by doc_id (null last), a hash of the text, and the other columns; ids need not be unique.
+    """
     columns = docs.columns
-    found = jaccard_components(docs.select("doc_id", "text"), **options)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # one key for the join and the window: the texts are shuffled once
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    joined = docs.withColumn("_key", key).join(keep, "_key", "left_semi")
-    first = Window.partitionBy("_key").orderBy("text")
-    return joined.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in columns])
+    _, classes = _classes(docs.select("doc_id", "text"), Staging(docs.sparkSession, "ngram-join"), width, percent, range_tokens, block_tokens, frequent, tile)
+    keep = classes.groupBy("root").agg(F.min("first").alias("_first"))
+    keep = keep.select(F.col("_first.text_key").alias("_text"), F.coalesce("_first.doc_id", F.lit(0)).alias("_id"), F.col("_first.no_id").alias("_no_id"))
+    keys = ["_text", "_id", "_no_id"]  # the same for the join and the window: the texts are shuffled once
+    number = F.col("doc_id").cast("long")
+    blank = F.coalesce(F.ltrim("text", F.lit(" \t\n\v\f\r")), F.lit("")) == ""  # the blanks between words
+    rows = docs.filter(~blank).withColumns({"_text": F.xxhash64("text"), "_id": F.coalesce(number, F.lit(0)), "_no_id": number.isNull()})
+    others = [F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy(*keys).orderBy("text", *([F.to_json(F.struct(*others))] if others else []))
+    kept = rows.join(keep, keys, "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in columns]).unionByName(docs.filter(blank))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``one_of_each``, and of rows that share an id (not null) the first by text: for callers to whom an id is one document."""
+    kept = one_of_each(docs, **options)
+    first = Window.partitionBy("doc_id").orderBy("text")
+    named = kept.filter("doc_id IS NOT NULL").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    return named.unionByName(kept.filter("doc_id IS NULL"))
