@@ -50,9 +50,10 @@ def overlay_text(base: DataFrame, overrides: DataFrame, key: str, columns: list[
 
 
 def first_prefix(lines: DataFrame, prefixes: DataFrame, least: int) -> DataFrame:
-    """Each line with the title of the first listed prefix that it starts with; all prefixes have ``least`` characters or more, which make the equality."""
-    p = prefixes.select("prefix", "title", "place", F.substring("prefix", 1, least).alias("_head"))
-    joined = lines.withColumn("_head", F.substring("line", 1, least)).join(p, "_head").filter(F.startswith("line", "prefix"))
+    """Each line with the title of the first listed prefix that it starts with. The first ``least`` characters of a prefix, or all of a shorter one, make the equality; an empty prefix fits nothing."""
+    p = prefixes.filter("prefix <> ''").select("prefix", "title", "place", F.substring("prefix", 1, least).alias("_head"))
+    heads = F.array_distinct(F.array(*[F.substring("line", 1, n) for n in range(1, least + 1)]))
+    joined = lines.withColumn("_head", F.explode(heads)).join(p, "_head").filter(F.startswith("line", "prefix"))
     return joined.groupBy(*lines.columns).agg(F.min_by("title", "place").alias("title"))
 
 

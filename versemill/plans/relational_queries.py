@@ -125,6 +125,14 @@ def _(t: Tables) -> DataFrame:
     return J.first_prefix(t.documents.select("doc_id", F.substring("text", 1, 5).alias("line")), prefixes, 4).select("doc_id", "title")
 
 
+@query("j16_prefixes_all", """SELECT doc_id, min(p.item_id) AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) d
+  JOIN (SELECT item_id, split_part(text, chr(10), 1) AS prefix FROM benchmark) p ON p.prefix <> '' AND starts_with(d.line, p.prefix) GROUP BY doc_id""")
+def _(t: Tables) -> DataFrame:
+    first = F.substring_index("text", "\n", 1)
+    prefixes = t.benchmark.select(first.alias("prefix"), F.col("item_id").alias("title"), F.col("item_id").alias("place"))
+    return J.first_prefix(t.documents.select("doc_id", first.alias("line")), prefixes, 8).select("doc_id", "title")
+
+
 @query("j17_between", f"WITH {LINES} SELECT doc_id, pos, max(CASE WHEN length(line) > 120 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos)::VARCHAR AS name FROM l QUALIFY length(line) <= 120")
 def _(t: Tables) -> DataFrame:
     lines = L.lines(t.documents, "doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.filters import line_class
 from ..sources.plaintext import parse
 from ..streaming import pipelines as P
 from . import service as V
@@ -60,6 +61,14 @@ def _(t: Tables) -> DataFrame:
     return poems.select("doc_id", "title", F.array_join("lines", "|").alias("text"))
 
 
+@query("s13_plaintext_all")
+def _(t: Tables) -> DataFrame:
+    # The texts themselves: the first line and lines in capitals are titles.
+    title = (F.col("pos") == 0) | (line_class(F.col("line")) == "title")
+    poems = parse("plaintext", t.documents.select("doc_id", "text"), "doc_id", starts=F.lit(True), is_title=title)
+    return poems.select("doc_id", "poem", "title", "stanza", "lines")
+
+
 @query("r11_quiet_triggers", """WITH g AS (SELECT user_id % 3 AS k, ts, (ts - lag(ts) OVER (PARTITION BY user_id % 3 ORDER BY ts) >= INTERVAL 45 MINUTE)::INT AS brk FROM events), s AS (SELECT *, sum(coalesce(brk, 0)) OVER (PARTITION BY k ORDER BY ts) AS i FROM g)
   SELECT k, max(ts) + INTERVAL 45 MINUTE AS at, count(*) AS n FROM s GROUP BY k, i""")
 def _(t: Tables) -> DataFrame:

@@ -13,6 +13,10 @@ from .registry import Tables, query
 FIRST_LINE = "split_part(text, chr(10), 1)"
 
 
+#: The lines of every text; queries over first lines have a twin named ..._all over these.
+ALL_LINES = "(SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
+
+
 def first_line(t: Tables, *more: str) -> DataFrame:
     return t.documents.select("doc_id", *more, F.substring_index("text", "\n", 1).alias("line"))
 
@@ -50,6 +54,11 @@ def _(t: Tables) -> DataFrame:
     return rows.select("doc_id", X.clean_line(F.col("raw")).alias("line"))
 
 
+@query("x05_clean_line_all", rf"SELECT doc_id, pos, regexp_replace(regexp_replace(replace(line, chr(160), ' '), '\s{{3,}}\d+\s*$', ''), '\s+$', '') AS line FROM {ALL_LINES}")
+def _(t: Tables) -> DataFrame:
+    return L.lines(t.documents, "doc_id").select("doc_id", "pos", X.clean_line(F.col("line")).alias("line"))
+
+
 @query("x06_clean_title", r"""SELECT page_id, regexp_replace(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(title, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '\[\d+\]|\*+$', '', 'g').regexp_replace('\s+', ' ', 'g')), '\.$', '') AS title
   FROM (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title FROM pages)""")
 def _(t: Tables) -> DataFrame:
@@ -69,6 +78,13 @@ def _(t: Tables) -> DataFrame:
     return first_line(t).select("doc_id", F.round(ratio, 6).alias("ratio"), (ratio > 0.7).alias("mostly_upper"))
 
 
+@query("x08_upper_ratio_all", f"""SELECT doc_id, pos, CASE WHEN n > 0 THEN round(u::DOUBLE / n, 6) ELSE 0 END AS ratio, CASE WHEN n > 0 THEN u::DOUBLE / n > 0.7 ELSE false END AS mostly_upper
+  FROM (SELECT doc_id, pos, len(regexp_extract_all(line, '[A-Za-z]')) AS n, len(regexp_extract_all(line, '[A-Z]')) AS u FROM {ALL_LINES})""")
+def _(t: Tables) -> DataFrame:
+    ratio = X.upper_ratio(F.col("line"))
+    return L.lines(t.documents, "doc_id").select("doc_id", "pos", F.round(ratio, 6).alias("ratio"), (ratio > 0.7).alias("mostly_upper"))
+
+
 @query("x09_roman_round_trip", "SELECT o_orderkey, (o_orderkey % 3999 + 1)::INT AS number FROM orders")
 def _(t: Tables) -> DataFrame:
     n = (F.col("o_orderkey") % 3999 + 1).cast("int")
@@ -93,6 +109,11 @@ def _(t: Tables) -> DataFrame:
     return rows.select("doc_id", X.tei_line(raw).alias("line"))
 
 
+@query("x12_tei_line_all")
+def _(t: Tables) -> DataFrame:
+    return L.lines(t.documents, "doc_id").select("doc_id", "pos", X.tei_line(F.col("line")).alias("line"))
+
+
 @query("x13_break_lines", r"""SELECT page_id, list_filter(list_transform(regexp_split_to_array(b, '<br\s*/?\s*>'), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), lambda x: x <> '') AS lines
   FROM (SELECT page_id, regexp_extract(html, '<article>(.*?)</article>', 1) AS b FROM pages)""")
 def _(t: Tables) -> DataFrame:
@@ -119,6 +140,12 @@ def _(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.inline(X.quotes(text)))
 
 
+@query("x17_quotes_all", r"""SELECT doc_id, q AS quote, CASE WHEN len(regexp_extract_all(q, ' / ')) >= 2 THEN 'verse' WHEN len(regexp_split_to_array(trim(q), '\s+')) >= 25 THEN 'prose' ELSE 'inline' END AS kind
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]{15,})"', 1)) AS q FROM documents)""")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.inline(X.quotes(F.col("text"))))  # whole texts, as a quote may span lines
+
+
 @query("x18_speakers", "SELECT n_nationkey, '*' || n_name || '*' || chr(10) || 'Lines' AS text FROM nation WHERE regexp_matches(n_name, '^[A-Z][A-Z ]+$')")
 def _(t: Tables) -> DataFrame:
     return t.nation.filter("n_name RLIKE '^[A-Z][A-Z ]+$'").select("n_nationkey", X.mark_speakers(F.concat("n_name", F.lit(".\nLines"))).alias("text"))
@@ -150,6 +177,12 @@ def _(t: Tables) -> DataFrame:
     return rows.select("doc_id", X.drop_title_lines(F.array(F.lit("THE TITLE."), F.col("line")), F.lit("The Title")).alias("lines"))
 
 
+@query("x24_drop_title_lines_all")
+def _(t: Tables) -> DataFrame:
+    lines = F.split("text", "\n", -1)
+    return t.documents.select("doc_id", X.drop_title_lines(lines, F.get(lines, F.lit(0))).alias("lines"))
+
+
 @query("x25_untitled", f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source WHEN length(h) > 60 THEN substr(h, 1, 57) || '...' ELSE h END AS title FROM (SELECT *, trim(regexp_extract({FIRST_LINE}, '^[^—;:,.!?]+')) AS h FROM documents)""")
 def _(t: Tables) -> DataFrame:
     title = F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit(" "))
@@ -261,6 +294,11 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", L.is_structural(line).alias("structural"))
 
 
+@query("f04_structural_all", rf"SELECT doc_id, pos, regexp_matches(trim(line), '^(?:[IVXLC]+\.?|(?:ACT|SCENE|BOOK|CANTO|PART)\b.*)$') AS structural FROM {ALL_LINES}")
+def _(t: Tables) -> DataFrame:
+    return L.lines(t.documents, "doc_id").select("doc_id", "pos", L.is_structural(F.col("line")).alias("structural"))
+
+
 @query("f05_f06_exclude", "SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2') AND source NOT LIKE '%c1%' AND source NOT LIKE '%9%'")
 def _(t: Tables) -> DataFrame:
     return L.exclude_containing(L.exclude_keys(t.documents, "source", ["src1", "src2"]), "source", ["c1", "9"]).select("doc_id")
