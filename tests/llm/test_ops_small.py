@@ -298,6 +298,27 @@ def test_distrust_flows_against_links(spark):
     assert sum({r.host: r.host_trust for r in rows.values()}.values()) <= url_filter.UNIT
 
 
+def page_rank(edges, start, damping=0.85):
+    """edges: (a, b) pairs along which scores flow; hosts without an edge keep what they would pass on."""
+    out = collections.Counter(a for a, _ in edges)
+    score = dict(start)
+    for _ in range(400):
+        new = {h: (1 - damping) * s + damping * (score[h] if not out[h] else 0) for h, s in start.items()}
+        for a, b in edges:
+            new[b] += damping * score[a] / out[a]
+        score = new
+    return score
+
+
+def test_scores_converge_along_a_chain(spark):
+    hosts = [f"h{i}" for i in range(20)] + ["bad.net"]
+    rows = [(i, f"http://{h}/", f'<a href="http://{after}/">') for i, (h, after) in enumerate(zip(hosts, hosts[1:]))] + [(50, "http://bad.net/", None)] + [(100 + i, "http://big/", None) for i in range(2000)]
+    got = {r.host: r for r in url_filter.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = page_rank([(b, a) for a, b in zip(hosts, hosts[1:])], {h: float(h == "bad.net") for h in [*hosts, "big"]})
+    assert all(abs(got[h].host_distrust / url_filter.UNIT - want[h]) <= 0.01 / len(rows) for h in want)
+    assert {h for h in want if got[h].verdict == "block"} == {h for h in want if want[h] >= 2 * (2000 if h == "big" else 1) / len(rows)} == set(hosts)
+
+
 # 7
 
 

@@ -6,7 +6,9 @@ other hosts found in the pages' href attributes (a relative link stays on its ho
 between a host and the domain directly above it where both have pages. Links from one host to another count once a
 page; parallel ones are summed before anything is shuffled by host, so a hot host is one row for each neighbour.
 
-Scores are whole numbers (fixed point), so sums don't depend on order and reruns agree to the last unit.
+Scores are whole numbers (fixed point), so sums don't depend on order and reruns agree to the last unit. They rise from what
+hosts start with and never fall; rounds go on until all that can still arrive anywhere is at most ``tolerance`` of one url's
+share. ``rounds`` may bound them, which cuts off hosts that are further from any seed.
 A host is blocked where its distrust is at least ``block_lift`` times its share of all urls, and its trust, relative to
 all trust, is lower than its distrust.
 
@@ -57,9 +59,10 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return both.join(known.withColumnRenamed("host", "src"), "src", "left_semi").join(known.withColumnRenamed("host", "dst"), "dst", "left_semi")
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, staging: Staging, rounds: int, damping: float) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, staging: Staging, rounds: int | None, damping: float, least: float) -> DataFrame:
     """(host, trust, distrust) in units of ``UNIT``. ``hosts`` has (host, allowed, blocked) counts.
 
+    Rounds end when what can still arrive, of trust or of distrust, is at most ``least`` units, or nothing changes.
     Both walks are one table: distrust uses the edges turned round. What a host without edges would pass on is kept by it.
     """
     arcs = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
@@ -72,21 +75,29 @@ def propagate(hosts: DataFrame, edges: DataFrame, staging: Staging, rounds: int,
     sinks = out.select(F.col("kind"), F.col("a").alias("host"), F.lit(1).alias("_out"))
     starts = staging.write(starts.join(sinks, ["kind", "host"], "left").select("kind", "host", "start", F.col("_out").isNull().alias("sink")), "starts")
     passed = int(damping * 1000)
-    scores = starts.select("kind", "host", F.col("start").alias("score"))
-    for k in range(rounds):
+    scores, done, k = starts.select("kind", "host", F.expr(f"start * {1000 - passed} div 1000").cast("long").alias("score")), False, 0
+    while not done:
+        k += 1
         sent = arcs.join(scores.withColumnRenamed("host", "a"), ["kind", "a"])
         sent = sent.select("kind", F.col("b").alias("host"), F.expr("cast(cast(score as decimal(38,0)) * weight div out as bigint)").alias("got"))
         sent = sent.groupBy("kind", "host").agg(F.sum("got").alias("got"))
         held = starts.join(scores, ["kind", "host"]).join(sent, ["kind", "host"], "left")
         got = F.when(F.col("sink"), F.col("score")).otherwise(F.lit(0)) + F.coalesce(F.col("got"), F.lit(0))
-        scores = held.select("kind", "host", F.expr(f"start * {1000 - passed} div 1000").cast("long").alias("_s"), got.alias("_g"))
-        scores = scores.select("kind", "host", (F.col("_s") + F.expr(f"_g * {passed} div 1000")).cast("long").alias("score"))
-        if k % 4 == 3 or k == rounds - 1:
-            scores = staging.write(scores, "scores")
+        new = held.select("kind", "host", "score", F.expr(f"start * {1000 - passed} div 1000").cast("long").alias("_s"), got.alias("_g"))
+        new = new.select("kind", "host", (F.col("_s") + F.expr(f"_g * {passed} div 1000")).cast("long").alias("new"), "score")
+        if k % 4 == 0 or k == rounds:
+            new = staging.write(new, "scores")
+            if k > 4:
+                staging.drop(last)
+            last = new
+            changes = new.groupBy("kind").agg(F.sum(F.abs(F.col("new") - F.col("score"))).alias("change")).collect()
+            change = max((r.change for r in changes), default=0)
+            done = change == 0 or change * damping / (1 - damping) <= least or k == rounds
+        scores = new.select("kind", "host", F.col("new").alias("score"))
     return scores.groupBy("host").agg(*[F.max(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")])
 
 
-def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int = 8, damping: float = 0.85, block_lift: int = 2) -> DataFrame:
+def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int | None = None, damping: float = 0.85, block_lift: int = 2, tolerance: float = 0.01) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_trust, host_distrust) for every row."""
     staging = Staging(pages.sparkSession, "url-filter")
     host, path = url_parts(F.col("url"))
@@ -97,7 +108,8 @@ def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int = 8, damping: floa
     )
     hosts = staging.write(counted, "hosts")
     edges = staging.write(host_edges(parsed, hosts), "edges")
-    scores = propagate(hosts, edges, staging, rounds, damping)
+    urls = hosts.agg(F.sum("urls")).first()[0] or 1
+    scores = propagate(hosts, edges, staging, rounds, damping, tolerance * UNIT / urls)
     fair = F.expr(f"cast(cast({UNIT} as decimal(38,0)) * urls div _all as bigint)")
     bad = (F.col("distrust") >= block_lift * fair) & (F.col("trust") < F.col("distrust"))
     verdicts = hosts.join(scores, "host").withColumn("_all", hosts.agg(F.sum("urls")).scalar()).select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"), bad.alias("_bad"))
