@@ -319,6 +319,17 @@ def test_scores_converge_along_a_chain(spark):
     assert {h for h in want if got[h].verdict == "block"} == {h for h in want if want[h] >= 2 * (2000 if h == "big" else 1) / len(rows)} == set(hosts)
 
 
+def test_links_to_hosts_without_pages(spark):
+    html = "<a href=http://spam.net/x>a</a> <a href = HTTPS://SPAM.net/x>b</a> <a href=' //worse.net/?q'>c</a>"
+    rows = [(1, "http://a.io/", html), (2, "http://b.io/", "<a href='//good.org/fr/1'>"), (3, "http://c.io/", "<a href=//good.org/de/>"), *((10 + i, "http://big.io/", "<a href=/x>") for i in range(100))]
+    got = {r.page_id: r for r in url_filter.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    want = page_rank([("spam.net", "a.io"), ("worse.net", "a.io")], {"spam.net": 0.5, "worse.net": 0.5, "a.io": 0.0})
+    assert abs(got[1].host_distrust / url_filter.UNIT - want["a.io"]) < 1e-4
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1}
+    assert got[2].host_distrust == got[3].host_distrust == got[2].host_trust == 0
+
+
 # 7
 
 

@@ -2,9 +2,9 @@ r"""URL filters: rules first, then link-graph propagation for the hosts that no
 
 Trust starts at hosts in proportion to their urls that a rule allows and flows along links (personalised PageRank);
 distrust starts at hosts in proportion to their urls that a rule blocks and flows against links. Edges are links to
-other hosts found in the pages' href attributes (a relative link stays on its host and adds nothing), and the tie
-between a host and the domain directly above it where both have pages. Links from one host to another count once a
-page; parallel ones are summed before anything is shuffled by host, so a hot host is one row for each neighbour.
+other hosts found in the pages' href attributes, quoted or not (a relative link stays on its host and adds nothing), and
+the tie between a host and the domain directly above it where both have pages. Links from one host to another count once a
+page; parallel ones are summed before anything is shuffled by host, so a hot host is one row for each neighbour. A linked host without pages is part of the graph with the distinct urls that link to it as its urls.
 
 Scores are whole numbers (fixed point), so sums don't depend on order and reruns agree to the last unit. They rise from what
 hosts start with and never fall; rounds go on until all that can still arrive anywhere is at most ``tolerance`` of one url's
@@ -25,7 +25,7 @@ from .staging import Staging
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UNIT = 1 << 40  # all trust (or distrust) together
-LINK = r"(?i)href\s*=\s*[\"'](?:https?:)?//([^/?#\"'\s>]+)"
+LINK = r"(?i)href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>][^\"'\s>]*)"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -46,17 +46,30 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, weight): links between different hosts that both have pages, and ties to the domain above."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    targets = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda h: F.translate(h, upper, lower)))
-    links = pages.filter(F.rlike("html", F.lit(LINK))).select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
+def linked_urls(pages: DataFrame) -> DataFrame:
+    """(src, urls): for each page with links to a host, its host and the distinct ones as structs (host, path)."""
+    parts = lambda u: F.struct(*[c.alias(n) for c, n in zip(url_parts(F.concat(F.lit("://"), u)), ("host", "path"))])
+    urls = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), parts))
+    return pages.filter(F.rlike("html", F.lit(LINK))).select(F.col("host").alias("src"), urls.alias("urls"))
+
+
+def linked_hosts(links: DataFrame, hosts: DataFrame, rules) -> DataFrame:
+    """(host, urls, allowed, blocked) of hosts that only links name: their distinct linked urls, judged by the rules."""
+    urls = links.select(F.explode("urls").alias("u")).select("u.host", "u.path").join(hosts.select("host"), "host", "left_anti").distinct()
+    judged = urls.withColumn("_verdict", matching_rule(F.col("host"), F.col("path"), rules)["verdict"])
+    return judged.groupBy("host").agg(F.count("*").alias("urls"), F.count_if(F.col("_verdict") == "allow").alias("allowed"), F.count_if(F.col("_verdict") == "block").alias("blocked"))
+
+
+def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(src, dst, weight): links between different hosts, and ties to the domain above where both have pages."""
+    targets = F.array_distinct(F.transform("urls", lambda u: u["host"]))
+    links = links.select("src", F.explode(targets).alias("dst"))
     links = links.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    known = hosts.select("host")
     above = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst")).filter("dst <> ''")
+    above = above.join(known.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst")
     ties = above.unionByName(above.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1).cast("long"))
-    both = links.unionByName(ties).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    known = hosts.select("host")
-    return both.join(known.withColumnRenamed("host", "src"), "src", "left_semi").join(known.withColumnRenamed("host", "dst"), "dst", "left_semi")
+    return links.unionByName(ties)
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, staging: Staging, rounds: int | None, damping: float, least: float) -> DataFrame:
@@ -107,12 +120,15 @@ def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int | None = None, dam
         F.count("*").alias("urls"), F.count_if(F.col("_found.verdict") == "allow").alias("allowed"), F.count_if(F.col("_found.verdict") == "block").alias("blocked"),
     )
     hosts = staging.write(counted, "hosts")
-    edges = staging.write(host_edges(parsed, hosts), "edges")
-    urls = hosts.agg(F.sum("urls")).first()[0] or 1
-    scores = propagate(hosts, edges, staging, rounds, damping, tolerance * UNIT / urls)
+    links = linked_urls(parsed)
+    edges = staging.write(host_edges(links, hosts), "parts").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    edges = staging.write(edges, "edges")
+    nodes = staging.write(hosts.unionByName(linked_hosts(links, hosts, rules)), "nodes")
+    urls = nodes.agg(F.sum("urls")).first()[0] or 1
+    scores = propagate(nodes, edges, staging, rounds, damping, tolerance * UNIT / urls)
     fair = F.expr(f"cast(cast({UNIT} as decimal(38,0)) * urls div _all as bigint)")
     bad = (F.col("distrust") >= block_lift * fair) & (F.col("trust") < F.col("distrust"))
-    verdicts = hosts.join(scores, "host").withColumn("_all", hosts.agg(F.sum("urls")).scalar()).select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"), bad.alias("_bad"))
+    verdicts = hosts.join(scores, "host").withColumn("_all", F.lit(urls)).select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"), bad.alias("_bad"))
     # A host's verdict joins a page by host, without the html. As a written table it is a plain side of the join, which Spark
     # sends to the pages where its size allows, and beyond that splits the hot host's partition.
     verdicts = staging.write(verdicts, "verdicts")
