@@ -1,7 +1,7 @@
 """Toxicity scores from two class-conditional Kneser-Ney models over letter sequences.
 
 Texts are read as symbols (26 letters, blank, digit, other ASCII, three for bytes of other letters), so five symbols are a
-number below 2^25, and a model is bounded by that whatever the corpus. Counts of all labelled training texts are gathered
+number below 2^25, and a model is bounded by that whatever the corpus. Counts of the labelled training texts outside the curve's share are gathered
 by class. A class gives symbol w after context h the probability
 
     max(c(hw) - D, 0) / c(h) + D * kinds(h) / c(h) * shared(w | h without its first symbol)
