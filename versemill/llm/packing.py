@@ -19,12 +19,12 @@ import json
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import Staging
+from .staging import Staging, deal
 from .textbytes import release
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -75,8 +75,8 @@ class Encoder:
         if self.fast:
             try:
                 return np.array(self.fast.encode_ordinary(text), "<u4")
-            except BaseException as stopped:  # the fast engine gives up on extreme runs of blanks by a panic
-                if isinstance(stopped, (KeyboardInterrupt, SystemExit, MemoryError)):
+            except BaseException as stopped:  # the fast engine gives up on extreme runs of blanks by a panic, a type without a module to import
+                if type(stopped).__name__ != "PanicException":
                     raise
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -143,46 +143,55 @@ def _upward(fill: np.ndarray, capacity: int, hosts: int) -> np.ndarray:
     return small
 
 
-def _pack_group(pdf: pd.DataFrame, capacity: int, hosts: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
-    where, offsets, fill = best_fit(pdf.length.tolist(), capacity)
-    where, fill = np.array(where, np.int64), np.array(fill, np.int64)
-    first = np.array(offsets) == 0  # one row of each bin carries its fill
-    return pdf.assign(bin=pdf.grp.astype("int64") * (1 << 32) + where, offset=offsets, fill=np.where(first & _upward(fill, capacity, hosts)[where], fill[where], 0))
+def _pack_group(table: pa.Table, capacity: int, hosts: int) -> pa.Table:
+    """Best-fit inside one group. Arrow keeps ids whole where pandas would make doubles of them beside a null."""
+    order = [("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32"))]
+    table = table.take(pc.sort_indices(table, sort_keys=order))
+    where, offsets, fill = best_fit(table["length"].to_pylist(), capacity)
+    where, offsets, fill = np.array(where, np.int64), np.array(offsets, np.int64), np.array(fill, np.int64)
+    bins = table["grp"].to_numpy().astype(np.int64) * (1 << 32) + where
+    up = np.where((offsets == 0) & _upward(fill, capacity, hosts)[where], fill[where], 0)  # one row of each bin carries its fill
+    for name, column in (("bin", bins), ("offset", offsets), ("fill", up)):
+        table = table.append_column(name, pa.array(column))
+    return table
 
 
-def _merge_group(pdf: pd.DataFrame, capacity: int, hosts: int) -> pd.DataFrame:
+def _merge_group(table: pa.Table, capacity: int, hosts: int) -> pa.Table:
     """One node of the tree: bins as items. Rows out: bins that go further up (host null), and moves (host, base)."""
-    pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True])
-    where, offsets, fill = best_fit(pdf.fill.tolist(), capacity)
-    bins, where, offsets, fill = pdf.bin.to_numpy(), np.array(where), np.array(offsets), np.array(fill)
+    table = table.take(pc.sort_indices(table, sort_keys=[("fill", "descending"), ("bin", "ascending")]))
+    where, offsets, fill = best_fit(table["fill"].to_pylist(), capacity)
+    bins, where, offsets, fill = table["bin"].to_numpy(), np.array(where), np.array(offsets), np.array(fill)
     head = np.zeros(len(fill), np.int64)
     head[where[offsets == 0]] = bins[offsets == 0]
-    moved = offsets > 0
-    up = np.flatnonzero(_upward(fill, capacity, hosts))
-    out = [pd.DataFrame({"bin": bins[moved], "host": head[where[moved]], "base": offsets[moved], "fill": 0}), pd.DataFrame({"bin": head[up], "host": None, "base": 0, "fill": fill[up]})]
-    return pd.concat(out).assign(grp=pdf.grp.iloc[0])[["grp", "bin", "host", "base", "fill"]].astype({"host": "Int64"})
+    moved, up = offsets > 0, np.flatnonzero(_upward(fill, capacity, hosts))
+    none, stays = np.zeros(len(up), np.int64), np.r_[np.zeros(moved.sum(), bool), np.ones(len(up), bool)]
+    columns = {"bin": np.r_[bins[moved], head[up]], "host": np.r_[head[where[moved]], none], "base": np.r_[offsets[moved], none], "fill": np.r_[none[:0], np.zeros(moved.sum(), np.int64), fill[up]]}
+    columns = {k: pa.array(v.astype(np.int64), mask=stays if k == "host" else None) for k, v in columns.items()}
+    return pa.table({"grp": pa.array(np.full(len(stays), table["grp"][0].as_py(), np.int32)), **columns})
 
 
 def pack_pieces(pieces: DataFrame, staging: Staging, *, capacity: int = 1024, group_pieces: int = 50_000, fan_in: int = 8) -> DataFrame:
     """Adds sequence_id and offset to (doc_id, piece, start, length, ids_crc32)."""
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    pieces = staging.write(pieces.select(*columns).withColumn("_at", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    packed = dealt.groupBy("grp").applyInPandas(lambda pdf: _pack_group(pdf, capacity, fan_in), f"{PIECES}, grp int, bin long, offset long, fill long")
+    # By the place in the written table, so that rows repeated under one id are dealt like others.
+    grouped = deal(pieces.select(*columns, F.pmod(F.xxhash64("_at"), F.lit(groups)).cast("int").alias("grp")), groups, "grp")
+    packed = grouped.applyInArrow(lambda t: _pack_group(t, capacity, fan_in), f"{PIECES}, grp int, bin long, offset long, fill long")
     packed = staging.write(packed, "packed")
     level, moves = packed.filter("fill > 0").select("grp", "bin", "fill"), None
     while groups > 1:
         groups = -(-groups // fan_in)
-        above = level.withColumn("grp", F.expr(f"cast(grp div {fan_in} as int)"))
-        merged = staging.write(above.groupBy("grp").applyInPandas(lambda pdf: _merge_group(pdf, capacity, fan_in), "grp int, bin long, host long, base long, fill long"), "merged")
+        above = deal(level.withColumn("grp", F.expr(f"cast(grp div {fan_in} as int)")), groups, "grp")
+        merged = staging.write(above.applyInArrow(lambda t: _merge_group(t, capacity, fan_in), "grp int, bin long, host long, base long, fill long"), "merged")
         new = merged.filter("host IS NOT NULL").select("bin", "host", "base")
         if moves is not None:  # a bin moved before may now move on inside its host
             further = new.select(F.col("bin").alias("_via"), F.col("host").alias("_to"), F.col("base").alias("_add"))
             chained = moves.join(further, F.col("host") == F.col("_via"), "left")
             chained = chained.select("bin", F.coalesce("_to", "host").alias("host"), (F.col("base") + F.coalesce("_add", F.lit(0))).alias("base"))
-            new = staging.write(chained.unionByName(new), "moves")
-        moves, level = new, merged.filter("host IS NULL").select("grp", "bin", "fill")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            new = chained.unionByName(new)
+        moves, level = staging.write(new, "moves"), merged.filter("host IS NULL").select("grp", "bin", "fill")
+    staging.keep(packed, moves)
     if moves is None:
         return packed.select(*columns, F.col("bin").alias("sequence_id"), "offset")
     placed = packed.join(moves, "bin", "left")  # at most a move for each group and level
@@ -192,5 +201,4 @@ def pack_pieces(pieces: DataFrame, staging: Staging, *, capacity: int = 1024, gr
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, capacity: int = 1024, **options) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a row for each piece of each row of ``docs``."""
     staging = Staging(docs.sparkSession, "packing")
-    pieces = staging.write(tokenized_pieces(docs, tokenizer_path, end_id, capacity), "pieces")
-    return pack_pieces(pieces, staging, capacity=capacity, **options)
+    return pack_pieces(tokenized_pieces(docs, tokenizer_path, end_id, capacity), staging, capacity=capacity, **options)
