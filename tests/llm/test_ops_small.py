@@ -116,31 +116,53 @@ def test_mix_is_near_target_even_in_a_hot_source(spark):
 # 2
 
 
-def test_topk_against_brute_force(spark):
+BIG = "query_id", "rank", "vec_id", "score"
+
+
+def brute_top(rows, k=5, scale=256):
+    """rows: (id, vector). Every row is a candidate to every other of its length; scores as true whole numbers."""
+    there = [(i, [math.floor(scale * x) if math.isfinite(scale * x) else scale * int(x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for n, (q, v) in enumerate(there):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(there) if m != n and len(w) == len(v))[:k]
+            want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scores)]
+    return sorted(want)
+
+
+def searched(df, **options):
+    found = topk.top_k(df, F.col("vec_id") % 50 == 0, **options)
+    assert tuple(found.columns) == BIG
+    return sorted(tuple(r) for r in found.collect())
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_topk_against_brute_force(spark, wide):
     rng = np.random.default_rng(2)
     vectors = [[float(x) for x in v] for v in rng.normal(size=(300, 12)).round(1)]
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(3, vectors[3]), (900, None), (950, [1.0, None]), (951, [float("nan")] * 12), (1000, [float("inf")] * 12), (1050, [1.0, 2.0]), (1051, [3.0, 1.0]), (None, vectors[0]), (1100, []), (1150, [1e300] * 12)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), shard_rows=64, query_block=3, block=4, run=16)
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) and abs(x) < 1e6 for x in v)}
-    want = set()
-    for q, v in whole.items():
-        if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole.items() if i != q and len(w) == len(v))[:5]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)}
-    assert {tuple(r) for r in got.collect()} == want
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(3, vectors[3]), (50, vectors[50]), (50, vectors[7]), (900, None), (950, [1.0, None]), (951, [float("nan")] * 12), (1000, [float("inf")] * 12), (1050, [1.0, 2.0]), (1051, [3.0, 1.0]), (None, vectors[0]), (1100, [])]
+    if wide:
+        rows += [(1150, [1e300] * 12), (1151, [-1e300] * 12), (1200, [2.0**30, 1.0] * 6), (1201, [2.0**30 + 1] * 12), (1250, [1e15 + k for k in range(12)]), (1251, [-1e15] * 12), (1300, [1.7e308] * 12), (1301, [524288.0] * 12)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, row string, wide int")
+    assert searched(df, cell_bytes=64 * 96, block=4, run=16) == brute_top(rows)
     assert topk.top_k(df.filter("vec_id > 5000"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_shard_search_is_exact_with_pruning():
+def test_topk_keeps_large_vectors_and_repeated_rows(spark):
+    rows = [(50, [2.0**30, 1.0]), (1, [2.0**30, 0.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.5, 0.5])]
+    got = searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got == brute_top(rows) and [r[2] for r in got] == [1, 2, 2, 2, 3]
+
+
+def test_cell_search_is_exact_with_pruning():
     rng = np.random.default_rng(4)
     v = np.floor(rng.normal(size=(2000, 32)) * 20)
-    shard = topk._Shard(np.arange(2000), v, 4, 128)
-    for q in range(0, 2000, 137):
-        scores, ids = shard.search(q, v[q], 5)
+    cell = topk._Cell(np.arange(2000), np.arange(2000), v, None, 1, 4, 128)
+    asked = np.arange(0, 2000, 137)
+    for q, (scores, ids) in zip(asked, cell.search(asked, v[asked], None, 1, 5)):
         s = v @ v[q]
         order = [i for i in np.lexsort((np.arange(2000), -s)) if i != q][:5]
-        assert ids.tolist() == order and scores.tolist() == s[order].tolist()
+        assert ids == order and scores == s[order].tolist()
 
 
 # 3
