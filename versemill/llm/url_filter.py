@@ -3,17 +3,22 @@ r"""URL filters: rules first, then link-graph propagation for the hosts that no
 Trust starts at hosts in proportion to their urls that a rule allows and flows along links (personalised PageRank);
 distrust starts at hosts in proportion to their urls that a rule blocks and flows against links. Edges are links to
 other hosts found in the pages' href attributes, quoted or not (a relative link stays on its host and adds nothing), and
-the tie between a host and the domain directly above it where both have pages. Links from one host to another count once a
-page; parallel ones are summed before anything is shuffled by host, so a hot host is one row for each neighbour. A linked host without pages is part of the graph with the distinct urls that link to it as its urls.
-
-Scores are whole numbers (fixed point), so sums don't depend on order and reruns agree to the last unit. They rise from what
-hosts start with and never fall; rounds go on until all that can still arrive anywhere is at most ``tolerance`` of one url's
-share. ``rounds`` may bound them, which cuts off hosts that are further from any seed.
-A host is blocked where its distrust is at least ``block_lift`` times its share of all urls, and its trust, relative to
-all trust, is lower than its distrust.
+ties, both ways, between a host and each domain above it, down to the registered one (its last ``domain_labels`` names).
+A linked host without pages is part of the graph, with the distinct urls that link to it as its urls, and so is a domain
+without pages, with none: distrust of one host reaches the others of its domain through it. Links from one host to another
+count once a page; parallel ones are summed before anything is shuffled by host, so a hot host is one row for each neighbour.
+
+Scores are whole numbers (fixed point), so sums don't depend on order and reruns agree to the last unit. Rounds go on until
+the error left, over all hosts together, is at most ``tolerance`` of one url's share. ``rounds`` may bound them, which cuts
+off hosts that are further from any seed.
+How much a place in the graph gathers anyway is measured by the same two walks started from all urls alike. A host is
+blocked where its distrust is at least ``block_lift`` times what the walk of all urls against links brings it, and its trust,
+relative to the walk of all urls along links, is lower than that.
 
 Defined results: a null url, or one without "://", has empty host and path, fits no rule, and is allowed unless the
-empty host is judged otherwise; a null html has no links; repeated rows count each; an empty table gives an empty result.
+empty host is judged otherwise; a null html has no links; of rules of equal length the first listed wins; hosts that are
+numbers, or longer than names can be (253 characters), have no domain above them; repeated rows count each; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from .staging import Staging
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-UNIT = 1 << 40  # all trust (or distrust) together
+UNIT = 1 << 56  # all trust (or distrust) together
 LINK = r"(?i)href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>][^\"'\s>]*)"
 
 
@@ -40,7 +45,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, or null. Equal lengths: the first listed."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, domain, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, domain, prefix in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # later ones overrule
         fits = ((host == domain) | host.endswith("." + domain)) & path.startswith(prefix)
         found = F.when(fits, F.struct(F.lit(domain + prefix).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
     return found
@@ -60,57 +65,82 @@ def linked_hosts(links: DataFrame, hosts: DataFrame, rules) -> DataFrame:
     return judged.groupBy("host").agg(F.count("*").alias("urls"), F.count_if(F.col("_verdict") == "allow").alias("allowed"), F.count_if(F.col("_verdict") == "block").alias("blocked"))
 
 
-def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, weight): links between different hosts, and ties to the domain above where both have pages."""
+def host_links(links: DataFrame) -> DataFrame:
+    """(src, dst, weight): links between different hosts."""
     targets = F.array_distinct(F.transform("urls", lambda u: u["host"]))
-    links = links.select("src", F.explode(targets).alias("dst"))
-    links = links.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    known = hosts.select("host")
-    above = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst")).filter("dst <> ''")
-    above = above.join(known.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst")
-    ties = above.unionByName(above.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1).cast("long"))
-    return links.unionByName(ties)
+    found = links.select("src", F.explode(targets).alias("dst"))
+    return found.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def domain_ties(hosts: DataFrame, domain_labels: int = 2) -> DataFrame:
+    """(src, dst): each host and the domain right above it, and so on up to the registered domain."""
+    names = F.split("host", r"\.")
+    named = hosts.filter((F.length("host") <= 253) & ~F.col("host").rlike(r"(^|\.)\d*(:\d*)?$")).select(names.alias("names"))
+    named = named.filter(F.size("names") > domain_labels)
+    suffix = lambda k: F.array_join(F.slice("names", k, F.size("names")), ".")
+    steps = F.transform(F.sequence(F.lit(1), F.size("names") - domain_labels), lambda k: F.struct(suffix(k).alias("src"), suffix(k + 1).alias("dst")))
+    return named.select(F.inline(steps)).distinct()
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, staging: Staging, rounds: int | None, damping: float, least: float) -> DataFrame:
-    """(host, trust, distrust) in units of ``UNIT``. ``hosts`` has (host, allowed, blocked) counts.
+#: Walk: (where it starts, the weight and the sum of weights by which it moves).
+WALKS = {"trust": ("allowed", "along", "along_all"), "fame": ("urls", "along", "along_all"), "distrust": ("blocked", "against", "against_all"), "reach": ("urls", "against", "against_all")}
 
-    Rounds end when what can still arrive, of trust or of distrust, is at most ``least`` units, or nothing changes.
-    Both walks are one table: distrust uses the edges turned round. What a host without edges would pass on is kept by it.
+
+def walk_table(nodes: DataFrame, edges: DataFrame, staging: Staging, damping: int) -> DataFrame:
+    """(a, b, along, along_all, against, against_all, start of each walk): a row for each edge in each direction, and one from each host to itself.
+
+    The row to itself carries what a host starts with (null in the others), and passes on to itself what a host without edges would lose.
+    """
+    none = [F.lit(0).cast("long").alias("along"), F.lit(1).cast("long").alias("along_all"), F.lit(0).cast("long").alias("against"), F.lit(1).cast("long").alias("against_all")]
+    out = {way: edges.groupBy(F.col(end).alias("a")).agg(F.sum("weight").alias(f"{way}_all")) for way, end in (("along", "src"), ("against", "dst"))}
+    forth = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("along")).join(out["along"], "a").select("a", "b", "along", "along_all", *none[2:])
+    back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("weight").alias("against")).join(out["against"], "a").select("a", "b", *none[:2], "against", "against_all")
+    with_totals = nodes.withColumns({f"{n}_sum": nodes.agg(F.sum(n)).scalar() for n in ("allowed", "blocked", "urls")})
+    share = lambda n: F.when(F.col(f"{n}_sum") > 0, (F.lit(UNIT).cast("decimal(38,0)") * F.col(n) / F.col(f"{n}_sum")).cast("long")).otherwise(F.lit(0)).cast("long")
+    starts = with_totals.select(F.col("host").alias("a"), *[share(n).alias(k) for k, (n, _, _) in WALKS.items()])
+    starts = starts.select("a", *[F.expr(f"{k} * {1000 - damping} div 1000").cast("long").alias(k) for k in WALKS])
+    sink = lambda way: F.when(F.col(f"{way}_all").isNull(), 1).otherwise(0).cast("long").alias(way)
+    own = starts.join(out["along"], "a", "left").join(out["against"], "a", "left")
+    own = own.select("a", F.col("a").alias("b"), sink("along"), none[1], sink("against"), none[3], *WALKS)
+    blank = [F.lit(None).cast("long").alias(k) for k in WALKS]
+    return staging.write(forth.select("*", *blank).unionByName(back.select("*", *blank)).unionByName(own), "walks")
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, staging: Staging, rounds: int | None, damping: float, least: float, at_once: int = 4) -> DataFrame:
+    """(host, trust, distrust, fame, reach) in units of ``UNIT``. ``nodes`` has (host, allowed, blocked, urls) counts.
+
+    Trust and fame flow along edges, from what is allowed and from all urls; distrust and reach against them, from what is
+    blocked and from all urls: four numbers of one row. A round is one join and one sum. After every ``at_once`` rounds lineage
+    is cut, and rounds end if the error that the last change leaves possible, over all hosts together, is at most ``least``
+    units (or a unit for each row of the table, which is what whole numbers can tell). Else the first time and every third
+    the scores are extrapolated: what two rounds still changed goes on as a geometric series of ``damping`` squared, which is
+    exact for ties between hosts and domains and near for the rest. The bound holds from any scores, so that only saves rounds.
     """
-    arcs = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
-    arcs = arcs.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
-    out = arcs.groupBy("kind", "a").agg(F.sum("weight").alias("out"))
-    arcs = staging.write(arcs.join(out, ["kind", "a"]), "arcs")
-    with_totals = hosts.withColumns({f"{n}_all": hosts.agg(F.sum(n)).scalar() for n in ("allowed", "blocked")})
-    share = lambda n, total: F.when(F.col(total) > 0, (F.lit(UNIT).cast("decimal(38,0)") * F.col(n) / F.col(total)).cast("long")).otherwise(F.lit(0)).cast("long")
-    starts = with_totals.select("host", F.explode(F.create_map(F.lit("trust"), share("allowed", "allowed_all"), F.lit("distrust"), share("blocked", "blocked_all"))).alias("kind", "start"))
-    sinks = out.select(F.col("kind"), F.col("a").alias("host"), F.lit(1).alias("_out"))
-    starts = staging.write(starts.join(sinks, ["kind", "host"], "left").select("kind", "host", "start", F.col("_out").isNull().alias("sink")), "starts")
     passed = int(damping * 1000)
-    scores, done, k = starts.select("kind", "host", F.expr(f"start * {1000 - passed} div 1000").cast("long").alias("score")), False, 0
+    table = walk_table(nodes, edges, staging, passed)
+    least = max(least, table.count())
+    scores, done, k = table.filter("trust IS NOT NULL").selectExpr("a", *[f"{w} AS {w}_now" for w in WALKS], *[f"{w} AS {w}_old" for w in WALKS]), False, 0
+    got = [f"sum(cast(cast({w}_now AS decimal(38,0)) * {weight} * {passed} div (cast({total} AS decimal(38,0)) * 1000) AS bigint)) AS {w}_got" for w, (_, weight, total) in WALKS.items()]
+    own = [x for w in WALKS for x in (f"max({w}) AS {w}", f"max(if({w} IS NULL, NULL, {w}_now)) AS {w}_old", f"max(if({w} IS NULL, NULL, {w}_old)) AS {w}_older")]
+    sums = [F.expr(x) for x in got + own]
     while not done:
         k += 1
-        sent = arcs.join(scores.withColumnRenamed("host", "a"), ["kind", "a"])
-        sent = sent.select("kind", F.col("b").alias("host"), F.expr("cast(cast(score as decimal(38,0)) * weight div out as bigint)").alias("got"))
-        sent = sent.groupBy("kind", "host").agg(F.sum("got").alias("got"))
-        held = starts.join(scores, ["kind", "host"]).join(sent, ["kind", "host"], "left")
-        got = F.when(F.col("sink"), F.col("score")).otherwise(F.lit(0)) + F.coalesce(F.col("got"), F.lit(0))
-        new = held.select("kind", "host", "score", F.expr(f"start * {1000 - passed} div 1000").cast("long").alias("_s"), got.alias("_g"))
-        new = new.select("kind", "host", (F.col("_s") + F.expr(f"_g * {passed} div 1000")).cast("long").alias("new"), "score")
-        if k % 4 == 0 or k == rounds:
+        new = table.join(scores, "a").groupBy("b").agg(*sums).selectExpr("b AS a", *[x for w in WALKS for x in (f"{w} + {w}_got AS {w}_now", f"{w}_old", f"{w}_older")])
+        if k % at_once == 0 or k == rounds:
             new = staging.write(new, "scores")
-            if k > 4:
+            if k > at_once:
                 staging.drop(last)
             last = new
-            changes = new.groupBy("kind").agg(F.sum(F.abs(F.col("new") - F.col("score"))).alias("change")).collect()
-            change = max((r.change for r in changes), default=0)
-            done = change == 0 or change * damping / (1 - damping) <= least or k == rounds
-        scores = new.select("kind", "host", F.col("new").alias("score"))
-    return scores.groupBy("host").agg(*[F.max(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")])
+            changes = new.agg(*[F.coalesce(F.sum(F.abs(F.col(f"{w}_now") - F.col(f"{w}_old")).cast("double")), F.lit(0.0)) for w in WALKS]).first()
+            done = max(changes) * damping / (1 - damping) <= least or k == rounds
+            if not done and (k // at_once) % 3 == 1:
+                further = [f"greatest(0, cast((cast({w}_now AS decimal(38,0)) * 1000000 - cast({w}_older AS decimal(38,0)) * {passed**2}) div {10**6 - passed**2} AS bigint)) AS {w}_now" for w in WALKS]
+                new = new.selectExpr("a", *further, *[f"{w}_old" for w in WALKS])
+        scores = new.selectExpr("a", *[x for w in WALKS for x in (f"{w}_now", f"{w}_old")]) if not done else new
+    return scores.selectExpr("a AS host", *[f"{w}_now AS {w}" for w in WALKS])
 
 
-def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int | None = None, damping: float = 0.85, block_lift: int = 2, tolerance: float = 0.01) -> DataFrame:
+def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int | None = None, damping: float = 0.85, block_lift: int = 1, tolerance: float = 0.01, domain_labels: int = 2) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_trust, host_distrust) for every row."""
     staging = Staging(pages.sparkSession, "url-filter")
     host, path = url_parts(F.col("url"))
@@ -120,18 +150,22 @@ def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int | None = None, dam
         F.count("*").alias("urls"), F.count_if(F.col("_found.verdict") == "allow").alias("allowed"), F.count_if(F.col("_found.verdict") == "block").alias("blocked"),
     )
     hosts = staging.write(counted, "hosts")
-    links = linked_urls(parsed)
-    edges = staging.write(host_edges(links, hosts), "parts").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    edges = staging.write(edges, "edges")
-    nodes = staging.write(hosts.unionByName(linked_hosts(links, hosts, rules)), "nodes")
+    links = staging.write(linked_urls(parsed), "links")
+    known = staging.write(hosts.unionByName(linked_hosts(links, hosts, rules)), "known")
+    ties = staging.write(domain_ties(known, domain_labels), "ties")
+    above = ties.select(F.col("dst").alias("host")).distinct().join(known.select("host"), "host", "left_anti")
+    nodes = staging.write(known.unionByName(above.select("host", *[F.lit(0).cast("long").alias(n) for n in ("urls", "allowed", "blocked")])), "nodes")
+    both = ties.unionByName(ties.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1).cast("long"))
+    edges = staging.write(host_links(links).unionByName(both), "parts").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     urls = nodes.agg(F.sum("urls")).first()[0] or 1
-    scores = propagate(nodes, edges, staging, rounds, damping, tolerance * UNIT / urls)
-    fair = F.expr(f"cast(cast({UNIT} as decimal(38,0)) * urls div _all as bigint)")
-    bad = (F.col("distrust") >= block_lift * fair) & (F.col("trust") < F.col("distrust"))
-    verdicts = hosts.join(scores, "host").withColumn("_all", F.lit(urls)).select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"), bad.alias("_bad"))
+    scores = propagate(nodes, staging.write(edges, "edges"), staging, rounds, damping, tolerance * UNIT / urls)
+    exact = lambda a, b: F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")
+    bad = (F.col("distrust") > 0) & (F.col("distrust") >= block_lift * F.col("reach")) & (exact("trust", "reach") < exact("distrust", "fame"))
+    verdicts = hosts.join(scores, "host").select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"), bad.alias("_bad"))
     # A host's verdict joins a page by host, without the html. As a written table it is a plain side of the join, which Spark
     # sends to the pages where its size allows, and beyond that splits the hot host's partition.
     verdicts = staging.write(verdicts, "verdicts")
+    staging.keep(verdicts)
     out = decided.drop("html").join(verdicts, "host", "left")
     verdict = F.coalesce(F.col("_found.verdict"), F.when(F.col("_bad"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("_found.rule").alias("rule"), verdict.alias("verdict"), "host_trust", "host_distrust")
