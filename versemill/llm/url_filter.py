@@ -98,7 +98,7 @@ def walk_table(nodes: DataFrame, edges: DataFrame, staging: Staging, damping: in
     with_totals = nodes.withColumns({f"{n}_sum": nodes.agg(F.sum(n)).scalar() for n in ("allowed", "blocked", "urls")})
     share = lambda n: F.when(F.col(f"{n}_sum") > 0, (F.lit(UNIT).cast("decimal(38,0)") * F.col(n) / F.col(f"{n}_sum")).cast("long")).otherwise(F.lit(0)).cast("long")
     starts = with_totals.select(F.col("host").alias("a"), *[share(n).alias(k) for k, (n, _, _) in WALKS.items()])
-    starts = starts.select("a", *[F.expr(f"{k} * {1000 - damping} div 1000").cast("long").alias(k) for k in WALKS])
+    starts = starts.select("a", *[F.expr(f"cast({k} AS decimal(38,0)) * {1000 - damping} div 1000").cast("long").alias(k) for k in WALKS])
     sink = lambda way: F.when(F.col(f"{way}_all").isNull(), 1).otherwise(0).cast("long").alias(way)
     own = starts.join(out["along"], "a", "left").join(out["against"], "a", "left")
     own = own.select("a", F.col("a").alias("b"), sink("along"), none[1], sink("against"), none[3], *WALKS)
