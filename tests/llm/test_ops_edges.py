@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from versemill.llm import packing
+from versemill.llm import packing, quality_rules
 from versemill.llm.queries import tokenizer_path
 from versemill.llm.staging import Staging
 
@@ -61,6 +61,25 @@ def test_tree_merge_is_near_one_best_fit(spark, group_pieces, extra):
     assert all(sum(n for _, n in sorted(p)[:k]) == sorted(p)[k][0] for p in places.values() for k in range(len(p)))
 
 
+# 9
+
+
+def test_a_repeated_document_is_one_trial(spark):
+    rng = random.Random(19)
+    words = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    text = lambda symbols: " ".join(words(80) + ["#$"] * symbols)
+    good, bad = [(i, text(rng.choice((0, 0, 1))), "en") for i in range(20)], [(100 + i, text(30), "en") for i in range(20)]
+    marks = [(i, 1, 0) for i, _, _ in good] + [(i, 0, 0) for i, _, _ in bad]
+    docs = spark.createDataFrame(good + bad, PROSE + ", lang string")
+    many = docs.unionByName(docs.filter("doc_id = 0").crossJoin(spark.range(5000)).drop("id")).unionByName(docs.filter("doc_id = 1").crossJoin(spark.range(5000)).select((F.col("id") + 10_000).alias("doc_id"), "text", "lang"))
+    known = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    more = known.unionByName(spark.range(5000).select((F.col("id") + 10_000).alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    cut = lambda d, k: quality_rules.fit_cutoffs(quality_rules.with_stats(d), k).collect()
+    assert cut(docs, known) == cut(many, more) == []  # 20 good documents certify nothing
+    judged = quality_rules.apply_rules(many, more)
+    assert judged.count() == 10_040 and "_digest" not in judged.columns
+
+
 # Staging
 
 

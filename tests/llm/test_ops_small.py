@@ -530,7 +530,7 @@ def test_cutoffs_keep_their_promise(spark):
     rng = random.Random(12)
     rows = [(i, "en", 0 if i % 10 else rng.randrange(20, 60), 100, 0, 0, 0, 10, int(i % 10 > 0)) for i in range(20_000)]
     rows = [(*r[:2], r[2] if r[8] == 0 else rng.choice((0, 0, 0, 1)), *r[3:]) for r in rows]
-    df = spark.createDataFrame(rows, "doc_id long, lang string, n_symbols long, word_chars long, n_dup_lines long, n_repeat_words long, pad long, n_lines long, quality int").withColumn("n_words", F.lit(100).cast("long"))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, n_symbols long, word_chars long, n_dup_lines long, n_repeat_words long, pad long, n_lines long, quality int").withColumn("n_words", F.lit(100).cast("long")).withColumn("_digest", F.col("doc_id"))
     cut = quality_rules.fit_cutoffs(df.drop("quality"), df.select("doc_id", "quality"))
     judged = quality_rules.judge(df, cut).agg(F.count_if(F.expr("quality = 1 AND NOT kept")).alias("lost"), F.count_if(F.expr("quality = 0 AND kept")).alias("missed")).first()
     assert judged.lost <= 0.02 * 18_000 and judged.missed == 0

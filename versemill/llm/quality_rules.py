@@ -11,8 +11,8 @@ documents is used. A stratum with too few labels certifies nothing and loses not
 Everything is DataFrame expressions: one scan of the texts, then counts over small columns.
 
 Defined results: null or empty text has no words and fails the base rule; a null language is a stratum of its own; a
-document with several label rows counts as bad if any says so; label rows with null id or quality are ignored; repeated
-rows are judged and counted each; extra columns pass through (names beginning with an underscore are reserved).
+document with several label rows counts as bad if any says so, and so does a text with several ids; label rows with null
+id or quality are ignored; repeated rows are judged each, but equal texts are one trial of the holdout; extra columns pass through ``keep_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ RULES = {
 
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the counts in ``STATS`` (long). Heavy arrays are dropped in the same stage that makes them."""
+    """Adds the counts in ``STATS`` (long) and ``_digest``, a hash of the text. Heavy arrays are dropped in the same stage that makes them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     x = docs.withColumn("_text", text).withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
     x = x.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda line: line.rlike(WORD)))
@@ -45,6 +45,7 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     x = x.withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("_lines")))
     chars = F.length("_text").cast("long")
     x = x.withColumn("word_chars", F.length(F.translate("_text", BLANKS, "")).cast("long"))
+    x = x.withColumn("_digest", F.xxhash64("_text"))
     x = x.withColumn("n_symbols", chars - F.length(F.translate("_text", SYMBOLS, "")))
     # Windows of three words: hashes tell most texts have no repeat; only the others are sorted, by the words themselves.
     heads = F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0)))
@@ -89,12 +90,15 @@ def most_rejections(n: Column, alpha: float, level: Column) -> Column:
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", id_col: str = "doc_id", promise: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(stratum, one cutoff in steps for each rule or null): a row for each stratum that has labels."""
+    """(stratum, one cutoff in steps for each rule or null): a row for each stratum that has labels.
+
+    Trials of the binomial test must be independent, so equal texts of a stratum are one trial, however many ids and rows they have.
+    """
     marked = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).filter("_quality IS NOT NULL")
     held = stats.join(marked, F.col(id_col) == F.col("_id")).filter(~base_failed())
-    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), rule_step(r).alias("step")) for r in RULES])).alias("_p")
-    good = F.col("_quality") >= 1
-    cells = held.select(F.col(stratum_col).alias("stratum"), good.alias("_good"), pairs).groupBy("stratum", "_p.rule", "_p.step")
+    held = held.groupBy(F.col(stratum_col).alias("stratum"), "_digest").agg((F.min("_quality") >= 1).alias("_good"), *[F.max(rule_step(r)).alias(r) for r in RULES])
+    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("_p")
+    cells = held.select("stratum", "_good", pairs).groupBy("stratum", "_p.rule", "_p.step")
     cells = cells.agg(F.count_if("_good").alias("_g"), F.count_if(~F.col("_good")).alias("_b"))
     # From here on: strata x rules x steps rows.
     group, stricter = Window.partitionBy("stratum", "rule"), Window.partitionBy("stratum", "rule").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -115,7 +119,7 @@ def judge(stats: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> Da
     for rule in RULES:
         passes = passes & F.coalesce(rule_step(rule) <= F.col(f"_cut_{rule}"), F.lit(True))
     out = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & passes)
-    return out.drop("_stratum", *[f"_cut_{r}" for r in RULES])
+    return out.drop("_stratum", "_digest", *[f"_cut_{r}" for r in RULES])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -123,6 +127,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     staging = Staging(docs.sparkSession, "quality-rules")
     stats = staging.write(with_stats(docs.select("doc_id", "lang", "text")).drop("text"), "stats")
     cutoffs = staging.write(fit_cutoffs(stats, labels, **options), "cutoffs")
+    staging.keep(stats, cutoffs)
     return judge(stats, cutoffs)
 
 
@@ -134,5 +139,6 @@ def keep_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     aside = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(True).alias("_")).alias("_rest"))
     stats = staging.write(with_stats(aside), "stats")
     cutoffs = staging.write(fit_cutoffs(stats.drop("text", "_rest"), labels, **options), "cutoffs")
+    staging.keep(stats, cutoffs)
     kept = judge(stats, cutoffs).filter("kept")
     return kept.select(*[F.col(c) if c in own else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
