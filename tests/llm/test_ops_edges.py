@@ -4,11 +4,12 @@ import collections
 import os
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from versemill.llm import packing, quality_rules
+from versemill.llm import packing, quality_classifier, quality_rules
 from versemill.llm.queries import tokenizer_path
 from versemill.llm.staging import Staging
 
@@ -61,6 +62,37 @@ def test_tree_merge_is_near_one_best_fit(spark, group_pieces, extra):
     assert all(sum(n for _, n in sorted(p)[:k]) == sorted(p)[k][0] for p in places.values() for k in range(len(p)))
 
 
+# 7
+
+
+def test_grades_may_be_negative_and_ids_repeated(spark):
+    rng = random.Random(23)
+    docs, marks = [], []
+    for i in range(300):
+        grade = (-2, 0, 5)[i % 3]
+        docs.append((i, " ".join(rng.choices(["zzq", "abc"], [1 + grade + 3, 9 - grade], k=60)), "x"))
+        marks.append((i, grade, 0))
+    table = spark.createDataFrame(docs + docs[:40] + [(None, "zzq", "x"), (1, None, "y")], PROSE + ", level string")
+    known = spark.createDataFrame(marks + marks[:5] + [(7, None, 0), (None, 5, 1)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(table, known)
+    assert model.levels == [-2, 0, 5]
+    scored = quality_classifier.grade_documents(table, known, least_grade=5).collect()
+    assert len(scored) == table.count() and all(-2 <= r.expected_grade <= 5 for r in scored)
+    right = [r.kept == (r.doc_id % 3 == 2) for r in scored if r.doc_id is not None and r.doc_id > 1]
+    assert sum(right) >= 0.95 * len(right)
+    assert all(r.kept for r in quality_classifier.grade_documents(table, known, least_grade=-2).collect())
+    assert not any(r.kept for r in quality_classifier.grade_documents(table, known, least_grade=6).collect())
+    with pytest.raises(ValueError):
+        quality_classifier.fit(table, known.withColumn("quality", F.col("doc_id").cast("int")))
+
+
+def test_ties_in_the_sample_order(spark):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i}", "x") for i in range(60)] * 2, PROSE + ", x string")
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] * 3, "doc_id long, quality int, toxic int")
+    one, two = (quality_classifier.fit(d, known, sample_rows=20) for d in (docs, docs.repartition(7)))
+    assert np.allclose(one.weights, two.weights) and np.allclose(one.thresholds, two.thresholds)
+
+
 # 9
 
 

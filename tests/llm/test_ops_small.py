@@ -457,14 +457,54 @@ def test_classifier_edges_and_accuracy(spark):
 # 8
 
 
-def test_kneser_ney_sums_to_one_and_agrees_without_evidence():
-    rng = np.random.default_rng(8)
-    code = np.unique(rng.integers(0, toxicity.CELLS, 4000)).astype(np.int32) & ~np.int32(0x3F << 10)
-    code = np.unique(code)
-    shared = toxicity.shared_backoff(code, 0.75)
-    assert np.all(shared > 0) and np.all(shared < 1)
-    table = toxicity.ratio_table(code, np.ones(len(code), np.int64), np.ones(len(code), np.int64), 0.75)
-    assert not table.any()
+def plain_models(counts, discount):
+    """shared(symbols) and P(symbols, class), both of the last symbol after the ones before, from {code symbols: (toxic, ordinary)}."""
+    kinds = {5: set(counts)}
+    for n in range(4, 0, -1):
+        kinds[n] = {g[1:] for g in kinds[n + 1]}
+    before = {n: collections.Counter(g[1:] for g in kinds[n + 1]) for n in range(1, 5)}
+
+    def shared(g):
+        if not g:
+            return 1 / 32
+        after = [before[len(g)][g[:-1] + (w,)] for w in range(32)]
+        if not sum(after):
+            return shared(g[1:])
+        return (max(before[len(g)][g] - discount, 0) + discount * sum(c > 0 for c in after) * shared(g[1:])) / sum(after)
+
+    def of_class(g, k):
+        after = [counts.get(g[:-1] + (w,), (0, 0))[k] for w in range(32)]
+        if not sum(after):
+            return shared(g[1:])
+        return max(counts.get(g, (0, 0))[k] - discount, 0) / sum(after) + discount * sum(c > 0 for c in after) / sum(after) * shared(g[1:])
+
+    return shared, of_class
+
+
+def test_kneser_ney_against_plain_models(spark):
+    rng = random.Random(8)
+    symbols = [0, 1, 2, 5, 9]
+    counts = {}
+    for _ in range(500):
+        g = tuple(rng.choice(symbols) for _ in range(5))
+        counts[g] = (rng.choice((0, 0, 1, 4)), rng.choice((0, 1, 3)))
+    counts = {g: c for g, c in counts.items() if sum(c)}
+    shared, of_class = plain_models(counts, 0.75)
+    number = lambda g: sum(x << (5 * (len(g) - 1 - i)) for i, x in enumerate(g))
+    for g in list(counts)[:40]:
+        for k in (0, 1):
+            assert abs(sum(of_class(g[:-1] + (w,), k) for w in range(32)) - 1) < 1e-9
+        assert abs(sum(shared(g[1:-1] + (w,)) for w in range(32)) - 1) < 1e-9
+    rows = spark.createDataFrame([(number(g), *c) for g, c in counts.items()], "code int, toxic long, ordinary long")
+    table = toxicity.ratio_table(rows, Staging(spark, "test"), 0.75)
+    for g in counts:
+        assert abs(table[number(g)] * toxicity.STEP - (math.log(of_class(g, 0)) - math.log(of_class(g, 1)))) <= toxicity.STEP / 2 + 1e-4
+    for _ in range(200):  # a symbol not seen after a context that was
+        g = rng.choice(list(counts))[:-1] + (17,)
+        assert abs(table[number(g)] * toxicity.STEP - (math.log(of_class(g, 0)) - math.log(of_class(g, 1)))) <= toxicity.STEP / 2 + 1e-4
+    assert table[number((20, 21, 22, 23, 24))] == 0
+    same = toxicity.ratio_table(rows.withColumn("ordinary", F.col("toxic") + 1).withColumn("toxic", F.col("toxic") + 1), Staging(spark, "test"), 0.75)
+    assert not same.any()  # no difference, no evidence
 
 
 def test_toxicity_edges_and_accuracy(spark):

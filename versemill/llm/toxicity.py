@@ -81,38 +81,75 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_inverse=True)
 
 
-def shared_backoff(code: np.ndarray, discount: float) -> np.ndarray:
-    """P(last symbol | the three before it) of each code, from continuation counts of the kinds in ``code``."""
-    below = None
-    kinds = [np.unique(code)]
-    for order in range(ORDER - 1, 0, -1):
-        kinds.append(np.unique(kinds[-1] & ((1 << (BITS * order)) - 1)))
+SUFFIX = (1 << (BITS * (ORDER - 1))) - 1  # of a code: its symbols but for the first
+PART = BITS * (ORDER - 1)  # a part of the table: the cells that share their first symbol
+
+
+def backoff_table(suffixes: np.ndarray, kinds_before: np.ndarray, discount: float) -> np.ndarray:
+    """P(last symbol | the three before it) by suffix, 0 where none was seen.
+
+    ``suffixes`` are those of all codes, sorted, ``kinds_before`` how many symbols stand before each; lower orders follow from these.
+    """
+    below, kinds = None, {ORDER - 1: suffixes}
+    for order in range(ORDER - 2, 0, -1):
+        kinds[order] = np.unique(kinds[order + 1] & ((1 << (BITS * order)) - 1))
     for order in range(1, ORDER):
-        here = kinds[ORDER - order]
-        _, of = _runs(kinds[ORDER - order - 1] & ((1 << (BITS * order)) - 1))
-        count = np.bincount(of, minlength=len(here)).astype(float)  # distinct symbols before it
+        here = kinds[order]
+        if order == ORDER - 1:
+            count = kinds_before.astype(float)
+        else:
+            count = np.bincount(_runs(kinds[order + 1] & ((1 << (BITS * order)) - 1))[1], minlength=len(here)).astype(float)  # distinct symbols before it
         _, context = _runs(here >> BITS)
         total, follow = np.bincount(context, count), np.bincount(context)
-        lower = 1 / (1 << BITS) if below is None else below[np.searchsorted(kinds[ORDER - order + 1], here & ((1 << (BITS * (order - 1))) - 1))]
+        lower = 1 / (1 << BITS) if below is None else below[np.searchsorted(kinds[order - 1], here & ((1 << (BITS * (order - 1))) - 1))]
         below = (np.maximum(count - discount, 0) + discount * follow[context] * lower) / total[context]
-    return below[np.searchsorted(kinds[1], code & ((1 << (BITS * (ORDER - 1))) - 1))]
+    table = np.zeros(SUFFIX + 1, np.float32)
+    table[suffixes] = below
+    return table
 
 
-def ratio_table(code: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discount: float) -> np.ndarray:
-    """log P(w | h, toxic) - log P(w | h, ordinary) of every cell, in steps; contexts without evidence have 0."""
-    backoff = shared_backoff(code, discount)
+def class_logs(code: np.ndarray, count: np.ndarray, backoff: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log P of each code's last symbol after its context, log of the weight that its context gives the backoff)."""
     contexts, at = _runs(code >> BITS)
-    logs, alone = [], []
-    for count in (toxic, ordinary):
-        total, kinds = np.bincount(at, count, len(contexts)), np.bincount(at, count > 0, len(contexts))
-        weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        logs.append(np.log(np.maximum(count - discount, 0) / np.maximum(total, 1)[at] + weight[at] * backoff))
-        alone.append(np.log(weight))
+    total, kinds = np.bincount(at, count, len(contexts)), np.bincount(at, count > 0, len(contexts))
+    weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+    return np.log(np.maximum(count - discount, 0) / np.maximum(total, 1)[at] + weight[at] * backoff[code & SUFFIX]), np.log(weight)
+
+
+def ratio_part(code: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, backoff: np.ndarray, discount: float) -> np.ndarray:
+    """log P(w | h, toxic) - log P(w | h, ordinary) of one part's cells, in steps; contexts without evidence have 0."""
+    (one, alone_one), (two, alone_two) = (class_logs(code, count, backoff, discount) for count in (toxic, ordinary))
     steps = lambda x: np.clip(np.rint(x / STEP), -127, 127).astype(np.int8)
-    table = np.zeros((CELLS >> BITS, 1 << BITS), np.int8)
-    table[contexts] = steps(alone[0] - alone[1])[:, None]
+    table = np.zeros((1 << (PART - BITS), 1 << BITS), np.int8)
+    inside = code & ((1 << PART) - 1)
+    table[np.unique(inside >> BITS)] = steps(alone_one - alone_two)[:, None]
     table = table.ravel()
-    table[code] = steps(logs[0] - logs[1])
+    table[inside] = steps(one - two)
+    return table
+
+
+def ratio_table(counts: DataFrame, staging: Staging, discount: float) -> np.ndarray:
+    """The ratios of all cells, one byte each. ``counts``: (code, toxic, ordinary), a row for each code.
+
+    Only a row for each suffix (2^20 at most, 16 MB) and the finished bytes (32 MB) reach the driver; parts are made where the counts are.
+    """
+    table = np.zeros(CELLS, np.int8)
+    counts = staging.write(counts, "counts")
+    totals = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    if not (totals[0] and totals[1]):
+        return table
+    known = counts.groupBy(F.col("code").bitwiseAND(SUFFIX).alias("suffix")).agg(F.count("*").cast("int").alias("kinds")).toArrow().sort_by("suffix")
+    backoff = counts.sparkSession.sparkContext.broadcast(backoff_table(known["suffix"].to_numpy(), known["kinds"].to_numpy(), discount))  # 4 MB
+    del known
+
+    def part(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("code")
+        code = rows["code"].to_numpy()
+        steps = ratio_part(code, rows["toxic"].to_numpy(), rows["ordinary"].to_numpy(), backoff.value, discount)
+        return pa.table({"part": pa.array([code[0] >> PART], pa.int32()), "steps": pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary())})
+
+    for row in counts.groupBy(F.expr(f"code div {1 << PART}").alias("part")).applyInArrow(part, "part int, steps binary").toLocalIterator():
+        table[row.part << PART : (row.part + 1) << PART] = np.frombuffer(zlib.decompress(row.steps), np.int8)
     return table
 
 
@@ -179,11 +216,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
     # Rows of other folds go before the shuffle. The labels grow with the corpus, so they are joined by a shuffle at any size.
     counted = docs.select("doc_id", "text").filter(learns & ~curve).join(marked.filter("NOT _curve").select("doc_id", "toxic").hint("merge"), "doc_id").select("text", "toxic")
     counts = counted.mapInArrow(_count, "code int, toxic long, ordinary long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    known = counts.toPandas()  # CELLS rows at most
-    if len(known) and known.toxic.sum() and known.ordinary.sum():
-        table = ratio_table(known.code.to_numpy(), known.toxic.to_numpy(), known.ordinary.to_numpy(), discount)
-    else:
-        table = np.zeros(CELLS, np.int8)
+    table = ratio_table(counts, staging, discount)
     sent = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))  # CELLS bytes at most
     del table
 
@@ -206,6 +239,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
         score = 1 / (1 + F.exp(-logit))
     else:
         score = F.lit(0.0)
+    staging.keep(scored)
     # The score is kept as a whole number of millionths, so that it doesn't hang on the last bit of a sum.
     out = scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), F.round(score, 6).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
