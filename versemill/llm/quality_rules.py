@@ -12,7 +12,8 @@ Everything is DataFrame expressions: one scan of the texts, then counts over sma
 
 Defined results: null or empty text has no words and fails the base rule; a null language is a stratum of its own; a
 document with several label rows counts as bad if any says so, and so does a text with several ids; label rows with null
-id or quality are ignored; repeated rows are judged each, but equal texts are one trial of the holdout; extra columns pass through ``keep_documents`` whatever their names.
+id or quality are ignored; repeated rows are judged each, but equal texts are one trial of the holdout; windows of three
+words are equal if their 64-bit hashes are; extra columns pass through ``keep_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from .staging import Staging
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -43,22 +43,18 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     x = x.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda line: line.rlike(WORD)))
     x = x.withColumn("n_words", F.size("_words").cast("long")).withColumn("n_lines", F.size("_lines").cast("long"))
     x = x.withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("_lines")))
-    chars = F.length("_text").cast("long")
-    x = x.withColumn("word_chars", F.length(F.translate("_text", BLANKS, "")).cast("long"))
-    x = x.withColumn("_digest", F.xxhash64("_text"))
-    x = x.withColumn("n_symbols", chars - F.length(F.translate("_text", SYMBOLS, "")))
-    # Windows of three words: hashes tell most texts have no repeat; only the others are sorted, by the words themselves.
+    x = x.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+    x = x.withColumn("n_symbols", F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long")).withColumn("_digest", F.xxhash64("_text"))
+    # Windows of three words are compared by 64-bit hashes; only texts with equal ones are looked at window by window.
     heads = F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0)))
     second, third = (lambda i: F.get("_words", i + 1)), (lambda i: F.get("_words", i + 2))
     x = x.withColumn("_hashes", F.transform(heads, lambda w, i: F.xxhash64(w, second(i), third(i))))
-    windows = F.transform(heads, lambda w, i: F.struct(F.concat_ws(" ", w, second(i), third(i)).alias("g"), i.alias("i")))
     repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    x = x.withColumn("_sorted", F.when(repeats, F.sort_array(windows)))
-    same = lambda g, j: F.get("_sorted", j)["g"].eqNullSafe(g)
-    twice = F.filter("_sorted", lambda s, j: same(s["g"], j - 1) | same(s["g"], j + 1))
+    x = x.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda h, j: F.get("_sorted", j)["h"].eqNullSafe(h)
+    twice = F.filter("_sorted", lambda s, j: same(s["h"], j - 1) | same(s["h"], j + 1))
     covered = F.array_distinct(F.flatten(F.transform(twice, lambda s: F.array(s["i"], s["i"] + 1, s["i"] + 2))))
-    x = x.withColumn("n_repeat_words", F.coalesce(F.size(F.when(repeats, covered)), F.lit(0)).cast("long"))
-    x = x.withColumn("n_repeat_words", F.greatest("n_repeat_words", F.lit(0)).cast("long"))
+    x = x.withColumn("n_repeat_words", F.when(F.col("_sorted").isNull(), 0).otherwise(F.size(covered)).cast("long"))
     return x.drop("_text", "_words", "_lines", "_hashes", "_sorted")
 
 
