@@ -9,8 +9,9 @@ or either with backslashes before the name) gets one more backslash after its ``
 backslash and newline are escaped too. The output keeps the pieces with a flag for the loss, so the mask is exact.
 
 Defined results: null text or role is empty; null parent or a parent that is not in the tree makes a root; a node on or
-below a cycle has no root and is in no path; nodes with null id can be leaves only; repeated node ids are outside the
-contract (``linear_trees`` never makes them); an empty table gives an empty result.
+below a cycle has no root and is in no path; rows without a node id take no part; of rows that repeat a tree's node id the
+first by parent, score, role and text counts; a null score adds nothing; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,7 +95,9 @@ def format_paths(nodes: DataFrame, *, paths_per_tree: int = 1, loss_role: str =
     ``segments``: pieces of text with ``loss``; in order they make up ``formatted``, and those with ``loss`` are the mask.
     """
     staging = Staging(nodes.sparkSession, "chat")
-    nodes = staging.write(nodes.select("tree", "node", "parent", "role", "text", "score"), "nodes")
+    nodes = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), "role", "text")
+    named = nodes.filter("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("first"))
+    nodes = staging.write(named.select("tree", "node", "first.*"), "nodes")
     paths = choose_paths(nodes, staging, paths_per_tree)
     turns = paths.alias("p").join(nodes.alias("n"), _same_tree("p", "n") & (F.col("p.node") == F.col("n.node")))
     role, text = F.coalesce(F.col("n.role"), F.lit("")), F.coalesce(F.col("n.text"), F.lit(""))

@@ -8,14 +8,16 @@ share of every stretch, the next smaller ones fill what these left open, and the
 documents, so shards come out equal but for a small document or two.
 
 Defined results: null text has no bytes; repeated rows are rows of their own; equal sizes are ordered by the md5 of the
-id, then the id; an empty table gives an empty result; extra columns pass through ``rewrite_affected``.
+id, then the id; an empty table gives an empty result; extra columns pass through ``rewrite_affected`` (but ``shard`` and
+``write``, which name folders).
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import ranged, with_prefix, with_rank
@@ -154,29 +156,77 @@ def reshard(docs: DataFrame, new_shards: int = 40, *, old_shards: int = 32, id_c
     return with_slots(plan_reshard(light, new_shards, old_shards=old_shards, staging=staging), staging)
 
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
-    """Carry out a plan on files at ``path`` partitioned by ``shard``; only shards that give or get rows are rewritten.
+# A stored layout: folders ``data/write=<id>/shard=<k>`` that are never changed, and manifests ``layout/v=<n>`` that say in
+# which folder each shard is. A manifest counts once its job has committed, so a run that stops anywhere leaves the last one.
 
-    ``docs`` is the table at ``path`` (its ``shard`` is the old one). The new files are staged in the shared folder and
-    then put over the affected partitions, so a lost executor or a repeated run leaves no half-written shard behind.
-    Returns the affected shards.
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """The number of the newest manifest (-1 without one), and the write that holds each shard."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/layout")
+    files = folder.getFileSystem(conf)
+    if not files.exists(folder):
+        return -1, {}
+    found = [s.getPath() for s in files.listStatus(folder) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    if not found:
+        return -1, {}
+    newest = max(int(p.getName().removeprefix("v=")) for p in found)
+    rows = spark.read.schema("shard int, write string").json(f"{path}/layout/v={newest}").collect()  # a row for each shard
+    return newest, {r.shard: r.write for r in rows}
+
+
+def _put(rows: DataFrame, path: str, number: int, others: dict[int, str]) -> None:
+    """Write ``rows`` into folders by ``shard``, then a manifest with them and the ``others``. Fails if that number is taken."""
+    spark, name = rows.sparkSession, uuid.uuid4().hex
+    written = f"{path}/data/write={name}"
+    rows.write.partitionBy("shard").parquet(written)
+    shards = [] if rows.isEmpty() else [r[0] for r in spark.read.option("basePath", written).parquet(written).select("shard").distinct().collect()]
+    entries = sorted((others | {s: name for s in shards}).items())
+    spark.createDataFrame(entries, "shard int, write string").coalesce(1).write.mode("error").json(f"{path}/layout/v={number}")
+
+
+def write_layout(docs: DataFrame, path: str) -> None:
+    """Store ``docs``, whose ``shard`` says where each row goes, as a new layout at ``path``."""
+    _put(docs, path, _manifest(docs.sparkSession, path)[0] + 1, {})
+
+
+def read_layout(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
+    """The rows of the newest layout at ``path`` (of some shards), with ``shard``."""
+    _, held = _manifest(spark, path)
+    folders = [f"{path}/data/write={w}/shard={s}" for s, w in held.items() if shards is None or s in shards]
+    return spark.read.option("basePath", f"{path}/data").parquet(*folders).drop("write")
+
+
+def stored_rows(layout: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, old_shard, file, at) of a layout: rows for ``plan_reshard``. A row is known by its place, whatever its id."""
+    return layout.select(F.col(id_col).alias("doc_id"), document_size(F.col(text_col)).alias("size"), F.col("shard").alias("old_shard"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def rewrite_affected(spark: SparkSession, path: str, plan: DataFrame) -> list[int]:
+    """Carry out a plan over ``stored_rows`` of the layout at ``path``; only shards that give or get rows are written anew.
+
+    Returns the affected shards. Readers see the old layout until the new manifest is there; ``vacuum`` removes what is left.
     """
-    spark = docs.sparkSession
-    staging = Staging(spark, "rewrite")
+    number, held = _manifest(spark, path)
     moves = plan.filter("old_shard <> shard").select("old_shard", "shard").distinct().collect()  # pairs of shards at most
     affected = sorted({s for r in moves for s in r})
     if not affected:
         return []
-    moved = plan.filter(F.col("old_shard").isin(affected)).select("doc_id", F.col("old_shard").alias("_old"), F.col("shard").alias("_new"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("shard") == F.col("_old"))
-    targets = moved.groupBy(F.col("doc_id").alias("_id"), "_old").agg(F.min("_new").alias("_new"))
-    changed = docs.filter(F.col("shard").isin(affected)).join(targets, same).drop("shard", "_id", "_old").withColumnRenamed("_new", "shard")
-    staged = staging.write(changed, "changed")
-    emptied = sorted(set(affected) - {r[0] for r in staged.select("shard").distinct().collect()})
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    jvm = spark.sparkContext._jvm
-    for shard in emptied:
-        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-    staging.drop(staged)
+    places = plan.filter(F.col("old_shard").isin(affected)).select("file", "at", F.col("shard").alias("new"))
+    old = read_layout(spark, path, [s for s in affected if s in held])
+    row = F.struct(*[F.col(f"`{c}`") for c in old.columns if c != "shard"]).alias("row")
+    rows = old.select(row, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).join(places, ["file", "at"])
+    _put(rows.select("row.*", F.col("new").alias("shard")), path, number + 1, {s: w for s, w in held.items() if s not in affected})
     return affected
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Delete shard folders that the newest layout doesn't name. Not while something reads or writes an older one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    _, held = _manifest(spark, path)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    files = folder.getFileSystem(conf)
+    for write in files.listStatus(folder):
+        for shard in files.listStatus(write.getPath()):
+            if (name := shard.getPath().getName()).startswith("shard=") and held.get(int(name.removeprefix("shard="))) != write.getPath().getName().removeprefix("write="):
+                files.delete(shard.getPath(), True)
