@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared folder
 and gives the written table to the next stage.
+
+Defined results, for every stage: ``documents`` needs doc_id, text, lang and source, any of them null in any row; extra
+columns pass through the first four stages whatever their names, and column order stays. Rows are judged one by one, so a
+repeated row is kept or dropped as often as it stands there, but for the third stage, which leaves one row of each group. An
+empty table passes through all stages and gives an empty result; without labels the first stage keeps all and the second
+applies the base rule alone. Ties are broken as each operator states, by id and text, never by place.
 """
 
 from __future__ import annotations
@@ -18,12 +24,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps: P(grade >= 1) of 0.5 or more. Null and empty texts are scored like others."""
     return quality_classifier.keep_documents(docs, _labels(spark, sf_dir))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the certified cutoffs."""
+    """Documents that pass the base rule and the certified cutoffs. Null and empty texts fail the base rule; a null language is a stratum of its own."""
     return quality_rules.keep_documents(docs, _labels(spark, sf_dir))
 
 
@@ -33,12 +39,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the target weights of their sources take them."""
+    """The documents as often as the target weights of their sources take them. A null source is a source of its own, a null id an id like others."""
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens. A null text is one end token."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
