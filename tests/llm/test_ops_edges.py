@@ -9,14 +9,37 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from versemill.llm import packing, quality_classifier, quality_rules
+from versemill.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, topk
 from versemill.llm.queries import tokenizer_path
 from versemill.llm.staging import Staging
 
+from .test_ops_small import brute_components
+
 FOLDER = "/root/testdata/sf0.01"
 PROSE = "doc_id long, text string"
 
 
+# 1
+
+
+def test_mix_takes_rows_with_any_names(spark):
+    names = ("_row", "copies", "at", "size", "_source", "nth", "row", "taken")
+    docs = spark.createDataFrame([(i, "a b " * (i % 7), f"s{i % 3}", *["42"] * 8) for i in range(90)] + [(None, None, None, *["42"] * 8)] * 2, PROSE + ", source string, " + ", ".join(f"{n} string" for n in names))
+    mixed, plan = mixing.mix_documents(docs), mixing.plan_mix(docs).collect()
+    assert mixed.columns == docs.columns and {tuple(r)[3:] for r in mixed.collect()} == {("42",) * 8}
+    want = collections.Counter({r.doc_id: r.copies for r in plan if r.doc_id is not None and r.copies})
+    assert collections.Counter(r.doc_id for r in mixed.collect() if r.doc_id is not None) == want
+
+
+# 2
+
+
+def test_topk_ignores_other_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], "x", 1.0) for i in range(101)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector string, score double")
+    assert topk.top_k(df, F.col("vec_id") % 50 == 0).count() == 15
+
+
 # 3
 
 
@@ -62,6 +85,17 @@ def test_tree_merge_is_near_one_best_fit(spark, group_pieces, extra):
     assert all(sum(n for _, n in sorted(p)[:k]) == sorted(p)[k][0] for p in places.values() for k in range(len(p)))
 
 
+# 4
+
+
+def test_chat_edges(spark):
+    names = "tree string, node long, parent long, score double, role string, text string, depth int, rank string"
+    rows = [("t", 1, None, 1.0, "user", "first", 1, "x"), ("t", 1, None, 1.0, "user", "first again", 1, "x"), ("t", 2, 1, None, "assistant", "y" * 400_000 + "</turn>", 1, "x"), ("t", 2, 1, 5.0, "assistant", "other", 1, "x"), ("t", None, 1, 0.0, "user", None, 1, "x"), (None, 5, None, None, None, None, 1, "x")]
+    out = chat.format_paths(spark.createDataFrame(rows, names), paths_per_tree=9).select("tree", "rank", "path_score", chat.read_turns(F.col("formatted")).alias("turns")).collect()
+    told = {(r.tree, r["rank"]): [t.text for t in r.turns] for r in out}
+    assert told == {(None, 1): [""], ("t", 1): ["first", "y" * 400_000 + "</turn>"]}
+
+
 # 7
 
 
@@ -112,6 +146,37 @@ def test_a_repeated_document_is_one_trial(spark):
     assert judged.count() == 10_040 and "_digest" not in judged.columns
 
 
+# 10
+
+
+def test_large_groups_and_hot_passages(spark):
+    """A group of near copies and a passage that many unlike documents hold, both larger than a tile."""
+    rng = random.Random(29)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    base, passage, rows = words(60), words(40), []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(60)] = f"x{rng.randrange(50)}"
+        rows.append((len(rows), " ".join(w)))
+    for _ in range(150):
+        rows.append((len(rows), " ".join(passage + words(rng.randrange(0, 14)))))
+    rows += [(1000 + i, rows[i % 5][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, PROSE).repartition(6)
+    want = sorted(brute_components(rows))
+    for options in ({}, {"tile": 8, "frequent": 4, "block_tokens": 3000, "range_tokens": 2000}, {"tile": 3, "tile_tokens": 300, "frequent": 2}):
+        assert sorted(map(tuple, ngram_join.jaccard_components(df, **options).collect())) == want
+
+
+def test_helper_names_may_clash(spark):
+    names = ("_key", "_nth", "row", "nth", "text_key", "id", "no_id", "_row")
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, *["42"] * 8), (2, text, *["42"] * 8), (3, "other " + text[::-1], *["43"] * 8)], PROSE + ", " + ", ".join(f"{n} string" for n in names))
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r)[2:] for r in kept.collect()) == [("42",) * 8, ("43",) * 8]
+    assert ngram_join.jaccard_components(docs).count() == 3
+
+
 # Staging
 
 

@@ -29,4 +29,5 @@ def connected_components(edges: DataFrame, staging: Staging) -> DataFrame:
         labels = following.select("node", F.col("new").alias("label"))
         labels._staged_path = following._staged_path
         if not changed:
+            staging.drop(both)
             return labels
