@@ -13,8 +13,8 @@ def set_flag(table: DataFrame, ids: DataFrame, flag: str, value: int, key: str =
 
 
 def overlay(table: DataFrame, new: DataFrame, column: str, key: str = "id") -> DataFrame:
-    """Q02, Q33: ``column`` takes the new value where there is one."""
-    fresh = new.select(F.col(key).alias("_k"), F.col(column).alias("_new"))
+    """Q02, Q33: ``column`` takes the new value where there is one; of several for one key the greatest."""
+    fresh = new.groupBy(F.col(key).alias("_k")).agg(F.max(column).alias("_new"))
     return table.join(fresh, table[key] == F.col("_k"), "left").withColumn(column, F.coalesce("_new", column)).drop("_k", "_new")
 
 
@@ -43,10 +43,17 @@ def used_chunks(log: DataFrame, now: Column, hours: int = 48) -> DataFrame:
 
 
 def trailing_count(log: DataFrame, seconds: int, by: str | None = None, out: str = "n_trailing") -> DataFrame:
-    """For each row, rows in the window of ``seconds`` up to and with it."""
-    keyed = log.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    window = (Window.partitionBy(by) if by else Window.partitionBy(F.to_date("ts"))).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    return keyed.withColumn(out, F.count("*").over(window)).drop("_at")
+    """For each row, rows in the window of ``seconds`` up to and with it (of its key, if ``by`` is given).
+
+    Time is cut into blocks of ``seconds``; a row is counted in its own block and the next, so a window reaches across any
+    boundary and a task holds two blocks of a key at most, however long the log.
+    """
+    micros = seconds * 1_000_000
+    keyed = log.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_own", F.expr(f"floor(_at / {micros})"))
+    seen = keyed.withColumn("_block", F.explode(F.array("_own", F.col("_own") + 1)))
+    window = Window.partitionBy(*([by] if by else []), "_block").orderBy("_at").rangeBetween(-micros, 0)
+    counted = seen.withColumn(out, F.count("*").over(window)).filter(F.col("_block") == F.col("_own"))
+    return counted.drop("_at", "_own", "_block")
 
 
 def value_or_default(table: DataFrame, key: str, value: object, defaults: dict[str, object]) -> DataFrame:
@@ -119,12 +126,16 @@ def first_value(table: DataFrame, value: Column, order: Column, where: Column, o
 
 
 def apply_fixes(table: DataFrame, fixes: DataFrame, key: str = "id") -> DataFrame:
-    """Replace element ``position`` of the edited posts (the posts, where nothing is edited) by ``text``."""
+    """Replace the elements of the edited posts (the posts, where nothing is edited) that fixes (key, position, replacement) name.
+
+    All fixes of a row are applied together; of several for one position the greatest replacement counts.
+    """
     base = F.coalesce(F.when(F.size("edited_posts") > 0, F.col("edited_posts")), F.col("posts"), F.array().cast("array<string>"))
-    f = fixes.select(F.col(key).alias("_k"), F.col("position").alias("_p"), F.col("replacement").alias("_t"))
-    joined = table.join(f, table[key] == F.col("_k"), "left")
-    edited = F.when(F.col("_k").isNotNull(), F.transform(base, lambda x, i: F.when(i == F.col("_p"), F.col("_t")).otherwise(x))).otherwise(F.col("edited_posts"))
-    return joined.withColumn("edited_posts", edited).drop("_k", "_p", "_t")
+    single = fixes.groupBy(F.col(key).alias("_k"), "position").agg(F.max("replacement").alias("replacement")).filter("position IS NOT NULL AND replacement IS NOT NULL")
+    by_row = single.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("position", "replacement"))).alias("_fixes"))  # as many as a row has posts
+    joined = table.join(by_row, table[key] == F.col("_k"), "left")
+    edited = F.when(F.col("_k").isNotNull(), F.transform(base, lambda x, i: F.coalesce(F.try_element_at("_fixes", i), x))).otherwise(F.col("edited_posts"))
+    return joined.withColumn("edited_posts", edited).drop("_k", "_fixes")
 
 
 def with_columns_added(table: DataFrame, wanted: dict[str, str]) -> DataFrame:
@@ -133,9 +144,44 @@ def with_columns_added(table: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return table.withColumns(missing) if missing else table
 
 
-def log_rows(rows: DataFrame) -> DataFrame:
-    """Q03, Q12, Q17: derived flags and JSON columns of rows about to be appended."""
-    return rows.withColumns({"engaged": F.col("decision") != "pass", "posted": F.col("decision") == "post", "queries_json": F.to_json(F.array("stimulus", "poet"))})
+#: Q03, Q12, Q17, Q26: the columns of the tables that rows are appended to, in order, and which of them hold JSON.
+TABLES = {
+    "interactions": "timestamp source stimulus_uri stimulus_text stimulus_author triage_engage triage_reason triage_queries the_problem passages_retrieved passage_used composition_decision composition_mode posts response_uris skip_reason tokens_in tokens_out dry_run".split(),
+    "readings": "chunk_id poet poem_title interaction_id timestamp stimulus_text collision_note themes".split(),
+    "reflections": "timestamp period summary poets_used themes_used preoccupations recommendations self_notes".split(),
+    "chat_sessions": "user_name started last_active summary".split(),
+    "chat_turns": "session_id role content timestamp model_used passages_used".split(),
+}
+
+
+def log_rows(rows: DataFrame, table: str) -> DataFrame:
+    """Q03, Q12, Q17, Q26: rows as they are appended to ``table``: its columns in order, absent ones null, booleans as 0 or 1,
+    arrays, maps and structs as JSON. ``triage_engage`` follows from the decision where it is not given."""
+    if table == "interactions" and "triage_engage" not in rows.columns and "composition_decision" in rows.columns:
+        rows = rows.withColumn("triage_engage", F.coalesce(F.col("composition_decision") != "pass", F.lit(False)))
+    kinds = dict(rows.dtypes)
+
+    def stored(c: str) -> Column:
+        if c not in kinds:
+            return F.lit(None).cast("string")
+        if kinds[c] == "boolean":
+            return F.col(c).cast("int")
+        return F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c)
+
+    return rows.select(*[stored(c).alias(c) for c in TABLES[table]])
+
+
+def touch_sessions(sessions: DataFrame, turns: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Q26, Q29: sessions with ``last_active`` moved up to their newest turn, and with a new summary where there is one (of several the greatest)."""
+    newest = turns.groupBy(F.col("session_id").alias("_s")).agg(F.max("timestamp").alias("_t"))
+    out = sessions.join(newest, sessions["id"] == F.col("_s"), "left").withColumn("last_active", F.greatest("last_active", "_t")).drop("_s", "_t")
+    return out if summaries is None else overlay(out, summaries, "summary")
+
+
+def note_of(notes: DataFrame, chunk_id: str) -> DataFrame:
+    """Q14: one note with its themes read from JSON; an array that doesn't parse is empty, an unknown id gives no row."""
+    themes = F.coalesce(F.from_json("themes", "array<string>"), F.array().cast("array<string>"))
+    return notes.filter(F.col("chunk_id") == chunk_id).withColumn("themes", themes)
 
 
 def capped_first(table: DataFrame, by: str, n: int, *order: str) -> DataFrame:

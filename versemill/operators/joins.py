@@ -21,8 +21,9 @@ def cascade(rows: DataFrame, key: str, steps: list[tuple[DataFrame, list[Column]
 
 
 def enrich(rows: DataFrame, notes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Left join with a table of one row for each key."""
-    return rows.join(notes.select(F.col(key).alias("_k"), *columns), rows[key] == F.col("_k"), "left").drop("_k")
+    """Left join with the notes of each key; of several the greatest by ``columns``."""
+    one = notes.groupBy(F.col(key).alias("_k")).agg(F.max(F.struct(*columns)).alias("_note")).select("_k", "_note.*")
+    return rows.join(one, rows[key] == F.col("_k"), "left").drop("_k")
 
 
 def neighbours(rows: DataFrame, by: list[str], order: str, width: int) -> DataFrame:
@@ -43,8 +44,8 @@ def expand_groups(groups: DataFrame, ids: str = "ids") -> DataFrame:
 
 
 def overlay_text(base: DataFrame, overrides: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """An override wins where it is neither null nor empty."""
-    o = overrides.select(F.col(key).alias("_k"), *[F.nullif(F.col(c), F.lit("")).alias(f"_{c}") for c in columns])
+    """An override wins where it is neither null nor empty; of several for one key the greatest, column by column."""
+    o = overrides.groupBy(F.col(key).alias("_k")).agg(*[F.max(F.nullif(F.col(c), F.lit(""))).alias(f"_{c}") for c in columns])
     joined = base.join(o, base[key] == F.col("_k"), "left")
     return joined.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).drop("_k", *[f"_{c}" for c in columns])
 

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.text import cosine_distance
 from .sequence import cap_kind
 
-#: Queries whose vectors together stay below this may travel to every task.
-BROADCAST_QUERIES = 20_000
+#: Bytes of query vectors that may travel to every task.
+BROADCAST_BYTES = 32 << 20
 
 
 def distances(corpus: DataFrame, queries: DataFrame, extra: Column | None = None, blocks: int | None = None) -> DataFrame:
     """Every (query, row) with its cosine distance: queries (query_id, query_vector) against all rows.
 
-    Up to ``BROADCAST_QUERIES`` queries are sent to the rows; more are dealt into blocks, each of which meets the rows in turn, so that no task holds all of them.
+    Queries whose vectors together take up to ``BROADCAST_BYTES`` are sent to the rows; more are dealt into blocks of that
+    size, each of which meets the rows in turn, so that no task holds all of them.
     """
-    n = queries.count()
-    if n <= BROADCAST_QUERIES:
+    held = queries.agg(F.coalesce(F.sum(F.size("query_vector") * 8 + 64), F.lit(0))).first()[0]
+    if held <= BROADCAST_BYTES:
         pairs = corpus.join(F.broadcast(queries), extra if extra is not None else F.lit(True))
     else:
-        blocks = blocks or -(-n // BROADCAST_QUERIES)
+        blocks = blocks or -(-held // BROADCAST_BYTES)
         dealt = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
         pairs = corpus.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_b")
         pairs = (pairs.filter(extra) if extra is not None else pairs).drop("_b")

@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 FIRST = Window.unboundedPreceding
 
 
-def neighbours_of(rows: DataFrame, by: str | None, order: list[Column], column: str) -> DataFrame:
-    """What stands before and after."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(*order)
-    return rows.withColumns({"previous": F.lag(column).over(w), "next": F.lead(column).over(w)})
+def neighbours_of(rows: DataFrame, by: list[str], order: list[str], column: str, coarse: Column, descending: bool = False) -> DataFrame:
+    """What stands before and after in the order of ``order`` (all rising or all falling), as ``previous`` and ``next``.
+
+    ``coarse`` is a coarser value of the order (the day of a time, a block of a number): rows are sorted inside each of its
+    values, and a row for each of them carries the first and last across, so an order over the whole table needs no single task.
+    """
+    turned = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    cut = rows.withColumn("_coarse", coarse)
+    inside = Window.partitionBy(*by, "_coarse").orderBy(*turned)
+    place = F.struct(*order)
+    first, last = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
+    ends = cut.groupBy(*by, "_coarse").agg(first(column, place).alias("_first"), last(column, place).alias("_last"))
+    across = Window.partitionBy(*by).orderBy(F.col("_coarse").desc() if descending else F.col("_coarse").asc())
+    ends = ends.select(*by, "_coarse", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    keys = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in [*by, "_coarse"]]
+    near = cut.withColumns({"_n": F.row_number().over(inside), "_p": F.lag(column).over(inside), "_q": F.lead(column).over(inside), "_k": F.count("*").over(Window.partitionBy(*by, "_coarse"))})
+    joined = near.alias("r").join(ends.alias("e"), keys, "left")
+    previous, following = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_p")), F.when(F.col("_n") == F.col("_k"), F.col("_after")).otherwise(F.col("_q"))
+    return joined.select(*[F.col(f"r.{c}") for c in rows.columns], previous.alias("previous"), following.alias("next"))
 
 
 def number_repeats(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -47,10 +62,9 @@ def stanzas(lines: DataFrame, key: str, breaks: Column) -> DataFrame:
 
 
 def cooldown_gaps(rows: DataFrame, at: str, by: str | None = None) -> DataFrame:
-    """Seconds since the row before."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(at)
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return rows.withColumn("since", ((micros(F.col(at)) - micros(F.lag(at).over(w))) / 1_000_000))
+    """Seconds since the row before, of the same key or of all rows. Rows are sorted day by day."""
+    near = neighbours_of(rows.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))), [by] if by else [], ["_us"], "_us", F.to_date(at))
+    return near.withColumn("since", (F.col("_us") - F.col("previous")) / 1_000_000).drop("_us", "previous", "next")
 
 
 def quiet_periods(rows: DataFrame, at: str, by: str, gap: str) -> DataFrame:

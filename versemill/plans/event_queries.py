@@ -26,9 +26,38 @@ def _(t: Tables) -> DataFrame:
     return E.overlay(t.interactions.select("id", "stimulus"), t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("stimulus")), "stimulus")
 
 
-@query("q03_log_rows", """SELECT id, decision <> 'pass' AS engaged, decision = 'post' AS posted, '["' || stimulus || '","' || poet || '"]' AS queries_json FROM interactions""")
+@query("q02_repeated_edits", "SELECT i.id, coalesce(e.kind, i.stimulus) AS stimulus FROM interactions i LEFT JOIN (SELECT o_custkey AS id, max(o_orderpriority) AS kind FROM orders GROUP BY o_custkey) e ON e.id = i.id")
 def _(t: Tables) -> DataFrame:
-    return E.log_rows(t.interactions).select("id", "engaged", "posted", "queries_json")
+    return E.overlay(t.interactions.select("id", "stimulus"), t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("stimulus")), "stimulus")
+
+
+INSERTED = """SELECT ts AS timestamp, source, NULL::VARCHAR AS stimulus_uri, stimulus AS stimulus_text, author AS stimulus_author, (decision <> 'pass')::INT AS triage_engage, NULL::VARCHAR AS triage_reason,
+  '["' || stimulus || '","' || poet || '"]' AS triage_queries, NULL::VARCHAR AS the_problem, '["' || chunk_id || '"]' AS passages_retrieved, '{"chunk_id":"' || chunk_id || '","poet":"' || poet || '"}' AS passage_used,
+  decision AS composition_decision, CASE WHEN decision = 'post' THEN 'quote' END AS composition_mode, CASE WHEN decision = 'post' THEN '["' || stimulus || '"]' ELSE '[]' END AS posts, '[]' AS response_uris,
+  CASE WHEN decision = 'skip' THEN 'no' END AS skip_reason, tokens_in, tokens_out, dry_run FROM interactions"""
+
+
+@query("q03_log_rows", INSERTED)
+def _(t: Tables) -> DataFrame:
+    post = F.col("decision") == "post"
+    rows = t.interactions.select(
+        F.col("ts").alias("timestamp"), "source", F.col("stimulus").alias("stimulus_text"), F.col("author").alias("stimulus_author"), F.array("stimulus", "poet").alias("triage_queries"), F.array("chunk_id").alias("passages_retrieved"),
+        F.struct("chunk_id", "poet").alias("passage_used"), F.col("decision").alias("composition_decision"), F.when(post, "quote").alias("composition_mode"),
+        F.when(post, F.array("stimulus")).otherwise(F.array().cast("array<string>")).alias("posts"), F.array().cast("array<string>").alias("response_uris"), F.when(F.col("decision") == "skip", "no").alias("skip_reason"), "tokens_in", "tokens_out", "dry_run",
+    )
+    return E.log_rows(rows, "interactions")
+
+
+@query("q12_log_readings", """SELECT chunk_id, poet, NULL::VARCHAR AS poem_title, id AS interaction_id, ts AS timestamp, stimulus AS stimulus_text, NULL::VARCHAR AS collision_note, '["' || decision || '"]' AS themes FROM interactions WHERE decision = 'skip'""")
+def _(t: Tables) -> DataFrame:
+    rows = t.interactions.filter("decision = 'skip'").select("chunk_id", "poet", F.col("id").alias("interaction_id"), F.col("ts").alias("timestamp"), F.col("stimulus").alias("stimulus_text"), F.array("decision").alias("themes"))
+    return E.log_rows(rows, "readings")
+
+
+@query("q17_log_reflections", """SELECT max(ts) AS timestamp, 'daily' AS period, NULL::VARCHAR AS summary, '{"' || min(poet) || '":' || count(*) || '}' AS poets_used, '{}' AS themes_used, '["' || min(decision) || '"]' AS preoccupations, NULL::VARCHAR AS recommendations, NULL::VARCHAR AS self_notes FROM interactions GROUP BY day""")
+def _(t: Tables) -> DataFrame:
+    rows = t.interactions.groupBy("day").agg(F.max("ts").alias("timestamp"), F.create_map(F.min("poet"), F.count("*")).alias("poets_used"), F.array(F.min("decision")).alias("preoccupations"))
+    return E.log_rows(rows.withColumn("period", F.lit("daily")).withColumn("themes_used", F.create_map().cast("map<string,int>")), "reflections")
 
 
 STATS = "SELECT day, count(*) AS total_triaged, count(*) FILTER (decision <> 'pass') AS total_engaged, count(*) FILTER (decision = 'post') AS total_posted FROM interactions GROUP BY day"
@@ -60,6 +89,17 @@ def _(t: Tables) -> DataFrame:
     return E.trailing_count(t.interactions.filter("decision = 'post'").select("id", "ts", "author"), 3600, "author").select("id", "n_trailing")
 
 
+@query("q06_rate_of_all", "SELECT id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n_trailing FROM interactions")
+def _(t: Tables) -> DataFrame:
+    return E.trailing_count(t.interactions.select("id", "ts"), 3600).select("id", "n_trailing")
+
+
+@query("q06_rate_over_midnight", "SELECT id, count(*) OVER (ORDER BY happened RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n_trailing FROM (SELECT id, day + INTERVAL 1 DAY + to_minutes((id % 120 - 60)::INT) AS happened FROM interactions)")
+def _(t: Tables) -> DataFrame:
+    at = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(1), F.lit(0), F.col("id") % 120 - 60)
+    return E.trailing_count(t.interactions.select("id", at.alias("ts")), 6 * 3600).select("id", "n_trailing")
+
+
 @query("q07_posts_on_day", "SELECT DATE '2024-01-10' AS day, coalesce(sum((decision = 'post')::INT), 0)::BIGINT AS total_posted FROM interactions WHERE day = DATE '2024-01-10'")
 def _(t: Tables) -> DataFrame:
     out = E.value_or_default(E.daily_stats(t.interactions).withColumn("day", F.col("day").cast("string")), "day", "2024-01-10", {"total_posted": 0})
@@ -98,9 +138,10 @@ def _(t: Tables) -> DataFrame:
     return readings.join(t.interactions.filter("dry_run = 0").select("id", "stimulus"), "id", "left").select("id", "chunk_id", "stimulus", "first_theme")
 
 
-@query("q14_note_lookup", "SELECT chunk_id, count(*) AS n, max(ts) AS last_used FROM interactions WHERE chunk_id = 'c7' GROUP BY chunk_id")
+@query("q14_note_lookup", "SELECT chunk_id, stimulus AS note, CASE WHEN id % 3 = 0 THEN [] ELSE themes::JSON::VARCHAR[] END AS themes FROM interactions WHERE chunk_id = 'c7'")
 def _(t: Tables) -> DataFrame:
-    return t.interactions.filter("chunk_id = 'c7'").groupBy("chunk_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_used"))
+    themes = F.when(F.col("id") % 3 == 0, F.lit('["cut off')).otherwise(F.col("themes"))
+    return E.note_of(t.interactions.select("chunk_id", F.col("stimulus").alias("note"), themes.alias("themes")), "c7")
 
 
 def notes(log: DataFrame) -> DataFrame:
@@ -165,9 +206,21 @@ def _(t: Tables) -> DataFrame:
     return E.newest(t.interactions.filter(F.col("day") == F.lit("2024-01-15").cast("date")), 100, "ts", "id").select("id", "decision")
 
 
-@query("q26_sessions_touched", "SELECT conv_id, max(turn) AS last_active, count(*) AS n_turns FROM conversations GROUP BY conv_id")
+TOUCHED = """SELECT c.conv_id AS id, greatest(c.conv_id % 5, n.t) AS last_active, coalesce(s.summary, '') AS summary FROM (SELECT DISTINCT conv_id FROM conversations) c
+  LEFT JOIN (SELECT conv_id, max(turn) AS t FROM conversations WHERE turn % 2 = 1 GROUP BY conv_id) n USING (conv_id) LEFT JOIN (SELECT conv_id, max(role || turn) AS summary FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id) s USING (conv_id)"""
+
+
+@query("q26_q29_touch_sessions", TOUCHED)
 def _(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last_active"), F.count("*").alias("n_turns"))
+    sessions = t.conversations.select(F.col("conv_id").alias("id")).distinct().select("id", (F.col("id") % 5).alias("last_active"), F.lit("").alias("summary"))
+    summaries = t.conversations.filter("conv_id % 3 = 0").select(F.col("conv_id").alias("id"), F.concat("role", "turn").alias("summary"))
+    return E.touch_sessions(sessions, t.conversations.filter("turn % 2 = 1").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("timestamp")), summaries)
+
+
+@query("q26_log_turns", "SELECT conv_id AS session_id, role, text AS content, turn AS timestamp, NULL::VARCHAR AS model_used, '[{\"chunk_id\":\"c' || turn || '\"}]' AS passages_used FROM conversations")
+def _(t: Tables) -> DataFrame:
+    used = F.array(F.struct(F.concat(F.lit("c"), "turn").alias("chunk_id")))
+    return E.log_rows(t.conversations.select(F.col("conv_id").alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").alias("timestamp"), used.alias("passages_used")), "chat_turns")
 
 
 @query("q27_first_turns", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3")
@@ -222,6 +275,13 @@ def _(t: Tables) -> DataFrame:
     return E.apply_fixes(rows, fixes).select("id", "edited_posts")
 
 
+@query("q35_many_fixes", """SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NOT NULL THEN ['b', source, 'y', lang][:3] ELSE [] END AS edited_posts FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def _(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.array(F.lit("x"), "source", F.lit("z")).alias("posts"), F.array().cast("array<string>").alias("edited_posts"))
+    fix = lambda k, s: F.struct(F.lit(k).alias("position"), F.lit(s).alias("replacement"))
+    return E.apply_fixes(rows, t.labels.select(F.col("doc_id").alias("id"), F.inline(F.array(fix(0, "a"), fix(0, "b"), fix(2, "y"), fix(9, "no"))))).select("id", "edited_posts")
+
+
 @query("q36_migrate", "SELECT id, NULL::INT AS featured, published FROM interactions")
 def _(t: Tables) -> DataFrame:
     return E.with_columns_added(t.interactions.select("id", "published"), {"featured": "int", "published": "int"})

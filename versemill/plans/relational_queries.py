@@ -119,6 +119,12 @@ def _(t: Tables) -> DataFrame:
     return J.overlay_text(t.interactions.select("id", "stimulus"), over, "id", ["stimulus"])
 
 
+@query("j01_j15_repeated_keys", "SELECT c.c_custkey, o.kind, coalesce(o.status, c.c_name) AS name FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS kind, max(o_orderstatus) AS status FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey")
+def _(t: Tables) -> DataFrame:
+    base = J.enrich(t.customer.select("c_custkey", F.col("c_name").alias("name")), t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("kind")), "c_custkey", ["kind"])
+    return J.overlay_text(base, t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("name")), "c_custkey", ["name"])
+
+
 @query("j16_prefixes", "SELECT doc_id, arg_min(p.item_id, p.item_id) AS title FROM documents d JOIN benchmark p ON substr(d.text, 1, 4) = substr(p.text, 1, 4) AND d.text LIKE substr(p.text, 1, 5) || '%' GROUP BY doc_id")
 def _(t: Tables) -> DataFrame:
     prefixes = t.benchmark.select(F.substring("text", 1, 5).alias("prefix"), F.col("item_id").alias("title"), F.col("item_id").alias("place"))
@@ -231,10 +237,10 @@ def _(t: Tables) -> DataFrame:
     return A.first_of_each(t.documents.select("doc_id", "lang", "source"), F.struct(F.col("lang"), F.lower("source")), ["doc_id"]).select("doc_id", "lang")
 
 
-@query("w01_prev_next", "SELECT id, lag(id) OVER (PARTITION BY day ORDER BY ts DESC, id) AS previous, lead(id) OVER (PARTITION BY day ORDER BY ts DESC, id) AS next FROM interactions WHERE decision = 'post'")
+@query("w01_prev_next", "SELECT id, lag(id) OVER (ORDER BY ts DESC, id DESC) AS previous, lead(id) OVER (ORDER BY ts DESC, id DESC) AS next FROM interactions WHERE decision = 'post'")
 def _(t: Tables) -> DataFrame:
     rows = t.interactions.filter("decision = 'post'").select("id", "day", "ts")
-    return W.neighbours_of(rows, "day", [F.col("ts").desc(), F.col("id")], "id").select("id", "previous", "next")
+    return W.neighbours_of(rows, [], ["ts", "id"], "id", F.col("day"), descending=True).select("id", "previous", "next")
 
 
 @query("w02_part_numerals", f"WITH {GROUPS} SELECT id, ['I', 'II', 'III', 'IV'][place + 1] AS part FROM g")
@@ -290,6 +296,11 @@ def _(t: Tables) -> DataFrame:
     return W.cooldown_gaps(t.interactions.select("id", "author", "ts"), "ts", "author").select("id", F.round("since", 3).alias("since"))
 
 
+@query("w13_since_last_of_all", "SELECT id, round(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (ORDER BY ts) / 1e6, 3) AS since FROM (SELECT max(id) AS id, ts FROM interactions GROUP BY ts)")
+def _(t: Tables) -> DataFrame:
+    return W.cooldown_gaps(t.interactions.groupBy("ts").agg(F.max("id").alias("id")), "ts").select("id", F.round("since", 3).alias("since"))
+
+
 @query("w14_quiet_periods", """WITH g AS (SELECT author, ts, (ts - lag(ts) OVER (PARTITION BY author ORDER BY ts) >= INTERVAL 45 MINUTE)::INT AS brk FROM interactions), s AS (SELECT *, sum(coalesce(brk, 0)) OVER (PARTITION BY author ORDER BY ts) AS k FROM g)
   SELECT author, min(ts) AS start, max(ts) + INTERVAL 45 MINUTE AS "end", count(*) AS n FROM s GROUP BY author, k""")
 def _(t: Tables) -> DataFrame:
