@@ -83,7 +83,7 @@ def text_numbers(weights: np.ndarray, column: pa.Array) -> np.ndarray:
     return out
 
 
-def fit_ordinal(numbers: np.ndarray, shares: np.ndarray, rows: np.ndarray, grade: np.ndarray, weight: np.ndarray, *, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-5, least_gain: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(numbers: np.ndarray, shares: np.ndarray, rows: np.ndarray, grade: np.ndarray, weight: np.ndarray, *, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-5, least_gain: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by gradient steps on the ordinal log-likelihood; ``rows`` has where each document's features begin, and the end.
 
     Ends after ``rounds``, or when twenty rounds gain less than ``least_gain`` of mean log-likelihood.
