@@ -43,7 +43,7 @@ def by_position(position: Column, bounds: list[tuple[int, str]]) -> Column:
 
 def match_keywords(table: DataFrame, column: str, keywords: list[str], out: str = "matched") -> DataFrame:
     """Rows with a whole-word keyword, and the distinct ones found, lower-case. The match reaches the scan stage as one regex."""
-    words = rf"(?i)\b(?:{'|'.join(keywords)})\b"
+    words = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(keywords)})(?![\p{{L}}\p{{N}}_])"  # what \b means differs between Java versions beyond ASCII
     found = F.array_distinct(F.transform(F.regexp_extract_all(column, F.lit(words), F.lit(0)), F.lower))
     return table.filter(F.col(column).rlike(words)).withColumn(out, found)
 

@@ -125,13 +125,7 @@ def _(t: Tables) -> DataFrame:
     return J.overlay_text(base, t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("name")), "c_custkey", ["name"])
 
 
-@query("j16_prefixes", "SELECT doc_id, arg_min(p.item_id, p.item_id) AS title FROM documents d JOIN benchmark p ON substr(d.text, 1, 4) = substr(p.text, 1, 4) AND d.text LIKE substr(p.text, 1, 5) || '%' GROUP BY doc_id")
-def _(t: Tables) -> DataFrame:
-    prefixes = t.benchmark.select(F.substring("text", 1, 5).alias("prefix"), F.col("item_id").alias("title"), F.col("item_id").alias("place"))
-    return J.first_prefix(t.documents.select("doc_id", F.substring("text", 1, 5).alias("line")), prefixes, 4).select("doc_id", "title")
-
-
-@query("j16_prefixes_all", """SELECT doc_id, min(p.item_id) AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) d
+@query("j16_prefixes", """SELECT doc_id, min(p.item_id) AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) d
   JOIN (SELECT item_id, split_part(text, chr(10), 1) AS prefix FROM benchmark) p ON p.prefix <> '' AND starts_with(d.line, p.prefix) GROUP BY doc_id""")
 def _(t: Tables) -> DataFrame:
     first = F.substring_index("text", "\n", 1)

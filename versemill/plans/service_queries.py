@@ -53,15 +53,13 @@ def _(t: Tables) -> DataFrame:
     return V.chat_window(t.conversations.select("conv_id", "turn"), "conv_id", "turn", 3).select("conv_id", "turn", "place", "summarised")
 
 
-@query("s13_plaintext", r"""WITH s AS (SELECT doc_id, 'front' || chr(10) || '* * *' || chr(10) || 'ON ' || upper(lang) || chr(10) || 'a' || chr(10) || chr(10) || chr(10) || 'b' || chr(10) || 'LAST' || chr(10) || 'c' AS x FROM documents)
-  SELECT doc_id, unnest(['ON ' || upper(lang), 'ON ' || upper(lang), 'LAST']) AS title, unnest(['a', 'b', 'c']) AS text FROM documents""")
-def _(t: Tables) -> DataFrame:
-    book = F.concat(F.lit("front\n* * *\nON "), F.upper("lang"), F.lit("\na\n\n\nb\nLAST\nc"))
-    poems = parse("plaintext", t.documents.select("doc_id", book.alias("text")), "doc_id", starts=F.col("line") == "* * *", is_title=F.col("line").rlike("^[A-Z ]+$") & (F.col("line") != ""), skip=F.col("line") == "* * *")
-    return poems.select("doc_id", "title", F.array_join("lines", "|").alias("text"))
+CLASS = r"""trim(line) <> '' AND NOT regexp_matches(trim(line), '^[IVXLC]+\.?$') AND NOT regexp_matches(trim(line), '^\[?\d+\]?$') AND NOT regexp_matches(trim(line), '^[*_ -]{3,}$') AND NOT regexp_matches(trim(line), '^\(.*\)$') AND NOT regexp_matches(trim(line), '^\[\d+\]')
+  AND regexp_matches(line, '[A-Z]') AND NOT regexp_matches(line, '[a-z]')"""
 
 
-@query("s13_plaintext_all")
+@query("s13_plaintext", f"""WITH l AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)), c AS (SELECT *, pos = 0 OR ({CLASS}) AS head FROM l),
+  p AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS poem, arg_max(line, pos) FILTER (head) OVER (PARTITION BY doc_id ORDER BY pos) AS title FROM c), d AS (SELECT *, sum((trim(line) = '')::INT) OVER (PARTITION BY doc_id, poem ORDER BY pos) AS stanza FROM p WHERE NOT head)
+  SELECT doc_id, poem, trim(title) AS title, stanza, list(line ORDER BY pos) AS lines FROM d WHERE trim(line) <> '' GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
     # The texts themselves: the first line and lines in capitals are titles.
     title = (F.col("pos") == 0) | (line_class(F.col("line")) == "title")

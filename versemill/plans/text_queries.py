@@ -10,10 +10,9 @@ from ..functions import text as X
 from ..operators import filters as L
 from .registry import Tables, query
 
-FIRST_LINE = "split_part(text, chr(10), 1)"
+FIRST_LINE = "split_part(text, chr(10), 1)"  # where the first line is the feature
 
-
-#: The lines of every text; queries over first lines have a twin named ..._all over these.
+#: The lines of every text.
 ALL_LINES = "(SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
 
 
@@ -48,13 +47,7 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", X.author_key(name, ("Katherine Philips",)).alias("author_key"))
 
 
-@query("x05_clean_line", rf"SELECT doc_id, rtrim({FIRST_LINE}) AS line FROM documents")
-def _(t: Tables) -> DataFrame:
-    rows = first_line(t).withColumn("raw", F.concat("line", F.lit("    "), F.col("doc_id"), F.lit("  ")))
-    return rows.select("doc_id", X.clean_line(F.col("raw")).alias("line"))
-
-
-@query("x05_clean_line_all", rf"SELECT doc_id, pos, regexp_replace(regexp_replace(replace(line, chr(160), ' '), '\s{{3,}}\d+\s*$', ''), '\s+$', '') AS line FROM {ALL_LINES}")
+@query("x05_clean_line", rf"SELECT doc_id, pos, regexp_replace(regexp_replace(replace(line, chr(160), ' '), '\s{{3,}}\d+\s*$', ''), '\s+$', '') AS line FROM {ALL_LINES}")
 def _(t: Tables) -> DataFrame:
     return L.lines(t.documents, "doc_id").select("doc_id", "pos", X.clean_line(F.col("line")).alias("line"))
 
@@ -71,14 +64,7 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.title_case(F.concat(F.lit("THE SONG OF "), F.upper("p_brand"))).alias("title"))
 
 
-@query("x08_upper_ratio", f"""SELECT doc_id, CASE WHEN n > 0 THEN round(u::DOUBLE / n, 6) ELSE 0 END AS ratio, CASE WHEN n > 0 THEN u::DOUBLE / n > 0.7 ELSE false END AS mostly_upper
-  FROM (SELECT doc_id, len(regexp_extract_all({FIRST_LINE}, '[A-Za-z]')) AS n, len(regexp_extract_all({FIRST_LINE}, '[A-Z]')) AS u FROM documents)""")
-def _(t: Tables) -> DataFrame:
-    ratio = X.upper_ratio(F.col("line"))
-    return first_line(t).select("doc_id", F.round(ratio, 6).alias("ratio"), (ratio > 0.7).alias("mostly_upper"))
-
-
-@query("x08_upper_ratio_all", f"""SELECT doc_id, pos, CASE WHEN n > 0 THEN round(u::DOUBLE / n, 6) ELSE 0 END AS ratio, CASE WHEN n > 0 THEN u::DOUBLE / n > 0.7 ELSE false END AS mostly_upper
+@query("x08_upper_ratio", f"""SELECT doc_id, pos, CASE WHEN n > 0 THEN round(u::DOUBLE / n, 6) ELSE 0 END AS ratio, CASE WHEN n > 0 THEN u::DOUBLE / n > 0.7 ELSE false END AS mostly_upper
   FROM (SELECT doc_id, pos, len(regexp_extract_all(line, '[A-Za-z]')) AS n, len(regexp_extract_all(line, '[A-Z]')) AS u FROM {ALL_LINES})""")
 def _(t: Tables) -> DataFrame:
     ratio = X.upper_ratio(F.col("line"))
@@ -102,16 +88,14 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(X.strip_tags(F.col("html"))).alias("plain"))
 
 
-@query("x12_tei_line", f"SELECT doc_id, trim(regexp_replace({FIRST_LINE}, '\\s+', ' ', 'g')) || ' some[...] bles sed morning' AS line FROM documents WHERE {FIRST_LINE} NOT LIKE '%<%' AND {FIRST_LINE} NOT LIKE '%ſ%'")
-def _(t: Tables) -> DataFrame:
-    rows = first_line(t).filter("line NOT LIKE '%<%' AND line NOT LIKE '%ſ%'")
-    raw = F.concat("line", F.lit(' some<gap extent="1 letter"/> <note n="1">aside\n</note>bles <hi>ſed</hi> morn-\n ing'))
-    return rows.select("doc_id", X.tei_line(raw).alias("line"))
+MARKED = """line || ' some<gap extent="1 letter"/> <note n="1">aside' || chr(10) || '</note>bles <hi>ſed</hi> morn-' || chr(10) || ' ing'"""
 
 
-@query("x12_tei_line_all")
+@query("x12_tei_line", rf"""SELECT doc_id, pos, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({MARKED}, '(?s)<note\b.*?</note>', '', 'g'), '<gap\b[^>]*/?>(?:</gap>)?', '[...]', 'g'), '(?s)<[^>]+>', '', 'g'),
+  '-[\s\x0b]*\n[\s\x0b]*', '', 'g'), 'ſ', 's'), '[\s\x0b]+', ' ', 'g')) AS line FROM {ALL_LINES}""")
 def _(t: Tables) -> DataFrame:
-    return L.lines(t.documents, "doc_id").select("doc_id", "pos", X.tei_line(F.col("line")).alias("line"))
+    raw = F.concat("line", F.lit(' some<gap extent="1 letter"/> <note n="1">aside\n</note>bles <hi>ſed</hi> morn-\n ing'))
+    return L.lines(t.documents, "doc_id").select("doc_id", "pos", X.tei_line(raw).alias("line"))
 
 
 @query("x13_break_lines", r"""SELECT page_id, list_filter(list_transform(regexp_split_to_array(b, '<br\s*/?\s*>'), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), lambda x: x <> '') AS lines
@@ -132,15 +116,7 @@ def _(t: Tables) -> DataFrame:
     return clip.select("page_id", X.first_url(F.col("clip")).alias("url"), X.clip_kind(F.col("clip")).alias("kind"))
 
 
-@query("x17_quotes", f"""SELECT doc_id, unnest([substr(l, 1, 40), 'one / two / three four']) AS quote, unnest(['inline', 'verse']) AS kind FROM (SELECT doc_id, replace({FIRST_LINE}, '"', '') AS l FROM documents)
-  WHERE length(l) >= 40 AND l NOT LIKE '% / %'""")
-def _(t: Tables) -> DataFrame:
-    rows = first_line(t).withColumn("line", F.replace("line", F.lit('"'), F.lit(""))).filter("length(line) >= 40 AND line NOT LIKE '% / %'")
-    text = F.concat(F.lit('he wrote "'), F.substring("line", 1, 40), F.lit('" and "short" and "one / two / three four"'))
-    return rows.select("doc_id", F.inline(X.quotes(text)))
-
-
-@query("x17_quotes_all", r"""SELECT doc_id, q AS quote, CASE WHEN len(regexp_extract_all(q, ' / ')) >= 2 THEN 'verse' WHEN len(regexp_split_to_array(trim(q), '\s+')) >= 25 THEN 'prose' ELSE 'inline' END AS kind
+@query("x17_quotes", r"""SELECT doc_id, q AS quote, CASE WHEN len(regexp_extract_all(q, ' / ')) >= 2 THEN 'verse' WHEN len(regexp_split_to_array(trim(q), '\s+')) >= 25 THEN 'prose' ELSE 'inline' END AS kind
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]{15,})"', 1)) AS q FROM documents)""")
 def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.inline(X.quotes(F.col("text"))))  # whole texts, as a quote may span lines
@@ -171,16 +147,13 @@ def _(t: Tables) -> DataFrame:
     return t.interactions.select("id", X.dated_slug(F.col("day"), F.col("id") % 1000).alias("slug"), X.human_date(F.col("day")).alias("human"))
 
 
-@query("x24_drop_title_lines", f"SELECT doc_id, [{FIRST_LINE}] AS lines FROM documents WHERE regexp_matches({FIRST_LINE}, '[A-Za-z]') AND upper(regexp_replace({FIRST_LINE}, '[^A-Za-z]', '', 'g')) <> 'THETITLE'")
-def _(t: Tables) -> DataFrame:
-    rows = first_line(t).filter("line RLIKE '[A-Za-z]' AND upper(regexp_replace(line, '[^A-Za-z]', '')) <> 'THETITLE'")
-    return rows.select("doc_id", X.drop_title_lines(F.array(F.lit("THE TITLE."), F.col("line")), F.lit("The Title")).alias("lines"))
-
-
-@query("x24_drop_title_lines_all")
+@query("x24_drop_title_lines", r"""SELECT doc_id, md5(array_to_string(list_filter(s, lambda x, i: NOT (i <= 2 AND upper(regexp_replace(x, '[^A-Za-z]', '', 'g')) = upper(regexp_replace(s[1], '[^A-Za-z]', '', 'g')))), chr(10))) AS lines
+  FROM (SELECT doc_id, list_concat(['THE ' || upper(split_part(text, chr(10), 1)), lower(split_part(text, chr(10), 1))], string_split(text, chr(10))) AS raw, CASE WHEN doc_id % 2 = 0 THEN raw[2:] ELSE raw[3:] END AS s FROM documents)""")
 def _(t: Tables) -> DataFrame:
-    lines = F.split("text", "\n", -1)
-    return t.documents.select("doc_id", X.drop_title_lines(lines, F.get(lines, F.lit(0))).alias("lines"))
+    """Every second text has its first line said twice, in another case."""
+    whole = F.split("text", "\n", -1)
+    lines = F.when(F.col("doc_id") % 2 == 0, F.concat(F.array(F.lower(F.get(whole, F.lit(0)))), whole)).otherwise(whole)
+    return t.documents.select("doc_id", F.md5(F.array_join(X.drop_title_lines(lines, F.get(lines, F.lit(0))), "\n")).alias("lines"))
 
 
 @query("x25_untitled", f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source WHEN length(h) > 60 THEN substr(h, 1, 57) || '...' ELSE h END AS title FROM (SELECT *, trim(regexp_extract({FIRST_LINE}, '^[^—;:,.!?]+')) AS h FROM documents)""")
@@ -287,14 +260,7 @@ def _(t: Tables) -> DataFrame:
     return t.part.filter(L.contains_any(F.col("p_type"), ["ST"]) & ~L.contains_any(F.col("p_name"), ["7", "9"])).select("p_partkey")
 
 
-@query("f04_structural", "SELECT doc_id, doc_id % 5 < 3 AS structural FROM documents")
-def _(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 5
-    line = F.when(k == 0, "XIV.").when(k == 1, "ACT II").when(k == 2, "BOOK the FIRST").when(k == 3, "In the book of life").otherwise("Mild air")
-    return t.documents.select("doc_id", L.is_structural(line).alias("structural"))
-
-
-@query("f04_structural_all", rf"SELECT doc_id, pos, regexp_matches(trim(line), '^(?:[IVXLC]+\.?|(?:ACT|SCENE|BOOK|CANTO|PART)\b.*)$') AS structural FROM {ALL_LINES}")
+@query("f04_structural", rf"SELECT doc_id, pos, regexp_matches(trim(line), '^(?:[IVXLC]+\.?|(?:ACT|SCENE|BOOK|CANTO|PART)\b.*)$') AS structural FROM {ALL_LINES}")
 def _(t: Tables) -> DataFrame:
     return L.lines(t.documents, "doc_id").select("doc_id", "pos", L.is_structural(F.col("line")).alias("structural"))
 
@@ -310,9 +276,10 @@ def _(t: Tables) -> DataFrame:
     return rows.select("doc_id", L.keep_positions(F.col("w"), [0, 2]).alias("kept"), L.by_position(F.col("doc_id") % 100, [(40, "first"), (80, "second")]).alias("part"))
 
 
-@query("f09_keywords", "SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9_])(the|que|und)(?:$|[^A-Za-z0-9_])', 1), lambda x: lower(x)))) AS matched FROM documents WHERE regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])(the|que|und)(?:$|[^A-Za-z0-9_])') AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("f09_keywords", r"""SELECT doc_id, list_filter(['que', 'the', 'und'], lambda k: regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])' || k || '(?:$|[^\p{L}\p{N}_])')) AS matched FROM documents
+  WHERE regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:the|que|und)(?:$|[^\p{L}\p{N}_])')""")
 def _(t: Tables) -> DataFrame:
-    return L.match_keywords(t.documents.filter(~F.col("text").rlike(r"[^\x00-\x7F]")), "text", ["the", "que", "und"]).select("doc_id", F.array_sort("matched").alias("matched"))
+    return L.match_keywords(t.documents, "text", ["the", "que", "und"]).select("doc_id", F.array_sort("matched").alias("matched"))
 
 
 @query("f10_f11_envelope", "SELECT id, stimulus AS text FROM interactions WHERE id % 4 = 0 AND (id % 3 = 0 OR id % 5 = 0) AND stimulus <> ''")
@@ -327,20 +294,28 @@ def _(t: Tables) -> DataFrame:
     return L.equal_all(t.vectors, {"period": 1, "type": "verse", "poet": None}).filter(L.not_in_any_case(F.col("poet"), ["POET0", "Poet2"])).select("vec_id")
 
 
-@query("f13_safety", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'anti-catholic' WHEN 1 THEN 'anti-irish' WHEN 2 THEN 'misogynist' ELSE '' END AS reason FROM documents WHERE NOT regexp_matches(text, '(?i)\\b(she|her|wild|weak|savage|devil|wife|jew|moor|irish|turk|native|beast)')""")
-def _(t: Tables) -> DataFrame:
-    clean = t.documents.filter(r"NOT text RLIKE '(?i)\\b(she|her|wild|weak|savage|devil|wife|jew|moor|irish|turk|native|beast)'")
-    k = F.col("doc_id") % 6
-    said = F.when(k == 0, "\nRomish rites and\nsuperstition ").when(k == 1, " the Irish, though never rebel ").when(k == 2, " woman, thy name is frailty ").when(k == 3, F.concat(F.lit(" Irish "), F.repeat(F.lit("x"), 201), F.lit(" rebel "))).otherwise("")
-    return clean.select("doc_id", S.safety_reason(F.concat(said, "text")).alias("reason"))
+def reason_sql(text: str) -> str:
+    """The fixed patterns as one CASE, in order of precedence."""
+    cases = " ".join(f"WHEN regexp_matches({text}, '(?is){'|'.join(f'(?:{p})' for p in found)}') THEN '{category}'".replace("Jew(?:'s)", "Jew(?:''s)") for category, found in S.PATTERNS.items())
+    return f"CASE {cases} ELSE '' END"
 
 
-@query("f13_safety_texts")
+@query("f13_safety_texts", f"SELECT doc_id, {reason_sql('text')} AS reason FROM documents")
 def _(t: Tables) -> DataFrame:
-    # Every text, to its end. The SQL of f13_safety leaves out texts with trigger words, so this one is held against Python's re.
     return t.documents.select("doc_id", S.safety_reason(F.col("text")).alias("reason"))
 
 
+SAID = "CASE doc_id % 6 WHEN 0 THEN chr(10) || 'Romish rites and' || chr(10) || 'superstition ' WHEN 1 THEN ' the Irish, though never rebel ' WHEN 2 THEN ' woman, thy name is frailty ' WHEN 3 THEN ' Irish ' || repeat('x', 201) || ' rebel ' ELSE '' END"
+
+
+@query("f13_safety", f"SELECT doc_id, {reason_sql('said')} AS reason FROM (SELECT doc_id, text || {SAID} AS said FROM documents)")
+def _(t: Tables) -> DataFrame:
+    """Whole texts with planted phrases at their end: a newline inside a gap, a gap of over 200 characters."""
+    k = F.col("doc_id") % 6
+    said = F.when(k == 0, "\nRomish rites and\nsuperstition ").when(k == 1, " the Irish, though never rebel ").when(k == 2, " woman, thy name is frailty ").when(k == 3, F.concat(F.lit(" Irish "), F.repeat(F.lit("x"), 201), F.lit(" rebel "))).otherwise("")
+    return t.documents.select("doc_id", S.safety_reason(F.concat("text", said)).alias("reason"))
+
+
 @query("f15_page_range", "SELECT page_id FROM pages WHERE try_cast(regexp_extract(page_id || 'a', '^(\\d+)', 1) AS INT) BETWEEN 10 AND 99")
 def _(t: Tables) -> DataFrame:
     return t.pages.filter(L.number_prefix(F.concat("page_id", F.lit("a"))).between(10, 99)).select("page_id")
@@ -372,10 +347,10 @@ def _(t: Tables) -> DataFrame:
     return L.review_tiers(t.interactions.select("id"), t.labels.filter("quality = 9").select(F.col("doc_id").alias("id"), F.lit(1).alias("tier")))
 
 
-@query("f20_boilerplate", "SELECT doc_id, trim(text, chr(10) || ' ') AS body FROM documents WHERE text NOT LIKE '%***%'")
+@query("f20_boilerplate", r"""SELECT doc_id, trim(regexp_extract('licence' || chr(10) || '*** START OF THE BOOK ***' || chr(10) || text || chr(10) || '*** END OF THE BOOK ***' || chr(10) || 'licence', '(?s)\*\*\* ?START OF[^\n]*?\*\*\*(.*?)(?:\*\*\* ?END OF|\z)', 1), chr(10) || ' ') AS body FROM documents""")
 def _(t: Tables) -> DataFrame:
     raw = F.concat(F.lit("licence\n*** START OF THE BOOK ***\n"), "text", F.lit("\n*** END OF THE BOOK ***\nlicence"))
-    return t.documents.filter("text NOT LIKE '%***%'").select("doc_id", F.trim(L.strip_boilerplate(raw), F.lit("\n ")).alias("body"))
+    return t.documents.select("doc_id", F.trim(L.strip_boilerplate(raw), F.lit("\n ")).alias("body"))
 
 
 @query("f21_body_start", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)
