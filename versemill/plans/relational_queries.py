@@ -367,9 +367,21 @@ def _(t: Tables) -> DataFrame:
     return R.browse(t.chunks, "src3", 80).select("chunk_id", "title", "chunk_index")
 
 
-@query("t04_random_rows")
+@query("t04_random_rows", "SELECT doc_id, source FROM documents WHERE source <> 'src1' ORDER BY md5('7:' || doc_id), doc_id LIMIT 5")
 def _(t: Tables) -> DataFrame:
-    return R.random_rows(t.documents.select("doc_id", "source"), 5, 7)
+    return R.random_rows(t.documents.filter("source <> 'src1'").select("doc_id", "source"), 5, 7, "doc_id")
+
+
+@query("t05_random_of_deck", "SELECT n_nationkey AS place, n_name AS text FROM nation ORDER BY md5('3:' || n_nationkey), n_nationkey LIMIT 1")
+def _(t: Tables) -> DataFrame:
+    return R.random_rows(t.nation.select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("text")), 1, 3, "place")
+
+
+@query("v04_random_passage", "SELECT chunk_id FROM chunks WHERE poet = 'src2' ORDER BY md5('11:' || chunk_id), chunk_id LIMIT 1")
+def _(t: Tables) -> DataFrame:
+    from .service import random_passage
+
+    return random_passage(t.chunks, 11, "src2").select("chunk_id")
 
 
 @query("t06_t07_context_order", "SELECT chunk_id, row_number() OVER (PARTITION BY poet, title ORDER BY chunk_index, chunk_id) AS place FROM chunks")

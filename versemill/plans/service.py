@@ -73,7 +73,7 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 def random_passage(chunks: DataFrame, seed: int, poet: str | None = None) -> DataFrame:
     """One row, uniformly."""
-    return retrieval.random_rows(filters.equal_all(chunks, {"poet": poet}), 1, seed)
+    return retrieval.random_rows(filters.equal_all(chunks, {"poet": poet}), 1, seed, "chunk_id")
 
 
 def retrieve(corpus: DataFrame, queries: DataFrame, texts: DataFrame, used: DataFrame, cooled: list[str], n: int = 8) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import polling as R
 from ..sources import readers as S
 from ..streaming import pipelines as P
 from .registry import Tables, query
@@ -22,6 +24,8 @@ def scratch(t: Tables) -> str:
     """A folder in the shared checkpoint folder of the session, or a temporary one where none is set."""
     base = t.spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="versemill-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -66,19 +70,126 @@ def _(t: Tables) -> DataFrame:
     return drained(t, P.route(both)[1].groupBy("event_type").agg(F.count("*").alias("n")), "complete")
 
 
-@query("r08_latest_seeds", "SELECT event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY event_type")
+@query("r02_timeline", "SELECT event_id AS id, 1 + (row_number() OVER (ORDER BY ts, event_id) > 300)::INT AS poll FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (ORDER BY ts, event_id) <= 500")
 def _(t: Tables) -> DataFrame:
-    latest = events(t).groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-    return drained(t, latest, "complete")
+    items = t.events.filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    one, cursor = R.poll_timeline(items, items.limit(0), most=300)
+    cursor.write.parquet(at := scratch(t))
+    two, _ = R.poll_timeline(items, t.spark.read.parquet(at), most=200)
+    return one.select("id", F.lit(1).alias("poll")).unionByName(two.select("id", F.lit(2).alias("poll")))
 
 
-@query("r10_admission_batch")
+@query("r03_feed_poll", """WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'id' || user_id WHEN event_id % 3 = 1 THEN 'link' || user_id ELSE event_type END AS key, ts FROM events),
+  seen AS (SELECT key, min(ts) AS first FROM e WHERE ts < TIMESTAMP '2024-01-15' GROUP BY key ORDER BY first DESC, key DESC LIMIT 50) SELECT key, min(ts) AS "at" FROM e WHERE key NOT IN (SELECT key FROM seen) GROUP BY key""")
+def _(t: Tables) -> DataFrame:
+    k = F.col("event_id") % 3
+    key = R.entry_id(F.when(k == 0, F.concat(F.lit("id"), "user_id")).otherwise(" "), F.when(k <= 1, F.concat(F.lit("link"), "user_id")), F.col("event_type"))
+    entries = t.events.select(key.alias("key"), F.col("ts").alias("at"))
+    _, seen = R.poll_feed(entries.filter("at < TIMESTAMP_NTZ '2024-01-15'"), entries.limit(0), most=50)
+    return R.poll_feed(entries, seen, most=50)[0]
+
+
+def put_file(t: Tables, path: str, text: str) -> None:
+    """A small file, written by the driver through Spark's file systems."""
+    jvm, conf = t.spark.sparkContext._jvm, t.spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(conf).create(at, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+@query("r04_r05_changed_files", "SELECT n_name || '.md' AS name, 1 AS poll, lower(n_name) AS text FROM nation UNION ALL SELECT n_name || '.md', 3, 'again ' || n_name FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'NEW.md', 3, 'new'")
+def _(t: Tables) -> DataFrame:
+    """Three polls of a folder: all files; nothing; the changed ones and a new one. Each poll is a watch of its own, as after a restart."""
+    at, out = scratch(t), None
+    names = sorted(r.n_name for r in t.nation.select("n_name").collect())
+    keys = {r.n_name: r.n_nationkey for r in t.nation.collect()}
+    for poll in (1, 2, 3):
+        if poll == 1:
+            for name in names:
+                put_file(t, f"{at}/in/{name}.md", name.lower())
+            put_file(t, f"{at}/in/other.txt", "not watched")
+        if poll == 3:
+            time.sleep(1.1)  # file systems may keep times in whole seconds
+            for name in (n for n in names if keys[n] % 5 == 0):
+                put_file(t, f"{at}/in/{name}.md", f"again {name}")
+            put_file(t, f"{at}/in/NEW.md", "new")
+        watch = R.FolderWatch(t.spark, f"{at}/in", f"{at}/state", "*.md")
+        items, state = watch.poll()
+        items.select("name", F.lit(poll).alias("poll"), "text").write.parquet(f"{at}/out/p={poll}")
+        watch.done(state)
+    return t.spark.read.schema("name string, poll int, text string").parquet(*[f"{at}/out/p={p}" for p in (1, 2, 3)])
+
+
+@query("r06_backoff", "WITH RECURSIVE a(n, s) AS (SELECT 1, 0.0::DOUBLE UNION ALL SELECT n + 1, s + least(300.0, 5.0 * 2 ** (n - 1)) FROM a WHERE n < 10) SELECT 'broken' AS source, s AS seconds, false AS answered FROM a UNION ALL SELECT 'flaky', s, ok FROM (VALUES (0.0, false), (5.0, false), (15.0, true)) v(s, ok)")
+def _(t: Tables) -> DataFrame:
+    """One source that always fails and one that fails twice, asked every second for half an hour."""
+    tries = iter((False, False))
+
+    def broken() -> DataFrame:
+        raise OSError("unreachable")
+
+    def flaky() -> DataFrame:
+        if next(tries, True):
+            return t.nation.select("n_name")
+        raise OSError("not now")
+
+    sources = R.Multiplexer({"broken": broken, "flaky": flaky})
+    for now in range(1800):
+        if "flaky" in sources.round(float(now)):
+            del sources.sources["flaky"]  # it has answered
+    return t.spark.createDataFrame(sources.log, "source string, seconds double, answered boolean")
+
+
+@query("r07_configured_sources", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'seed' ELSE 'triage' END AS mode FROM events WHERE event_type IN ('click', 'error')")
+def _(t: Tables) -> DataFrame:
+    kinds = {"events": lambda _, c: events(t).filter(F.col("event_type") == c["only"]).select("event_id", F.lit("triage").alias("mode"))}
+    configs = [{"type": "events", "only": "click", "mode": "seed"}, {"type": "events", "only": "error"}, {"type": "carrier pigeon"}]
+    return drained(t, P.merge(*P.build_sources(t.spark, configs, kinds)), "append")
+
+
+@query("r08_latest_seeds", "SELECT event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_id, (ts, event_id)) AS last FROM events GROUP BY event_type")
+def _(t: Tables) -> DataFrame:
+    latest = P.latest_seeds(events(t), "event_type", F.struct("ts", "event_id"), "event_id")
+    return drained(t, latest.select("event_type", "event_id", F.col("at.event_id").alias("last")), "complete")
+
+
+@query("r08_seed_context", "SELECT substr(string_agg('[' || event_type || '] ' || substr(repeat('said ' || v || ' ', 40), 1, 500), chr(10) ORDER BY '[' || event_type || '] '), 1, 1000) AS context FROM (SELECT event_type, arg_max(event_id, (ts, event_id)) AS v FROM events GROUP BY event_type)")
+def _(t: Tables) -> DataFrame:
+    said = F.repeat(F.concat(F.lit("said "), "event_id", F.lit(" ")), F.lit(40))
+    seeds = P.latest_seeds(t.events.withColumn("said", said), "event_type", F.struct("ts", "event_id"), "said")
+    return P.seed_context(seeds, "event_type", "said", 1000)
+
+
+@query("r12_restart", "SELECT event_id, 1 AS n FROM events")
+def _(t: Tables) -> DataFrame:
+    """A stream that is stopped and started again on a folder that grew meanwhile: each row comes out once."""
+    at = scratch(t)
+    for part in (0, 1, 2):
+        t.events.filter(F.col("event_id") % 3 == part).select("event_id").write.parquet(f"{at}/in/part={part}")
+        stream = P.read_stream(t.spark, f"{at}/in/*", "event_id long", files=1).select("event_id")
+        P.drain(stream, f"{at}/checkpoint", "append", lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}"))
+    return t.spark.read.schema("event_id long").parquet(f"{at}/out").groupBy("event_id").agg(F.count("*").cast("int").alias("n"))
+
+
+ADMITTED = """WITH RECURSIVE items AS (SELECT event_id AS id, (user_id % 3)::VARCHAR AS key, epoch_us(ts) / 1e6 AS tm, event_type AS text, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS n FROM events),
+  fold(key, n, id, reason, posts) AS (
+    SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, '', []::STRUCT(tm DOUBLE, said VARCHAR)[] FROM items
+    UNION ALL
+    SELECT key, n, id, reason, CASE WHEN reason = '' THEN list_append(kept, {'tm': tm, 'said': text}) ELSE kept END FROM (
+      SELECT *, CASE WHEN len(list_filter(kept, lambda p: p.tm > tm - 3600)) >= 10 THEN 'hourly cap' WHEN len(list_filter(kept, lambda p: p.tm // 86400 = tm // 86400)) >= 30 THEN 'daily cap'
+        WHEN len(kept) > 0 AND tm - kept[-1].tm < 60 THEN 'cooldown' WHEN len(list_filter(kept, lambda p: p.said = text)) >= 2 THEN 'stimulus dedup' ELSE '' END AS reason
+      FROM (SELECT i.key, i.n, i.id, i.tm, i.text, list_filter(f.posts, lambda p: p.tm > i.tm - 86400) AS kept FROM fold f JOIN items i ON i.key = f.key AND i.n = f.n + 1)))
+  SELECT id, key, reason = '' AS admitted, reason FROM fold WHERE n > 0"""
+
+
+@query("r10_admission_batch", ADMITTED)
 def _(t: Tables) -> DataFrame:
     items = t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 3).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_type").alias("text"))
     return P.Admission().batch(items)
 
 
-@query("r10_admission_stream")
+@query("r10_admission_stream", ADMITTED)
 def _(t: Tables) -> DataFrame:
     items = events(t).select(F.col("event_id").alias("id"), (F.col("user_id") % 3).cast("string").alias("key"), (F.unix_micros("ts") / 1e6).alias("at"), F.col("event_type").alias("text"))
     return drained(t, P.Admission().stream(items), "append")

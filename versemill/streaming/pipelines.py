@@ -13,7 +13,10 @@ from ..operators.filters import language_passes, match_keywords, open_envelope
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, *, fmt: str = "parquet", files: int | None = None) -> DataFrame:
-    """New files of a folder as a stream; what was read is kept in the checkpoint, so a restart goes on where it stopped."""
+    """New files of a folder as a stream, oldest first; what was read is kept in the checkpoint, so a restart goes on where it stopped.
+
+    Files that change after they were read are not read again; see ``sources.polling.FolderWatch`` for those.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
@@ -111,8 +114,25 @@ class Admission:
         return pd.DataFrame({"id": pdf.id.to_numpy(), "key": pdf.key.to_numpy(), "admitted": [not r for r in reasons], "reason": reasons})
 
     def batch(self, items: DataFrame) -> DataFrame:
-        """Items (id, key, at in seconds, text): each key (an account that answers) is decided on its own, in order of time."""
-        return items.groupBy("key").applyInPandas(lambda pdf: self.fold(pdf, [], {}), ADMITTED)
+        """Items (id, key, at in seconds, text): each key (an account that answers) is decided on its own, in order of time.
+
+        Spark sorts a key's rows and hands them over in slices, so a key's history is never in memory at once: only the state is.
+        """
+
+        def decided(slices: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            posts, seen = [], {}
+            for pdf in slices:
+                yield self.fold(pdf, posts, seen)
+                seen = self.recent(posts, seen)
+
+        ordered = items.repartition("key").sortWithinPartitions("key", "at", "id")
+        return ordered.groupBy("key").applyInPandas(decided, ADMITTED)
+
+    @staticmethod
+    def recent(posts: list[float], seen: dict[str, list[float]]) -> dict[str, list[float]]:
+        """``seen`` without texts last answered over a day before the newest admission."""
+        newest = max(posts, default=0.0)
+        return {k: v for k, v in seen.items() if v and v[-1] > newest - 86400}
 
     def stream(self, items: DataFrame) -> DataFrame:
         """The same on a stream, batch after batch, with the state kept by key."""
@@ -121,8 +141,7 @@ class Admission:
             posts, seen = ([*state.get[0]], {k: [*v] for k, v in (state.get[1] or {}).items()}) if state.exists else ([], {})
             pdf = pd.concat(list(batches))
             out = self.fold(pdf, posts, seen)
-            newest = max(posts, default=0.0)
-            state.update((posts, {k: v for k, v in seen.items() if v and v[-1] > newest - 86400}))
+            state.update((posts, self.recent(posts, seen)))
             yield out
 
         return items.groupBy("key").applyInPandasWithState(update, ADMITTED, STATE, "append", GroupStateTimeout.NoTimeout)
