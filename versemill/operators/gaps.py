@@ -56,7 +56,7 @@ def letter_fills(gaps: DataFrame, words: DataFrame, preferred: list[str], n: int
 
 
 def fill_from_line(context: Column, line: Column) -> Column:
-    """What a clean line has in place of the gap, from up to three words on either side; null if nothing fits or the fill is over 20 characters.
+    """What a clean line has in place of the gap, from up to three words on either side; null if nothing fits or the fill is over 20 characters.
 
     The pattern is built for each row and run by the built-in regex function.
     """
@@ -70,6 +70,31 @@ def fill_from_line(context: Column, line: Column) -> Column:
     return F.when((fill != "") & (F.length(fill) <= 20), fill)
 
 
+def windows(lines: DataFrame, centres: DataFrame, by: str, width: int = 5) -> DataFrame:
+    """(ask_id, block): the lines up to ``width`` places around each centre (ask_id, ``by``, pos), as one text; blank lines are left out.
+
+    ``lines``: (``by``, pos, text). A centre asks for its places one by one, so the join is an equality.
+    """
+    asked = centres.select("ask_id", by, F.explode(F.sequence(F.col("pos") - width, F.col("pos") + width)).alias("pos"))
+    near = asked.join(lines.filter(F.trim("text") != ""), [by, "pos"])
+    gathered = F.sort_array(F.collect_list(F.struct("pos", F.trim("text").alias("text"))))  # 2 * width + 1 lines at most
+    return near.groupBy("ask_id").agg(F.array_join(F.transform(gathered, lambda x: x["text"]), " ").alias("block"))
+
+
+def fill_from_window(context: Column, block: Column) -> Column:
+    """The words that a clean block has between the three words before the gap and the three after; one word where the gap is at an end. Null if there is not exactly one gap, or no fit."""
+    parts = F.split(context, r"\[\.\.\.\]", -1)
+    words = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")
+    before, after = words(F.get(parts, F.lit(0))), words(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+    before, after = F.slice(before, F.greatest(F.size(before) - 2, F.lit(1)), F.lit(3)), F.slice(after, F.lit(1), F.lit(3))
+    loose = lambda found: F.array_join(F.transform(found, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), r"\s+")
+    has_before, has_after = F.size(before) > 0, F.size(after) > 0
+    inner = F.when(has_before & has_after, r"\s+(.+?)\s+").when(has_before, r"\s+(\S+)").when(has_after, r"(\S+)\s+")
+    pattern = F.concat(F.lit("(?i)"), loose(before), inner, loose(after))
+    fill = F.trim(F.call_function("regexp_extract", block, pattern, F.lit(1)))
+    return F.when((F.size(parts) == 2) & (fill != ""), fill)
+
+
 def patch(line: Column, fill: Column) -> Column:
     """The first gap of a line filled."""
     at = F.locate(GAP, line)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import partial_ratio_of
+
 
 def cascade(rows: DataFrame, key: str, steps: list[tuple[DataFrame, list[Column], list[str]]], value: str) -> DataFrame:
     """``value`` from the first step that has one. A step is (table, left keys, right keys); of several matches the smallest value counts.
@@ -95,12 +99,19 @@ def line_candidates(asked: DataFrame, lines: DataFrame, *, rarest: int = 3, leas
     return overlap.filter(F.col("overlap") >= least)
 
 
-def fuzzy_best(asked: DataFrame, lines: DataFrame, candidates: DataFrame, threshold: int = 70) -> DataFrame:
-    """Of the candidate lines the one nearest by edit distance: (ask_id, line_id, score). Score: 100 * (1 - distance over the longer length), rounded down."""
+def fuzzy_best(asked: DataFrame, lines: DataFrame, candidates: DataFrame, threshold: float = 70, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Of the candidate lines (ask_id, line_id) the one most like the question: (ask_id, line_id, score), from ``threshold`` on, ties to the first line.
+
+    ``score`` compares two texts; by default the partial ratio.
+    """
     joined = candidates.join(asked.select("ask_id", F.col("text").alias("_a")), "ask_id").join(lines.select("line_id", F.col("text").alias("_l")), "line_id")
-    score = F.floor(100 * (1 - F.levenshtein("_a", "_l") / F.greatest(F.length("_a"), F.length("_l"), F.lit(1)))).cast("int")
-    best = joined.withColumn("score", score).filter(F.col("score") >= threshold)
-    return best.groupBy("ask_id").agg(F.max(F.struct("score", (-F.col("line_id")).alias("_m"))).alias("_b")).select("ask_id", (-F.col("_b._m")).alias("line_id"), "_b.score")
+    best = joined.withColumn("score", (score or partial_ratio_of)(F.col("_a"), F.col("_l"))).filter(F.col("score") >= threshold)
+    return best.groupBy("ask_id").agg(F.min(F.struct((-F.col("score")).alias("_m"), "line_id")).alias("_b")).select("ask_id", F.col("_b.line_id"), (-F.col("_b._m")).alias("score"))
+
+
+def whole_ratio(a: Column, b: Column) -> Column:
+    """100 * (1 - edit distance over the longer length), rounded down: a score for texts that should match as a whole; no UDF."""
+    return F.floor(100 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))).cast("int")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:

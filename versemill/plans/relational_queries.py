@@ -93,12 +93,12 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("j10_fuzzy", """WITH s AS (SELECT a.p_partkey AS ask_id, b.p_partkey AS line_id, floor(100 * (1 - levenshtein(a.p_name || a.p_type, b.p_name || b.p_type)::DOUBLE / greatest(length(a.p_name || a.p_type), length(b.p_name || b.p_type))))::INT AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey)
-  SELECT ask_id, max(score) AS score FROM s WHERE score >= 70 GROUP BY ask_id""")
+  SELECT ask_id, max(score) AS score, min(line_id) FILTER (score = top) AS line_id FROM (SELECT *, max(score) OVER (PARTITION BY ask_id) AS top FROM s WHERE score >= 70) GROUP BY ask_id""")
 def _(t: Tables) -> DataFrame:
     a = t.part.select(F.col("p_partkey").alias("ask_id"), F.concat("p_name", "p_type").alias("text"), "p_brand", "p_size")
     b = a.withColumnRenamed("ask_id", "line_id")
     pairs = a.select("ask_id", "p_brand", "p_size").join(b.select("line_id", "p_brand", "p_size"), ["p_brand", "p_size"]).filter("ask_id <> line_id").select("ask_id", "line_id")
-    return J.fuzzy_best(a, b, pairs).select("ask_id", "score")
+    return J.fuzzy_best(a, b, pairs, 70, J.whole_ratio).select("ask_id", "line_id", "score")
 
 
 GROUPS = "g AS (SELECT doc_id // 4 AS group_id, doc_id AS id, (row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) - 1)::INT AS place FROM documents)"
@@ -415,22 +415,86 @@ GAPS = r"""WITH g AS (SELECT item_id, lower(regexp_extract(string_split(text, '
   d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), c AS (SELECT item_id, d.word[3] AS fill FROM g JOIN d ON length(d.word) = length(w) AND d.word[1:2] = w[1:2] AND d.word[4:] = w[4:])"""
 
 
-@query("x30_x31_letter_fills", GAPS + " SELECT item_id AS gap_id, count(*) AS n FROM c GROUP BY 1 HAVING count(*) <= 3")
+SCORED = GAPS + r""", p AS (SELECT DISTINCT 'ab' AS w), k AS (SELECT item_id, d.word, d.word[3] AS fill,
+    1 + 10 * len(list_filter(range(1, len(d.word)), lambda i: list_contains(BAD, d.word[i:i + 1]))) - regexp_matches(d.word, '(tion|ness|ment|ous|ing|ght|ble)$')::INT AS score
+    FROM g JOIN d ON length(d.word) = length(w) AND d.word[1:2] = w[1:2] AND d.word[4:] = w[4:])""".replace("BAD", "[" + ", ".join(f"'{p}'" for p in G.BAD_PAIRS) + "]")
+
+
+@query("x30_x31_letter_fills", SCORED + " SELECT item_id AS gap_id, arg_min(fill, (score, fill)) AS fill FROM k GROUP BY item_id HAVING count(*) <= 3")
+def _(t: Tables) -> DataFrame:
+    gaps, words = gap_rows(t)
+    return G.letter_fills(gaps, words, [], 1)
+
+
+PREFERRED = "(SELECT min(word) AS word FROM d GROUP BY length(word))"
+
+
+@query("x31_preferred_fills", SCORED + f" SELECT item_id AS gap_id, arg_min(fill, (CASE WHEN word IN {PREFERRED} THEN 0 ELSE score END, fill)) AS fill FROM k GROUP BY item_id HAVING count(*) <= 3 OR bool_or(word IN {PREFERRED})")
 def _(t: Tables) -> DataFrame:
+    """Each length's first word is preferred: it fills a gap whatever else fits."""
     gaps, words = gap_rows(t)
-    fills = G.letter_fills(gaps, words, [], 1)
-    masked = gaps.select("gap_id", F.concat(*[x for pair in zip(G.around(F.col("context")), (F.lit("_"), F.lit(""))) for x in pair]).alias("mask")).join(G.masks(words, 1), "mask")
-    return fills.join(masked.groupBy("gap_id").agg(F.count("*").alias("n")), "gap_id").select("gap_id", "n")
+    preferred = [r.word for r in words.groupBy(F.length("word")).agg(F.min("word").alias("word")).collect()]  # a word for each length
+    return G.letter_fills(gaps, words, preferred, 1)
 
 
-@query("x32_x34_clean_line_fill", r"SELECT item_id AS gap_id, regexp_extract(string_split(text, ' ')[4], '^[A-Za-z]+')[3] AS fill FROM benchmark WHERE length(regexp_extract(string_split(text, ' ')[4], '^[A-Za-z]+')) >= 4")
+@query("x32_x34_clean_line_fill", r"SELECT item_id AS gap_id, regexp_extract(string_split(text, ' ')[4], '^[A-Za-z]+')[3] AS fill, array_to_string(string_split(text, ' ')[1:7], ' ') AS patched FROM benchmark WHERE length(regexp_extract(string_split(text, ' ')[4], '^[A-Za-z]+')) >= 4")
 def _(t: Tables) -> DataFrame:
     gaps, _ = gap_rows(t)
-    return gaps.select("gap_id", G.fill_from_line(F.col("context"), F.col("text")).alias("fill"))
+    filled = gaps.withColumn("fill", G.fill_from_line(F.col("context"), F.col("text")))
+    return filled.select("gap_id", "fill", G.patch(F.col("context"), F.col("fill")).alias("patched"))
+
+
+def lost_words(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Gaps made in the benchmark, (ask_id, context, text): the fourth word of the first line is lost; and all its lines, (item, pos, line_id, text)."""
+    line = L.lines(t.benchmark.select(F.col("item_id").alias("item"), "text"), "item").select("item", "pos", (F.col("item") * 10_000 + F.col("pos")).alias("line_id"), F.trim("line").alias("text"))
+    words = line.filter("pos = 0").select("item", F.split("text", " ").alias("w")).filter("size(w) >= 8")
+    context = F.concat_ws(" ", F.slice("w", 1, 3), F.lit(G.GAP), F.slice("w", 5, 4))
+    return words.select(F.col("item").alias("ask_id"), context.alias("context"), F.replace(context, F.lit(G.GAP), F.lit("")).alias("text")), line
+
+
+LOST = r"""l AS (SELECT item_id AS item, unnest(range(len(s))) AS pos, trim(unnest(s)) AS text FROM (SELECT item_id, string_split(text, chr(10)) AS s FROM benchmark)), w AS (SELECT item, string_split(text, ' ') AS w FROM l WHERE pos = 0 AND len(string_split(text, ' ')) >= 8),
+  a AS (SELECT item AS ask_id, array_to_string(w[1:3], ' ') AS pre, array_to_string(w[5:8], ' ') AS post, w FROM w), q AS (SELECT *, pre || '  ' || post AS asked FROM a),
+  pairs AS (SELECT ask_id, item, pos, asked, text FROM q JOIN l ON l.item IN (q.ask_id, q.ask_id + 1) WHERE text <> ''), sl AS (SELECT *, CASE WHEN length(asked) <= length(text) THEN asked ELSE text END AS short, CASE WHEN length(asked) <= length(text) THEN text ELSE asked END AS long FROM pairs),
+  v AS (SELECT *, unnest(list_concat(list_transform(range(0, length(long) - length(short) + 1), lambda i: long[i + 1:i + length(short)]), list_transform(range(1, length(short)), lambda i: long[1:i]), list_transform(range(1, length(short)), lambda i: long[length(long) - i + 1:length(long)]))) AS win FROM sl),
+  f AS (SELECT ask_id, item, pos, short, win, length(short) - bit_count(list_reduce([(1::HUGEINT << length(short)) - 1] || list_transform(string_split(win, ''), lambda c: coalesce(list_sum(list_transform(range(length(short)), lambda i: CASE WHEN short[i + 1] = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END)), 0)::HUGEINT),
+    lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((1::HUGEINT << length(short)) - 1))) AS common FROM v),
+  scored AS (SELECT ask_id, item, pos, max(200.0::DOUBLE * common / (length(short) + length(win))) AS score FROM f GROUP BY ask_id, item, pos),
+  best AS (SELECT ask_id, arg_min(item, (-score, item, pos)) AS item, arg_min(pos, (-score, item, pos)) AS pos, max(score) AS score FROM scored WHERE score >= 70 GROUP BY ask_id)"""
+
+
+def nearest_lines(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    asked, lines = lost_words(t)
+    pairs = asked.select("ask_id", F.explode(F.array("ask_id", F.col("ask_id") + 1)).alias("item")).join(lines.filter("text <> ''"), "item").select("ask_id", "line_id")
+    return asked, lines, J.fuzzy_best(asked, lines, pairs)
+
+
+@query("x_j10_partial_ratio", f"WITH {LOST} SELECT ask_id, item * 10000 + pos AS line_id, round(score, 6) AS score FROM best")
+def _(t: Tables) -> DataFrame:
+    return nearest_lines(t)[2].select("ask_id", "line_id", F.round("score", 6).alias("score"))
+
+
+FILLED = r"""b AS (SELECT best.ask_id, string_agg(l.text, ' ' ORDER BY l.pos) AS block FROM best JOIN l ON l.item = best.item AND abs(l.pos - best.pos) <= 5 AND l.text <> '' GROUP BY best.ask_id),
+  filled AS (SELECT ask_id, nullif(trim(regexp_extract(block, '(?i)' || array_to_string(list_transform(w[1:3], lambda x: regexp_escape(x)), '\s+') || '\s+(.+?)\s+' || array_to_string(list_transform(w[5:7], lambda x: regexp_escape(x)), '\s+'), 1)), '') AS fill FROM b JOIN q USING (ask_id))"""
+
+
+def window_fills(t: Tables) -> DataFrame:
+    asked, lines, best = nearest_lines(t)
+    centres = best.join(lines, "line_id").select("ask_id", "item", "pos")
+    blocks = G.windows(lines.select("item", "pos", "text"), centres, "item")
+    return asked.join(blocks, "ask_id").select("ask_id", G.fill_from_window(F.col("context"), F.col("block")).alias("fill"))
+
+
+@query("x33_window_fill", f"WITH {LOST}, {FILLED} SELECT * FROM filled")
+def _(t: Tables) -> DataFrame:
+    return window_fills(t)
 
 
-@query("x36_cascade", GAPS + " SELECT g.item_id AS gap_id, CASE WHEN n <= 3 THEN 'local' ELSE 'clean' END AS method FROM g JOIN (SELECT item_id, count(*) AS n FROM c GROUP BY 1) USING (item_id)")
+@query("x36_cascade", SCORED + ", " + LOST.replace(" w AS (", " ww AS (").replace("FROM w)", "FROM ww)") + ", " + FILLED + """, n AS (SELECT item_id, count(*) AS n, arg_min(fill, (score, fill)) AS one FROM k GROUP BY 1)
+  SELECT item_id AS gap_id, CASE WHEN n <= 3 THEN 'local' WHEN filled.fill IS NOT NULL THEN 'window' ELSE 'corpus' END AS method, CASE WHEN n <= 3 THEN one ELSE coalesce(filled.fill, g.w[3]) END AS fill FROM n JOIN g USING (item_id) LEFT JOIN filled ON ask_id = item_id""")
 def _(t: Tables) -> DataFrame:
+    """Three passes: letters from the dictionary; the window around the most similar clean line; a line of the corpus that has the words around."""
     gaps, words = gap_rows(t)
-    clean = gaps.select("gap_id", G.fill_from_line(F.col("context"), F.col("text")).alias("fill")).filter("fill IS NOT NULL")
-    return G.cascade(gaps, [("local", G.letter_fills(gaps, words, [], 1)), ("clean", clean)]).select("gap_id", "method")
+    local = G.letter_fills(gaps, words, [], 1)
+    window = window_fills(t).select(F.col("ask_id").alias("gap_id"), "fill").filter("fill IS NOT NULL")
+    corpus = gaps.select("gap_id", G.fill_from_line(F.col("context"), F.col("text")).alias("fill")).filter("fill IS NOT NULL")
+    return G.cascade(gaps, [("local", local), ("window", window), ("corpus", corpus)]).select("gap_id", "method", "fill")
