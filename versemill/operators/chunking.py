@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import slug
+from .sequence import number_repeats
+
 BOUND = "struct<first:int,last:int>"
 
 
@@ -84,8 +87,14 @@ def cut(parts: Column, bounds: Column, separator: str) -> Column:
 
 
 def chunk_id(author: Column, work: Column, title: Column, index: Column) -> Column:
-    """C06."""
-    return F.concat_ws("-", author, work, title, F.format_string("%03d", index))
+    """Slugs of author, work and title (20 characters of the last two; ``untitled`` without a title) and the index in three digits."""
+    name = F.when(F.coalesce(title, F.lit("")) == "", "untitled").otherwise(F.substring(slug(title), 1, 20))
+    return F.concat_ws("-", slug(author), F.substring(slug(work), 1, 20), name, F.format_string("%03d", index))
+
+
+def unique_ids(chunks: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Ids that collide get ``-dupN`` in order; the first keeps its own."""
+    return number_repeats(chunks, name, order).withColumn(name, F.col("unique_id")).drop("unique_id")
 
 
 def chunk_prose(docs: DataFrame, key: str, paragraphs: str, least: int = 80, most: int = 500) -> DataFrame:

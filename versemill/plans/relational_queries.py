@@ -330,26 +330,60 @@ def _(t: Tables) -> DataFrame:
     return W.until_latch(L.lines(t.documents, "doc_id"), "doc_id", "pos", F.length("line") > 200).select("doc_id", "pos")
 
 
-@query("c03_stanza_packing")
+def stanza_fold(source: str, name: str, least: int = 50, most: int = 300) -> str:
+    """SQL of C03 over ``source`` (k, s: texts): CTEs, of which ``name`` has the bounds (k, a, b). One step for each stanza."""
+    return f"""{name}_f(k, i, start, chars, n, a, b) AS (SELECT k, 0, 1, 0, 0, NULL::INT, NULL::INT FROM {source} UNION ALL
+    SELECT k, i, CASE WHEN over_ THEN i WHEN closes THEN i + 1 ELSE start END, CASE WHEN over_ THEN size WHEN closes THEN 0 ELSE grown END, CASE WHEN over_ THEN 1 WHEN closes THEN 0 ELSE n + 1 END,
+      CASE WHEN closes THEN start END, CASE WHEN over_ THEN i - 1 WHEN closes THEN i END
+    FROM (SELECT *, closes AND grown // 4 > {most} AND n > 0 AS over_ FROM (SELECT *, grown // 4 >= {least} OR i = total AS closes
+      FROM (SELECT f.k, f.i + 1 AS i, f.start, f.n, length(d.s[f.i + 1])::INT AS size, len(d.s) AS total, CASE WHEN f.n > 0 THEN f.chars + 1 + length(d.s[f.i + 1]) ELSE length(d.s[f.i + 1]) END::INT AS grown FROM {name}_f f JOIN {source} d ON d.k = f.k WHERE f.i < len(d.s))))),
+  {name} AS (SELECT k, a, b FROM {name}_f WHERE a IS NOT NULL UNION ALL SELECT f.k, f.start, len(d.s)::INT FROM {name}_f f JOIN {source} d ON d.k = f.k WHERE f.i = len(d.s) AND f.n > 0)"""
+
+
+def sentence_fold(source: str, name: str, most: int) -> str:
+    """SQL of C04 in the same form: groups of lines that close at a sentence's end."""
+    return f"""{name}_f(k, i, start, chars, a, b) AS (SELECT k, 0, 1, 0, NULL::INT, NULL::INT FROM {source} UNION ALL
+    SELECT k, i, CASE WHEN closes THEN i + 1 ELSE start END, CASE WHEN closes THEN 0 ELSE grown END, CASE WHEN closes THEN start END, CASE WHEN closes THEN i END
+    FROM (SELECT *, grown // 4 >= {most} AND regexp_matches(rtrim(line, ' '), '[.!?;]$') AS closes
+      FROM (SELECT f.k, f.i + 1 AS i, f.start, d.s[f.i + 1] AS line, CASE WHEN f.start < f.i + 1 THEN f.chars + 1 + length(d.s[f.i + 1]) ELSE length(d.s[f.i + 1]) END::INT AS grown FROM {name}_f f JOIN {source} d ON d.k = f.k WHERE f.i < len(d.s)))),
+  {name} AS (SELECT k, a, b FROM {name}_f WHERE a IS NOT NULL UNION ALL SELECT f.k, f.start, len(d.s)::INT FROM {name}_f f JOIN {source} d ON d.k = f.k WHERE f.i = len(d.s) AND f.start <= len(d.s))"""
+
+
+TEXT_LINES = "d AS (SELECT doc_id AS k, string_split(text, chr(10)) AS s FROM documents)"
+CHUNKS = "SELECT e.k AS doc_id, (row_number() OVER (PARTITION BY e.k ORDER BY a) - 1)::INT AS chunk_index, a AS first, b AS last, md5(array_to_string(d.s[a:b], SEP)) AS chunk_text FROM e JOIN d ON d.k = e.k"
+
+
+@query("c03_stanza_packing", f"WITH RECURSIVE {TEXT_LINES}, {stanza_fold('d', 'e')} " + CHUNKS.replace("SEP", "chr(10)"))
 def _(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.split("text", "\n", -1).alias("lines"))
     bounds = C.pack_stanzas(F.transform("lines", lambda x: F.length(x)), 50, 300)
     return rows.withColumn("b", bounds).select("doc_id", F.inline(C.cut(F.col("lines"), F.col("b"), "\n"))).withColumn("chunk_text", F.md5("chunk_text"))
 
 
-@query("c04_sentence_split")
+@query("c04_sentence_split", f"WITH RECURSIVE {TEXT_LINES}, {sentence_fold('d', 'e', 100)} " + CHUNKS.replace("SEP", "chr(10)"))
 def _(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.split("text", "\n", -1).alias("lines"))
     return rows.withColumn("b", C.split_sentences(F.col("lines"), 100)).select("doc_id", F.inline(C.cut(F.col("lines"), F.col("b"), "\n"))).withColumn("chunk_text", F.md5("chunk_text"))
 
 
-@query("c05_prose_packing")
+@query("c05_prose_packing", f"""WITH RECURSIVE {TEXT_LINES}, f(k, i, start, chars, a, b) AS (SELECT k, 0, 1, 0, NULL::INT, NULL::INT FROM d UNION ALL
+    SELECT k, i, CASE WHEN closes THEN i ELSE start END, CASE WHEN closes THEN size ELSE grown END, CASE WHEN closes THEN start END, CASE WHEN closes THEN i - 1 END FROM (SELECT *, grown // 4 > 500 AND chars > 0 AS closes
+      FROM (SELECT f.k, f.i + 1 AS i, f.start, f.chars, length(d.s[f.i + 1])::INT AS size, CASE WHEN f.chars > 0 THEN f.chars + 2 + length(d.s[f.i + 1]) ELSE length(d.s[f.i + 1]) END::INT AS grown FROM f JOIN d ON d.k = f.k WHERE f.i < len(d.s)))),
+  n AS (SELECT k, a, b, row_number() OVER (PARTITION BY k ORDER BY a) AS r, count(*) OVER (PARTITION BY k) AS m FROM f WHERE a IS NOT NULL), z AS (SELECT f.k, f.start, f.chars // 4 < 80 AS short, len(d.s)::INT AS total FROM f JOIN d ON d.k = f.k WHERE f.i = len(d.s) AND len(d.s) > 0),
+  e AS (SELECT n.k, a, CASE WHEN short AND r = m THEN total ELSE b END AS b FROM n JOIN z ON z.k = n.k UNION ALL SELECT z.k, start, total FROM z WHERE NOT (short AND EXISTS (SELECT 1 FROM n WHERE n.k = z.k))) """ + CHUNKS.replace("SEP", "chr(10) || chr(10)"))
 def _(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.split("text", "\n", -1).alias("paragraphs"))
     return C.chunk_prose(rows, "doc_id", "paragraphs").withColumn("chunk_text", F.md5("chunk_text"))
 
 
-@query("c01_c07_chunk_poems")
+@query("c01_c02_c07_chunk_poems", f"""WITH RECURSIVE {LINES}, cut AS (SELECT *, sum((length(line) < 60)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l), st AS (SELECT doc_id, island, list(line ORDER BY pos) AS lines FROM cut WHERE length(line) >= 60 GROUP BY doc_id, island),
+  poem AS (SELECT doc_id AS k, list(lines ORDER BY island) AS st, list_transform(list(lines ORDER BY island), lambda x: len(x)) AS sz, list_transform(list(lines ORDER BY island), lambda x: array_to_string(x, chr(10))) AS s FROM st GROUP BY doc_id),
+  routed AS (SELECT *, list_sum(sz)::INT AS total, array_to_string(s, chr(10)) AS whole, CASE WHEN len(sz) = 1 AND list_sum(sz) = 14 THEN 'sonnet' WHEN length(array_to_string(s, chr(10))) // 4 <= 300 THEN 'short' WHEN len(sz) = 1 THEN 'blank_verse' ELSE 'stanzaic' END AS strategy FROM poem),
+  packed AS (SELECT k, s, sz FROM routed WHERE strategy = 'stanzaic'), {stanza_fold('packed', 'pe')},
+  single AS (SELECT k, st[1] AS s FROM routed WHERE strategy = 'blank_verse'), {sentence_fold('single', 'se', 300)}
+  SELECT k AS doc_id, strategy, 0 AS chunk_index, 1 AS first_line, total AS last_line, md5(whole) AS chunk_text FROM routed WHERE strategy IN ('sonnet', 'short')
+  UNION ALL SELECT pe.k, 'stanzaic', (row_number() OVER (PARTITION BY pe.k ORDER BY a) - 1)::INT, coalesce(list_sum(sz[1:a - 1]), 0)::INT + 1, list_sum(sz[1:b])::INT, md5(array_to_string(packed.s[a:b], chr(10))) FROM pe JOIN packed ON packed.k = pe.k
+  UNION ALL SELECT se.k, 'blank_verse', (row_number() OVER (PARTITION BY se.k ORDER BY a) - 1)::INT, a, b, md5(array_to_string(single.s[a:b], chr(10))) FROM se JOIN single ON single.k = se.k""")
 def _(t: Tables) -> DataFrame:
     stanzas = W.stanzas(L.lines(t.documents, "doc_id"), "doc_id", F.length("line") < 60)
     poems = stanzas.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("stanza", "lines"))), lambda s: s["lines"]).alias("stanzas"))
@@ -357,9 +391,15 @@ def _(t: Tables) -> DataFrame:
     return C.chunk_poems(poems, "doc_id").withColumn("chunk_text", F.md5("chunk_text"))
 
 
-@query("c06_chunk_ids", "SELECT chunk_id, poet || '-' || title || '-' || period || '-' || lpad(chunk_index::VARCHAR, 3, '0') AS name FROM chunks")
+SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(lower(trim({0})), '[^0-9A-Za-z_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), 1, 60), '^-+|-+$', '', 'g')"
+
+
+@query("c06_chunk_ids", f"""WITH n AS (SELECT chunk_id, {SLUG.format('poet')} || '-' || substr({SLUG.format("'A work, called ' || title || ' (1700)'")}, 1, 20) || '-' || CASE WHEN chunk_id % 3 = 0 THEN 'untitled' ELSE substr({SLUG.format("'The ' || period || ' song'")}, 1, 20) END || '-' || lpad((chunk_index % 5)::VARCHAR, 3, '0') AS name FROM chunks)
+  SELECT chunk_id, name || CASE WHEN r = 1 THEN '' ELSE '-dup' || (r - 1) END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY chunk_id) AS r FROM n)""")
 def _(t: Tables) -> DataFrame:
-    return t.chunks.select("chunk_id", C.chunk_id(F.col("poet"), F.col("title"), F.col("period"), F.col("chunk_index")).alias("name"))
+    title = F.when(F.col("chunk_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("The "), "period", F.lit(" song")))
+    name = C.chunk_id(F.col("poet"), F.concat(F.lit("A work, called "), "title", F.lit(" (1700)")), title, F.col("chunk_index") % 5)
+    return C.unique_ids(t.chunks.select("chunk_id", name.alias("name")), "name", ["chunk_id"])
 
 
 @query("t03_browse", "SELECT chunk_id, title, chunk_index FROM chunks WHERE poet = 'src3' ORDER BY title, chunk_index, chunk_id LIMIT 50")
