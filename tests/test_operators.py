@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from versemill.functions import safety, text
 from versemill.operators import chunking, eventlog, filters, gaps, joins, retrieval, sequence
-from versemill.sources import readers
+from versemill.sources import books, readers
 from versemill.streaming import pipelines
 
 
@@ -175,8 +175,8 @@ def test_parsers():
         z.writestr("b.xhtml", "<p>2</p>")
         z.writestr("a.html", "<p>1</p>")
         z.writestr("c.css", "x")
-    assert readers.epub_documents(buffer.getvalue()) == [("a.html", "<p>1</p>"), ("b.xhtml", "<p>2</p>")]
-    assert readers.epub_documents(b"no zip") == []
+    assert books.epub_documents(buffer.getvalue()) == [("a.html", "<p>1</p>"), ("b.xhtml", "<p>2</p>")]
+    assert books.epub_documents(b"no zip") == []
 
 
 def test_admission_order():

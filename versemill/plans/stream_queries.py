@@ -90,11 +90,15 @@ def _(t: Tables) -> DataFrame:
 
 
 def put_file(t: Tables, path: str, text: str) -> None:
+    put_bytes(t, path, text.encode())
+
+
+def put_bytes(t: Tables, path: str, content: bytes) -> None:
     """A small file, written by the driver through Spark's file systems."""
     jvm, conf = t.spark.sparkContext._jvm, t.spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(conf).create(at, True)
-    stream.write(bytearray(text.encode()))
+    stream.write(bytearray(content))
     stream.close()
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import xml.etree.ElementTree as ET
-import zipfile
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,14 +19,14 @@ PROSE_SCHEMA = "source_file string, author string, date string, type string, gen
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA) -> DataFrame:
-    """JSON lines; blank and malformed lines are dropped; ``file`` and ``_metadata`` order the rows across files."""
+    """JSON lines; blank and malformed lines are dropped; ``file`` and ``_metadata`` order the rows across files."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return rows.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
 
 def read_works(spark: SparkSession, path: str, schema: str = WORK_SCHEMA) -> DataFrame:
     """One JSON object a file; files that hold a list or something else are left out."""
-    texts = spark.read.option("wholetext", "true").text(path).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    texts = spark.read.text(path, wholetext=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     parsed = texts.filter(F.col("value").rlike(r"^\s*\{")).select("file", F.from_json("value", schema).alias("w"))
     return parsed.filter("w IS NOT NULL").select("file", "w.*")
 
@@ -50,7 +48,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def read_overrides(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """A JSON object as rows (id, fields); keys that start with an underscore are not entries."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = F.map_filter(F.from_json("value", f"map<string,{value_schema}>"), lambda k, _: ~F.startswith(k, F.lit("_")))
     return whole.select(F.explode(entries).alias("id", "v")).select("id", "v.*")
 
@@ -144,7 +142,7 @@ def pre_lines(html: Column) -> Column:
     """Preformatted blocks, blank lines between stanzas: array of arrays."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<pre\b[^>]*>(.*?)</pre>"), F.lit(1))
     stanzas = F.flatten(F.transform(blocks, lambda b: F.split(F.regexp_replace(b, "<[^>]+>", ""), r"\n\s*\n")))
-    return F.filter(F.transform(stanzas, lambda s: F.filter(F.transform(F.split(s, "\n"), F.rtrim), lambda x: x != "")), lambda s: F.size(s) > 0)
+    return F.filter(F.transform(stanzas, lambda s: F.filter(F.transform(F.split(s, "\n"), lambda x: F.rtrim(x)), lambda x: x != "")), lambda s: F.size(s) > 0)
 
 
 class _Stanzas(HTMLParser):
@@ -191,34 +189,6 @@ def parse_structured(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInPandas(parse, "key string, stanza int, line string")
 
 
-def epub_documents(content: bytes) -> list[tuple[str, str]]:
-    """(name, html) of an EPUB in order of its names: it is a zip, no outside converter is needed."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return [(n, z.read(n).decode("utf-8", "replace")) for n in sorted(z.namelist()) if n.lower().endswith((".html", ".xhtml", ".htm"))]
-    except zipfile.BadZipFile:
-        return []
-
-
-def read_epubs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, html) of all documents in EPUB files."""
-
-    def parse(batches):
-        for pdf in batches:
-            rows = [(p.rsplit("/", 1)[-1], n, h) for p, c in zip(pdf.path, pdf.content) for n, h in epub_documents(bytes(c))]
-            yield pd.DataFrame(rows, columns=["file", "name", "html"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, name string, html string")
-
-
-def headed_sections(elements: DataFrame, key: str, is_heading: Column) -> DataFrame:
-    """Elements in document order with the heading they stand under, and whether they are verse (two line breaks or more)."""
-    from ..operators.sequence import forward_fill
-
-    filled = forward_fill(elements, key, "pos", is_heading, F.col("text"), "heading")
-    return filled.filter(~is_heading).withColumn("verse", F.regexp_count("html", F.lit(r"(?i)<br")) >= 2)
-
-
 def delimited_blocks(text: Column, mark: str = r"(?m)^(?:---|_{10,})\s*$") -> Column:
     """Blocks between delimiter lines, blank ones dropped."""
     return F.filter(F.transform(F.split(text, mark), lambda b: F.trim(b, F.lit("\n "))), lambda b: b != "")

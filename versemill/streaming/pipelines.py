@@ -154,6 +154,20 @@ def drop_name(at: Column, title: Column) -> Column:
     return F.concat(F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), slug(title, 40, ascii_only=True), F.lit(".md"))
 
 
+def drop_clips(clips: DataFrame, path: str) -> None:
+    """Clips (at, title, text) as one file each under ``path``, named by time and title; for ``foreachBatch`` too.
+
+    The same clip gets the same name, so a repeated batch writes the same files.
+    """
+    named = clips.select(drop_name(F.col("at"), F.col("title")).alias("name"), "text")
+    for row in named.toLocalIterator():  # a person's clips: one partition at a time on the driver, which has the file system at hand
+        jvm, conf = clips.sparkSession.sparkContext._jvm, clips.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{row.name}")
+        stream = at.getFileSystem(conf).create(at, True)
+        stream.write(bytearray((row.text or "").encode()))
+        stream.close()
+
+
 def quiet_triggers(stream: DataFrame, key: str, at: str, quiet: str = "45 minutes", late: str = "0 seconds") -> DataFrame:
     """One row for each end of activity after which nothing came for ``quiet``: the time to act on one's own.
 
