@@ -228,3 +228,61 @@ def test_line_queries_read_all_lines(spark, tmp_path):
     assert docs.filter("doc_id = 0").select(X.drop_title_lines(whole, F.get(whole, F.lit(0)))).first()[0] == texts[0].split("\n")[2:]
     assert got("j16_prefixes") == [(1, 8), (2, 9)]
     assert got("s13_plaintext") == [(0, 2, "THE TITLE.", 1, ["first verse    12  ", 'he wrote "a quote over', 'two whole lines" then']), (1, 2, "ACT II", 0, [" some <note>x</note>ſed\tline "]), (1, 3, "QUIET", 0, ["end"])]
+
+
+def test_partial_ratio_against_a_plain_table():
+    from versemill.functions.fuzzy import partial_ratio
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    def plain(a, b):
+        short, long = sorted((a, b), key=len)
+        n = len(short)
+        stretches = {long[max(0, i) : max(0, i + n)] for i in range(-n + 1, len(long))} - {""}
+        return max((200 * common(short, s) / (n + len(s)) for s in stretches), default=0.0) if n else 0.0
+
+    rng = random.Random(41)
+    for _ in range(150):
+        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randrange(0, 90))) for _ in range(2))
+        assert abs(partial_ratio(a, b) - plain(a, b)) < 1e-9
+    assert partial_ratio(None, "x") == partial_ratio("", "") == 0 and partial_ratio("a line", "here is a line in a text") == 100
+
+
+def test_bpe_counts(spark):
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = tokenizers.Tokenizer.from_file(path)
+    encoder.encode_special_tokens = True
+    texts = ["", None, "one two", "naïve 漢字 " * 30, "<|endoftext|>"]
+    got = spark.createDataFrame([*enumerate(texts)], "i int, t string").select("i", text.bpe_tokens(path)(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: len(encoder.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
+def test_overlapping_pairs_and_repeated_keys(spark):
+    scores = spark.createDataFrame([("iii",), ("aiia",), ("nation",)], "word string").select("word", gaps.word_score(F.col("word"), []).alias("s")).collect()
+    assert {r.word: r.s for r in scores} == {"iii": 21, "aiia": 11, "nation": 0}
+    base, many = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), spark.createDataFrame([(1, "x"), (1, "y"), (1, None)], "id int, v string")
+    assert sorted(map(tuple, eventlog.overlay(base, many, "v").collect())) == [(1, "y"), (2, "b")]
+    assert sorted(map(tuple, joins.overlay_text(base, many, "id", ["v"]).collect())) == [(1, "y"), (2, "b")]
+    assert joins.enrich(base.select("id"), many, "id", ["v"]).count() == 2
+
+
+def test_a_failed_poll_comes_again(spark, tmp_path):
+    from versemill.sources import polling
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("one")
+    watch = polling.FolderWatch(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/state", "*.md")
+    assert [r.text for r in watch.poll()[0].collect()] == ["one"]
+    items, state = watch.poll()  # the one before was never marked as done
+    assert [r.text for r in items.collect()] == ["one"]
+    watch.done(state)
+    assert watch.poll()[0].count() == 0

@@ -5,6 +5,9 @@ Patterns are Java's; where letters beyond ASCII count, ``(?U)`` makes ``\w`` and
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -171,10 +174,20 @@ def drop_title_lines(lines: Column, title: Column) -> Column:
 
 
 def year(text: Column) -> Column:
-    """The first four digits in a row; 0 without."""
+    """The first four digits in a row; 0 without."""
     return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, r"\d{4}", 0), F.lit("")), F.lit("9999")).cast("int"), F.lit(0))
 
 
+def first_year(text: Column) -> Column:
+    """The first year of a range of dates like ``1618-1658`` or ``b. 1618``, as text; an empty string without one."""
+    return F.coalesce(F.regexp_extract(text, r"\d{4}", 0), F.lit(""))
+
+
+def title_year(title: Column, default: int = 1720) -> Column:
+    """The year from 1600 to 1799 that a title names, or ``default``."""
+    return F.coalesce(F.nullif(F.regexp_extract(title, r"\b(1[67]\d{2})\b", 1), F.lit("")).cast("int"), F.lit(default))
+
+
 def period(text: Column) -> Column:
     """The literary period of a date."""
     y = year(text)
@@ -203,10 +216,33 @@ def form(stanza_sizes: Column, div_type: Column) -> Column:
 
 
 def estimated_tokens(text: Column) -> Column:
-    """A token for every four characters; the counter is a parameter wherever tokens are counted."""
+    """A token for every four characters; the counter is a parameter wherever tokens are counted."""
     return F.floor(F.length(text) / 4).cast("long")
 
 
+def bpe_tokens(vocabulary: str) -> Callable[[Column], Column]:
+    """A counter of the tokens of a byte-pair vocabulary file (``tokenizer.json``), in Arrow batches; strings of special tokens count as text.
+
+    The file is read here and travels with the code: a fixed size. Null has no tokens.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        content = f.read()
+
+    def count(column: Column) -> Column:
+        @F.pandas_udf("long")
+        def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import tokenizers
+
+            encoder = tokenizers.Tokenizer.from_str(content)
+            encoder.encode_special_tokens = True
+            for texts in batches:
+                yield pd.Series([len(e.ids) for e in encoder.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)])
+
+        return counted(column)
+
+    return count
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """For unit vectors."""
     return 1 - F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,25 @@ def _(t: Tables) -> DataFrame:
     return V.respond(rows.select("id", F.col("stimulus").alias("text")), rows.select("id", F.col("poet").alias("context")), V.Hooks()).select("id", "answer", "tokens_in")
 
 
+@query("v01_embedding_hook", "SELECT q.n_nationkey AS query_id, v.vec_id, (row_number() OVER (PARTITION BY q.n_nationkey ORDER BY round(1 - v.embedding[q.n_nationkey % 64 + 1], 9), v.vec_id))::INT AS rank FROM nation q JOIN vectors v ON true QUALIFY rank <= 3")
+def _(t: Tables) -> DataFrame:
+    """A hook that embeds a number as a unit vector along that dimension: the nearest rows are those with the most of it."""
+
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(i == int(x) % 64) for i in range(64)] for x in texts])
+
+    asked_ = V.Hooks(embed=embed).embedded(t.nation.select(F.col("n_nationkey").alias("query_id"), F.col("n_nationkey").cast("string").alias("text")), "text")
+    return V.search_poems(t.vectors.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double"))), asked_, 3).select("query_id", "vec_id", "rank")
+
+
+@query("v02_v03_hooks", "SELECT id, upper(stimulus) AS answer, length(stimulus || chr(10) || poet) AS tokens_in, CASE WHEN stimulus <> '' THEN 'post' ELSE 'skip' END AS decision FROM interactions WHERE decision = 'skip'")
+def _(t: Tables) -> DataFrame:
+    """A counter and a generator put in from outside."""
+    rows = t.interactions.filter("decision = 'skip'")
+    hooks = V.Hooks(tokens=F.length, generate=lambda prompt: F.upper(F.substring_index(prompt, "\n", 1)))
+    return V.respond(rows.select("id", F.col("stimulus").alias("text")), rows.select("id", F.col("poet").alias("context")), hooks).select("id", "answer", "tokens_in", "decision")
+
+
 @query("v08_chat_window", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS place, summarised FROM (SELECT conv_id, turn, greatest(count(*) OVER (PARTITION BY conv_id) - 3, 0) AS summarised FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)")
 def _(t: Tables) -> DataFrame:
     return V.chat_window(t.conversations.select("conv_id", "turn"), "conv_id", "turn", 3).select("conv_id", "turn", "place", "summarised")

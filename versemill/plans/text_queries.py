@@ -178,6 +178,26 @@ def _(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", X.midpoint_year(F.concat(F.lit("("), y, F.lit("-"), y + 20, F.lit(")"))).alias("year"))
 
 
+@query("x43_x44_years", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE (1500 + o_orderkey % 400)::VARCHAR END AS first, CASE WHEN o_orderkey % 3 = 0 THEN 1720 WHEN o_orderkey % 400 BETWEEN 100 AND 299 THEN 1500 + o_orderkey % 400 WHEN o_orderkey % 400 BETWEEN 70 AND 99 THEN 1530 + o_orderkey % 400 ELSE 1720 END::INT AS year FROM orders")
+def _(t: Tables) -> DataFrame:
+    y = 1500 + F.col("o_orderkey") % 400
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.lit("A Tale (undated)")).otherwise(F.concat(F.lit("b. "), y, F.lit("-"), y + 30))
+    return t.orders.select("o_orderkey", X.first_year(text).alias("first"), X.title_year(text).alias("year"))
+
+
+@query("x46_human_date", "SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS human FROM orders")
+def _(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", X.human_date(F.col("o_orderdate")).alias("human"))
+
+
+@query("x51_bpe_tokens")
+def _(t: Tables) -> DataFrame:
+    """Counts of a public byte-pair vocabulary; held against its own engine in the tests."""
+    import public_tokenizers
+
+    return t.documents.select("doc_id", X.bpe_tokens(public_tokenizers.path("byte_bpe_50k.json"))(F.col("text")).alias("tokens"))
+
+
 @query("x45_lookup_maps", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1704 WHEN '2-HIGH' THEN 1726 ELSE 1720 END AS date, CASE o_orderstatus WHEN 'F' THEN 'satire' ELSE 'essay' END AS genre FROM orders")
 def _(t: Tables) -> DataFrame:
     dates, genres = F.create_map(F.lit("1-URGENT"), F.lit(1704), F.lit("2-HIGH"), F.lit(1726)), F.create_map(F.lit("F"), F.lit("satire"))
