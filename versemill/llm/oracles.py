@@ -52,3 +52,65 @@ WITH valid AS MATERIALIZED (
 SELECT query_id, (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
 """
+
+ORACLES["op9_quality_rules"] = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+), covered AS (
+  SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows), range(0, 3) t(k) WHERE c > 1 GROUP BY r
+), stats AS (
+  SELECT s.r, s.doc_id, s.lang, s.text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
+  FROM split s LEFT JOIN covered c ON c.r = s.r
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN ceil(200 * n_symbols / word_chars) ELSE 0 END::BIGINT AS symbols, CASE WHEN n_lines > 0 THEN ceil(200 * n_dup_lines / n_lines) ELSE 0 END::BIGINT AS dup_lines,
+    CASE WHEN n_words > 0 THEN ceil(200 * n_repeat_words / n_words) ELSE 0 END::BIGINT AS repeats, CASE WHEN n_words > 0 THEN ceil(10 * word_chars / n_words) ELSE 0 END::BIGINT AS word_length FROM stats
+), marked AS (
+  SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) IS NOT NULL
+), trials AS (
+  SELECT lang, text, min(quality) >= 1 AS good, max(symbols) AS symbols, max(dup_lines) AS dup_lines, max(repeats) AS repeats, max(word_length) AS word_length
+  FROM judged JOIN marked USING (doc_id) WHERE NOT base_failed GROUP BY lang, text
+), steps AS (
+  SELECT lang, rule, step, sum(good::INT) AS g, sum((NOT good)::INT) AS b FROM (UNPIVOT trials ON symbols, dup_lines, repeats, word_length INTO NAME rule VALUE step) GROUP BY lang, rule, step
+), cells AS (
+  SELECT *, sum(g) OVER (PARTITION BY lang, rule) AS n, coalesce(sum(g) OVER stricter, 0) AS lost, coalesce(sum(b) OVER stricter, 0) AS caught FROM steps
+  WINDOW stricter AS (PARTITION BY lang, rule ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), tests AS (
+  SELECT *, 0.05 / count(*) OVER () AS level FROM (SELECT DISTINCT lang, rule, n FROM cells)
+), tails AS (
+  SELECT lang, rule, level, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.005) + (n - k) * ln(0.995))) OVER (PARTITION BY lang, rule ORDER BY k) AS p
+  FROM (SELECT *, unnest(range(0, floor(n * 0.005)::BIGINT + 1)) AS k FROM tests)
+), most AS (
+  SELECT lang, rule, max(k) AS most FROM tails WHERE p <= level GROUP BY lang, rule
+), cuts AS (
+  SELECT c.lang, c.rule, max(struct_pack(caught := caught, step := step)).step AS cut FROM cells c JOIN most m ON c.lang IS NOT DISTINCT FROM m.lang AND c.rule = m.rule WHERE lost <= most AND caught > 0 GROUP BY c.lang, c.rule
+)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT EXISTS (SELECT 1 FROM cuts c WHERE c.lang IS NOT DISTINCT FROM j.lang AND CASE c.rule WHEN 'symbols' THEN symbols WHEN 'dup_lines' THEN dup_lines WHEN 'repeats' THEN repeats ELSE word_length END > c.cut) AS kept
+FROM judged j
+"""
+
+ORACLES["op10_ngram_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split
+), sizes AS (
+  SELECT doc_id, len(s)::BIGINT AS n FROM sets
+), entries AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM entries a JOIN entries b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_ >= 75 * (x.n + y.n - both_)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, found) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.found
+)
+SELECT s.doc_id, s.n AS n_shingles, min(r.found) AS component_id FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
+"""
