@@ -86,7 +86,7 @@ def choose_paths(nodes: DataFrame, staging: Staging, paths_per_tree: int = 1) ->
         up = up.select("s.tree", "s.leaf", "s.rank", "s.path_score", (F.col("s.depth") - 2**k).alias("depth"), F.col("j.jump").alias("node"))
         paths = paths.unionByName(up)
         paths = staging.write(paths, "paths")  # each round reads the one before it twice; also, no plan groups a bare union
-    return paths
+    return paths if jumps else staging.write(paths, "paths")
 
 
 def format_paths(nodes: DataFrame, *, paths_per_tree: int = 1, loss_role: str = "assistant") -> DataFrame:
@@ -99,6 +99,7 @@ def format_paths(nodes: DataFrame, *, paths_per_tree: int = 1, loss_role: str =
     named = nodes.filter("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("first"))
     nodes = staging.write(named.select("tree", "node", "first.*"), "nodes")
     paths = choose_paths(nodes, staging, paths_per_tree)
+    staging.keep(nodes, paths)
     turns = paths.alias("p").join(nodes.alias("n"), _same_tree("p", "n") & (F.col("p.node") == F.col("n.node")))
     role, text = F.coalesce(F.col("n.role"), F.lit("")), F.coalesce(F.col("n.text"), F.lit(""))
     turns = turns.select(

@@ -137,9 +137,11 @@ def _assigned(placed: DataFrame, levels: dict[int, list[tuple[int, list[tuple[in
 
 
 def with_slots(placed: DataFrame, staging: Staging) -> DataFrame:
-    """Adds ``slot``: gapless from 0 within each shard, by the md5 of the id."""
+    """Adds ``slot``: gapless from 0 within each shard, by the md5 of the id. The last step: other tables of ``staging`` are dropped."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return with_rank(ranged(placed, staging, "shard", [key.asc(), F.col("doc_id").asc(), F.col("size").asc()]), "shard", "slot")
+    dealt = ranged(placed, staging, "shard", [key.asc(), F.col("doc_id").asc(), F.col("size").asc()])
+    staging.keep(dealt)
+    return with_rank(dealt, "shard", "slot")
 
 
 def first_layout(doc_id: Column, old_shards: int) -> Column:
