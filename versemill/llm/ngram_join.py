@@ -301,9 +301,11 @@ def _classes(docs: DataFrame, staging: Staging, width: int, percent: int, range_
     parts = max(1, -(-words // range_tokens))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     sent = texts.mapInArrow(lambda it: _send_tokens(it, width, parts, block_tokens, frequent), BLOCK)
-    shared = deal(sent, parts, "part").applyInPandas(_shared_tokens, BLOCK)
-    found = deal(shared, parts, "flush").applyInArrow(lambda t: _survivors(t, percent), FOUND)
+    shared = deal(sent, parts, "part", numbered=True).applyInPandas(_shared_tokens, BLOCK)
+    found = deal(shared, 2 * parts, "flush").applyInArrow(lambda t: _survivors(t, percent), FOUND)
     found = staging.write(found, "found")
+    del sent, shared
+    staging.settle()
     links = links_between(found.filter("tokens IS NOT NULL"), percent, tile, tile_tokens, staging)
     linked = connected_components(links, staging).select(F.col("node").alias("digest"), F.col("label").alias("root"))
     seen = found.filter("tokens IS NULL").select("doc_id", "text_key", "digest", "n")

@@ -176,13 +176,13 @@ def pack_pieces(pieces: DataFrame, staging: Staging, *, capacity: int = 1024, gr
     pieces = staging.write(pieces.select(*columns).withColumn("_at", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     # By the place in the written table, so that rows repeated under one id are dealt like others.
-    grouped = deal(pieces.select(*columns, F.pmod(F.xxhash64("_at"), F.lit(groups)).cast("int").alias("grp")), groups, "grp")
+    grouped = deal(pieces.select(*columns, F.pmod(F.xxhash64("_at"), F.lit(groups)).cast("int").alias("grp")), groups, "grp", numbered=True)
     packed = grouped.applyInArrow(lambda t: _pack_group(t, capacity, fan_in), f"{PIECES}, grp int, bin long, offset long, fill long")
     packed = staging.write(packed, "packed")
     level, moves = packed.filter("fill > 0").select("grp", "bin", "fill"), None
     while groups > 1:
         groups = -(-groups // fan_in)
-        above = deal(level.withColumn("grp", F.expr(f"cast(grp div {fan_in} as int)")), groups, "grp")
+        above = deal(level.withColumn("grp", F.expr(f"cast(grp div {fan_in} as int)")), groups, "grp", numbered=True)
         merged = staging.write(above.applyInArrow(lambda t: _merge_group(t, capacity, fan_in), "grp int, bin long, host long, base long, fill long"), "merged")
         new = merged.filter("host IS NOT NULL").select("bin", "host", "base")
         if moves is not None:  # a bin moved before may now move on inside its host

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -28,9 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 MOST_TASKS = 1 << 16
 
 
-def deal(df: DataFrame, groups: int, *keys: str, each: int = 4) -> GroupedData:
-    """``df`` grouped by ``keys`` over as many partitions as ``groups`` groups call for: a task's share doesn't grow with the data."""
-    return df.repartition(min(max(1, min(groups, 64), -(-groups // each)), MOST_TASKS), *keys).groupBy(*keys)
+def deal(df: DataFrame, groups: int, *keys: str, numbered: bool = False) -> GroupedData:
+    """``df`` grouped by ``keys`` over as many partitions as there are groups: a task's share doesn't grow with the data.
+
+    ``numbered``: the one key is a whole number below ``groups``, and gives the partition itself, so that no two groups meet by chance.
+    """
+    n = min(max(1, groups), MOST_TASKS)
+    return (df.repartitionById(n, F.col(keys[0])) if numbered else df.repartition(n, *keys)).groupBy(*keys)
 
 
 class Staging:
@@ -62,6 +68,11 @@ class Staging:
         kept = {t._staged_path for t in tables if t is not None}
         self._delete([p for p in self.paths if p not in kept])
 
+    def settle(self) -> None:
+        """Have Spark remove the shuffle files of plans that are written and let go: it does so when the driver collects garbage, which is seldom."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _delete(self, paths: list[str]) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in map(jvm.org.apache.hadoop.fs.Path, paths):
