@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranged, with_rank
 from .staging import Staging
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
@@ -47,10 +48,17 @@ def unescape_role(role: Column) -> Column:
 def linear_trees(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Conversations stored as rows by turn, as trees without branches: each row replies to the one before it.
 
-    Rows of equal turn are ordered by role, then text; repeated rows are turns of their own; null turns come last.
+    Rows of equal turn are ordered by role, then text; repeated rows are turns of their own; null turns come last. Turns are
+    numbered over range partitions, so a conversation with a large part of all rows is dealt like any other.
     """
-    order = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_last(), F.col(role), F.col(text))
-    x = rows.select(F.col(conv).alias("tree"), F.row_number().over(order).cast("long").alias("node"), F.col(role).alias("role"), F.col(text).alias("text"))
+    staging = Staging(rows.sparkSession, "linear-trees")
+    key = F.coalesce(F.concat(F.lit(":"), F.col(conv).cast("string")), F.lit(""))
+    x = rows.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), key.alias("_key"))
+    by = [F.col("turn").asc_nulls_last(), F.col("role").asc()]
+    dealt = ranged(x, staging, "_key", [*by, F.col("text").asc()], [*by, F.substring("text", 1, 64).asc()])
+    staging.keep(dealt)
+    node = (F.col("_rank") + 1).cast("long")
+    x = with_rank(dealt, "_key").select("tree", node.alias("node"), "role", "text")
     return x.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 

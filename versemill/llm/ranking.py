@@ -10,14 +10,15 @@ from .staging import Staging
 _ROWS = (1 << 33) - 1  # monotonically_increasing_id: partition above, row within it below
 
 
-def ranged(df: DataFrame, staging: Staging, group: str, order: list[Column]) -> DataFrame:
+def ranged(df: DataFrame, staging: Staging, group: str, order: list[Column], coarse: list[Column] | None = None) -> DataFrame:
     """``df`` sorted by group and ``order`` over range partitions, staged, with its position in ``_at``.
 
     A group may span many partitions and a partition may hold many groups, so a hot group is dealt like any other.
-    ``group`` must not be null.
+    ``group`` must not be null. ``coarse`` is a shorter form of the order, by which rows are dealt where the order itself has
+    long values: Spark samples what rows are dealt by.
     """
     keys = [F.col(group).asc(), *order]
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = df.repartitionByRange(F.col(group).asc(), *(coarse or order)).sortWithinPartitions(*keys)
     return staging.write(dealt.withColumn("_at", F.monotonically_increasing_id()), f"ranged-{group}")
 
 
