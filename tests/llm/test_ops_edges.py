@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from versemill.llm import chat, mixing, ngram_join, packing, quality_classifier,
 from versemill.llm.queries import tokenizer_path
 from versemill.llm.staging import Staging
 
-from .test_ops_small import brute_components
+from .test_ops_small import WORD, brute_components
 
 FOLDER = "/root/testdata/sf0.01"
 PROSE = "doc_id long, text string"
@@ -127,6 +128,42 @@ def test_ties_in_the_sample_order(spark):
     assert np.allclose(one.weights, two.weights) and np.allclose(one.thresholds, two.thresholds)
 
 
+def plain_features(text):
+    """Shares of hashed byte triples and of repeated words, word by word."""
+    low = (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+    triples = [(((low[i] << 16 | low[i + 1] << 8 | low[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 19 for i in range(len(low) - 2)]
+    words = WORD.findall(low.decode())
+    same = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
+    again = (len(words) - len(set(words))) / max(1, len(words))
+    return {k: n / len(triples) for k, n in collections.Counter(triples).items()} | {quality_classifier.REPEAT_BEFORE: same, quality_classifier.REPEAT_ANY: again} if triples else {}
+
+
+def test_features_against_plain_ones():
+    texts = ["The cat the CAT the", "", None, "ab", "a a a b", "naïve Ünïcode\tnaïve\n漢字 漢字", "x" * 5000, " \n\t "]
+    for text, (numbers, shares) in zip(texts, quality_classifier.text_features(pa.array(texts))):
+        want = plain_features(text)
+        assert sorted(numbers.tolist()) == sorted(want) and all(abs(want[n] - s) < 1e-9 for n, s in zip(numbers.tolist(), shares))
+
+
+def test_the_fit_is_the_best_there_is():
+    """Against brute force: no small change of weights or thresholds is more likely."""
+    rng = np.random.default_rng(31)
+    n, grade = 400, rng.integers(0, 3, 400)
+    values = np.c_[rng.normal(grade, 1.5), rng.normal(0, 1, 400)]
+    rows, ridge = np.arange(n + 1) * 2, 1e-3
+    w, cuts = quality_classifier.fit_ordinal(np.tile([5, 9], n).astype(np.int32), values.ravel(), rows, grade, np.ones(n), rounds=3000, rate=0.02, ridge=ridge, least_gain=0.0)
+
+    def likelihood(a, b, c1, c2):
+        above = np.c_[np.ones(n), *(1 / (1 + np.exp(c - values @ [a, b])) for c in (c1, c2)), np.zeros(n)]
+        return np.log(above[np.arange(n), grade] - above[np.arange(n), grade + 1]).mean() - ridge / 2 * (a * a + b * b)
+
+    found = np.array([w[5], w[9], *cuts])
+    best = likelihood(*found)
+    assert np.count_nonzero(w) == 2 and w[5] > 0.3
+    for _ in range(300):
+        assert likelihood(*(found + rng.normal(0, 0.05, 4))) <= best + 1e-4
+
+
 # 9
 
 
@@ -177,6 +214,36 @@ def test_helper_names_may_clash(spark):
     assert ngram_join.jaccard_components(docs).count() == 3
 
 
+# Pipeline
+
+
+def test_pipeline_stages_against_plain_ones(spark):
+    """Each stage on what the one before kept, held against single verdicts, all pairs, the plan and the tokens."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs, known = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    staging = Staging(spark, "test")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept[name] = staging.write(stage(spark, docs if not kept else kept[last], folder), name)
+        last = name
+    ids = {n: sorted(r.doc_id for r in d.select("doc_id").collect()) for n, d in kept.items()}
+    graded = {r.doc_id for r in quality_classifier.grade_documents(docs, known).collect() if r.kept}
+    assert set(ids["quality_classifier"]) == graded and 0 < len(graded) < docs.count()
+    ruled = {r.doc_id for r in quality_rules.apply_rules(kept["quality_classifier"], known).collect() if r.kept}
+    assert set(ids["quality_rules"]) == ruled
+    rows = [(r.doc_id, r.text) for r in kept["quality_rules"].collect()]
+    assert ids["ngram_join"] == sorted({c for _, _, c in brute_components(rows)})
+    copies = collections.Counter({r.doc_id: r.copies for r in mixing.plan_mix(kept["ngram_join"]).collect() if r.copies})
+    assert collections.Counter(ids["mix_sources"]) == copies
+    encode = packing.Encoder(open(tokenizer_path(), encoding="utf-8").read())
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept["mix_sources"], folder).collect()
+    tokens = sum(len(encode(r.text)) + 1 for r in kept["mix_sources"].collect())
+    alone = len(packing.best_fit(sorted((r.length for r in packed), reverse=True), 1024)[2])
+    assert sum(r.length for r in packed) == tokens and len({r.sequence_id for r in packed}) == alone
+
+
 # Staging
 
 
