@@ -7,12 +7,13 @@ words taken differ from the target by about one largest document at most.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; repeated rows are documents
 of their own; equal sizes are ordered by the md5 of the id, then the id; an empty table gives an empty result; extra
-columns pass through ``mix_documents`` untouched (names beginning with an underscore and ``copies`` are reserved).
+columns pass through ``mix_documents`` untouched, whatever their names, and are ignored by ``plan_mix``. The table of
+sources, a row for each, is sorted in one task: millions of sources are fine, a source for each document is not meant.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import ranged, with_rank
@@ -52,31 +53,48 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def plan_mix(
-    docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_repeat: int = 3, seed: int = 17,
-    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", payload: bool = False,
-) -> DataFrame:
-    """(doc id, source, size, source_size, target, copies, taken) for every row; with ``payload``, all columns of ``docs`` as ``_row`` too."""
-    spark: SparkSession = docs.sparkSession
-    staging = Staging(spark, "mixing")
-    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if payload else []
-    light = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *kept)
-    if not payload:  # words are counted once; with the whole rows, counting again is cheaper than another copy of the text
-        light = staging.write(light, "sizes")
+def _planned(light: DataFrame, staging: Staging, kept: tuple, weights: tuple[int, ...], share: float, max_repeat: int, seed: int) -> DataFrame:
+    """``light`` (doc_id, source, size and what else is to be carried), with source_size, target, copies and taken. Of the staged tables ``kept`` stay."""
+    carried = light.columns
     sizes = staging.write(light.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     targets = source_targets(sizes, weights, share, max_repeat).select(F.col("source").alias("_name"), "_source", "source_size", "target", "_rate")
     rows = light.join(targets, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = with_rank(ranged(rows, staging, "_source", [F.col("size").asc(), key.asc(), F.col("doc_id").asc()]), "_source")
+    dealt = ranged(rows, staging, "_source", [F.col("size").asc(), key.asc(), F.col("doc_id").asc()])
+    staging.keep(dealt, *kept)
+    rows = with_rank(dealt, "_source")
     u = offset(F.col("source"), seed)
     crossed = F.floor((F.col("_rank") + 1) * F.col("_rate") + u) - F.floor(F.col("_rank") * F.col("_rate") + u)
     copies = F.least(crossed, F.lit(max_repeat))  # rates are at most max_repeat; this only undoes rounding of the sum
     out = rows.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *(["_row"] if payload else []))
+    return out.select(*carried, "source_size", "target", "copies", "taken")
+
+
+def plan_mix(
+    docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_repeat: int = 3, seed: int = 17,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for every row."""
+    staging = Staging(docs.sparkSession, "mixing")
+    light = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return _planned(staging.write(light, "sizes"), staging, (), weights, share, max_repeat, seed)
+
 
+def mix_documents(
+    docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_repeat: int = 3, seed: int = 17,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as the plan takes it.
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the plan takes it."""
-    planned = plan_mix(docs, payload=True, **options).filter("copies > 0")
-    repeated = planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    Rows are written once with their sizes; only ids and sizes are sorted, and whole rows are shuffled once, to their copies,
+    by the same kind of join at any size.
+    """
+    staging = Staging(docs.sparkSession, "mixing")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # set apart, so that its names can't clash
+    size = word_count(F.col(text_col)).alias("size")
+    whole = staging.write(docs.select(row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size, F.monotonically_increasing_id().alias("at")), "rows")
+    planned = _planned(whole.select("at", "doc_id", "source", "size"), staging, (whole,), weights, share, max_repeat, seed)
+    taken = staging.write(planned.filter("copies > 0").select("at", "copies"), "copies")
+    staging.keep(whole, taken)
+    repeated = whole.select("at", "row").join(taken.hint("merge"), "at").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth"))
+    return repeated.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
