@@ -31,7 +31,7 @@ PARSERS: dict[str, Callable[..., DataFrame]] = {"plaintext": parse_plaintext}
 
 def parse(kind: str, books: DataFrame, key: str, **options) -> DataFrame:
     """Dispatch by kind; an author's own parser is one of these kinds with predicates of its own."""
-    from . import books  # noqa: F401  (adds its kinds)
+    from . import books as _  # noqa: F401  (adds its kinds)
 
     if kind not in PARSERS:
         raise ValueError(f"unknown kind of source: {kind}")
