@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import Staging
+from .staging import Staging, deal
 from .textbytes import release, slices
 
 ORDER, BITS = 5, 5
@@ -148,7 +148,8 @@ def ratio_table(counts: DataFrame, staging: Staging, discount: float) -> np.ndar
         steps = ratio_part(code, rows["toxic"].to_numpy(), rows["ordinary"].to_numpy(), backoff.value, discount)
         return pa.table({"part": pa.array([code[0] >> PART], pa.int32()), "steps": pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary())})
 
-    for row in counts.groupBy(F.expr(f"code div {1 << PART}").alias("part")).applyInArrow(part, "part int, steps binary").toLocalIterator():
+    parts = deal(counts.withColumn("part", F.shiftright("code", PART)), CELLS >> PART, "part", numbered=True)
+    for row in parts.applyInArrow(part, "part int, steps binary").collect():  # 32 rows of a megabyte at most
         table[row.part << PART : (row.part + 1) << PART] = np.frombuffer(zlib.decompress(row.steps), np.int8)
     return table
 
