@@ -596,6 +596,26 @@ def test_toxicity_edges_and_accuracy(spark):
     assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) >= 0.98 * len(held)
 
 
+def test_toxicity_learns_from_every_training_text(spark):
+    """An expression that stands only in the curve's share is found in the held-out fold."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows, marks, rare = [], [], []
+    for i in range(3000):
+        text, check = [rng.choice(words) for _ in range(rng.randrange(5, 60))], zlib.crc32(str(i).encode())
+        if toxic := i % 5 == 0:
+            if unlike := i % 25 == 0 and (check % 3 == 1 or check // 3 % 4 == 0):
+                rare.append(i)
+            text[rng.randrange(len(text))] = "zumptrov" if unlike else "vexqual"
+        rows.append((i, " ".join(text)))
+        marks.append((i, 1, int(toxic)))
+    scored = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, LABELS)).collect()
+    held = [r for r in scored if r.held_out]
+    usual = sorted(r.score for r in held if r.doc_id % 5)[int(0.98 * sum(r.doc_id % 5 > 0 for r in held))]
+    found = [r.score > usual for r in held if r.doc_id in rare]
+    assert len(found) > 10 and sum(found) >= 0.8 * len(found)
+
+
 # 9
 
 

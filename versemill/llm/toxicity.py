@@ -1,16 +1,16 @@
 """Toxicity scores from two class-conditional Kneser-Ney models over letter sequences.
 
 Texts are read as symbols (26 letters, blank, digit, other ASCII, three for bytes of other letters), so five symbols are a
-number below 2^25, and a model is bounded by that whatever the corpus. Counts of the labelled training texts outside the curve's share are gathered
-by class. A class gives symbol w after context h the probability
+number below 2^25, and a model is bounded by that whatever the corpus. Counts of all labelled training texts are gathered by
+class. A class gives symbol w after context h the probability
 
     max(c(hw) - D, 0) / c(h) + D * kinds(h) / c(h) * shared(w | h without its first symbol)
 
 whose backoff is one Kneser-Ney model of continuation counts for both classes: where neither class has evidence the two
 agree exactly, so rare expressions count for nothing. What is compared is the log-likelihood ratio of the classes,
 normalised by length over the whole text, and over its most toxic words (each a stretch of its own), since an insult in a
-long text is lost in the mean. A logistic curve on these, fitted on labelled training texts that the counts did not see,
-gives the score.
+long text is lost in the mean. A logistic curve on these gives the score. It is fitted on a share of the training texts,
+seen through models that lack the counts of that share; the models that score have the counts of all.
 
 Defined results: null, empty and wordless texts have ratio 0 everywhere and get the curve's value there; a document with
 several label rows counts as toxic if any says so; repeated rows get equal scores; without labels of both classes every
@@ -52,27 +52,30 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, code
 
 
+KINDS = ("ordinary", "toxic", "curve_ordinary", "curve_toxic")
+
+
 def _count(batches):
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """(code, a count for each of ``KINDS``) of rows (text, kind: a place in ``KINDS``)."""
+    held: list[tuple[np.ndarray, ...]] = []
 
     def merged(parts):
-        code = np.concatenate([p[0] for p in parts])
-        kinds, where = np.unique(code, return_inverse=True)
-        return kinds, *(np.bincount(where, np.concatenate([p[k] for p in parts]), len(kinds)).astype(np.int64) for k in (1, 2))
+        kinds, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return kinds, *(np.bincount(where, np.concatenate([p[k + 1] for p in parts]), len(kinds)).astype(np.int64) for k in range(len(KINDS)))
 
     for batch in batches:
-        toxic = np.asarray(batch.column("toxic"))
+        kind = np.asarray(batch.column("kind"))
         for first, data, offsets in slices(batch.column("text")):
             if len(data):
                 _, code = codes(data, offsets)
-                label = np.repeat(toxic[first : first + len(offsets) - 1], np.diff(offsets))
+                own = np.repeat(kind[first : first + len(offsets) - 1], np.diff(offsets))
                 kinds, where = np.unique(code, return_inverse=True)
-                ones = np.bincount(where, label, len(kinds)).astype(np.int64)
-                held.append((kinds, ones, np.bincount(where, minlength=len(kinds)) - ones))
+                counts = np.bincount(where * len(KINDS) + own, minlength=len(kinds) * len(KINDS)).reshape(-1, len(KINDS))
+                held.append((kinds, *counts.T))
                 if len(held) == 32:
                     held = [merged(held)]
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(merged(held), (pa.int32(), pa.int64(), pa.int64()))], ["code", "toxic", "ordinary"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(merged(held), (pa.int32(), *[pa.int64()] * len(KINDS)))], ["code", *KINDS])
     release()
 
 
@@ -207,32 +210,43 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
     """(doc_id, held_out, score, predicted) for every row.
 
     Labels are learned only from documents outside the held-out fold. One in ``curve_share`` of these (by another part of
-    the id's checksum) is kept from the counts and gives the curve its points: all of them up to ``curve_rows`` of a class.
+    the id's checksum) gives the curve its points, with the ratios of models that count the others only: all of them up to
+    ``curve_rows`` of a class. The models that score count every one.
     """
     spark, staging = docs.sparkSession, Staging(docs.sparkSession, "toxicity")
     marked = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL")
     part = lambda doc_id: F.crc32(doc_id.cast("string").cast("binary"))
     learns, curve = part(F.col("doc_id")) % folds != held_out, F.expr(f"crc32(cast(cast(doc_id as string) as binary)) div {folds}") % curve_share == 0
-    marked = staging.write(marked.filter(learns).withColumn("_curve", curve), "labels")
+    marked = staging.write(marked.filter(learns).select("doc_id", ((F.col("toxic") >= 1).cast("int") + 2 * curve.cast("int")).alias("kind")), "labels")
     # Rows of other folds go before the shuffle. The labels grow with the corpus, so they are joined by a shuffle at any size.
-    counted = docs.select("doc_id", "text").filter(learns & ~curve).join(marked.filter("NOT _curve").select("doc_id", "toxic").hint("merge"), "doc_id").select("text", "toxic")
-    counts = counted.mapInArrow(_count, "code int, toxic long, ordinary long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    table = ratio_table(counts, staging, discount)
-    sent = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))  # CELLS bytes at most
-    del table
-
-    def features(batches):
-        table = np.frombuffer(zlib.decompress(sent.value), np.int8)
-        for batch in batches:
-            x = text_features(table, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], ["doc_id", *FEATURES])
-        release()
-
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(features, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
-    scored = staging.write(scored, "features")
-    sample = scored.join(marked.filter("_curve"), "doc_id").select(*FEATURES, "toxic", "doc_id")
-    points = [sample.filter(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(curve_rows) for kind in ("toxic >= 1", "toxic < 1")]
-    points = points[0].unionByName(points[1]).toPandas()
+    counted = docs.select("doc_id", "text").filter(learns).join(marked.hint("merge"), "doc_id").select("text", "kind")
+    counts = counted.mapInArrow(_count, "code int, " + ", ".join(f"{k} long" for k in KINDS)).groupBy("code").agg(*[F.sum(k).alias(k) for k in KINDS])
+    counts = staging.write(counts, "counts")
+
+    def features(rows: DataFrame, table: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))  # CELLS bytes at most
+
+        def of(batches):
+            table = np.frombuffer(zlib.decompress(sent.value), np.int8)
+            for batch in batches:
+                x = text_features(table, batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], ["doc_id", *FEATURES])
+            release()
+
+        return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+
+    # The curve's points are chosen by id, so that only their texts are read; an id that many rows share is cut to the same bound after.
+    known = docs.select("doc_id").filter(learns & curve).join(marked.filter("kind >= 2"), "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = staging.write(known.filter("kind = 3").orderBy(*order).limit(curve_rows).unionByName(known.filter("kind = 2").orderBy(*order).limit(curve_rows)), "chosen")
+    others = counts.filter("toxic + ordinary > 0").select("code", "toxic", "ordinary")
+    seen = features(docs.filter(learns & curve).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), ratio_table(others, staging, discount))
+    seen = staging.write(seen.join(F.broadcast(chosen), "doc_id").select(*FEATURES, "kind", "doc_id"), "points")
+    order += [F.col(f) for f in FEATURES]
+    points = [seen.filter(kind).orderBy(*order).limit(curve_rows) for kind in ("kind = 3", "kind = 2")]
+    points = points[0].unionByName(points[1]).select(*FEATURES, (F.col("kind") - 2).alias("toxic")).toPandas()
+    every = counts.select("code", (F.col("toxic") + F.col("curve_toxic")).alias("toxic"), (F.col("ordinary") + F.col("curve_ordinary")).alias("ordinary"))
+    scored = staging.write(features(docs, ratio_table(every, staging, discount)), "features")
     y = (points.toxic >= 1).to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         *slopes, constant = fit_logistic(points[list(FEATURES)].to_numpy(), y)
