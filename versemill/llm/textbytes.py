@@ -50,7 +50,7 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows; null counts as empty. The bytes are a view: don't write to them."""
     column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
@@ -58,7 +58,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         yield first, raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 
