@@ -115,6 +115,34 @@ WITH RECURSIVE split AS (
 SELECT s.doc_id, s.n AS n_shingles, min(r.found) AS component_id FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
 """
 
+ORACLES["op11_secret_scan"] = r"""
+WITH rules(n, kind, pattern, least) AS (VALUES
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 20),
+  (2, 'hex', '[0-9a-f]+', 24),
+  (3, 'private_key', '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----', 1),
+  (4, 'host_token', 'gh[pousr]_[A-Za-z0-9]{36,}', 1),
+  (5, 'chat_token', 'xox[abprs]-[A-Za-z0-9-]{10,}', 1),
+  (6, 'web_token', 'eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}', 1),
+  (7, 'map_key', 'AIza[A-Za-z0-9_-]{35}', 1)
+), cut AS (
+  SELECT doc_id, n, kind, least, regexp_extract_all(coalesce(text, ''), pattern) AS found, string_split_regex(coalesce(text, ''), pattern) AS apart FROM documents, rules
+), matches AS (
+  SELECT doc_id, n, kind, least, unnest(found) AS m, unnest(range(1, len(found) + 1)) AS k, unnest(apart[1:len(found)]) AS gap FROM cut
+), placed AS (
+  SELECT *, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS start FROM matches WINDOW w AS (PARTITION BY doc_id, n ORDER BY k)
+), spans AS (
+  SELECT doc_id, n, kind, start::BIGINT AS start, (start + length(m))::BIGINT AS stop FROM placed
+  WHERE CASE n WHEN 0 THEN length(regexp_extract(m, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) ELSE length(m) END >= least
+), listed AS (
+  SELECT doc_id, count(*) FILTER (n = 0) AS n_assign, count(*) FILTER (n = 1) AS n_access, count(*) FILTER (n = 2) AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, n) FILTER (n < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, n) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id
+"""
+
 ORACLES["op12_periodic_runs"] = r"""
 WITH crc_steps AS (
   SELECT list(c ORDER BY n) AS steps FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, resharding, topk, toxicity, url_filter
+from . import chat, mixing, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, resharding, secret_scan, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE]))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(listed(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *[number(r.kind) for r in secret_scan.BASE], digest, listed(F.col("spans")).alias("spans"))
+
+
 def periodic_tails(text: Column, number: Column) -> Column:
     """``text``, in which one document of ten, by its ``number``, repeats a stretch of words to its end; a null number changes nothing."""
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -110,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
+    "op11_secret_scan": op11_secret_scan,
     "op12_periodic_runs": op12_periodic_runs,
 }
