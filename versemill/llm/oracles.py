@@ -170,3 +170,39 @@ WITH crc_steps AS (
 SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, -top.s AS start, top.length AS length, -top.q AS period, 1000 * top.length // -top.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
 FROM texts t LEFT JOIN listed l ON l.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
 """
+
+
+def _rounds(n: int) -> str:
+    """CTEs near<k> (part, entry and distance of every row by ``book<k>``) and book<k + 1>, for k from 0."""
+    out = []
+    for k in range(n + 1):
+        out.append(f"""met{k} AS (
+  SELECT r, p.part, entry, list_sum(list_transform(list_zip(v, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts p JOIN book{k} b ON b.part = p.part
+), near{k} AS (
+  SELECT r, part, min(struct_pack(d := d, entry := entry)) AS best FROM met{k} GROUP BY r, part
+)""")
+        if k < n:
+            out.append(f"""sums{k} AS (
+  SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY place) AS e
+  FROM (SELECT part, entry, place, sum(v)::BIGINT AS total, count(*) AS n FROM (SELECT p.part, best.entry AS entry, unnest(v) AS v, unnest(range(len(v))) AS place FROM parts p JOIN near{k} USING (r, part)) GROUP BY part, entry, place) GROUP BY part, entry
+), book{k + 1} AS (
+  SELECT part, entry, coalesce(s.e, b.e) AS e FROM book{k} b LEFT JOIN sums{k} s USING (part, entry)
+)""")
+    return ",\n".join(out)
+
+
+ORACLES["op13_vector_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT r, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS v FROM (SELECT r, v, unnest(range(16)) AS part FROM kept)
+), book0 AS (
+  SELECT part, r - 1 AS entry, v AS e FROM parts WHERE r <= 64
+), {_rounds(2)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near2 GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), digest
+"""
