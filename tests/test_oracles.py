@@ -38,8 +38,8 @@ def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    assert rows, "an empty result proves nothing"
     if name not in catalog.ORACLES:
-        assert rows
         return
     found = duck.execute(catalog.ORACLES[name])
     names = [d[0] for d in found.description]

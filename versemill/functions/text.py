@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # The numerals that make up roman numbers, in falling order.
 NUMERALS = (("M", 1000), ("CM", 900), ("D", 500), ("CD", 400), ("C", 100), ("XC", 90), ("L", 50), ("XL", 40), ("X", 10), ("IX", 9), ("V", 5), ("IV", 4), ("I", 1))
 # Words that stay lower-case inside a title.
-SMALL_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+SMALL_WORDS = ("a", "an", "the", "and", "but", "or", "nor", "for", "yet", "so", "in", "on", "at", "to", "by", "of", "up", "as", "if", "is")
 # Ordinal words, from the first on.
 ORDINALS = ("FIRST", "SECOND", "THIRD", "FOURTH", "FIFTH", "SIXTH", "SEVENTH", "EIGHTH", "NINTH", "TENTH", "ELEVENTH", "TWELFTH", "THIRTEENTH", "FOURTEENTH", "FIFTEENTH", "SIXTEENTH", "SEVENTEENTH")
 
@@ -56,13 +56,25 @@ def clean_title(title: Column) -> Column:
     return F.regexp_replace(F.trim(x), r"\.$", "")
 
 
+def _capitalised(w: Column) -> Column:
+    """One word: initials (up to four letters with periods) and roman numerals in capitals, else the first letter."""
+    letters = F.regexp_replace(w, "[^A-Za-z]", "")
+    initials = F.contains(w, F.lit(".")) & (F.length(letters) <= 4) & (letters != "") & F.regexp_replace(w, r"""^["'()]+|["'()]+$""", "").rlike(r"^[\p{L}.]+$")
+    roman = (F.length(letters) >= 2) & F.upper(letters).rlike("^M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$")
+    low = F.lower(w)
+    head = F.regexp_extract(low, r"^[^\p{L}]*", 0)
+    first = F.length(head) + 1
+    return F.when(initials | roman, F.upper(w)).otherwise(F.concat(head, F.upper(F.substring(low, first, F.lit(1))), F.substring(low, first + 1, F.length(low))))
+
+
 def title_case(text: Column) -> Column:
-    """Words capitalised but for small ones inside; roman numerals upper-case."""
-    words = F.split(F.lower(F.trim(text)), " +")
+    """Words capitalised but for small ones inside; the parts of a word with a dash each; initials and roman numerals in capitals."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
     def cased(w: Column, i: Column) -> Column:
-        roman = w.rlike(r"^[ivxlc]+[.,:;]?$") & (w != "i")
-        return F.when(roman, F.upper(w)).when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
+        core = F.regexp_replace(F.lower(w), r"""^[.,;:!?()"'“”‘’]+|[.,;:!?()"'“”‘’]+$""", "")
+        parts = F.transform(F.split(w, "—", -1), lambda p: F.when(p == "", p).otherwise(_capitalised(p)))
+        return F.when((i > 0) & core.isin(*SMALL_WORDS), F.lower(w)).otherwise(F.array_join(parts, "—"))
 
     return F.array_join(F.transform(words, cased), " ")
 
@@ -138,8 +150,8 @@ def quotes(text: Column) -> Column:
 
 
 def mark_speakers(text: Column) -> Column:
-    """``NAME.`` lines set off by asterisks."""
-    return F.regexp_replace(text, r"(?m)^([A-Z][A-Z ]+)\.$", "*$1*")
+    """Lines that are a name and a period (words that begin with a capital, one blank between) set off by asterisks."""
+    return F.regexp_replace(text, r"(?m)^([A-Z][a-zA-Z]*(?: [A-Z][a-zA-Z]*)*\.)$", "*$1*")
 
 
 def shorten(text: Column, longest: int) -> Column:

@@ -12,9 +12,10 @@ def contains_any(text: Column, parts: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(p.lower()) for p in parts]), lambda p: F.contains(low, p))
 
 
-def is_structural(line: Column) -> Column:
-    """headings that structure a work: numerals, acts, scenes, books."""
-    return F.trim(line).rlike(r"^(?:[IVXLC]+\.?|(?:ACT|SCENE|BOOK|CANTO|PART)\b.*)$")
+def is_structural(line: Column, listed: list[str] | None = None) -> Column:
+    """headings that structure a work and title no poem: those listed, numerals, scenes and books. The list belongs to the edition that is read."""
+    x = F.trim(line)
+    return x.isin(listed or []) | x.rlike(r"^[IVXLC]+\.?\s*$") | x.rlike(r"^(?:SCENE|BOOK)\s")
 
 
 def exclude_keys(table: DataFrame, key: str, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import line_candidates
+
 GAP = "[...]"
 # Letter pairs that speak against a word, and endings that speak for it.
 BAD_PAIRS = (
@@ -95,6 +97,15 @@ def fill_from_window(context: Column, block: Column) -> Column:
     return F.when((F.size(parts) == 2) & (fill != ""), fill)
 
 
+def corpus_fills(gaps: DataFrame, lines: DataFrame, *, most: int | None = 500) -> DataFrame:
+    """(gap_id, fill) from a corpus of clean lines (line_id, text): of the candidates of ``line_candidates`` for the words
+    around the gap the line that holds most of them, ties to the first, and what it has in place of the gap."""
+    asked = gaps.filter(F.contains("context", F.lit(GAP))).select(F.col("gap_id").alias("ask_id"), "context", F.replace("context", F.lit(GAP), F.lit(" ")).alias("text"))
+    found = line_candidates(asked, lines, most=most).groupBy("ask_id").agg(F.min_by("line_id", F.struct(-F.col("overlap"), "line_id")).alias("line_id"))
+    filled = found.join(asked, "ask_id").join(lines.select("line_id", F.col("text").alias("line")), "line_id")
+    return filled.select(F.col("ask_id").alias("gap_id"), fill_from_line(F.col("context"), F.col("line")).alias("fill")).filter("fill IS NOT NULL")
+
+
 def patch(line: Column, fill: Column) -> Column:
     """The first gap of a line filled."""
     at = F.locate(GAP, line)
@@ -102,10 +113,10 @@ def patch(line: Column, fill: Column) -> Column:
 
 
 def cascade(gaps: DataFrame, passes: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(gap_id, fill, method): each gap by the first pass that fills it; later passes see only what is left."""
-    left, out = gaps.select("gap_id"), None
-    for method, fills in passes:
-        mine = left.join(fills.select("gap_id", "fill"), "gap_id").withColumn("method", F.lit(method))
-        out = mine if out is None else out.unionByName(mine)
-        left = left.join(fills.select("gap_id"), "gap_id", "left_anti")
-    return out
+    """(gap_id, fill, method): each gap by the first pass that fills it. A pass has one row for a gap at most, and is computed once."""
+    out = gaps.select("gap_id")
+    for i, (_, fills) in enumerate(passes):
+        out = out.join(fills.select("gap_id", F.col("fill").alias(f"_fill{i}")), "gap_id", "left")
+    found = [F.col(f"_fill{i}") for i in range(len(passes))]
+    method = F.coalesce(*[F.when(f.isNotNull(), F.lit(m)) for f, (m, _) in zip(found, passes)])
+    return out.select("gap_id", F.coalesce(*found).alias("fill"), method.alias("method")).filter("fill IS NOT NULL")

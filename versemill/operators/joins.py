@@ -82,11 +82,12 @@ def postings(lines: DataFrame, key: str, text: str = "text") -> DataFrame:
     return lines.select(F.col(key), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word"))
 
 
-def line_candidates(asked: DataFrame, lines: DataFrame, *, rarest: int = 3, least: int = 2, most: int = 500) -> DataFrame:
+def line_candidates(asked: DataFrame, lines: DataFrame, *, rarest: int = 3, least: int = 2, most: int | None = 500) -> DataFrame:
     """(ask_id, line_id, overlap): lines that hold all of the ``rarest`` known words of a query, or, where none does, its rarest word.
 
     Of the lines' words only those that some query has are counted and shuffled. A query looks up ``rarest`` words, so frequent
-    words are joined only where it has nothing rarer; ``most`` lines of each query, by id, are then compared word by word.
+    words are joined only where it has nothing rarer. A query that more than ``most`` lines answer says too little: it gets none;
+    with None there is no such bound, and every candidate is compared word by word.
     """
     asked_words = postings(asked, "ask_id")
     line_words = postings(lines, "line_id").join(asked_words.select("word").distinct(), "word", "left_semi")
@@ -94,9 +95,13 @@ def line_candidates(asked: DataFrame, lines: DataFrame, *, rarest: int = 3, leas
     ranked = asked_words.join(often, "word").withColumn("_r", F.row_number().over(Window.partitionBy("ask_id").orderBy("df", "word"))).filter(F.col("_r") <= rarest)
     wanted = ranked.groupBy("ask_id").agg(F.count("*").alias("_all"))
     hits = ranked.join(line_words, "word").groupBy("ask_id", "line_id").agg(F.count("*").alias("_hit"), F.min("_r").alias("_best")).join(wanted, "ask_id")
-    hits = hits.withColumn("_full", F.max((F.col("_hit") == F.col("_all")).cast("int")).over(Window.partitionBy("ask_id")))
-    hits = hits.filter(F.when(F.col("_full") == 1, F.col("_hit") == F.col("_all")).otherwise(F.col("_best") == 1))
-    hits = hits.withColumn("_n", F.row_number().over(Window.partitionBy("ask_id").orderBy("line_id"))).filter(F.col("_n") <= most).select("ask_id", "line_id")
+    full = F.max((F.col("_hit") == F.col("_all")).cast("int"))
+    best = hits.groupBy("ask_id").agg(full.alias("_full"))
+    hits = hits.join(best, "ask_id").filter(F.when(F.col("_full") == 1, F.col("_hit") == F.col("_all")).otherwise(F.col("_best") == 1))
+    if most is not None:
+        few = hits.groupBy("ask_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= most).select("ask_id")
+        hits = hits.join(few, "ask_id")
+    hits = hits.select("ask_id", "line_id")
     words = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)))
     found = hits.join(asked.select("ask_id", words("text").alias("_asked")), "ask_id").join(lines.select("line_id", F.col("text").alias("_line")), "line_id")
     overlap = found.select("ask_id", "line_id", F.size(F.array_intersect("_asked", words("_line"))).cast("long").alias("overlap"))

@@ -62,9 +62,9 @@ def stanzas(lines: DataFrame, key: str, breaks: Column) -> DataFrame:
 
 
 def cooldown_gaps(rows: DataFrame, at: str, by: str | None = None) -> DataFrame:
-    """Seconds since the row before, of the same key or of all rows. Rows are sorted hour by hour."""
+    """Microseconds since the row before, of the same key or of all rows. Rows are sorted hour by hour."""
     near = neighbours_of(rows.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))), [by] if by else [], ["_us"], "_us", F.date_trunc("hour", at))
-    return near.withColumn("since", (F.col("_us") - F.col("previous")) / 1_000_000).drop("_us", "previous", "next")
+    return near.withColumn("since_us", F.col("_us") - F.col("previous")).drop("_us", "previous", "next")
 
 
 def quiet_periods(rows: DataFrame, at: str, by: str, gap: str) -> DataFrame:

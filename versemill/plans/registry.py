@@ -24,6 +24,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def dealt(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table for work that costs far more than reading: dealt over all cores where it was read in fewer parts, as one large row group is."""
+        rows, cores = getattr(self, name).select(*columns), self.spark.sparkContext.defaultParallelism
+        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
     @cached_property
     def interactions(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")

@@ -13,6 +13,7 @@ from ..operators import gaps as G
 from ..operators import joins as J
 from ..operators import retrieval as R
 from ..operators import sequence as W
+from ..operators.fuzzy_search import best_lines
 from .registry import Tables, query
 
 DIST = "round(1 - list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9)"
@@ -86,10 +87,10 @@ def _(t: Tables) -> DataFrame:
 @query("j11_postings", """WITH aw AS (SELECT DISTINCT item_id AS a, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark), lw AS (SELECT DISTINCT doc_id AS l, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents),
   df AS (SELECT w, count(*) AS n FROM lw GROUP BY w), r AS (SELECT a, w, row_number() OVER (PARTITION BY a ORDER BY n, w) AS r FROM aw JOIN df USING (w) QUALIFY r <= 3), k AS (SELECT a, count(*) AS k FROM r GROUP BY a),
   h AS (SELECT a, l, count(*) AS hit, min(r) AS best, k FROM r JOIN lw USING (w) JOIN k USING (a) GROUP BY a, l, k), f AS (SELECT *, max((hit = k)::INT) OVER (PARTITION BY a) AS full_ FROM h),
-  c AS (SELECT a, l FROM f WHERE CASE WHEN full_ = 1 THEN hit = k ELSE best = 1 END QUALIFY row_number() OVER (PARTITION BY a ORDER BY l) <= 500)
+  c AS (SELECT a, l FROM f WHERE CASE WHEN full_ = 1 THEN hit = k ELSE best = 1 END QUALIFY count(*) OVER (PARTITION BY a) <= 500)
   SELECT a AS ask_id, l AS line_id, count(*) AS overlap FROM c JOIN aw USING (a) JOIN lw USING (l, w) GROUP BY a, l HAVING count(*) >= 2""")
 def _(t: Tables) -> DataFrame:
-    return J.line_candidates(t.benchmark.select(F.col("item_id").alias("ask_id"), "text"), t.documents.select(F.col("doc_id").alias("line_id"), "text"))
+    return J.line_candidates(t.benchmark.select(F.col("item_id").alias("ask_id"), "text"), t.dealt("documents", "doc_id", "text").withColumnRenamed("doc_id", "line_id"))
 
 
 @query("j10_fuzzy", """WITH s AS (SELECT a.p_partkey AS ask_id, b.p_partkey AS line_id, floor(100 * (1 - levenshtein(a.p_name || a.p_type, b.p_name || b.p_type)::DOUBLE / greatest(length(a.p_name || a.p_type), length(b.p_name || b.p_type))))::INT AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey)
@@ -125,11 +126,13 @@ def _(t: Tables) -> DataFrame:
     return J.overlay_text(base, t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("name")), "c_custkey", ["name"])
 
 
-@query("j16_prefixes", """SELECT doc_id, min(p.item_id) AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) d
-  JOIN (SELECT item_id, split_part(text, chr(10), 1) AS prefix FROM benchmark) p ON p.prefix <> '' AND starts_with(d.line, p.prefix) GROUP BY doc_id""")
+@query("j16_prefixes", """SELECT d.doc_id, min(p.doc_id) AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) d
+  JOIN (SELECT doc_id, split_part(text, chr(10), 1)[1:5 + doc_id % 20] AS prefix FROM documents) p ON p.prefix <> '' AND starts_with(d.line, p.prefix) GROUP BY d.doc_id""")
 def _(t: Tables) -> DataFrame:
+    """Every document's beginning, of 5 to 24 characters, is a prefix; each document gets the first prefix that it starts with."""
     first = F.substring_index("text", "\n", 1)
-    prefixes = t.benchmark.select(first.alias("prefix"), F.col("item_id").alias("title"), F.col("item_id").alias("place"))
+    start = F.substring(first, F.lit(1), (F.col("doc_id") % 20 + 5).cast("int"))
+    prefixes = t.documents.select(start.alias("prefix"), F.col("doc_id").alias("title"), F.col("doc_id").alias("place"))
     return J.first_prefix(t.documents.select("doc_id", first.alias("line")), prefixes, 8).select("doc_id", "title")
 
 
@@ -285,14 +288,14 @@ def _(t: Tables) -> DataFrame:
     return trailing_count(t.interactions.filter("decision = 'post'").select("id", "ts", "poet"), 48 * 3600, "poet").select("id", "n_trailing")
 
 
-@query("w13_since_last", "SELECT id, round(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY author ORDER BY ts) / 1e6, 3) AS since FROM interactions")
+@query("w13_since_last", "SELECT id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY author ORDER BY ts) AS since_us FROM interactions")
 def _(t: Tables) -> DataFrame:
-    return W.cooldown_gaps(t.interactions.select("id", "author", "ts"), "ts", "author").select("id", F.round("since", 3).alias("since"))
+    return W.cooldown_gaps(t.interactions.select("id", "author", "ts"), "ts", "author").select("id", "since_us")
 
 
-@query("w13_since_last_of_all", "SELECT id, round(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (ORDER BY ts) / 1e6, 3) AS since FROM (SELECT max(id) AS id, ts FROM interactions GROUP BY ts)")
+@query("w13_since_last_of_all", "SELECT id, epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS since_us FROM (SELECT max(id) AS id, ts FROM interactions GROUP BY ts)")
 def _(t: Tables) -> DataFrame:
-    return W.cooldown_gaps(t.interactions.groupBy("ts").agg(F.max("id").alias("id")), "ts").select("id", F.round("since", 3).alias("since"))
+    return W.cooldown_gaps(t.interactions.groupBy("ts").agg(F.max("id").alias("id")), "ts").select("id", "since_us")
 
 
 @query("w14_quiet_periods", """WITH g AS (SELECT author, ts, (ts - lag(ts) OVER (PARTITION BY author ORDER BY ts) >= INTERVAL 45 MINUTE)::INT AS brk FROM interactions), s AS (SELECT *, sum(coalesce(brk, 0)) OVER (PARTITION BY author ORDER BY ts) AS k FROM g)
@@ -494,18 +497,19 @@ def lost_words(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 LOST = r"""l AS (SELECT item_id AS item, unnest(range(len(s))) AS pos, trim(unnest(s)) AS text FROM (SELECT item_id, string_split(text, chr(10)) AS s FROM benchmark)), w AS (SELECT item, string_split(text, ' ') AS w FROM l WHERE pos = 0 AND len(string_split(text, ' ')) >= 8),
   a AS (SELECT item AS ask_id, array_to_string(w[1:3], ' ') AS pre, array_to_string(w[5:8], ' ') AS post, w FROM w), q AS (SELECT *, pre || '  ' || post AS asked FROM a),
-  pairs AS (SELECT ask_id, item, pos, asked, text FROM q JOIN l ON l.item IN (q.ask_id, q.ask_id + 1) WHERE text <> ''), sl AS (SELECT *, CASE WHEN length(asked) <= length(text) THEN asked ELSE text END AS short, CASE WHEN length(asked) <= length(text) THEN text ELSE asked END AS long FROM pairs),
-  v AS (SELECT *, unnest(list_concat(list_transform(range(0, length(long) - length(short) + 1), lambda i: long[i + 1:i + length(short)]), list_transform(range(1, length(short)), lambda i: long[1:i]), list_transform(range(1, length(short)), lambda i: long[length(long) - i + 1:length(long)]))) AS win FROM sl),
-  f AS (SELECT ask_id, item, pos, short, win, length(short) - bit_count(list_reduce([(1::HUGEINT << length(short)) - 1] || list_transform(string_split(win, ''), lambda c: coalesce(list_sum(list_transform(range(length(short)), lambda i: CASE WHEN short[i + 1] = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END)), 0)::HUGEINT),
-    lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((1::HUGEINT << length(short)) - 1))) AS common FROM v),
-  scored AS (SELECT ask_id, item, pos, max(200.0::DOUBLE * common / (length(short) + length(win))) AS score FROM f GROUP BY ask_id, item, pos),
+  pairs AS (SELECT ask_id, item, pos, asked, text FROM q, l WHERE text <> ''), sl AS (SELECT *, CASE WHEN length(asked) <= length(text) THEN asked ELSE text END AS short, CASE WHEN length(asked) <= length(text) THEN text ELSE asked END AS long FROM pairs),
+  mk AS (SELECT short, map_from_entries(list((c, bits))) AS m FROM (SELECT short, c, sum(1::HUGEINT << i)::HUGEINT AS bits FROM (SELECT short, unnest(string_split(short, '')) AS c, unnest(range(length(short))) AS i FROM (SELECT DISTINCT short FROM sl)) GROUP BY short, c) GROUP BY short),
+  ms AS (SELECT ask_id, item, pos, length(short) AS n, length(long) AS size, list_transform(string_split(long, ''), lambda c: coalesce(m[c], 0::HUGEINT)) AS rows FROM sl JOIN mk USING (short)),
+  v AS (SELECT ask_id, item, pos, n, unnest(list_concat(list_transform(range(0, size - n + 1), lambda i: rows[i + 1:i + n]), list_transform(range(1, n), lambda i: rows[1:i]), list_transform(range(1, n), lambda i: rows[size - i + 1:size]))) AS win FROM ms),
+  f AS (SELECT ask_id, item, pos, n, len(win) AS m, n - bit_count(list_reduce([(1::HUGEINT << n) - 1] || win, lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((1::HUGEINT << n) - 1))) AS common FROM v),
+  scored AS (SELECT ask_id, item, pos, max(200.0::DOUBLE * common / (n + m)) AS score FROM f GROUP BY ask_id, item, pos),
   best AS (SELECT ask_id, arg_min(item, (-score, item, pos)) AS item, arg_min(pos, (-score, item, pos)) AS pos, max(score) AS score FROM scored WHERE score >= 70 GROUP BY ask_id)"""
 
 
 def nearest_lines(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gaps, all lines of the clean text, and for each gap the line of them all that is most like it."""
     asked, lines = lost_words(t)
-    pairs = asked.select("ask_id", F.explode(F.array("ask_id", F.col("ask_id") + 1)).alias("item")).join(lines.filter("text <> ''"), "item").select("ask_id", "line_id")
-    return asked, lines, J.fuzzy_best(asked, lines, pairs)
+    return asked, lines, best_lines(asked, lines)
 
 
 @query("x_j10_partial_ratio", f"WITH {LOST} SELECT ask_id, item * 10000 + pos AS line_id, round(score, 6) AS score FROM best")
@@ -529,12 +533,45 @@ def _(t: Tables) -> DataFrame:
     return window_fills(t)
 
 
-@query("x36_cascade", SCORED + ", " + LOST.replace(" w AS (", " ww AS (").replace("FROM w)", "FROM ww)") + ", " + FILLED + """, n AS (SELECT item_id, count(*) AS n, arg_min(fill, (score, fill)) AS one FROM k GROUP BY 1)
-  SELECT item_id AS gap_id, CASE WHEN n <= 3 THEN 'local' WHEN filled.fill IS NOT NULL THEN 'window' ELSE 'corpus' END AS method, CASE WHEN n <= 3 THEN one ELSE coalesce(filled.fill, g.w[3]) END AS fill FROM n JOIN g USING (item_id) LEFT JOIN filled ON ask_id = item_id""")
+def corpus_lines(t: Tables) -> DataFrame:
+    """(line_id, text): every line of the documents."""
+    line = L.lines(t.dealt("documents", "doc_id", "text"), "doc_id")
+    return line.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("line_id"), F.trim("line").alias("text"))
+
+
+@query("j10_corpus_search")
+def _(t: Tables) -> DataFrame:
+    """Every line of the clean text and of the documents is met; clean lines come first. Held against all pairs in the tests."""
+    asked, lines = lost_words(t)
+    every = lines.select((-F.col("line_id") - 1).alias("line_id"), "text").unionByName(corpus_lines(t))
+    return best_lines(asked, every).select("ask_id", "line_id", F.round("score", 6).alias("score"))
+
+
+CORPUS = r"""cx AS (SELECT item_id AS a, array_to_string(w[1:3], ' ') || ' ' || word[1:2] AS head, word[4:] || tok[length(word) + 1:length(word) + 9] || ' ' || array_to_string(w[5:7], ' ') AS tail
+    FROM (SELECT item_id, string_split(text, ' ') AS w, string_split(text, ' ')[4] AS tok, regexp_extract(string_split(text, ' ')[4], '^[A-Za-z]+') AS word FROM benchmark) WHERE length(word) >= 4),
+  dl AS (SELECT doc_id * 100000 + pos AS l, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
+  aw AS (SELECT DISTINCT a, unnest(regexp_extract_all(lower(head || ' ' || tail), '[a-z]{3,}')) AS w FROM cx), lw AS (SELECT DISTINCT l, unnest(regexp_extract_all(lower(line), '[a-z]{3,}')) AS w FROM dl),
+  df AS (SELECT w, count(*) AS n FROM lw GROUP BY w), r AS (SELECT a, w, row_number() OVER (PARTITION BY a ORDER BY n, w) AS r FROM aw JOIN df USING (w) QUALIFY r <= 3), kk AS (SELECT a, count(*) AS k FROM r GROUP BY a),
+  h AS (SELECT a, l, count(*) AS hit, min(r) AS best, k FROM r JOIN lw USING (w) JOIN kk USING (a) GROUP BY a, l, k), ff AS (SELECT *, max((hit = k)::INT) OVER (PARTITION BY a) AS full_ FROM h),
+  cc AS (SELECT a, l FROM ff WHERE CASE WHEN full_ = 1 THEN hit = k ELSE best = 1 END QUALIFY count(*) OVER (PARTITION BY a) <= 500),
+  ov AS (SELECT a, l, count(*) AS overlap FROM cc JOIN aw USING (a) JOIN lw USING (l, w) GROUP BY a, l HAVING count(*) >= 2), top AS (SELECT a, arg_min(l, (-overlap, l)) AS l FROM ov GROUP BY a),
+  corpus AS (SELECT a, trim(regexp_extract(line, '(?i)' || array_to_string(list_transform(string_split(regexp_extract(head, '((?:\S+\s+){0,2}\S*)$', 1), ' '), lambda x: regexp_escape(x)), '\s+') || '(.+?)' ||
+    array_to_string(list_transform(string_split(regexp_extract(tail, '^(\S*(?:\s+\S+){0,2})', 1), ' '), lambda x: regexp_escape(x)), '\s+'), 1)) AS fill FROM top JOIN cx USING (a) JOIN dl USING (l)),
+  cf AS (SELECT a, fill FROM corpus WHERE fill <> '' AND length(fill) <= 20)"""
+
+
+@query("x36_corpus_fills", f"WITH {CORPUS} SELECT a AS gap_id, fill FROM cf")
+def _(t: Tables) -> DataFrame:
+    gaps, _ = gap_rows(t)
+    return G.corpus_fills(gaps, corpus_lines(t))
+
+
+@query("x36_cascade", SCORED + ", " + LOST.replace(" w AS (", " ww AS (").replace("FROM w)", "FROM ww)") + ", " + FILLED + ", " + CORPUS + """, n AS (SELECT item_id, count(*) AS n, arg_min(fill, (score, fill)) AS one FROM k GROUP BY 1),
+  filled_by AS (SELECT item_id AS gap_id, CASE WHEN n <= 3 THEN one END AS one, filled.fill AS win, cf.fill AS found FROM n LEFT JOIN filled ON ask_id = item_id LEFT JOIN cf ON a = item_id)
+  SELECT gap_id, CASE WHEN one IS NOT NULL THEN 'local' WHEN win IS NOT NULL THEN 'window' ELSE 'corpus' END AS method, coalesce(one, win, found) AS fill FROM filled_by WHERE coalesce(one, win, found) IS NOT NULL""")
 def _(t: Tables) -> DataFrame:
-    """Three passes: letters from the dictionary; the window around the most similar clean line; a line of the corpus that has the words around."""
+    """Three passes: letters from the dictionary; the window around the most similar line of the clean text; a line of the corpus that has the words around."""
     gaps, words = gap_rows(t)
     local = G.letter_fills(gaps, words, [], 1)
     window = window_fills(t).select(F.col("ask_id").alias("gap_id"), "fill").filter("fill IS NOT NULL")
-    corpus = gaps.select("gap_id", G.fill_from_line(F.col("context"), F.col("text")).alias("fill")).filter("fill IS NOT NULL")
-    return G.cascade(gaps, [("local", local), ("window", window), ("corpus", corpus)]).select("gap_id", "method", "fill")
+    return G.cascade(gaps, [("local", local), ("window", window), ("corpus", G.corpus_fills(gaps, corpus_lines(t)))]).select("gap_id", "method", "fill")

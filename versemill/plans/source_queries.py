@@ -119,11 +119,11 @@ def _(t: Tables) -> DataFrame:
     return parse("book", books, "n_regionkey").drop("section")
 
 
-@query("s18_essays", "SELECT n_regionkey::VARCHAR AS key, n_name AS title, unnest([0, 1]) AS place, unnest(['First of ' || n_name || '.', 'Second, over lines.']) AS paragraph FROM nation WHERE lower(n_name) LIKE '%an%' OR lower(n_name) LIKE '%ru%'")
+@query("s18_essays", "SELECT n_regionkey::VARCHAR AS key, n_name AS title, unnest([0, 1]) AS place, unnest(['First of ' || n_name || '.', 'Second, over lines.']) AS paragraph FROM nation WHERE contains(lower(n_name), 'n_1') OR contains(lower(n_name), '_2')")
 def _(t: Tables) -> DataFrame:
     essay = F.concat(F.lit("<h1>"), "n_name", F.lit("</h1><p>First of "), "n_name", F.lit(".</p><pre>verse</pre><p></p><p>Second,<br> over lines.</p>"))
     books = joined(t.nation.select("n_regionkey", "n_name", essay.alias("essay")), "n_regionkey", "n_name", "essay")
-    return parse("essays", books, "n_regionkey", is_title=F.col("kind") == "h1", selected=["AN", "ru"]).drop("section")
+    return parse("essays", books, "n_regionkey", is_title=F.col("kind") == "h1", selected=["n_1", "_2"]).drop("section")
 
 
 @query("s19_mixed", "SELECT n_regionkey::VARCHAR AS key, n_name AS title, unnest([0, 1, 2]) AS run, unnest(['prose', 'verse', 'prose']) AS mode, unnest([['One.', 'Two.'], ['a' || chr(10) || 'b'], ['Three ' || n_name]]) AS texts FROM nation")

@@ -58,10 +58,12 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.clean_title(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("title"))
 
 
-@query("x07_title_case", """SELECT p_partkey, array_to_string(list_transform(list_zip(w, range(1, len(w) + 1)), lambda x: CASE WHEN x[2] > 1 AND x[1] IN ('of', 'the') THEN x[1] ELSE upper(x[1][1]) || x[1][2:] END), ' ') AS title
-  FROM (SELECT p_partkey, string_split('the song of ' || lower(p_brand), ' ') AS w FROM part)""")
+@query("x07_title_case", r"""SELECT p_partkey, 'The Song of ' || b || '—' || c || ', if It is a Mild V.R. and "' || n || '" in XIV' || ' Civil —' || c || '. "the ' || '(' || c || ')' AS title
+  FROM (SELECT p_partkey, upper(p_brand[1]) || lower(p_brand[2:]) AS b, upper(p_type[1]) || lower(p_type[2:]) AS c, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS n FROM part)""")
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", X.title_case(F.concat(F.lit("THE SONG OF "), F.upper("p_brand"))).alias("title"))
+    """Dashes inside and before words, initials, numerals and words that only look like them, small words, marks around words."""
+    raw = F.concat(F.lit("THE SONG OF "), F.upper("p_brand"), F.lit("—"), F.upper("p_type"), F.lit(', IF IT IS A MILD V.R. AND "'), F.upper(F.substring_index("p_name", " ", 1)), F.lit('" IN XIV CIVIL —'), F.upper("p_type"), F.lit('. "THE ('), F.upper("p_type"), F.lit(")"))
+    return t.part.select("p_partkey", X.title_case(raw).alias("title"))
 
 
 @query("x08_upper_ratio", f"""SELECT doc_id, pos, CASE WHEN n > 0 THEN round(u::DOUBLE / n, 6) ELSE 0 END AS ratio, CASE WHEN n > 0 THEN u::DOUBLE / n > 0.7 ELSE false END AS mostly_upper
@@ -122,9 +124,14 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.inline(X.quotes(F.col("text"))))  # whole texts, as a quote may span lines
 
 
-@query("x18_speakers", "SELECT n_nationkey, '*' || n_name || '*' || chr(10) || 'Lines' AS text FROM nation WHERE regexp_matches(n_name, '^[A-Z][A-Z ]+$')")
+@query("x18_speakers", r"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '*' || first || ' ' || second || '.*' WHEN 1 THEN '*' || upper(p_name) || '.*' WHEN 2 THEN first || ' ' || split_part(p_name, ' ', 2) || '.' ELSE first || ' ' || second || '' END || chr(10) || 'Of ' || p_name || '.' || chr(10) || '*' || first || '.*' AS text
+  FROM (SELECT *, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS first, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS second FROM part)""")
 def _(t: Tables) -> DataFrame:
-    return t.nation.filter("n_name RLIKE '^[A-Z][A-Z ]+$'").select("n_nationkey", X.mark_speakers(F.concat("n_name", F.lit(".\nLines"))).alias("text"))
+    """Names of two words, in capitals, with a small word, without a period; a sentence; a name of one word."""
+    first, second, k = F.initcap(F.substring_index("p_name", " ", 1)), F.substring_index("p_name", " ", -1), F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat(F.initcap("p_name"), F.lit("."))).when(k == 1, F.concat(F.upper("p_name"), F.lit("."))).when(k == 2, F.concat(first, F.lit(" "), second, F.lit("."))).otherwise(F.initcap("p_name"))
+    said = F.concat(name, F.lit("\nOf "), "p_name", F.lit(".\n"), first, F.lit("."))
+    return t.part.select("p_partkey", X.mark_speakers(said).alias("text"))
 
 
 @query("x19_shorten", "SELECT doc_id, CASE WHEN length(text) > 140 THEN rtrim(substr(text, 1, 140), ' ') || '...' ELSE text END AS lede FROM documents")
@@ -270,19 +277,22 @@ def _(t: Tables) -> DataFrame:
 # Filters
 
 
-@query("f01_catalogue", "SELECT p_partkey FROM part WHERE (lower(p_name) LIKE '%1%' OR lower(p_name) LIKE '%22%') AND p_size < 25")
+@query("f01_catalogue", "SELECT p_partkey FROM part WHERE (lower(p_name) LIKE '%old%' OR lower(p_name) LIKE '%e bol%') AND p_size < 25")
 def _(t: Tables) -> DataFrame:
-    return t.part.filter(L.contains_any(F.col("p_name"), ["1", "22"]) & (F.col("p_size") < 25)).select("p_partkey")
+    return t.part.filter(L.contains_any(F.col("p_name"), ["OLD", "e Bol"]) & (F.col("p_size") < 25)).select("p_partkey")
 
 
-@query("f02_f03_select_skip", "SELECT p_partkey FROM part WHERE lower(p_type) LIKE '%st%' AND NOT (lower(p_name) LIKE '%7%' OR lower(p_name) LIKE '%9%')")
+@query("f02_f03_select_skip", "SELECT p_partkey FROM part WHERE lower(p_type) LIKE '%st%' AND NOT (lower(p_name) LIKE '%small%' OR lower(p_name) LIKE '%bolt%')")
 def _(t: Tables) -> DataFrame:
-    return t.part.filter(L.contains_any(F.col("p_type"), ["ST"]) & ~L.contains_any(F.col("p_name"), ["7", "9"])).select("p_partkey")
+    return t.part.filter(L.contains_any(F.col("p_type"), ["ST"]) & ~L.contains_any(F.col("p_name"), ["Small", "BOLT"])).select("p_partkey")
 
 
-@query("f04_structural", rf"SELECT doc_id, pos, regexp_matches(trim(line), '^(?:[IVXLC]+\.?|(?:ACT|SCENE|BOOK|CANTO|PART)\b.*)$') AS structural FROM {ALL_LINES}")
+@query("f04_structural", rf"""SELECT doc_id, pos, regexp_matches(line, '^[IVXLC]+\.?\s*$') OR regexp_matches(line, '^(SCENE|BOOK)\s') OR line IN ('Notes', 'CONTENTS') AS structural
+  FROM (SELECT doc_id, pos, trim(CASE pos % 9 WHEN 0 THEN 'XIV.' WHEN 1 THEN 'BOOK ' || pos WHEN 2 THEN 'CONTENTS' WHEN 3 THEN 'ACT I' WHEN 4 THEN 'SCENE' ELSE line END) AS line FROM {ALL_LINES})""")
 def _(t: Tables) -> DataFrame:
-    return L.lines(t.documents, "doc_id").select("doc_id", "pos", L.is_structural(F.col("line")).alias("structural"))
+    k = F.col("pos") % 9
+    planted = F.when(k == 0, "XIV.").when(k == 1, F.concat(F.lit("BOOK "), "pos")).when(k == 2, "CONTENTS").when(k == 3, "ACT I").when(k == 4, "SCENE").otherwise(F.col("line"))
+    return L.lines(t.documents, "doc_id").select("doc_id", "pos", L.is_structural(planted, ["Notes", "CONTENTS"]).alias("structural"))
 
 
 @query("f05_f06_exclude", "SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2') AND source NOT LIKE '%c1%' AND source NOT LIKE '%9%'")
@@ -299,7 +309,7 @@ def _(t: Tables) -> DataFrame:
 @query("f09_keywords", r"""SELECT doc_id, list_filter(['que', 'the', 'und'], lambda k: regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])' || k || '(?:$|[^\p{L}\p{N}_])')) AS matched FROM documents
   WHERE regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:the|que|und)(?:$|[^\p{L}\p{N}_])')""")
 def _(t: Tables) -> DataFrame:
-    return L.match_keywords(t.documents, "text", ["the", "que", "und"]).select("doc_id", F.array_sort("matched").alias("matched"))
+    return L.match_keywords(t.dealt("documents", "doc_id", "text"), "text", ["the", "que", "und"]).select("doc_id", F.array_sort("matched").alias("matched"))
 
 
 @query("f10_f11_envelope", "SELECT id, stimulus AS text FROM interactions WHERE id % 4 = 0 AND (id % 3 = 0 OR id % 5 = 0) AND stimulus <> ''")
@@ -322,7 +332,7 @@ def reason_sql(text: str) -> str:
 
 @query("f13_safety_texts", f"SELECT doc_id, {reason_sql('text')} AS reason FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", S.safety_reason(F.col("text")).alias("reason"))
+    return t.dealt("documents", "doc_id", "text").select("doc_id", S.safety_reason(F.col("text")).alias("reason"))
 
 
 SAID = "CASE doc_id % 6 WHEN 0 THEN chr(10) || 'Romish rites and' || chr(10) || 'superstition ' WHEN 1 THEN ' the Irish, though never rebel ' WHEN 2 THEN ' woman, thy name is frailty ' WHEN 3 THEN ' Irish ' || repeat('x', 201) || ' rebel ' ELSE '' END"
@@ -333,7 +343,7 @@ def _(t: Tables) -> DataFrame:
     """Whole texts with planted phrases at their end: a newline inside a gap, a gap of over 200 characters."""
     k = F.col("doc_id") % 6
     said = F.when(k == 0, "\nRomish rites and\nsuperstition ").when(k == 1, " the Irish, though never rebel ").when(k == 2, " woman, thy name is frailty ").when(k == 3, F.concat(F.lit(" Irish "), F.repeat(F.lit("x"), 201), F.lit(" rebel "))).otherwise("")
-    return t.documents.select("doc_id", S.safety_reason(F.concat("text", said)).alias("reason"))
+    return t.dealt("documents", "doc_id", "text").select("doc_id", S.safety_reason(F.concat("text", said)).alias("reason"))
 
 
 @query("f15_page_range", "SELECT page_id FROM pages WHERE try_cast(regexp_extract(page_id || 'a', '^(\\d+)', 1) AS INT) BETWEEN 10 AND 99")
