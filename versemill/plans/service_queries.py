@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..operators.filters import line_class
 from ..sources.plaintext import parse
 from ..streaming import pipelines as P
+from ..streaming import timers as T
 from . import service as V
 from .registry import Tables, query
 from .relational_queries import DIST, asked
-from .stream_queries import drained, events
+from .stream_queries import drained, in_order
 
 
 @query("v04_search_by_poet", f"SELECT q.vec_id AS query_id, v.vec_id FROM vectors v JOIN vectors q ON q.vec_id % 20 = 0 AND v.poet = 'poet2' QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}, v.vec_id) <= 4")
@@ -87,10 +88,11 @@ def _(t: Tables) -> DataFrame:
     return poems.select("doc_id", "poem", "title", "stanza", "lines")
 
 
-@query("r11_quiet_triggers", """WITH g AS (SELECT user_id % 3 AS k, ts, (ts - lag(ts) OVER (PARTITION BY user_id % 3 ORDER BY ts) >= INTERVAL 45 MINUTE)::INT AS brk FROM events), s AS (SELECT *, sum(coalesce(brk, 0)) OVER (PARTITION BY k ORDER BY ts) AS i FROM g)
-  SELECT k, max(ts) + INTERVAL 45 MINUTE AS at, count(*) AS n FROM s GROUP BY k, i""")
+@query("r11_quiet_triggers", """WITH e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS ms FROM events), g AS (SELECT key, ms, (ms - lag(ms) OVER (PARTITION BY key ORDER BY ms) >= 2700000)::INT AS brk FROM e), s AS (SELECT *, sum(coalesce(brk, 0)) OVER (PARTITION BY key ORDER BY ms) AS i FROM g)
+  SELECT key, epoch_ms(max(ms) + 2700000)::TIMESTAMPTZ AS "at", count(*) AS n FROM s GROUP BY key, i HAVING max(ms) + 2700000 <= (SELECT max(ms) FROM e)""")
 def _(t: Tables) -> DataFrame:
-    return drained(t, P.quiet_triggers(events(t).select((F.col("user_id") % 3).alias("k"), "ts"), "k", "ts"), "complete")
+    """Triggers that timers fire, by account; those still to come when the stream ends are in its state."""
+    return drained(t, T.quiet_triggers(in_order(t), "user_id", "ts"), "append", timers=True)
 
 
 @query("k09_drop_names", "SELECT id, strftime(ts, '%Y%m%d-%H%M%S') || '-' || replace(stimulus, ' ', '-') || '.md' AS name FROM interactions")

@@ -11,9 +11,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import polled_stream as O
 from ..sources import polling as R
 from ..sources import readers as S
 from ..streaming import pipelines as P
+from ..streaming import timers as T
 from .registry import Tables, query
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -37,7 +39,17 @@ def events(t: Tables) -> DataFrame:
     return P.read_stream(t.spark, f"{t.folder}/events.parque[t]", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
+def in_order(t: Tables, parts: int = 3) -> DataFrame:
+    """The events as a stream of files in order of time: files are written one after the other, each later than the one before."""
+    at = scratch(t)
+    first, last = t.events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.unix_micros(F.col("a").cast("timestamp")), F.unix_micros(F.col("b").cast("timestamp"))).first()
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * parts / (last - first + 1))
+    for n in range(parts):
+        t.events.filter(part == n).coalesce(1).write.parquet(f"{at}/part={n}")
+    return P.read_stream(t.spark, f"{at}/*", EVENTS, files=1).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drained(t: Tables, stream: DataFrame, mode: str, timers: bool = False) -> DataFrame:
     """The rows a stream has put out: all batches of an append, the last of a complete."""
     at = scratch(t)
 
@@ -45,7 +57,10 @@ def drained(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
         folder = f"{at}/out/batch={number}" if mode == "append" else f"{at}/out"
         batch.write.mode("overwrite").parquet(folder)
 
-    P.drain(stream, f"{at}/checkpoint", mode, sink)
+    if timers:
+        T.drain_with_timers(stream, f"{at}/checkpoint", sink)
+    else:
+        P.drain(stream, f"{at}/checkpoint", mode, sink)
     out = t.spark.read.schema(stream.schema).parquet(f"{at}/out")
     return out.select(*stream.columns)
 
@@ -125,24 +140,40 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema("name string, poll int, text string").parquet(*[f"{at}/out/p={p}" for p in (1, 2, 3)])
 
 
-@query("r06_backoff", "WITH RECURSIVE a(n, s) AS (SELECT 1, 0.0::DOUBLE UNION ALL SELECT n + 1, s + least(300.0, 5.0 * 2 ** (n - 1)) FROM a WHERE n < 10) SELECT 'broken' AS source, s AS seconds, false AS answered FROM a UNION ALL SELECT 'flaky', s, ok FROM (VALUES (0.0, false), (5.0, false), (15.0, true)) v(s, ok)")
-def _(t: Tables) -> DataFrame:
-    """One source that always fails and one that fails twice, asked every second for half an hour."""
-    tries = iter((False, False))
+def feed_rounds(t: Tables, kind: str, sources: str, rounds: int, **options: object) -> DataFrame:
+    """Errors as the entries of two feeds, s0 and s1, that show two sixths of them in each round; s1 can't be reached in rounds 2 and 3.
+    The stream is started anew for each round."""
+    at, sixth = scratch(t), F.expr("event_id div 2 % 6 + 1")
+    source = F.concat(F.lit("s"), F.col("event_id").bitwiseAND(1).cast("string"))
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    shown = t.events.filter("event_type = 'error'").select(source.alias("source"), F.explode(F.array(sixth, sixth + 1)).alias("poll"), when.alias("at"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("id"), "event_id")).alias("id"), F.concat(F.lit("link"), "event_id").alias("link"), F.col("event_type").alias("title"), F.col("user_id").cast("string").alias("summary"))
+    shown.filter("NOT (source = 's1' AND poll IN (2, 3))").write.partitionBy("source", "poll").json(f"{at}/feeds")
+    O.register(t.spark)
+    for _ in range(rounds):
+        stream = t.spark.readStream.format("polled").options(path=f"{at}/feeds", sources=sources, kind=kind, **options).load()
+        P.drain(stream, f"{at}/checkpoint", "append", lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}"))
+    return t.spark.read.schema(O.PolledSource({}).schema()).parquet(f"{at}/out").select("source", "round", "key", "at", "text")
+
 
-    def broken() -> DataFrame:
-        raise OSError("unreachable")
+SHOWN = """shown AS (SELECT 's' || (event_id & 1) AS source, unnest([event_id // 2 % 6 + 1, event_id // 2 % 6 + 2]) AS round, CASE WHEN user_id % 2 = 0 THEN 'id' ELSE 'link' END || event_id AS key, ts::TIMESTAMPTZ AS "at", event_type || chr(10) || chr(10) || user_id AS text FROM events WHERE event_type = 'error'),
+  reached AS (SELECT * FROM shown WHERE round <= 5 AND NOT (source = 's1' AND round IN (2, 3)))"""
 
-    def flaky() -> DataFrame:
-        if next(tries, True):
-            return t.nation.select("n_name")
-        raise OSError("not now")
 
-    sources = R.Multiplexer({"broken": broken, "flaky": flaky})
-    for now in range(1800):
-        if "flaky" in sources.round(float(now)):
-            del sources.sources["flaky"]  # it has answered
-    return t.spark.createDataFrame(sources.log, "source string, seconds double, answered boolean")
+@query("r03_r06_feed_stream", f"""WITH {SHOWN} SELECT source, min(round) AS round, key, "at", text FROM reached GROUP BY source, key, "at", text""")
+def _(t: Tables) -> DataFrame:
+    """Each entry comes once, in the first round that reaches it; a third source is never there, and is waited for while the others go on."""
+    return feed_rounds(t, "feed", "s0,none,s1", 5, keep=1_000_000, tick=10)
+
+
+@query("r02_timeline_stream", f"""WITH RECURSIVE {SHOWN}, cursor(source, round, "at", key) AS (
+    SELECT source, 0::BIGINT, TIMESTAMPTZ '1970-01-01 00:00:00+00', '' FROM (VALUES ('s0'), ('s1')) s(source)
+    UNION ALL SELECT c.source, c.round + 1, coalesce(m.top."at", c."at"), coalesce(m.top.key, c.key) FROM cursor c, LATERAL (
+      SELECT max(struct_pack("at" := "at", key := key)) AS top FROM (SELECT r."at", r.key FROM reached r WHERE r.source = c.source AND r.round = c.round + 1 AND (r."at", r.key) > (c."at", c.key) ORDER BY r."at", r.key LIMIT 20) x) m WHERE c.round < 5)
+  SELECT r.source, r.round, r.key, r."at", r.text FROM reached r JOIN cursor a ON a.source = r.source AND a.round = r.round - 1 JOIN cursor b ON b.source = r.source AND b.round = r.round
+  WHERE (r."at", r.key) > (a."at", a.key) AND (r."at", r.key) <= (b."at", b.key)""")
+def _(t: Tables) -> DataFrame:
+    """At most 20 entries of a round, after the cursor that the stream carries."""
+    return feed_rounds(t, "timeline", "s0,s1", 5, most=20, tick=10)
 
 
 @query("r07_configured_sources", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'seed' ELSE 'triage' END AS mode FROM events WHERE event_type IN ('click', 'error')")
@@ -176,27 +207,31 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema("event_id long").parquet(f"{at}/out").groupBy("event_id").agg(F.count("*").cast("int").alias("n"))
 
 
-ADMITTED = """WITH RECURSIVE items AS (SELECT event_id AS id, (user_id % 3)::VARCHAR AS key, epoch_us(ts) / 1e6 AS tm, event_type AS text, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS n FROM events),
+ADMITTED = """WITH RECURSIVE items AS (SELECT event_id AS id, user_id::VARCHAR AS key, epoch_us(ts) / 1e6 AS tm, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
   fold(key, n, id, reason, posts) AS (
     SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, '', []::STRUCT(tm DOUBLE, said VARCHAR)[] FROM items
     UNION ALL
     SELECT key, n, id, reason, CASE WHEN reason = '' THEN list_append(kept, {'tm': tm, 'said': text}) ELSE kept END FROM (
-      SELECT *, CASE WHEN len(list_filter(kept, lambda p: p.tm > tm - 3600)) >= 10 THEN 'hourly cap' WHEN len(list_filter(kept, lambda p: p.tm // 86400 = tm // 86400)) >= 30 THEN 'daily cap'
-        WHEN len(kept) > 0 AND tm - kept[-1].tm < 60 THEN 'cooldown' WHEN len(list_filter(kept, lambda p: p.said = text)) >= 2 THEN 'stimulus dedup' ELSE '' END AS reason
+      SELECT *, CASE WHEN len(list_filter(kept, lambda p: p.tm > tm - 3600)) >= 1 THEN 'hourly cap' WHEN len(list_filter(kept, lambda p: floor(p.tm / 86400) = floor(tm / 86400))) >= 2 THEN 'daily cap'
+        WHEN len(kept) > 0 AND tm - kept[-1].tm < 14400 THEN 'cooldown' WHEN len(list_filter(kept, lambda p: p.said = text)) >= 1 THEN 'stimulus dedup' ELSE '' END AS reason
       FROM (SELECT i.key, i.n, i.id, i.tm, i.text, list_filter(f.posts, lambda p: p.tm > i.tm - 86400) AS kept FROM fold f JOIN items i ON i.key = f.key AND i.n = f.n + 1)))
   SELECT id, key, reason = '' AS admitted, reason FROM fold WHERE n > 0"""
 
 
+#: Accounts here have some two events a day.
+RULES = P.Admission(per_hour=1, per_day=2, cooldown=14400, repeats=1)
+
+
 @query("r10_admission_batch", ADMITTED)
 def _(t: Tables) -> DataFrame:
-    items = t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 3).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_type").alias("text"))
-    return P.Admission().batch(items)
+    items = t.events.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_type").alias("text"))
+    return RULES.batch(items)
 
 
 @query("r10_admission_stream", ADMITTED)
 def _(t: Tables) -> DataFrame:
-    items = events(t).select(F.col("event_id").alias("id"), (F.col("user_id") % 3).cast("string").alias("key"), (F.unix_micros("ts") / 1e6).alias("at"), F.col("event_type").alias("text"))
-    return drained(t, P.Admission().stream(items), "append")
+    items = in_order(t).select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").alias("text"))
+    return drained(t, T.admission(items, RULES), "append", timers=True)
 
 
 @query("r_q04_daily_counts", "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -1,4 +1,4 @@
-"""Sources that are polled (R02-R06): folders whose files change, timelines and feeds with a position, several sources with backoff.
+"""Sources that are polled (R02-R05): folders whose files change, timelines and feeds with a position. As streams: ``polled_stream``.
 
 A poll is a batch: it takes what is new against a small state table and gives the next state, which is stored under a version
 once the batch is done. So a poll that fails, or is repeated, gives the same rows again.
@@ -6,8 +6,6 @@ once the batch is done. So a poll that fails, or is repeated, gives the same row
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,28 +86,3 @@ def poll_feed(entries: DataFrame, seen: DataFrame, most: int = 500) -> tuple[Dat
     new = first.join(seen.select("key"), "key", "left_anti")
     known = new.select("key", "at").unionByName(seen.select("key", "at")).groupBy("key").agg(F.max("at").alias("at"))
     return new, known.orderBy(F.col("at").desc(), F.col("key").desc()).limit(most)
-
-
-class Multiplexer:
-    """Several polled sources in turn. A source that fails waits 5, 10, 20, ... seconds (300 at most) and is given up after
-    ``most_errors`` failures in a row; the others go on meanwhile."""
-
-    def __init__(self, sources: dict[str, Callable[[], DataFrame]], most_errors: int = 10, first_wait: float = 5, longest_wait: float = 300):
-        self.sources, self.most_errors, self.first_wait, self.longest_wait = dict(sources), most_errors, first_wait, longest_wait
-        self.errors, self.due = {name: 0 for name in sources}, {name: 0.0 for name in sources}
-        self.log: list[tuple[str, float, bool]] = []
-
-    def round(self, now: float) -> dict[str, DataFrame]:
-        """The rows of every source that is due and answers. A source's poll must read what it can fail on."""
-        found = {}
-        for name in [n for n in self.sources if self.due[n] <= now]:
-            try:
-                found[name] = self.sources[name]()
-                self.errors[name] = 0
-            except Exception:  # whatever a source fails with, the others go on
-                self.errors[name] += 1
-                self.due[name] = now + min(self.longest_wait, self.first_wait * 2 ** (self.errors[name] - 1))
-                if self.errors[name] >= self.most_errors:
-                    del self.sources[name]
-            self.log.append((name, now, self.errors[name] == 0))
-        return found

@@ -1,4 +1,4 @@
-"""Structured Streaming (R): the batch operators on streams, with event time, watermarks and keyed state."""
+"""Structured Streaming (R): the batch operators on streams, with event time and watermarks. Keyed state with timers: ``timers``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.filters import language_passes, match_keywords, open_envelope
 
@@ -79,7 +78,6 @@ def seed_context(seeds: DataFrame, key: str, value: str, longest: int = 4000) ->
 
 
 ADMITTED = "id long, key string, admitted boolean, reason string"
-STATE = "posts array<double>, seen map<string,array<double>>"
 
 
 class Admission:
@@ -134,18 +132,6 @@ class Admission:
         newest = max(posts, default=0.0)
         return {k: v for k, v in seen.items() if v and v[-1] > newest - 86400}
 
-    def stream(self, items: DataFrame) -> DataFrame:
-        """The same on a stream, batch after batch, with the state kept by key."""
-
-        def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            posts, seen = ([*state.get[0]], {k: [*v] for k, v in (state.get[1] or {}).items()}) if state.exists else ([], {})
-            pdf = pd.concat(list(batches))
-            out = self.fold(pdf, posts, seen)
-            state.update((posts, self.recent(posts, seen)))
-            yield out
-
-        return items.groupBy("key").applyInPandasWithState(update, ADMITTED, STATE, "append", GroupStateTimeout.NoTimeout)
-
 
 def drop_name(at: Column, title: Column) -> Column:
     """The file name under which a clip is dropped."""
@@ -166,11 +152,3 @@ def drop_clips(clips: DataFrame, path: str) -> None:
         stream = at.getFileSystem(conf).create(at, True)
         stream.write(bytearray((row.text or "").encode()))
         stream.close()
-
-
-def quiet_triggers(stream: DataFrame, key: str, at: str, quiet: str = "45 minutes", late: str = "0 seconds") -> DataFrame:
-    """One row for each end of activity after which nothing came for ``quiet``: the time to act on one's own.
-
-    Event time replaces the empty-cycle signal of a poller, so a replay triggers at the same places.
-    """
-    return stream.withWatermark(at, late).groupBy(F.session_window(at, quiet).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.end").alias("at"), "n")
