@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import aggregates as A
+from ..operators import automata as M
 from ..operators import chunking as C
 from ..operators import filters as L
 from ..operators import gaps as G
@@ -333,6 +334,22 @@ def _(t: Tables) -> DataFrame:
     return W.until_latch(L.lines(t.documents, "doc_id"), "doc_id", "pos", F.length("line") > 200).select("doc_id", "pos")
 
 
+@query("w10_w15_w20_one_text", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+  e AS (SELECT *, length(line) < 60 AS brk, length(line) % 7 = 0 AS o, length(line) % 5 = 0 AS c FROM l),
+  s AS (SELECT *, NOT brk AND coalesce(lag(brk) OVER w, true) AS starts, max(CASE WHEN o OR c THEN (doc_id * 100000 + pos) * 2 + (o AND NOT c)::INT END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, max((length(line) > 3000)::INT) OVER w AS latched FROM e WINDOW w AS (ORDER BY doc_id, pos))
+  SELECT doc_id, pos, CASE WHEN NOT brk THEN sum(starts::INT) OVER (ORDER BY doc_id, pos)::BIGINT END AS stanza, NOT (o OR coalesce(last % 2 = 1, false)) AS outside, latched = 0 AS before_latch FROM s""")
+def _(t: Tables) -> DataFrame:
+    """All documents as one text: stanzas, regions and a latch over many partitions of it."""
+    size = F.length("line")
+    lines = L.lines(t.documents, "doc_id").select("doc_id", "pos", size.alias("size"), F.lit("all").alias("one"))
+    order, n = ["doc_id", "pos"], F.col("size")
+    opens, closes, breaks = n % 7 == 0, n % 5 == 0, n < 60
+    read = M.run(lines, "one", order, breaks.cast("int"), M.STRETCHES).withColumnRenamed("counted", "stanza").drop("state", "state_after")
+    read = M.run(read, "one", order, F.when(closes, 2).when(opens, 1).otherwise(0), M.REGIONS).withColumn("outside", ~opens & (F.col("state") == 0)).drop("state", "state_after", "counted")
+    read = M.run(read, "one", order, F.when(n > 3000, 1).otherwise(0), M.LATCH)
+    return read.select("doc_id", "pos", F.when(~breaks, F.col("stanza")).alias("stanza"), "outside", (F.col("state_after") == 0).alias("before_latch"))
+
+
 def stanza_fold(source: str, name: str, least: int = 50, most: int = 300) -> str:
     """SQL of C03 over ``source`` (k, s: texts): CTEs, of which ``name`` has the bounds (k, a, b). One step for each stanza."""
     return f"""{name}_f(k, i, start, chars, n, a, b) AS (SELECT k, 0, 1, 0, 0, NULL::INT, NULL::INT FROM {source} UNION ALL

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from ..sources import polled_stream as O
 from ..sources import polling as R
 from ..sources import readers as S
@@ -19,20 +16,10 @@ from ..streaming import timers as T
 from .registry import Tables, query
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-_own: list[str] = []
 
 
 def scratch(t: Tables) -> str:
-    """A folder in the shared checkpoint folder of the session, or a temporary one where none is set."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="versemill-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        base = f"file://{_own[0]}"
-    return f"{base.rstrip('/')}/versemill/stream-{uuid.uuid4().hex}"
+    return scratch_dir(t.spark, "stream")
 
 
 def events(t: Tables) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +26,19 @@ def get_session(app: str = "versemill", cores: int | str = "*", **conf: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_own: list[str] = []
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder's path in ``spark.checkpoint.dir``, which driver and executors share; in a temporary folder where a local session sets none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="versemill-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        base = f"file://{_own[0]}"
+    return f"{base.rstrip('/')}/versemill/{label}-{uuid.uuid4().hex}"
