@@ -1,11 +1,16 @@
-"""Chunking (C): greedy packing of lines, stanzas and paragraphs, as folds over lengths inside the row.
+"""Chunking (C): greedy packing of lines, stanzas and paragraphs by jumps over running lengths inside the row.
 
-A fold decides only where chunks begin and end; texts are then cut by those bounds, so no text is copied while folding.
+Where a chunk ends is found by a search in the running lengths, so a text costs a search for each chunk, not a step for each
+part. Only lengths go to Python; texts are then cut by the bounds.
 Lengths are characters; tokens are ``chars div 4`` (a token for every four characters).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,70 +20,94 @@ from .sequence import number_repeats
 BOUND = "struct<first:int,last:int>"
 
 
-def _state(**fields: Column) -> Column:
-    return F.struct(F.array().cast(f"array<{BOUND}>").alias("done"), *[v.cast("int").alias(k) for k, v in fields.items()])
-
-
-def _with(acc: Column, bound: Column | None, **fields: Column) -> Column:
-    done = acc["done"] if bound is None else F.concat(acc["done"], F.array(bound))
-    return F.struct(done.alias("done"), *[v.cast("int").alias(k) for k, v in fields.items()])
-
-
 def _bound(first: Column, last: Column) -> Column:
     return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
 
 
-def _indexed(sizes: Column) -> Column:
-    return F.transform(sizes, lambda s, i: F.struct(s.cast("int").alias("size"), (i + 1).alias("i")))
+def _jumps(find: Callable[..., Iterator[tuple[int, int]]]) -> Callable[..., Column]:
+    """``find`` on arrays, as a function on columns: arrays in, bounds out, an Arrow batch at a time. A null array has null bounds."""
+
+    @F.pandas_udf(f"array<{BOUND}>")
+    def bounds(*columns: pd.Series) -> pd.Series:
+        rows = zip(*columns)
+        return pd.Series([None if any(x is None for x in row) else [{"first": a, "last": b} for a, b in find(*row)] for row in rows])
+
+    return bounds
+
+
+def _ends(sizes: np.ndarray, separator: int) -> np.ndarray:
+    """What all parts up to and with each hold, a separator after each: ascending, so a chunk's end is found by search."""
+    return np.cumsum(np.asarray(sizes, np.int64) + separator)
+
+
+def stanza_bounds(sizes: np.ndarray, least: int, most: int) -> Iterator[tuple[int, int]]:
+    """1-based bounds of C03. A chunk from s to i has ends[i] - ends[s - 1] - 1 characters."""
+    n, ends = len(sizes), _ends(sizes, 1)
+    start = at = 0  # the chunk's first part; the first part that may close it
+    while at < n:
+        before = ends[start - 1] if start else 0
+        last = min(n - 1, max(at, int(np.searchsorted(ends, before + 1 + 4 * least))))
+        if (ends[last] - before - 1) // 4 > most and last > start:
+            yield start + 1, last
+            start, at = last, last + 1
+        else:
+            yield start + 1, last + 1
+            start = at = last + 1
+    if start < n:
+        yield start + 1, n
+
+
+def sentence_bounds(sizes: np.ndarray, closing: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """1-based bounds of C04: after the size is reached, the next line that may close."""
+    n, ends, closers = len(sizes), _ends(sizes, 1), np.flatnonzero(np.asarray(closing, bool))
+    start = 0
+    while start < n:
+        before = ends[start - 1] if start else 0
+        reached = max(start, int(np.searchsorted(ends, before + 1 + 4 * most)))
+        k = int(np.searchsorted(closers, reached))
+        last = int(closers[k]) if k < len(closers) else n - 1
+        yield start + 1, last + 1
+        start = last + 1
+
+
+def paragraph_bounds(sizes: np.ndarray, least: int, most: int) -> Iterator[tuple[int, int]]:
+    """1-based bounds of C05. Empty parts at the beginning of a chunk have no separator."""
+    sizes = np.asarray(sizes, np.int64)
+    n, ends, filled = len(sizes), _ends(sizes, 2), np.flatnonzero(sizes > 0)
+    start, done = 0, None
+    while start < n:
+        k = int(np.searchsorted(filled, start))
+        first = int(filled[k]) if k < len(filled) else n
+        before = (ends[first - 1] if first else 0) if first < n else 0
+        following = max(first + 1, int(np.searchsorted(ends, before + 2 + 4 * (most + 1))))
+        if following >= n:
+            left = (ends[n - 1] - before - 2) // 4 if first < n else 0
+            if left < least and done:
+                yield done[0], n
+            else:
+                if done:
+                    yield done
+                yield start + 1, n
+            return
+        if done:
+            yield done
+        done, start = (start + 1, following), following
 
 
 def pack_stanzas(sizes: Column, least: int = 50, most: int = 300) -> Column:
     """Bounds (1-based) of chunks of stanzas: a chunk closes at ``least`` tokens or the last stanza; over ``most`` with more than one stanza, the current one starts the next chunk."""
-    n = F.size(sizes)
-
-    def step(acc: Column, x: Column) -> Column:
-        chars = F.when(acc["count"] > 0, acc["chars"] + 1 + x["size"]).otherwise(x["size"])
-        tokens = F.floor(chars / 4)
-        closes = (tokens >= least) | (x["i"] == n)
-        over = closes & (tokens > most) & (acc["count"] > 0)
-        return F.when(over, _with(acc, _bound(acc["start"], x["i"] - 1), start=x["i"], chars=x["size"], count=F.lit(1))).when(
-            closes, _with(acc, _bound(acc["start"], x["i"]), start=x["i"] + 1, chars=F.lit(0), count=F.lit(0))
-        ).otherwise(_with(acc, None, start=acc["start"], chars=chars, count=acc["count"] + 1))
-
-    finish = lambda acc: F.when(acc["count"] > 0, F.concat(acc["done"], F.array(_bound(acc["start"], n)))).otherwise(acc["done"])
-    return F.aggregate(_indexed(sizes), _state(start=F.lit(1), chars=F.lit(0), count=F.lit(0)), step, finish)
+    return _jumps(lambda s: stanza_bounds(s, least, most))(sizes)
 
 
 def split_sentences(lines: Column, most: int = 300) -> Column:
     """Bounds of groups of lines: a group closes at the first line that ends a sentence once it has ``most`` tokens."""
-    n = F.size(lines)
-    items = F.transform(lines, lambda s, i: F.struct(F.length(s).alias("size"), (i + 1).alias("i"), F.rtrim(s).rlike(r"[.!?;]$").alias("ends")))
-
-    def step(acc: Column, x: Column) -> Column:
-        chars = F.when(acc["start"] < x["i"], acc["chars"] + 1 + x["size"]).otherwise(x["size"])
-        closes = (F.floor(chars / 4) >= most) & x["ends"]
-        return F.when(closes, _with(acc, _bound(acc["start"], x["i"]), start=x["i"] + 1, chars=F.lit(0))).otherwise(_with(acc, None, start=acc["start"], chars=chars))
-
-    finish = lambda acc: F.when(acc["start"] <= n, F.concat(acc["done"], F.array(_bound(acc["start"], n)))).otherwise(acc["done"])
-    return F.aggregate(items, _state(start=F.lit(1), chars=F.lit(0)), step, finish)
+    sizes, closing = F.transform(lines, F.length), F.transform(lines, lambda s: F.rtrim(s).rlike(r"[.!?;]$"))
+    return _jumps(lambda s, c: sentence_bounds(s, c, most))(sizes, closing)
 
 
 def pack_paragraphs(sizes: Column, least: int = 80, most: int = 500) -> Column:
     """Bounds of prose chunks; a tail under ``least`` tokens joins the chunk before, or stands alone where there is none."""
-    n = F.size(sizes)
-
-    def step(acc: Column, x: Column) -> Column:
-        chars = F.when(acc["chars"] > 0, acc["chars"] + 2 + x["size"]).otherwise(x["size"])
-        closes = (F.floor(chars / 4) > most) & (acc["chars"] > 0)
-        return F.when(closes, _with(acc, _bound(acc["start"], x["i"] - 1), start=x["i"], chars=x["size"])).otherwise(_with(acc, None, start=acc["start"], chars=chars))
-
-    def finish(acc: Column) -> Column:
-        k = F.size(acc["done"])
-        tail = (F.floor(acc["chars"] / 4) < least) & (k > 0)
-        joined = F.concat(F.slice(acc["done"], F.lit(1), F.greatest(k - 1, F.lit(0))), F.array(_bound(F.get(acc["done"], k - 1)["first"], n)))
-        return F.when(n <= 0, acc["done"]).when(tail, joined).otherwise(F.concat(acc["done"], F.array(_bound(acc["start"], n))))
-
-    return F.aggregate(_indexed(sizes), _state(start=F.lit(1), chars=F.lit(0)), step, finish)
+    return _jumps(lambda s: paragraph_bounds(s, least, most))(sizes)
 
 
 def cut(parts: Column, bounds: Column, separator: str) -> Column:
