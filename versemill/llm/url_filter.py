@@ -3,7 +3,7 @@ r"""URL filters: rules first, then link-graph propagation for the hosts that no
 Trust starts at hosts in proportion to their urls that a rule allows and flows along links (personalised PageRank);
 distrust starts at hosts in proportion to their urls that a rule blocks and flows against links. Edges are links to
 other hosts found in the pages' href attributes, quoted or not (a relative link stays on its host and adds nothing), and
-ties, both ways, between a host and each domain above it, down to the registered one (its last ``domain_labels`` names).
+ties, both ways, between a host and each domain above it, down to the registered one (one name below a public suffix).
 A linked host without pages is part of the graph, with the distinct urls that link to it as its urls, and so is a domain
 without pages, with none: distrust of one host reaches the others of its domain through it. Links from one host to another
 count once a page; parallel ones are summed before anything is shuffled by host, so a hot host is one row for each neighbour.
@@ -72,13 +72,26 @@ def host_links(links: DataFrame) -> DataFrame:
     return found.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def domain_ties(hosts: DataFrame, domain_labels: int = 2) -> DataFrame:
-    """(src, dst): each host and the domain right above it, and so on up to the registered domain."""
+#: Common suffixes of two labels under which unrelated owners register. A full list is passed as a parameter.
+PUBLIC_SUFFIXES = (
+    "ac.jp", "ac.uk", "asn.au", "blogspot.com", "co.at", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.bd",
+    "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn",
+    "edu.au", "firebaseapp.com", "github.io", "gitlab.io", "go.jp", "gov.au", "gov.uk", "herokuapp.com", "ltd.uk", "ne.jp", "net.au", "net.br", "net.cn", "netlify.app", "or.jp",
+    "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "pages.dev", "plc.uk", "sch.uk", "vercel.app", "web.app", "wordpress.com",
+)
+
+
+def domain_ties(hosts: DataFrame, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> DataFrame:
+    """(src, dst): each host and the domain right above it, and so on up to the registered domain: one label more than a listed suffix, else two labels.
+
+    So hosts under one public suffix have no tie through it.
+    """
     names = F.split("host", r"\.")
-    named = hosts.filter((F.length("host") <= 253) & ~F.col("host").rlike(r"(^|\.)\d*(:\d*)?$")).select(names.alias("names"))
-    named = named.filter(F.size("names") > domain_labels)
+    named = hosts.filter((F.length("host") <= 253) & ~F.col("host").rlike(r"(^|\.)\d*(:\d*)?$"))
+    registered = F.when(F.substring_index(F.regexp_replace("host", r":\d*$", ""), ".", -2).isin(*suffixes), 3).otherwise(2)
+    named = named.select(names.alias("names"), registered.alias("labels")).filter(F.size("names") > F.col("labels"))
     suffix = lambda k: F.array_join(F.slice("names", k, F.size("names")), ".")
-    steps = F.transform(F.sequence(F.lit(1), F.size("names") - domain_labels), lambda k: F.struct(suffix(k).alias("src"), suffix(k + 1).alias("dst")))
+    steps = F.transform(F.sequence(F.lit(1), F.size("names") - F.col("labels")), lambda k: F.struct(suffix(k).alias("src"), suffix(k + 1).alias("dst")))
     return named.select(F.inline(steps)).distinct()
 
 
@@ -140,8 +153,11 @@ def propagate(nodes: DataFrame, edges: DataFrame, staging: Staging, rounds: int
     return scores.selectExpr("a AS host", *[f"{w}_now AS {w}" for w in WALKS])
 
 
-def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int | None = None, damping: float = 0.85, block_lift: int = 1, tolerance: float = 0.01, domain_labels: int = 2) -> DataFrame:
-    """(page_id, host, path, rule, verdict, host_trust, host_distrust) for every row."""
+def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int | None = None, damping: float = 0.85, block_lift: int = 1, tolerance: float = 0.01, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES, tie_weight: int = 1) -> DataFrame:
+    """(page_id, host, path, rule, verdict, host_trust, host_distrust) for every row.
+
+    ``tie_weight``: the weight of a tie between a host and the domain above it, where a page's link has 1; 0 for links alone.
+    """
     staging = Staging(pages.sparkSession, "url-filter")
     host, path = url_parts(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -152,10 +168,10 @@ def judge_pages(pages: DataFrame, *, rules=RULES, rounds: int | None = None, dam
     hosts = staging.write(counted, "hosts")
     links = staging.write(linked_urls(parsed), "links")
     known = staging.write(hosts.unionByName(linked_hosts(links, hosts, rules)), "known")
-    ties = staging.write(domain_ties(known, domain_labels), "ties")
+    ties = staging.write(domain_ties(known if tie_weight else known.limit(0), suffixes), "ties")
     above = ties.select(F.col("dst").alias("host")).distinct().join(known.select("host"), "host", "left_anti")
     nodes = staging.write(known.unionByName(above.select("host", *[F.lit(0).cast("long").alias(n) for n in ("urls", "allowed", "blocked")])), "nodes")
-    both = ties.unionByName(ties.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1).cast("long"))
+    both = ties.unionByName(ties.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(tie_weight).cast("long"))
     edges = staging.write(host_links(links).unionByName(both), "parts").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     urls = nodes.agg(F.sum("urls")).first()[0] or 1
     scores = propagate(nodes, staging.write(edges, "edges"), staging, rounds, damping, tolerance * UNIT / urls)
