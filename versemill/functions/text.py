@@ -132,23 +132,6 @@ def strip_marker(text: Column) -> Column:
     return F.regexp_replace(text, r"^\[(contemplate|compare|engage_self)\]\s*", "")
 
 
-def first_url(text: Column) -> Column:
-    """The first link, or null."""
-    return F.nullif(F.regexp_extract(text, r"https?://[^\s)>\]]+", 0), F.lit(""))
-
-
-def clip_kind(text: Column, longest: int = 150) -> Column:
-    """Short clips are quoted, long ones linked."""
-    return F.when(F.regexp_count(text, F.lit(r"\S+")) <= longest, "epigraph").otherwise("link")
-
-
-def quotes(text: Column) -> Column:
-    """The quoted stretches of 15 characters or more, each with its kind: verse (two `` / `` or more), prose (25 words or more), inline."""
-    found = F.regexp_extract_all(text, F.lit('"([^"]{15,})"'), F.lit(1))
-    kind = lambda q: F.when(F.regexp_count(q, F.lit(" / ")) >= 2, "verse").when(F.size(F.split(F.trim(q), r"\s+")) >= 25, "prose").otherwise("inline")
-    return F.transform(found, lambda q: F.struct(q.alias("quote"), kind(q).alias("kind")))
-
-
 def mark_speakers(text: Column) -> Column:
     """Lines that are a name and a period (words that begin with a capital, one blank between) set off by asterisks."""
     return F.regexp_replace(text, r"(?m)^([A-Z][a-zA-Z]*(?: [A-Z][a-zA-Z]*)*\.)$", "*$1*")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import safety as S
+from ..functions import spans as X2
 from ..functions import text as X
 from ..operators import filters as L
 from .registry import Tables, query
@@ -112,16 +113,37 @@ def _(t: Tables) -> DataFrame:
     return t.interactions.select("id", X.strip_marker(marked).alias("stimulus"))
 
 
-@query("x16_first_url", """SELECT p.page_id, p.url, CASE WHEN len(regexp_extract_all(d.text, '[^\\s]+')) + 2 <= 150 THEN 'epigraph' ELSE 'link' END AS kind FROM pages p JOIN documents d ON d.doc_id = p.page_id WHERE d.text NOT LIKE '%http%'""")
+CLIPPED = """c AS (SELECT p.page_id, p.url, p.page_id % 5 AS k, d.text AS body FROM pages p JOIN documents d ON d.doc_id = p.page_id),
+  w AS (SELECT *, trim(regexp_replace(body, '^[\\s]+|[\\s]+$', '', 'g'), ' ') AS clean, len(regexp_extract_all(body, '[^\\s]+')) AS n FROM c)"""
+
+
+@query("x16_clips", f"""WITH {CLIPPED} SELECT page_id, CASE WHEN n <= 150 THEN 'epigraph' ELSE 'link' END AS mode, CASE WHEN n <= 150 THEN md5(clean) END AS digest,
+    CASE k WHEN 2 THEN NULL WHEN 3 THEN 'https://example.org/a/b' ELSE url END AS uri, CASE k WHEN 0 THEN 'Title ' || page_id WHEN 1 THEN CASE WHEN n > 150 THEN 'someone' END WHEN 3 THEN CASE WHEN n > 150 THEN 'example.org' END END AS label FROM w WHERE k <> 4 AND NOT (k = 2 AND n > 150)""")
 def _(t: Tables) -> DataFrame:
-    clip = t.pages.join(t.documents.filter("text NOT LIKE '%http%'"), F.col("page_id") == F.col("doc_id")).withColumn("clip", F.concat(F.lit("see "), "url", F.lit("\n"), "text"))
-    return clip.select("page_id", X.first_url(F.col("clip")).alias("url"), X.clip_kind(F.col("clip")).alias("kind"))
+    """Clips with a heading; by an author; from a private reader; with a source line; of one's own."""
+    k = F.col("page_id") % 5
+    text = F.when(k == 0, F.concat(F.lit("# Title "), "page_id", F.lit("\n\n"), "text")).when(k == 3, F.concat(F.lit("Source: https://example.org/a/b\n"), "text")).otherwise(F.col("text"))
+    uri = F.when(k == 2, "https://read.amazon.com/kp/x").when(k == 3, F.lit(None).cast("string")).otherwise(F.col("url"))
+    author = F.when(k == 1, "someone").when(k == 4, "self")
+    shown = t.pages.join(t.documents, F.col("page_id") == F.col("doc_id")).select("page_id", X2.clip(text, uri, author).alias("c")).filter("c IS NOT NULL")
+    return shown.select("page_id", "c.mode", F.md5("c.text").alias("digest"), "c.uri", "c.label")
 
 
-@query("x17_quotes", r"""SELECT doc_id, q AS quote, CASE WHEN len(regexp_extract_all(q, ' / ')) >= 2 THEN 'verse' WHEN len(regexp_split_to_array(trim(q), '\s+')) >= 25 THEN 'prose' ELSE 'inline' END AS kind
-  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]{15,})"', 1)) AS q FROM documents)""")
+@query("x17_quotes", r"""WITH q AS (SELECT doc_id, unnest(CASE doc_id % 6 WHEN 0 THEN [('"words of ' || doc_id || '" — Keats', 'words of ' || doc_id, 'inline', 'Keats')] WHEN 1 THEN [('“curly ' || doc_id || '”', 'curly ' || doc_id, 'inline', NULL)]
+    WHEN 3 THEN [('"one ' || doc_id || ' / two / three".', 'one ' || doc_id || ' / two / three', 'verse', NULL)] WHEN 4 THEN [('"' || trim(repeat('word ', 30)) || '"!', trim(repeat('word ', 30)), 'prose', NULL)]
+    WHEN 5 THEN [('"first" — A.', 'first', 'inline', 'A.'), ('"second ' || doc_id || '"', 'second ' || doc_id, 'inline', NULL)] ELSE [] END) AS x, doc_id % 6 AS k FROM documents)
+  SELECT doc_id, strpos(CASE k WHEN 0 THEN 'He said ' WHEN 1 THEN 'A ' WHEN 3 THEN 'It goes ' WHEN 4 THEN 'So: ' ELSE CASE WHEN x[2] = 'first' THEN '' ELSE '"first" — A. B; then ' END END || '~', '~')::INT - 1 AS start,
+    strpos(CASE k WHEN 0 THEN 'He said ' WHEN 1 THEN 'A ' WHEN 3 THEN 'It goes ' WHEN 4 THEN 'So: ' ELSE CASE WHEN x[2] = 'first' THEN '' ELSE '"first" — A. B; then ' END END || '~', '~')::INT - 1 + length(x[1])::INT AS stop, x[2] AS quote, x[3] AS kind, x[4] AS author FROM q""")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.inline(X.quotes(F.col("text"))))  # whole texts, as a quote may span lines
+    """Attributed, curly, too short, verse and prose with a mark after it, attributed before bare; then the text itself, whose quotes are none."""
+    said = {0: 'He said "words of %s" — Keats, and more. ', 1: "A “curly %s” end. ", 2: 'An "abc%.0s" only. ', 3: 'It goes "one %s / two / three". Next. ', 4: f'So: "{("word " * 30).strip()}%.0s"! ', 5: '"first" — A. B; then "second %s" '}
+    k = F.col("doc_id") % 6
+    text = F.lit(None).cast("string")
+    for n, form in said.items():
+        head, _, tail = form.replace("%.0s", "").partition("%s") if "%s" in form else (form.replace("%.0s", ""), "", "")
+        text = F.when(k == n, F.concat(F.lit(head), F.col("doc_id").cast("string") if "%s" in form else F.lit(""), F.lit(tail))).otherwise(text)
+    whole = F.concat(text, F.translate("text", '"“”', ""))
+    return t.documents.select("doc_id", F.inline(X2.quotations(whole)))
 
 
 @query("x18_speakers", r"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '*' || first || ' ' || second || '.*' WHEN 1 THEN '*' || upper(p_name) || '.*' WHEN 2 THEN first || ' ' || split_part(p_name, ' ', 2) || '.' ELSE first || ' ' || second || '' END || chr(10) || 'Of ' || p_name || '.' || chr(10) || '*' || first || '.*' AS text
