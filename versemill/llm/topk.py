@@ -4,7 +4,9 @@ Vectors are dealt into cells of one block of queries and one shard of candidates
 their mass and candidates lie dimension by dimension. For a batch of queries the partial products are built up block of
 dimensions by block, one matrix product each. After each block, what the dimensions left can still add is at most the
 product of both remainders' lengths; candidates that can reach no query's k-th best any more are dropped and the survivors
-compacted. The k-th best comes from the candidates searched before, run by run.
+compacted. A cell begins with a score that k candidates reach: the whole products of those that are best over the first block;
+it rises with what is found, run by run. Queries and candidates are sorted by the nearest of some pivots, so that a batch and a
+run point one way and fall together.
 
 Components are whole numbers. Vectors whose squares sum to less than 2^52 are narrow: by the Cauchy-Schwarz inequality
 every partial product of two of them is exact in doubles, so pruning never has to guess at ties. The others are wide; they
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .staging import MOST_TASKS, Staging
 
 NARROW = 2.0**52
+PIVOTS = 64
 
 
 def usable(vector: Column) -> Column:
@@ -55,20 +58,36 @@ class _Cell:
         self.lengths = np.sqrt(rest[0])
         self.rest = np.sqrt(np.vstack([rest[1:], np.zeros((1, len(ids)))]))  # length of what follows each block
         self.runs = [(a, min(a + run, len(ids))) for a in range(0, len(ids), run)]
+        self.products = 0  # of two components, besides those of the seeds
+
+    def _seed(self, rows: np.ndarray, queries: np.ndarray, slack: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(products over the first block of all candidates, a score that k candidates reach for each query): the whole products of the candidates that are best there."""
+        a, b = self.steps[0]
+        sums = queries[:, a:b] @ self.columns[a:b]
+        self.products += sums.size * (b - a)
+        least = np.full(len(rows), -np.inf)
+        n = min(len(self.ids), 4 * (k + 1))
+        if n > k:
+            picks = np.argpartition(sums, -n, axis=1)[:, -n:]
+            for q, some in enumerate(picks):
+                within = queries[q] @ self.columns[:, some] - slack[q] * self.lengths[some]
+                least[q] = np.sort(within[self.rows[some] != rows[q]])[-k]
+        return sums, least
 
     def search(self, rows: np.ndarray, queries: np.ndarray, whole: np.ndarray | None, unit: int, k: int) -> list[tuple[list[int], list[int]]]:
         """For each query (scores, ids) of the best, by score and then id."""
         queries = queries[:, self.order]
         rest = np.sqrt(np.array([np.square(queries[:, b:]).sum(axis=1) for _, b in self.steps]))
-        whole_length = np.sqrt(np.square(queries).sum(axis=1))
+        slack = ((1e-12 if self.whole is None else 1e-9) * np.sqrt(np.square(queries).sum(axis=1)))[:, None]
         best: list[tuple[list[int], list[int]]] = [([], []) for _ in rows]
-        least = np.full(len(rows), -np.inf)
+        begun, least = self._seed(rows, queries, slack, k)
         for first, last in self.runs:
-            alive, sums = np.arange(first, last), np.zeros((len(rows), last - first))
-            slack = (1e-12 if self.whole is None else 1e-9) * whole_length[:, None]
+            alive, sums = np.arange(first, last), begun[:, first:last]
             for s, (a, b) in enumerate(self.steps):
-                whole_run = len(alive) == last - first
-                sums = sums + queries[:, a:b] @ (self.columns[a:b, first:last] if whole_run else self.columns[a:b, alive])
+                if s:
+                    whole_run = len(alive) == last - first
+                    sums = sums + queries[:, a:b] @ (self.columns[a:b, first:last] if whole_run else self.columns[a:b, alive])
+                    self.products += sums.size * (b - a)
                 if np.isneginf(least).any():
                     continue
                 reach = sums + rest[s][:, None] * self.rest[s, alive] + slack * self.lengths[alive]
@@ -93,11 +112,11 @@ class _Cell:
                 found = sorted(zip(best[q][0] + exact, best[q][1] + self.ids[some].tolist()), key=lambda x: (-x[0], x[1]))[:k]
                 best[q] = [s for s, _ in found], [i for _, i in found]
                 if len(found) == k:
-                    least[q] = found[-1][0] / (unit * self.unit)
+                    least[q] = max(least[q], found[-1][0] / (unit * self.unit))
         return best
 
 
-def _search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, scale: int, block: int, run: int, batch: int = 256) -> pd.DataFrame:
+def _search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, scale: int, block: int, run: int, batch: int = 32) -> pd.DataFrame:
     out = []
     if len(queries) and len(candidates):
         candidates = candidates.sort_values(["vec_id", "row"])
@@ -111,6 +130,11 @@ def _search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, scale:
             else:
                 sides.append((np.floor(raw * scale), None, 1))
         (vectors, whole, unit), (asked, asked_whole, asked_unit) = sides
+        # Vectors of one direction lie together: a batch of queries then has one bound in common, and runs of candidates fall as one.
+        pivots = vectors[:: -(-len(vectors) // PIVOTS)]
+        turn, asked_turn = (np.argsort((x @ pivots.T).argmax(axis=1), kind="stable") for x in (vectors, asked))
+        vectors, whole, candidates = vectors[turn], whole and [whole[i] for i in turn], candidates.iloc[turn]
+        asked, asked_whole, queries = asked[asked_turn], asked_whole and [asked_whole[i] for i in asked_turn], queries.iloc[asked_turn]
         cell = _Cell(candidates.vec_id.to_numpy(), candidates.row.to_numpy(), vectors, whole, unit, block, run)
         names, rows = queries.vec_id.to_numpy(), queries.row.to_numpy()
         clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
@@ -122,7 +146,7 @@ def _search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, scale:
 
 
 def top_k(
-    vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, cell_bytes: int = 1 << 23, block: int = 16, run: int = 2048,
+    vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, cell_bytes: int = 1 << 23, block: int = 16, run: int = 512,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` marks, its ``k`` best among the others."""
