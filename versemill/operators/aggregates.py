@@ -99,3 +99,8 @@ def ordered_text(rows: DataFrame, by: str, text: str, order: str, separator: str
     """Texts joined in order."""
     parts = F.sort_array(F.collect_list(F.struct(order, text)))
     return rows.groupBy(by).agg(F.array_join(F.transform(parts, lambda x: x[text]), separator).alias("joined"))
+
+
+def surnames(rows: DataFrame, author: str) -> DataFrame:
+    """(surname, n): what stands before the first comma of an author, or all of it where there is none; null authors are counted as null."""
+    return rows.groupBy(F.trim(F.substring_index(author, ",", 1)).alias("surname")).agg(F.count("*").alias("n"))

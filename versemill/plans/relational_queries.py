@@ -11,6 +11,7 @@ from ..operators import automata as M
 from ..operators import chunking as C
 from ..operators import filters as L
 from ..operators import gaps as G
+from ..operators import intervals as I
 from ..operators import joins as J
 from ..operators import retrieval as R
 from ..operators import sequence as W
@@ -220,6 +221,15 @@ def _(t: Tables) -> DataFrame:
     return A.work_sizes(t.documents, "source")
 
 
+@query("a11_surnames", "SELECT CASE WHEN n_name LIKE '%5%' THEN n_name ELSE 'Mr ' || n_name END AS surname, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM customer WHERE c_custkey % 1000 = 0 HAVING count(*) > 0")
+def _(t: Tables) -> DataFrame:
+    """Customers as authors, "Surname, First" or without a comma, some null."""
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    author = F.when(F.contains("n_name", F.lit("5")), F.concat(F.lit(" "), "n_name", F.lit(" , "), "c_name")).otherwise(F.concat(F.lit("Mr "), "n_name", F.lit(" ")))
+    authors = named.select(author.alias("author")).unionByName(t.customer.filter("c_custkey % 1000 = 0").select(F.lit(None).cast("string").alias("author")))
+    return A.surnames(authors, "author")
+
+
 @query("a20_joined", "SELECT conv_id, string_agg(role, ' | ' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
 def _(t: Tables) -> DataFrame:
     return A.ordered_text(t.conversations, "conv_id", "role", "turn", " | ")
@@ -246,9 +256,11 @@ def _(t: Tables) -> DataFrame:
     return J.expand_groups(groups(t)).select("id", X.int_to_roman(F.col("place") + 1).alias("part"))
 
 
-@query("w03_repeat_numbers", "SELECT doc_id, source || CASE WHEN n = 1 THEN '' ELSE '-dup' || (n - 1) END AS unique_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
+@query("w03_repeat_numbers", "SELECT doc_id, id || CASE WHEN n = 1 THEN '' ELSE '-dup' || (n - 1) END AS unique_id FROM (SELECT doc_id, id, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS n FROM (SELECT doc_id, source || '-' || lower(regexp_extract(text, '^[A-Za-z]{0,3}')) AS id FROM documents))")
 def _(t: Tables) -> DataFrame:
-    return W.number_repeats(t.documents.select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "unique_id")
+    """Ids as chunks have them, source and beginning of the text; those of nearby texts collide."""
+    ids = F.concat_ws("-", "source", F.lower(F.regexp_extract("text", "^[A-Za-z]{0,3}", 0)))
+    return W.number_repeats(t.documents.select("doc_id", ids.alias("id")), "id", ["doc_id"]).select("doc_id", "unique_id")
 
 
 @query("w04_distinct_texts", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY source, doc_id) = 1")
@@ -329,6 +341,26 @@ def _(t: Tables) -> DataFrame:
     return W.outermost(spans, "k")
 
 
+SPANS = "s AS (SELECT l_suppkey AS k, l_orderkey % 900 AS start, l_orderkey % 900 + (l_quantity::BIGINT * l_linenumber) % 60 AS stop, l_orderkey * 10 + l_linenumber AS id FROM lineitem)"
+
+
+def any_spans(t: Tables) -> DataFrame:
+    """Spans that overlap, nest, touch, are equal or empty, some 600 of a key."""
+    start = F.col("l_orderkey") % 900
+    return t.lineitem.select(F.col("l_suppkey").alias("k"), start.alias("start"), (start + (F.col("l_quantity").cast("long") * F.col("l_linenumber")) % 60).alias("stop"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+
+
+@query("w18_any_spans", f"WITH {SPANS} SELECT id, start, stop FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.k = s.k AND o.start <= s.start AND o.stop >= s.stop AND (o.start < s.start OR o.stop > s.stop) AND NOT (s.start = s.stop AND o.stop = s.start))")
+def _(t: Tables) -> DataFrame:
+    return I.outermost(any_spans(t), "k").select("id", "start", "stop")
+
+
+@query("j17_stabbing", f"WITH {SPANS} SELECT o_orderkey, count(*) AS spans, max(stop) AS latest FROM orders JOIN s ON s.k = o_custkey % 100 AND s.start <= o_orderkey % 900 AND o_orderkey % 900 < s.stop GROUP BY o_orderkey")
+def _(t: Tables) -> DataFrame:
+    points = t.orders.select("o_orderkey", (F.col("o_custkey") % 100).alias("k"), (F.col("o_orderkey") % 900).alias("pos"))
+    return I.stabbing(points, any_spans(t), "k").groupBy("o_orderkey").agg(F.count("*").alias("spans"), F.max("stop").alias("latest"))
+
+
 @query("w20_latch", f"WITH {LINES} SELECT doc_id, pos FROM l QUALIFY max((length(line) > 200)::INT) OVER (PARTITION BY doc_id ORDER BY pos) = 0")
 def _(t: Tables) -> DataFrame:
     return W.until_latch(L.lines(t.documents, "doc_id"), "doc_id", "pos", F.length("line") > 200).select("doc_id", "pos")
