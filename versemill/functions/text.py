@@ -266,13 +266,6 @@ def post_lines(text: Column) -> Column:
     return F.filter(F.transform(flat, lambda p: F.trim(F.regexp_replace(p, r"\s*\n\s*", " "))), lambda p: p != "")
 
 
-def selected_ids(text: Column) -> Column:
-    """Whole-number ids from what a model returns: arrays of numbers, of numerals, or of objects with an id; anything else is dropped."""
-    item = F.filter(F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull())
-    number = lambda x: F.coalesce(F.when(x.rlike(r"^\s*\d{1,18}\s*$"), F.trim(x)), F.nullif(F.regexp_extract(x, r'^\s*\{.*?"id"\s*:\s*"?(\d{1,18})"?', 1), F.lit("")))
-    return F.transform(F.filter(F.transform(item, number), lambda x: x.isNotNull()), lambda x: x.cast("long"))
-
-
 def passage(text: Column) -> Column:
     """A passage as struct (chunk_id, poet): from an object, or a bare id with defaults."""
     return F.when(text.rlike(r"^\s*\{"), F.struct(F.get_json_object(text, "$.chunk_id").alias("chunk_id"), F.coalesce(F.get_json_object(text, "$.poet"), F.lit("")).alias("poet"))).otherwise(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import safety as S
 from ..functions import spans as X2
 from ..functions import text as X
+from ..functions import variants as V
 from ..operators import filters as L
 from .registry import Tables, query
 
@@ -261,11 +262,26 @@ def _(t: Tables) -> DataFrame:
     return t.interactions.select("id", X.json_strings(F.when(F.col("id") % 3 == 0, F.lit('{"broken": ')).otherwise(F.col("themes"))).alias("themes"))
 
 
-@query("x61_selected_ids", "SELECT id, CASE id % 4 WHEN 0 THEN [id, id + 1] WHEN 1 THEN [id] WHEN 2 THEN [id] ELSE [] END AS ids FROM interactions")
+def answers(t: Tables) -> DataFrame:
+    """(id, answer): selected ids in each shape that is known to come, and in some that can't be read."""
+    n, k = F.col("id"), F.col("id") % 8
+    shapes = ['[{"id": %1$d, "tier": "notebook", "reason": "r"}, {"tier": "x"}]', '[%1$d, "%1$d", true, null, 1.5]', '"[%1$d]"', '[[{"id": %1$d}, %1$d], {"id": %1$d}]', "[trunc %1$d", '{"id": %1$d}', '["{\\"id\\": %1$d}", "none", "007"]']
+    raw = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        raw = F.when(k == i, F.format_string(shape, n)).otherwise(raw)
+    return t.interactions.select("id", V.selected(raw).alias("answer"))
+
+
+@query("x61_selected_ids", """SELECT id, unnest(CASE id % 8 WHEN 0 THEN [(id::VARCHAR, 'notebook', 'r')] WHEN 1 THEN [(id::VARCHAR, 'publish', ''), (id::VARCHAR, 'publish', '')] WHEN 2 THEN [(id::VARCHAR, 'publish', '')]
+  WHEN 3 THEN [(id::VARCHAR, NULL, NULL), (id::VARCHAR, NULL, NULL)] WHEN 6 THEN [(id::VARCHAR, NULL, NULL), ('7', 'publish', '')] END) AS x, x[1] AS kept_id, x[2] AS tier, x[3] AS reason FROM interactions""".replace("SELECT id, unnest", "SELECT id, kept_id, tier, reason FROM (SELECT id, unnest") + ")")
+def _(t: Tables) -> DataFrame:
+    return answers(t).select("id", F.inline("answer.kept")).toDF("id", "kept_id", "tier", "reason")
+
+
+@query("x61_k06_dropped_ids", """SELECT id, item, reason FROM (SELECT id, unnest(CASE id % 8 WHEN 0 THEN [('{"tier":"x"}', 'no id')] WHEN 1 THEN [('true', 'no number, no object'), ('null', 'no number, no object'), ('1.5', 'no number, no object')]
+  WHEN 3 THEN [(id::VARCHAR, 'no id')] WHEN 4 THEN [('[trunc ' || id, 'no JSON')] WHEN 5 THEN [('{"id":' || id || '}', 'no list')] WHEN 6 THEN [('"none"', 'no number, no object')] END) AS x, x[1] AS item, x[2] AS reason FROM interactions)""")
 def _(t: Tables) -> DataFrame:
-    k = F.col("id") % 4
-    raw = F.when(k == 0, F.format_string('[%d, "%d", true]', "id", F.col("id") + 1)).when(k == 1, F.format_string('[{"id": %d, "why": "x"}]', "id")).when(k == 2, F.format_string('["%d", "none", null]', "id"))
-    return t.interactions.select("id", X.selected_ids(raw.otherwise("[trunc")).alias("ids"))
+    return V.failures(answers(t), "id", "answer")
 
 
 @query("x62_post_lines", "SELECT id, CASE id % 3 WHEN 0 THEN [stimulus, author] WHEN 1 THEN [stimulus || ' ' || author] ELSE [stimulus] END AS posts FROM interactions")
