@@ -82,12 +82,12 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("r03_feed_poll", """WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'id' || user_id WHEN event_id % 3 = 1 THEN 'link' || user_id ELSE event_type END AS key, ts FROM events),
-  seen AS (SELECT key, min(ts) AS first FROM e WHERE ts < TIMESTAMP '2024-01-15' GROUP BY key ORDER BY first DESC, key DESC LIMIT 50) SELECT key, min(ts) AS "at" FROM e WHERE key NOT IN (SELECT key FROM seen) GROUP BY key""")
+  seen AS (SELECT key, min(ts) AS first FROM e WHERE ts < TIMESTAMP '2024-01-01 12:00:00' GROUP BY key ORDER BY first DESC, key DESC LIMIT 50) SELECT key, min(ts) AS "at" FROM e WHERE key NOT IN (SELECT key FROM seen) GROUP BY key""")
 def _(t: Tables) -> DataFrame:
     k = F.col("event_id") % 3
     key = R.entry_id(F.when(k == 0, F.concat(F.lit("id"), "user_id")).otherwise(" "), F.when(k <= 1, F.concat(F.lit("link"), "user_id")), F.col("event_type"))
     entries = t.events.select(key.alias("key"), F.col("ts").alias("at"))
-    _, seen = R.poll_feed(entries.filter("at < TIMESTAMP_NTZ '2024-01-15'"), entries.limit(0), most=50)
+    _, seen = R.poll_feed(entries.filter("at < TIMESTAMP_NTZ '2024-01-01 12:00:00'"), entries.limit(0), most=50)
     return R.poll_feed(entries, seen, most=50)[0]
 
 
