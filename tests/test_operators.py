@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from versemill.functions import safety, text, variants
+from versemill.functions import safety, spans, text, variants
 from versemill.operators import chunking, eventlog, filters, gaps, joins, retrieval, sequence
 from versemill.sources import books, readers
 from versemill.streaming import pipelines
@@ -228,10 +228,12 @@ def test_line_queries_read_all_lines(spark, tmp_path):
     docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
     assert sorted(map(tuple, L.lines(docs, "doc_id").select("doc_id", "pos", X.tei_line(F.col("line"))).collect())) == [(d, i, " ".join(x.replace("<note>x</note>", "").replace("ſ", "s").split())) for d, i, x in lines]
     assert got("f04_structural") == [(d, i, i % 9 < 3) for d, i, x in lines]  # what is planted at these places
-    assert got("x17_quotes") == [(0, "a quote over\ntwo whole lines", "inline")]
+    assert docs.select("doc_id", F.inline(spans.quotations(F.col("text")))).select("doc_id", "quote", "kind").collect() == [(0, "a quote over\ntwo whole lines", "inline")]
     whole = F.split("text", "\n", -1)
     assert docs.filter("doc_id = 0").select(X.drop_title_lines(whole, F.get(whole, F.lit(0)))).first()[0] == texts[0].split("\n")[2:]
-    assert got("j16_prefixes") == [(1, 8), (2, 9)]
+    first = F.substring_index("text", "\n", 1)
+    prefixes = spark.read.parquet(f"file://{tmp_path}/benchmark.parquet").select(first.alias("prefix"), F.col("item_id").alias("title"), F.col("item_id").alias("place"))
+    assert sorted(map(tuple, joins.first_prefix(docs.select("doc_id", first.alias("line")), prefixes, 8).select("doc_id", "title").collect())) == [(1, 8), (2, 9)]
     assert got("s13_plaintext") == [(0, 2, "THE TITLE.", 1, ["first verse    12  ", 'he wrote "a quote over', 'two whole lines" then']), (1, 2, "ACT II", 0, [" some <note>x</note>ſed\tline "]), (1, 3, "QUIET", 0, ["end"])]
 
 
