@@ -33,3 +33,23 @@ def test_a_key_of_very_many_spans_is_in_many_tasks(spark):
     assert I.outermost(many, "k").count() == -(-200_000 // 7)
     text = I.outermost(many, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in text and "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_stabbed_is_the_pairs_counted(spark):
+    rng = random.Random(5)
+    spans = [(rng.choice(["a", "b", None]), s := rng.randrange(-40, 40), s + rng.randrange(0, 25)) for _ in range(300)] + [("a", None, 3), ("b", -3, 1 << 38)]
+    df = spark.createDataFrame(spans, "k string, start long, stop long")
+    points = spark.createDataFrame([(rng.choice(["a", "b", "z", None]), rng.choice([None, *range(-45, 70)]), i) for i in range(200)], "k string, pos int, p int")
+    pairs = I.stabbing(points, df, "k").groupBy("p").agg(F.count("*").alias("spans"), F.max("stop").alias("latest"))
+    assert sorted(map(tuple, I.stabbed(points, df, "k").select("p", "spans", "latest").collect())) == sorted(map(tuple, pairs.collect()))
+    assert I.stabbed(points, df.limit(0), "k").count() == 0 and I.outermost(df.filter("start = stop").limit(3), "k").count() >= 0
+
+
+def test_work_grows_with_rows_not_with_pairs(spark):
+    """4000 points in each of 4000 equal spans: 16 million pairs, of which none is made; bins up to the longest span only."""
+    one = spark.range(4000).select(F.lit("k").alias("k"), F.lit(7).alias("pos"), "id")
+    spans = spark.range(4000).select(F.lit("k").alias("k"), F.lit(5).alias("start"), F.lit(9).alias("stop"))
+    found = I.stabbed(one, spans, "k")
+    assert found.agg(F.count("*"), F.min("spans"), F.max("latest")).first() == (4000, 4000, 9)
+    assert spans.select(F.max(F.size(I.bins_of_interval(F.lit(5), F.lit(9))))).first()[0] <= 4
+    assert I._binned(one, "pos", spans, "b").count() == 4 * 4000

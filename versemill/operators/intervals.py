@@ -18,8 +18,13 @@ def _down(x: Column, k: Column) -> Column:
     return F.call_function("shiftright", x, k)
 
 
+def _sizes(length: Column) -> Column:
+    """The highest level that an interval of this length can fill, and one more against the logarithm's rounding; null for an empty one."""
+    return F.when(length > 0, F.least(F.floor(F.log2(length)).cast("int") + 1, F.lit(LEVELS)))
+
+
 def bins_of_interval(start: Column, stop: Column) -> Column:
-    """Array of (level, bin) that together are [start, stop)."""
+    """Array of (level, bin) that together are [start, stop). Only sizes up to the interval's own are tried."""
 
     def at(k: Column) -> Column:
         low, high = -_down(-start, k), _down(stop, k)
@@ -28,13 +33,15 @@ def bins_of_interval(start: Column, stop: Column) -> Column:
         right = F.when(some & (high % 2 != 0), high - 1)
         return F.transform(F.array_compact(F.array(left, right)), lambda b: F.struct(k.alias("level"), b.alias("bin")))
 
-    levels = F.sequence(F.lit(0), F.lit(LEVELS))
+    levels = F.coalesce(F.sequence(F.lit(0), _sizes(stop - start)), F.array().cast("array<int>"))
     return F.flatten(F.transform(levels, at))
 
 
-def bins_of_point(at: Column) -> Column:
-    """Array of (level, bin): the bin of each size that holds the point."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), _down(at, k).alias("bin")))
+def _binned(points: DataFrame, at: str, intervals: DataFrame, out: str) -> DataFrame:
+    """A row for each bin that holds the point, up to the size of the longest interval (start, stop as long), and one without a bin where none fits."""
+    top = intervals.agg(F.max(F.col("stop") - F.col("start")).alias("_n")).select(_sizes(F.col("_n")).alias("_n")).scalar()
+    levels = points.withColumn("_top", top).withColumn("_l", F.explode_outer(F.sequence(F.lit(0), F.col("_top"))))
+    return levels.withColumn(out, F.struct(F.col("_l").alias("level"), _down(F.col(at), F.col("_l")).alias("bin"))).drop("_top", "_l")
 
 
 def _long(df: DataFrame, *columns: str) -> DataFrame:
@@ -43,12 +50,27 @@ def _long(df: DataFrame, *columns: str) -> DataFrame:
 
 def stabbing(points: DataFrame, intervals: DataFrame, by: str, at: str = "pos") -> DataFrame:
     """Each pair of a point and an interval (``by``, start, stop, ...) of its key that holds it, once."""
-    p = _long(points, at).withColumn("_b", F.explode(bins_of_point(F.col(at).cast("long"))))
+    p = _long(points, at)
     i = _long(intervals, "start", "stop")
+    p = _binned(p, at, i, "_b")
     i = i.withColumn("_b", F.explode(bins_of_interval(F.col("start"), F.col("stop")))).withColumnRenamed(by, "_by")
     return p.join(i, (p[by] == i["_by"]) & (p["_b"] == i["_b"])).drop("_b", "_by")
 
 
+def stabbed(points: DataFrame, intervals: DataFrame, by: str, at: str = "pos") -> DataFrame:
+    """Each point that some interval of its key holds, with their number ``spans`` and their latest end ``latest``, without the pairs.
+
+    A bin has one row, whatever number of intervals it is part of, and a place is looked up once for all points there, so the
+    work grows with rows, not with pairs.
+    """
+    i = _long(intervals, "start", "stop")
+    held = i.select(F.col(by).alias("_by"), F.explode(bins_of_interval(F.col("start"), F.col("stop"))).alias("_b"), "stop").groupBy("_by", "_b").agg(F.count("*").alias("_n"), F.max("stop").alias("_until"))
+    p = _long(points, at)
+    places = _binned(p.select(F.col(by).alias("_of"), F.col(at).alias("_at")).distinct(), "_at", i, "_p")
+    found = places.join(held, (F.col("_of") == F.col("_by")) & (F.col("_p") == F.col("_b"))).groupBy("_of", "_at").agg(F.sum("_n").alias("spans"), F.max("_until").alias("latest"))
+    return p.join(found, (p[by] == F.col("_of")) & (p[at] == F.col("_at"))).drop("_of", "_at")
+
+
 def outermost(spans: DataFrame, by: str) -> DataFrame:
     """Spans (``by``, start, stop, ...) that lie in no other of their key; spans that overlap in part both stay. Equal spans stay or go together.
 
@@ -59,8 +81,8 @@ def outermost(spans: DataFrame, by: str) -> DataFrame:
     s = _long(spans, "start", "stop")
     bins = s.select(F.col(by).alias("_by"), F.explode(bins_of_interval(F.col("start") + 1, F.col("stop"))).alias("_b"), "stop")
     held = bins.groupBy("_by", "_b").agg(F.max("stop").alias("_until"))
-    alike = s.groupBy(F.col(by).alias("_by"), F.col("start").alias("_start")).agg(F.max("stop").alias("_longest"))
-    places = s.select(by, "start").distinct().withColumn("_b", F.explode(bins_of_point(F.col("start"))))
-    reach = places.join(held, (F.col(by) == F.col("_by")) & (places["_b"] == held["_b"])).groupBy(F.col(by).alias("_of"), F.col("start").alias("_at")).agg(F.max("_until").alias("_until"))
-    out = s.join(alike, (s[by] == F.col("_by")) & (s["start"] == F.col("_start"))).join(reach, (s[by] == F.col("_of")) & (s["start"] == F.col("_at")), "left")
+    alike = s.groupBy(F.col(by).alias("_of"), F.col("start").alias("_at")).agg(F.max("stop").alias("_longest"))
+    places = _binned(alike, "_at", s, "_p")
+    reach = places.join(held, (F.col("_of") == F.col("_by")) & (F.col("_p") == F.col("_b")), "left").groupBy("_of", "_at").agg(F.max("_longest").alias("_longest"), F.max("_until").alias("_until"))
+    out = s.join(reach, (s[by] == F.col("_of")) & (s["start"] == F.col("_at")))
     return out.filter((F.col("stop") == F.col("_longest")) & (F.col("_until").isNull() | (F.col("_until") < F.col("stop")))).select(*spans.columns)

@@ -358,7 +358,7 @@ def _(t: Tables) -> DataFrame:
 @query("j17_stabbing", f"WITH {SPANS} SELECT o_orderkey, count(*) AS spans, max(stop) AS latest FROM orders JOIN s ON s.k = o_custkey % 100 AND s.start <= o_orderkey % 900 AND o_orderkey % 900 < s.stop GROUP BY o_orderkey")
 def _(t: Tables) -> DataFrame:
     points = t.orders.select("o_orderkey", (F.col("o_custkey") % 100).alias("k"), (F.col("o_orderkey") % 900).alias("pos"))
-    return I.stabbing(points, any_spans(t), "k").groupBy("o_orderkey").agg(F.count("*").alias("spans"), F.max("stop").alias("latest"))
+    return I.stabbed(points, any_spans(t), "k").groupBy("o_orderkey").agg(F.sum("spans").alias("spans"), F.max("latest").alias("latest"))
 
 
 @query("w20_latch", f"WITH {LINES} SELECT doc_id, pos FROM l QUALIFY max((length(line) > 200)::INT) OVER (PARTITION BY doc_id ORDER BY pos) = 0")
