@@ -1,4 +1,4 @@
-"""Vector retrieval (J07-J09, T, W05, W06): filter, then exact nearest neighbours; queries are a stated, small table."""
+"""Vector retrieval (J07-J09, T, W05, W06): filter, then exact nearest neighbours (``nearest.py``)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine_distance
+from .nearest import PLACES, nearest
 from .sequence import cap_kind
 
 #: Bytes of query vectors that may travel to every task.
@@ -29,22 +30,24 @@ def distances(corpus: DataFrame, queries: DataFrame, extra: Column | None = None
     return pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("query_vector")))
 
 
-def search(corpus: DataFrame, queries: DataFrame, n: int, *, id_col: str = "vec_id", cap_type: str | None = None, cap: int = 1, fetch: int | None = None, extra: Column | None = None) -> DataFrame:
-    """The ``n`` nearest rows of each query with rank, ties by id.
+def search(corpus: DataFrame, queries: DataFrame, n: int, *, id_col: str = "vec_id", cap_type: str | None = None, cap: int = 1, fetch: int | None = None, differ: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """The ``n`` nearest rows of each query with rank, by the distance to nine decimals, ties by id.
 
-    ``cap_type``: at most ``cap`` rows of that type. ``fetch``: look at only so many nearest before capping (then fewer than ``n`` may come back).
-    The limit by rank is applied in each task before the shuffle.
+    ``cap_type``: at most ``cap`` rows of that type; null is another. ``fetch``: look at only so many nearest before capping (then fewer than ``n`` may come back).
+    ``differ``: columns of a row and of a query that must differ. What each cell of rows and queries can contribute is small; it is ranked after.
     """
-    found = distances(corpus, queries, extra).select("query_id", id_col, "type", "distance")
-    by = Window.partitionBy("query_id").orderBy("distance", id_col)
+    order = lambda: [F.col("distance").asc_nulls_last(), id_col]
+    by = Window.partitionBy("query_id").orderBy(*order())
+    capped = F.col("type") == cap_type
+    # Nothing past the n nearest of the other kinds and the cap nearest of the capped one can count.
+    kind = F.lit(0) if cap_type is None else F.when(capped, 1).otherwise(0)
+    most = {0: n, 1: cap} if fetch is None else {0: fetch, 1: fetch}
+    found = nearest(corpus, queries, most, kind, id_col=id_col, differ=differ).withColumn("distance", F.round("distance", PLACES))
     if cap_type is None:
-        return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
+        return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n).drop("kind")
     if fetch is not None:
         found = found.withColumn("_f", F.row_number().over(by)).filter(F.col("_f") <= fetch).drop("_f")
-    else:  # nothing past the n nearest of the other kinds and the cap nearest of this one can count
-        kind = Window.partitionBy("query_id", F.col("type") == cap_type).orderBy("distance", id_col)
-        found = found.withColumn("_k", F.row_number().over(kind)).filter(F.col("_k") <= F.lit(max(n, cap))).drop("_k")
-    return cap_kind(found, "query_id", ["distance", id_col], F.col("type") == cap_type, cap, n)
+    return cap_kind(found, "query_id", order(), F.col("kind") == 1, cap, n).drop("kind")
 
 
 def search_multi(corpus: DataFrame, queries: DataFrame, each: int, n: int, id_col: str = "vec_id") -> DataFrame:
@@ -56,7 +59,7 @@ def search_multi(corpus: DataFrame, queries: DataFrame, each: int, n: int, id_co
 
 def contrast(corpus: DataFrame, items: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """The nearest row of another poet. ``items``: (query_id, query_vector, query_poet)."""
-    return search(corpus, items, 1, id_col=id_col, extra=(F.col("poet") != F.col("query_poet")) & (F.col(id_col) != F.col("query_id")))
+    return search(corpus, items, 1, id_col=id_col, differ=(("poet", "query_poet"), (id_col, "query_id")))
 
 
 def browse(chunks: DataFrame, poet: str, limit: int, cap: int = 50) -> DataFrame:

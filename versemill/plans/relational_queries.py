@@ -64,7 +64,7 @@ def _(t: Tables) -> DataFrame:
   SELECT query_id, vec_id, round(distance, 5) + 0.0::DOUBLE AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM c WHERE type <> 'prose' OR run <= 1) WHERE rank <= 5""")
 def _(t: Tables) -> DataFrame:
     corpus = t.vectors.filter("period <> 2").filter(L.not_in_any_case(F.col("poet"), ["poet1"]))
-    found = R.search(corpus, asked(t), 5, cap_type="prose", cap=1, extra=F.col("vec_id") != F.col("query_id"))
+    found = R.search(corpus, asked(t), 5, cap_type="prose", cap=1, differ=(("vec_id", "query_id"),))
     return rounded(found).select("query_id", "vec_id", "distance", "rank")
 
 
