@@ -54,12 +54,19 @@ def overlay_text(base: DataFrame, overrides: DataFrame, key: str, columns: list[
     return joined.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).drop("_k", *[f"_{c}" for c in columns])
 
 
-def first_prefix(lines: DataFrame, prefixes: DataFrame, least: int) -> DataFrame:
-    """Each line with the title of the first listed prefix that it starts with. The first ``least`` characters of a prefix, or all of a shorter one, make the equality; an empty prefix fits nothing."""
-    p = prefixes.filter("prefix <> ''").select("prefix", "title", "place", F.substring("prefix", 1, least).alias("_head"))
-    heads = F.array_distinct(F.array(*[F.substring("line", 1, n) for n in range(1, least + 1)]))
-    joined = lines.withColumn("_head", F.explode(heads)).join(p, "_head").filter(F.startswith("line", "prefix"))
-    return joined.groupBy(*lines.columns).agg(F.min_by("title", "place").alias("title"))
+def first_prefix(lines: DataFrame, prefixes: DataFrame, least: int | None = None) -> DataFrame:
+    """Each line with the title of the first listed prefix that it starts with; an empty prefix fits nothing.
+
+    Different beginnings of lines, cut at each length that some prefix has, meet different prefixes by equality, so neither
+    repeated lines nor prefixes that begin alike make pairs. ``least`` is of no effect any more: equality needs no shortest length.
+    """
+    p = prefixes.filter("prefix <> ''").groupBy("prefix").agg(F.min_by("title", "place").alias("_title"), F.min("place").alias("_place"))
+    sizes = p.agg(F.collect_set(F.length("prefix")).alias("_sizes"), F.max(F.length("prefix")).alias("_most"))
+    cut = lines.withColumn("_begin", F.substring("line", F.lit(1), F.coalesce(sizes.select("_most").scalar(), F.lit(0))))
+    begins = cut.select("_begin").distinct().withColumn("_sizes", sizes.select("_sizes").scalar()).withColumn("_size", F.explode("_sizes"))
+    heads = begins.filter(F.length("_begin") >= F.col("_size")).select("_begin", F.substring("_begin", F.lit(1), F.col("_size")).alias("_head"))
+    found = heads.join(p, F.col("_head") == F.col("prefix")).groupBy(F.col("_begin").alias("_of")).agg(F.min_by("_title", "_place").alias("title"))
+    return cut.join(found, F.col("_begin") == F.col("_of")).select(*lines.columns, "title")
 
 
 def between_marks(marks: DataFrame, points: DataFrame, by: str) -> DataFrame:
@@ -118,6 +125,34 @@ def fuzzy_best(asked: DataFrame, lines: DataFrame, candidates: DataFrame, thresh
     return best.groupBy("ask_id").agg(F.min(F.struct((-F.col("score")).alias("_m"), "line_id")).alias("_b")).select("ask_id", F.col("_b.line_id"), (-F.col("_b._m")).alias("score"))
 
 
+def fuzzy_best_of_group(rows: DataFrame, by: list[str], threshold: float, score: Callable[[Column, Column], Column], may: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """For each row (ask_id, text, ``by``) the row of its group with another id whose text is most like it: (ask_id, line_id, score), from ``threshold`` on, ties to the smallest id.
+
+    Different texts of a group are compared, not rows: a text stands for all rows that hold it, by its smallest id, and for
+    each of these rows by the next one. ``may`` is a cheap test without which two texts can't reach the threshold.
+    """
+    key = [*by, "text"]
+    texts = rows.dropna(subset=key).groupBy(*key).agg(F.min("ask_id").alias("_first"))
+    a, b = texts.select(*by, F.col("text").alias("_a")), texts.select(*by, F.col("text").alias("_l"), "_first")
+    pairs = a.join(b, by).filter(F.col("_a") != F.col("_l"))
+    pairs = (pairs.filter(may(F.col("_a"), F.col("_l"))) if may else pairs).withColumn("_s", score(F.col("_a"), F.col("_l"))).filter(F.col("_s") >= threshold)
+    near = pairs.groupBy(*by, F.col("_a").alias("text")).agg(F.min(F.struct((-F.col("_s")).alias("_m"), F.col("_first").alias("line_id"))).alias("_near"))
+    mine = rows.join(texts, key)
+    second = mine.filter(F.col("ask_id") > F.col("_first")).groupBy(*key).agg(F.min("ask_id").alias("_second"))
+    known = texts.join(second, key, "left").join(near, key, "left").drop("_first")
+    own = F.when(F.col("ask_id") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+    alike = score(F.col("text"), F.col("text"))
+    same = F.when(own.isNotNull() & (alike >= threshold), F.struct((-alike).alias("_m"), own.alias("line_id")))
+    best = mine.join(known, key).select("ask_id", F.least(same, "_near").alias("_b")).filter("_b IS NOT NULL")
+    best = best.groupBy("ask_id").agg(F.min("_b").alias("_b"))
+    return best.select("ask_id", F.col("_b.line_id"), (-F.col("_b._m")).alias("score"))
+
+
+def lengths_near(threshold: int) -> Callable[[Column, Column], Column]:
+    """Whether two texts' lengths let ``whole_ratio`` reach ``threshold``: the edit distance is at least their difference."""
+    return lambda a, b: 100 * F.least(F.length(a), F.length(b)) >= threshold * F.greatest(F.length(a), F.length(b))
+
+
 def whole_ratio(a: Column, b: Column) -> Column:
     """100 * (1 - edit distance over the longer length), rounded down: a score for texts that should match as a whole; no UDF."""
     return F.floor(100 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))).cast("int")

@@ -99,9 +99,7 @@ def _(t: Tables) -> DataFrame:
   SELECT ask_id, max(score) AS score, min(line_id) FILTER (score = top) AS line_id FROM (SELECT *, max(score) OVER (PARTITION BY ask_id) AS top FROM s WHERE score >= 70) GROUP BY ask_id""")
 def _(t: Tables) -> DataFrame:
     a = t.part.select(F.col("p_partkey").alias("ask_id"), F.concat("p_name", "p_type").alias("text"), "p_brand", F.expr("p_size div 10").alias("sizes"))
-    b = a.withColumnRenamed("ask_id", "line_id")
-    pairs = a.select("ask_id", "p_brand", "sizes").join(b.select("line_id", "p_brand", "sizes"), ["p_brand", "sizes"]).filter("ask_id <> line_id").select("ask_id", "line_id")
-    return J.fuzzy_best(a, b, pairs, 70, J.whole_ratio).select("ask_id", "line_id", "score")
+    return J.fuzzy_best_of_group(a, ["p_brand", "sizes"], 70, J.whole_ratio, J.lengths_near(70)).select("ask_id", "line_id", "score")
 
 
 GROUPS = "g AS (SELECT doc_id // 4 AS group_id, doc_id AS id, (row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) - 1)::INT AS place FROM documents)"
@@ -135,7 +133,7 @@ def _(t: Tables) -> DataFrame:
     first = F.substring_index("text", "\n", 1)
     start = F.substring(first, F.lit(1), (F.col("doc_id") % 20 + 5).cast("int"))
     prefixes = t.documents.select(start.alias("prefix"), F.col("doc_id").alias("title"), F.col("doc_id").alias("place"))
-    return J.first_prefix(t.documents.select("doc_id", first.alias("line")), prefixes, 8).select("doc_id", "title")
+    return J.first_prefix(t.documents.select("doc_id", first.alias("line")), prefixes).select("doc_id", "title")
 
 
 @query("j17_between", f"WITH {LINES} SELECT doc_id, pos, max(CASE WHEN length(line) > 120 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos)::VARCHAR AS name FROM l QUALIFY length(line) <= 120")
