@@ -45,15 +45,21 @@ def used_chunks(log: DataFrame, now: Column, hours: int = 48) -> DataFrame:
 def trailing_count(log: DataFrame, seconds: int, by: str | None = None, out: str = "n_trailing") -> DataFrame:
     """For each row, rows in the window of ``seconds`` up to and with it (of its key, if ``by`` is given).
 
-    Time is cut into blocks of ``seconds``; a row is counted in its own block and the next, so a window reaches across any
-    boundary and a task holds two blocks of a key at most, however long the log.
+    Time is cut into blocks of ``seconds``; a time enters in its own block, and enters and leaves again in the next, so a
+    window reaches across any boundary and is a running sum, whose cost doesn't grow with the rows in a window. Rows of one
+    time are counted first.
     """
-    micros = seconds * 1_000_000
-    keyed = log.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_own", F.expr(f"floor(_at / {micros})"))
-    seen = keyed.withColumn("_block", F.explode(F.array("_own", F.col("_own") + 1)))
-    window = Window.partitionBy(*([by] if by else []), "_block").orderBy("_at").rangeBetween(-micros, 0)
-    counted = seen.withColumn(out, F.count("*").over(window)).filter(F.col("_block") == F.col("_own"))
-    return counted.drop("_at", "_own", "_block")
+    micros, key = seconds * 1_000_000, [by] if by else []
+    keyed = log.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    times = keyed.filter("_at IS NOT NULL").groupBy(*key, "_at").agg(F.count("*").alias("_n"))
+    block = F.expr(f"(_at - pmod(_at, {micros})) div {micros}")
+    step = lambda b, at, n, own: F.struct(b.alias("_block"), at.alias("_t"), n.alias("_step"), F.lit(own).alias("_own"))
+    at, n = F.col("_at"), F.col("_n")
+    steps = times.select(*key, F.inline(F.array(step(block, at, n, True), step(block + 1, at, n, False), step(block + 1, at + micros + 1, -n, False))))
+    running = F.sum("_step").over(Window.partitionBy(*key, "_block").orderBy("_t"))
+    counted = steps.withColumn(out, running).filter("_own").select(*[F.col(c).alias("_by") for c in key], "_t", out)
+    on = [F.col("_at") == F.col("_t"), *([F.col(by).eqNullSafe(F.col("_by"))] if by else [])]
+    return keyed.join(counted, on).select(*log.columns, out)
 
 
 def value_or_default(table: DataFrame, key: str, value: object, defaults: dict[str, object]) -> DataFrame:
