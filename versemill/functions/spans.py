@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ def matches(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, state, step, lambda acc: acc["out"])
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it, inside functions of elements too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def outside(spans: Column, taken: Column) -> Column:
     """Those spans that begin in none of ``taken``."""
     return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (t["start"] <= s["start"]) & (s["start"] < t["stop"])))
@@ -42,6 +48,11 @@ def _kind(quote: Column) -> Column:
 
 
 def quotations(text: Column) -> Column:
+    """The quotations of a text, which is computed once."""
+    return once(text, _quotations)
+
+
+def _quotations(text: Column) -> Column:
     """(start, stop, quote, kind, author) by start. Attributed quotations come first; bare ones, of four characters or more,
     are taken where they begin outside those. Verse (three lines or more) and prose (25 words or more) take a closing mark along."""
 
@@ -55,8 +66,10 @@ def quotations(text: Column) -> Column:
 
         return F.transform(spans, one)
 
-    by_author = described(matches(text, ATTRIBUTED), ATTRIBUTED, True)
-    return F.array_sort(F.concat(by_author, outside(described(matches(text, BARE), BARE, False), by_author)))
+    def both(by_author: Column) -> Column:
+        return F.array_sort(F.concat(by_author, outside(described(matches(text, BARE), BARE, False), by_author)))
+
+    return once(described(matches(text, ATTRIBUTED), ATTRIBUTED, True), both)
 
 
 def escaped(text: Column) -> Column:
