@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import once
+
 WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
 ITEM = "array<struct<id: string, tier: string, reason: string>>"
 
@@ -50,7 +52,11 @@ def _named(v: Column) -> Column:
 
 
 def _flat(parts: Column) -> Column:
-    return F.struct(F.flatten(F.transform(parts, lambda p: p["kept"])).alias("kept"), F.flatten(F.transform(parts, lambda p: p["dropped"])).alias("dropped"))
+    return once(parts, lambda x: F.struct(F.flatten(F.transform(x, lambda p: p["kept"])).alias("kept"), F.flatten(F.transform(x, lambda p: p["dropped"])).alias("dropped")))
+
+
+def _typed(v: Column) -> Column:
+    return F.struct(v.alias("v"), kind(v).alias("k"))
 
 
 def selected(raw: Column) -> Column:
@@ -61,18 +67,21 @@ def selected(raw: Column) -> Column:
     """
     default = lambda id_: _judged(_item(id_, F.lit("publish"), F.lit("")), None)
 
-    def one(given: Column) -> Column:
-        v = _unpacked(given)
-        number = (kind(v) == "string") & _text(v).rlike(WHOLE)  # such as 007, which is no JSON
+    def one(item: Column) -> Column:
+        v, k = item["v"], item["k"]
+        number = (k == "string") & _text(v).rlike(WHOLE)  # such as 007, which is no JSON
         nested = _flat(F.transform(F.coalesce(elements(v), F.array().cast("array<variant>")), _named))
         return (
-            F.when(kind(v) == "object", _named(v)).when(kind(v) == "whole", default(_text(v))).when(number, default(F.trim(_text(v)).cast("long"))).when(kind(v) == "array", nested)
+            F.when(k == "object", _named(v)).when(k == "whole", default(_text(v))).when(number, default(F.trim(_text(v)).cast("long"))).when(k == "array", nested)
             .otherwise(_judged(None, F.to_json(v), "no number, no object"))
         )
 
-    list_of = _unpacked(F.try_parse_json(raw))
-    whole = _flat(F.transform(F.coalesce(elements(list_of), F.array().cast("array<variant>")), one))
-    return F.when(raw.isNull(), _judged(None, None)).when(list_of.isNull(), _judged(None, raw, "no JSON")).when(kind(list_of) != "array", _judged(None, F.to_json(list_of), "no list")).otherwise(whole)
+    def read(text: Column, given: Column) -> Column:
+        v, k = given["v"], given["k"]
+        items = F.transform(F.transform(F.try_variant_get(v, "$", "array<variant>"), _unpacked), _typed)
+        return F.when(text.isNull(), _judged(None, None)).when(v.isNull(), _judged(None, text, "no JSON")).when(k != "array", _judged(None, F.to_json(v), "no list")).otherwise(_flat(F.transform(items, one)))
+
+    return once(raw, lambda text: once(_unpacked(F.try_parse_json(text)), lambda v: once(_typed(v), lambda given: read(text, given))))
 
 
 def failures(rows: DataFrame, key: str, answer: str) -> DataFrame:
