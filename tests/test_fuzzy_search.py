@@ -30,6 +30,37 @@ def test_bounds_and_ratios_against_the_plain_ratio():
             assert (top >= plain - 1e-6)[lines.sizes >= asked.sizes[q]].all()
 
 
+def test_questions_of_one_word_lose_nothing():
+    """Lines and questions of 1 to 64 characters and more, the whole width of a word, ends of lines, low and high bars."""
+    rng = random.Random(3)
+    for _ in range(40):
+        letters = "abcdé "[: rng.choice([2, 4, 6])]
+        text = lambda most: "".join(rng.choice(letters) for _ in range(rng.randrange(1, most + 1)))
+        lines = [text(rng.choice([1, 4, 30, 64, 200])) for _ in range(14)] + ["x" * 70, "ab" * 32]
+        texts = [text(rng.choice([1, 5, 20, 64])) for _ in range(6)] + ["ba" * 32, lines[0][:64], "zq"]
+        asked = S.WordQuestions(texts)
+        plain = np.array([[partial_ratio(q, t) for t in lines] for q in texts])
+        bars = np.array([rng.choice([1.0, 50.0, 70.0, 90.0, top, 100.0]) for top in plain.max(axis=1)])
+        found = np.zeros_like(plain)
+        for ask, line, score in S.WordLines(lines, asked).reaching(bars):
+            np.maximum.at(found, (ask, line), score)
+        reached = plain >= bars[:, None]
+        assert (found[reached] == plain[reached]).all() and (found <= plain).all()
+        assert (S.WordLines(lines, asked).seeds() <= plain.max(axis=1)).all()
+
+
+def test_few_lines_are_verified_where_the_best_line_lost_a_word(spark):
+    """Prose of few syllables, as long as the documents': pairs of letters tell little, so a tenth of the lines used to be verified."""
+    rng = random.Random(4)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "or", "ti", "st", "ble", "ing", "and", "the", "that"]
+    words = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    lines = [words(rng.randrange(20, 60)) for _ in range(400)]
+    asked = [(i, " ".join(lines[i].split(" ")[:3]) + "  " + " ".join(lines[i].split(" ")[4:8])) for i in range(0, 400, 10)]
+    found = S.best_lines(spark.createDataFrame(asked, "ask_id long, text string"), spark.createDataFrame(list(enumerate(lines)), "line_id long, text string").coalesce(1)).collect()
+    assert [r.ask_id for r in sorted(found)] == [r.line_id for r in sorted(found)] == list(range(0, 400, 10))
+    assert sum(r.verified for r in found) < 0.02 * len(lines) * len(found)
+
+
 def corpus(rng, n):
     words = ["".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
     return [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 20))) for _ in range(n)]

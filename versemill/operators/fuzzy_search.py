@@ -12,11 +12,21 @@ only for what the one before left:
 3. The ratio itself, all stretches of a line at a time.
 
 What is asked for is a question's best line, so a bound must reach the best score known so far. A first pass over the lines
-takes from each batch the line with most longer stretches shared, and gives every question a bar; the second finds all that reach it.
+takes from each slice the stretch with most grams shared, and gives every question a bar; the second finds all that reach it.
 Where no line is good, the bar is the threshold and little can be left out: the search is then exact at the cost of all lines.
 
+Questions of at most 64 characters, whose bit row is one word, need no pairs of letters: many questions and many stretches are
+walked at once (``WordLines``), so that a character and a question cost a few operations on whole arrays:
+
+1. Windows of two questions, a question apart, hold every stretch of a question's length; the longest common subsequence with
+   the window bounds all of them. What is left is tried with windows a quarter of a question apart, then in full.
+2. Shorter stretches at either end of a line are all tried: they are the steps of one walk from that end.
+3. For lines shorter than a question, the subsequence with the whole question is the bound, then its stretches are tried.
+
+Longer questions go through the three tests above, and cost more.
+
 Questions are a stated set: they are sent to the lines in blocks of at most ``BLOCK`` of them, one scan of the lines for each
-pass and block. Lines are never shuffled, and a task gives one row for each question.
+pass and block. Lines are never shuffled, and a task gives one row for each question. Lines that repeat in a slice are met once.
 """
 
 from __future__ import annotations
@@ -37,6 +47,10 @@ SLICE_CHARS = 1 << 20
 SEED_WIDTH = 5
 AT_ONCE = 256  # questions in one product
 SLACK = 1e-6
+WORD = 64
+CELL = 1 << 15  # states walked at once: they stay in a core's cache
+PAIRS = 1 << 16  # windows refined at once
+NEAR = 1.25  # longest to shortest question of a group
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,14 +190,231 @@ class Lines:
         return out
 
 
-def _slices(batches, asked: Questions) -> Iterator[tuple[list, Lines]]:
-    """(ids, lines) of runs of rows; null and empty lines are left out."""
+def _advance(state: np.ndarray, here: np.ndarray, rest: np.ndarray) -> None:
+    """One character for states of one word; places beyond the question are ones and stay so. ``here`` and ``rest`` are used up."""
+    np.bitwise_and(state, here, out=here)
+    np.bitwise_xor(state, here, out=rest)
+    np.add(state, here, out=state)
+    np.bitwise_or(state, rest, out=state)
+
+
+class WordQuestions:
+    """A block of questions of 1 to 64 characters: their bit rows, forwards and backwards, and groups of about one length."""
+
+    def __init__(self, texts: list[str]):
+        codes, bounds = _codes(texts)
+        self.sizes = np.diff(bounds)
+        self.letters = np.unique(codes)
+        self.table = np.full(int(self.letters.max(initial=0)) + 2, len(self.letters))
+        self.table[self.letters] = np.arange(len(self.letters))
+        owner = np.repeat(np.arange(len(texts)), self.sizes)
+        at = np.arange(len(codes)) - bounds[owner]
+        self.rows, self.back = (np.zeros((len(self.letters) + 1, len(texts)), np.uint64) for _ in range(2))
+        for rows, bit in ((self.rows, at), (self.back, self.sizes[owner] - 1 - at)):
+            np.bitwise_or.at(rows, (self.table[codes], owner), np.uint64(1) << bit.astype(np.uint64))
+        self.groups: list[np.ndarray] = []
+        for q in np.argsort(self.sizes, kind="stable"):
+            group = self.groups[-1] if self.groups else []
+            if len(group) in (0, AT_ONCE) or self.sizes[q] > NEAR * self.sizes[group[0]]:
+                self.groups.append(group := [])
+            group.append(q)
+        self.groups = [np.array(group) for group in self.groups]
+        slots, first = self.slots(self.table[codes]), np.flatnonzero(at[: len(codes) - SEED_WIDTH + 1] + SEED_WIDTH <= self.sizes[owner[: max(0, len(codes) - SEED_WIDTH + 1)]])
+        self.known = np.full(1 << 20, -1, np.int32)  # the column of a gram that a question has
+        self.known[slots[first]] = slots[first] % SLOTS
+        self.grams = np.zeros((SLOTS, len(texts)), np.float32)
+        self.grams[slots[first] % SLOTS, owner[first]] = 1
+
+    @staticmethod
+    def slots(letters: np.ndarray) -> np.ndarray:
+        """A place in 2^20 for every ``SEED_WIDTH`` letters in a row."""
+        gram = np.zeros(max(0, len(letters) - SEED_WIDTH + 1), np.uint64)
+        for k in range(SEED_WIDTH):
+            gram *= np.uint64(1_000_003)
+            gram += letters[k : k + len(gram)].astype(np.uint64)
+        return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
+class WordLines:
+    """A slice of lines for a block of questions of one word; blanks that no question has stand before, after and between them."""
+
+    def __init__(self, texts: list[str], asked: WordQuestions):
+        self.asked = asked
+        codes, bounds = _codes(texts)
+        self.sizes = np.diff(bounds)
+        self.first = bounds[:-1] + 2 * WORD * np.arange(1, len(texts) + 1)
+        self.letters = np.full(len(codes) + 2 * WORD * (len(texts) + 1), len(asked.letters))
+        self.letters[np.arange(len(codes)) + np.repeat(self.first - bounds[:-1], self.sizes)] = asked.table[np.minimum(codes, len(asked.table) - 1)]
+
+    def _walk(self, rows: np.ndarray, starts: np.ndarray, steps: int, by: int = 1) -> Iterator[np.ndarray]:
+        """The states (starts x questions) after each of ``steps`` characters."""
+        state = np.full((len(starts), rows.shape[1]), ~np.uint64(0))
+        here, rest = np.empty_like(state), np.empty_like(state)
+        for t in range(steps):
+            np.take(rows, self.letters[starts + by * t], axis=0, out=here, mode="clip")
+            _advance(state, here, rest)
+            yield state
+
+    def common(self, q: np.ndarray, starts: np.ndarray, steps: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+        """Common characters of each question, or those places of it that are ones in ``only``, with so many characters from each start."""
+        flat, width = self.asked.rows.ravel(), self.asked.rows.shape[1]
+        order, out = np.argsort(steps, kind="stable"), np.zeros(len(q), np.int64)
+        for first in range(0, len(order), CELL):
+            part = order[first : first + CELL]
+            ask, at, n = q[part], starts[part], steps[part]
+            keep = None if only is None else only[part]
+            state = np.full(len(part), ~np.uint64(0))
+            rest = np.empty_like(state)
+            for t in range(int(n[-1])):
+                lo = int(np.searchsorted(n, t, "right"))
+                here = flat[self.letters[at[lo:] + t] * width + ask[lo:]]
+                if keep is not None:
+                    here &= keep[lo:]
+                _advance(state[lo:], here, rest[lo:])
+            out[part] = WORD - np.bitwise_count(state)
+        return out
+
+    def reaching(self, bars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(questions, lines, scores) that no bound could leave out: a line's partial ratio, where it reaches the bar, is its highest score here."""
+        for group in self.asked.groups:
+            bar = bars[group] - SLACK
+            n = self.asked.sizes[group]
+            yield from self._inside(group, n, bar)
+            for by in (1, -1):
+                yield from self._ends(group, n, bar, by)
+            yield from self._short(group, n, bar)
+
+    def _inside(self, group: np.ndarray, n: np.ndarray, bar: np.ndarray) -> Iterator[tuple]:
+        """Stretches of a question's length."""
+        step = int(n.max())
+        rows, most = self.asked.rows[:, group], np.floor(WORD - bar * n / 100).clip(-1)
+        lines = np.flatnonzero(self.sizes >= n.min())
+        count = -(-(self.sizes[lines] - n.min() + 1) // step)
+        line = np.repeat(lines, count)
+        start = self.first[line] + step * (np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count))
+        at, ask = [], []
+        for first in range(0, len(line), max(1, CELL // len(group))):
+            part = start[first : first + max(1, CELL // len(group))]
+            for state in self._walk(rows, part, int(n.max()) + step - 1):
+                pass
+            some, those = np.nonzero(np.bitwise_count(state) <= most)
+            at.append(some + first)
+            ask.append(those)
+        if not at:
+            return
+        at, ask = np.concatenate(at), np.concatenate(ask)
+        for first in range(0, len(at), PAIRS):
+            part = slice(first, first + PAIRS)
+            yield self._refined(group, n, bar, step, line[at[part]], ask[part], start[at[part]])
+
+    def _refined(self, group: np.ndarray, n: np.ndarray, bar: np.ndarray, step: int, line: np.ndarray, ask: np.ndarray, start: np.ndarray) -> tuple:
+        """The stretches of windows that remain, by way of finer windows."""
+        for finer in (max(1, step // 4), 1):
+            tried = start[:, None] + np.arange(0, step, finer)
+            some, which = np.nonzero(tried <= (self.first[line] + self.sizes[line] - n[ask])[:, None])
+            line, ask, start = line[some], ask[some], tried[some, which]
+            common = self.common(group[ask], start, n[ask] + finer - 1)
+            if finer > 1:
+                good = common >= bar[ask] * n[ask] / 100
+                line, ask, start = line[good], ask[good], start[good]
+            step = finer
+        return group[ask], line, 100 * common / n[ask]
+
+    def _ends(self, group: np.ndarray, n: np.ndarray, bar: np.ndarray, by: int) -> Iterator[tuple]:
+        """Stretches shorter than the question, from the beginning (``by`` = 1) or from the end of a line (-1)."""
+        size = np.arange(int(n.max()))[:, None]
+        need = np.where(size < n, np.ceil(bar * (n + size) / 200), WORD + 1)
+        can = np.flatnonzero((need <= size).any(axis=1))
+        if not len(can):
+            return
+        most, rows = WORD - need, (self.asked.rows if by == 1 else self.asked.back)[:, group]
+        lines = np.flatnonzero(self.sizes >= n.min())
+        start = self.first[lines] if by == 1 else self.first[lines] + self.sizes[lines] - 1
+        for first in range(0, len(lines), max(1, CELL // len(group))):
+            part = slice(first, first + max(1, CELL // len(group)))
+            hit = np.zeros((len(lines[part]), len(group)), bool)
+            for done, state in enumerate(self._walk(rows, start[part], int(can[-1]), by), 1):
+                if done >= can[0]:
+                    hit |= np.bitwise_count(state) <= most[done]
+            line, ask = np.nonzero(hit)
+            line = lines[part][line]
+            long = self.sizes[line] >= n[ask]
+            line, ask = np.repeat(line[long], n[ask[long]] - 1), np.repeat(ask[long], n[ask[long]] - 1)
+            if not len(line):
+                continue
+            fresh = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (ask[1:] != ask[:-1])])
+            some = np.arange(len(line)) - np.repeat(fresh, np.diff(np.r_[fresh, len(line)])) + 1
+            common = self.common(group[ask], self.first[line] + (0 if by == 1 else self.sizes[line] - some), some)
+            yield group[ask], line, 200 * common / (n[ask] + some)
+
+    def _short(self, group: np.ndarray, n: np.ndarray, bar: np.ndarray) -> Iterator[tuple]:
+        """Lines shorter than the question: whole, in stretches of the question."""
+        lines = np.flatnonzero((self.sizes < n.max()) & (self.sizes > 0))
+        lines = lines[np.argsort(self.sizes[lines], kind="stable")]
+        rows = self.asked.rows[:, group]
+        for first in range(0, len(lines), max(1, CELL // len(group))):
+            part = lines[first : first + max(1, CELL // len(group))]
+            size = self.sizes[part][:, None]
+            for state in self._walk(rows, self.first[part], int(size[-1, 0])):
+                pass
+            common = WORD - np.bitwise_count(state).astype(np.int64)
+            line, ask = np.nonzero((200 * common >= bar * (size + common)) & (size < n))
+            line = part[line]
+            # stretches of the question from 1 - size to n - 1, cut where the question begins and ends
+            count = n[ask] + self.sizes[line] - 1
+            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            for some in range(0, len(nth), 1 << 20):
+                cut = slice(some, some + (1 << 20))
+                pair = np.searchsorted(np.cumsum(count), np.arange(some, min(some + (1 << 20), len(nth))), "right")
+                a, li = ask[pair], line[pair]
+                low = nth[cut] - self.sizes[li] + 1
+                high = np.minimum(low + self.sizes[li], n[a])
+                low = np.maximum(low, 0)
+                only = (~np.uint64(0) >> (WORD - (high - low)).astype(np.uint64)) << low.astype(np.uint64)
+                score = 200 * self.common(group[a], self.first[li], self.sizes[li], only) / (self.sizes[li] + high - low)
+                yield group[a], li, score
+
+    def seeds(self) -> np.ndarray:
+        """For each question the best score of the stretch of 128 characters that shares most grams with it: a score that the best line reaches."""
+        asked, best = self.asked, np.zeros(len(self.asked.sizes))
+        column = asked.known[asked.slots(self.letters)]
+        hits = np.flatnonzero(column >= 0)
+        tiles, tile = np.unique(hits // WORD, return_inverse=True)
+        top, where = np.zeros(len(best)), np.zeros(len(best), np.int64)
+        for first in range(0, len(tiles), 4096):
+            lo, hi = np.searchsorted(tile, (first, first + 4097))
+            has = np.zeros((min(4097, len(tiles) - first), SLOTS), np.float32)
+            has[tile[lo:hi] - first, column[hits[lo:hi]]] = 1
+            shared = has @ asked.grams
+            next_to = np.flatnonzero(np.diff(tiles[first : first + len(has)]) == 1)
+            shared[next_to] += shared[next_to + 1]
+            more = shared.max(axis=0) > top
+            where[more] = tiles[first + shared.argmax(axis=0)[more]] * WORD
+            top = np.maximum(top, shared.max(axis=0))
+        some = np.flatnonzero(top > 0)
+        if not len(some):
+            return best
+        start = (where[some, None] + np.arange(-WORD, 2 * WORD)).ravel()
+        ask = np.repeat(some, 3 * WORD)
+        line = np.searchsorted(self.first, start, "right") - 1
+        inside = (line >= 0) & (start + asked.sizes[ask] <= (self.first + self.sizes)[line])
+        ask, start = ask[inside], start[inside]
+        np.maximum.at(best, ask, 100 * self.common(ask, start, asked.sizes[ask]) / asked.sizes[ask])
+        return best
+
+
+def _slices(batches) -> Iterator[tuple[list, list[str], int]]:
+    """(ids, texts, rows) of runs of rows, a text once with its smallest id; null and empty lines, and lines without an id, are left out."""
     for batch in batches:
-        rows = [(i, t) for i, t in zip(batch.column("line_id").to_pylist(), batch.column("text").to_pylist()) if t]
+        rows = [(i, t) for i, t in zip(batch.column("line_id").to_pylist(), batch.column("text").to_pylist()) if t and i is not None]
         while rows:
             sizes = np.cumsum([len(t) for _, t in rows])
             cut = max(1, int(np.searchsorted(sizes, SLICE_CHARS, "right")))
-            yield [i for i, _ in rows[:cut]], Lines([t for _, t in rows[:cut]], asked)
+            first: dict = {}
+            for i, t in rows[:cut]:
+                if t not in first or i < first[t]:
+                    first[t] = i
+            yield [*first.values()], [*first], cut
             rows = rows[cut:]
 
 
@@ -212,11 +443,38 @@ def _reaching(lines: Lines, bars: np.ndarray) -> Iterator[tuple[int, np.ndarray,
             yield q, some, lines.ratios(q, some) if len(some) else np.zeros(0)
 
 
+class Block:
+    """A block of questions: those of one word and longer ones, each searched in its own way."""
+
+    def __init__(self, texts: list[str]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.word, self.long = np.flatnonzero(sizes <= WORD), np.flatnonzero(sizes > WORD)
+        self.words, self.longer = WordQuestions([texts[q] for q in self.word]), Questions([texts[q] for q in self.long])
+
+    def seeds(self, texts: list[str]) -> np.ndarray:
+        best = np.zeros(len(self.word) + len(self.long))
+        if len(self.word):
+            best[self.word] = WordLines(texts, self.words).seeds()
+        if len(self.long):
+            best[self.long] = _seeds(Lines(texts, self.longer))
+        return best
+
+    def reaching(self, texts: list[str], bars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(questions, lines, scores) that no bound could leave out."""
+        if len(self.word):
+            for ask, line, score in WordLines(texts, self.words).reaching(bars[self.word]):
+                yield self.word[ask], line, score
+        if len(self.long):
+            for q, line, score in _reaching(Lines(texts, self.longer), bars[self.long]):
+                yield np.full(len(line), self.long[q]), line, score
+
+
 def best_lines(asked: DataFrame, lines: DataFrame, threshold: float = 70, *, ask_text: str = "text") -> DataFrame:
     """(ask_id, line_id, score, verified, met): for each question the line most like it, from ``threshold`` on; ties to the first line.
 
-    ``verified`` counts the lines whose ratio was computed in the second pass, ``met`` all lines that are not empty. Questions
-    that are null or empty, or reach no line, have no row; of repeated ids the best counts.
+    ``verified`` counts the lines whose ratio was computed in the second pass, repeated ones of a slice once, ``met`` all lines
+    that are not empty and have an id. Questions that are null or empty, or reach no line, have no row; of repeated ids the best
+    counts.
     """
     kinds = asked.schema["ask_id"].dataType.simpleString(), lines.schema["line_id"].dataType.simpleString()
     rows = asked.filter(F.length(ask_text) > 0).select("ask_id", F.col(ask_text).alias("text")).toLocalIterator()
@@ -234,9 +492,9 @@ def best_lines(asked: DataFrame, lines: DataFrame, threshold: float = 70, *, ask
 
 def _search(lines: DataFrame, ids: list, texts: list[str], threshold: float, kinds: tuple[str, str]) -> DataFrame:
     def seed(batches):
-        asked, best = Questions(texts), np.zeros(len(texts))
-        for _, some in _slices(batches, asked):
-            best = np.maximum(best, _seeds(some))
+        asked, best = Block(texts), np.zeros(len(texts))
+        for _, some, _ in _slices(batches):
+            best = np.maximum(best, asked.seeds(some))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(best))), pa.array(best)], ["q", "score"])
 
     bars = np.full(len(texts), float(threshold))
@@ -244,17 +502,21 @@ def _search(lines: DataFrame, ids: list, texts: list[str], threshold: float, kin
         bars[r.q] = max(bars[r.q], r.score)
 
     def find(batches):
-        asked = Questions(texts)
+        asked, bar = Block(texts), bars.copy()
         best: list = [(float("-inf"), None)] * len(texts)
         verified, met = np.zeros(len(texts), np.int64), 0
-        for names, some in _slices(batches, asked):
-            met += len(names)
-            for q, at, scores in _reaching(some, bars):
-                verified[q] += len(at)
-                for i in np.flatnonzero(scores >= max(threshold, best[q][0])):
-                    found = float(scores[i]), names[at[i]]
-                    if best[q][1] is None or (-found[0], found[1]) < (-best[q][0], best[q][1]):
-                        best[q] = found
+        for names, some, rows in _slices(batches):
+            met += rows
+            tried = [np.zeros(0, np.int64)]
+            for ask, line, scores in asked.reaching(some, bar):
+                tried.append(np.unique(ask * len(names) + line))
+                good = scores >= bar[ask]
+                np.maximum.at(bar, ask[good], scores[good])
+                good &= scores >= bar[ask]
+                for q, at, found in set(zip(ask[good].tolist(), line[good].tolist(), scores[good].tolist())):
+                    if best[q][1] is None or (-found, names[at]) < (-best[q][0], best[q][1]):
+                        best[q] = found, names[at]
+            verified += np.bincount(np.unique(np.concatenate(tried)) // len(names), minlength=len(texts))
         some = [(ids[q], line, None if line is None else score, int(verified[q]), met) for q, (score, line) in enumerate(best)]
         names = pa.array([r[0] for r in some]), pa.array([r[1] for r in some], None if any(r[1] is not None for r in some) else pa.null())
         columns = [*names, *[pa.array([r[k] for r in some], kind) for k, kind in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]]
