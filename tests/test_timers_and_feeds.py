@@ -36,6 +36,33 @@ def test_admission_state_is_gone_after_a_silent_day(spark, tmp_path):
     assert [r[0] for r in T.state_rows(spark, f"{tmp_path}/c", "until").select("key.key").collect()] == ["b"]
 
 
+def test_admission_is_one_value_of_state_for_an_account(spark, tmp_path):
+    rows = [[(1, "a", "2024-01-01 10:00:00", "x"), (3, "a", "2024-01-01 12:00:00", "x"), (2, "a", "2024-01-01 11:00:00", None)], [(4, "a", "2024-01-01 13:00:00", "x"), (5, "b", "2024-01-01 14:00:00", "y")]]
+    stream = stream_of(spark, f"{tmp_path}/in", rows, "id long, key string, ts timestamp, text string")
+    found = {}
+    T.drain_with_timers(T.admission(stream), f"{tmp_path}/c", lambda batch, n: found.update({r.id: r.reason for r in batch.collect()}))
+    assert found == {1: "", 2: "", 3: "", 4: "stimulus dedup", 5: ""}
+    state = {r.key.key: r.value for r in T.state_rows(spark, f"{tmp_path}/c", "until").collect()}
+    at = 1704103200.0  # 10:00 of the day
+    assert state["a"].posts == [at, at + 3600, at + 7200] and dict(zip(state["a"].texts, state["a"].times)) == {"x": [at, at + 7200], "": [at + 3600]}
+    assert {k: v.ms for k, v in state.items()} == {"a": int((at + 7200 + 86400) * 1000), "b": int((at + 14400 + 86400) * 1000)}
+
+
+def test_parts_of_the_time_are_written_by_all_tasks_and_drained_as_one_batch(spark, tmp_path, monkeypatch):
+    """A table of several files: a part of the time has several files too, in any order, and no event is late."""
+    from versemill.plans import stream_queries as Q
+    from versemill.plans.registry import QUERIES, Tables
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(8).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(Q, "scratch", lambda t: f"{tmp_path}/scratch")
+    t = Tables(spark, str(tmp_path))
+    found = sorted(map(tuple, QUERIES["r10_admission_stream"](spark, str(tmp_path)).collect()))
+    assert [len(glob.glob(f"{tmp_path}/scratch/in/part={n}/*.parquet")) > 1 for n in range(3)] == [True] * 3
+    batches = [spark.read.parquet(b).count() for b in glob.glob(f"{tmp_path}/scratch/out/*")]
+    assert sum(n > 0 for n in batches) == 3 and sum(batches) == t.events.count()
+    assert found == sorted(map(tuple, QUERIES["r10_admission_batch"](spark, str(tmp_path)).collect()))
+
+
 def reader(**options):
     source = O.PolledSource({k: str(v) for k, v in options.items()})
     return source, O.PolledReader(source)

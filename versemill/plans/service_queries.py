@@ -13,7 +13,7 @@ from ..streaming import timers as T
 from . import service as V
 from .registry import Tables, query
 from .relational_queries import DIST, asked
-from .stream_queries import drained, in_order
+from .stream_queries import drained, drained_in_order
 
 
 @query("v04_search_by_poet", f"SELECT q.vec_id AS query_id, v.vec_id FROM vectors v JOIN vectors q ON q.vec_id % 20 = 0 AND v.poet = 'poet2' QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}, v.vec_id) <= 4")
@@ -92,7 +92,7 @@ def _(t: Tables) -> DataFrame:
   SELECT key, epoch_ms(max(ms) + 2700000)::TIMESTAMPTZ AS "at", count(*) AS n FROM s GROUP BY key, i HAVING max(ms) + 2700000 <= (SELECT max(ms) FROM e)""")
 def _(t: Tables) -> DataFrame:
     """Triggers that timers fire, by account; those still to come when the stream ends are in its state."""
-    return drained(t, T.quiet_triggers(in_order(t), "user_id", "ts"), "append", timers=True)
+    return drained_in_order(t, lambda stream: T.quiet_triggers(stream, "user_id", "ts"), "user_id")
 
 
 @query("k09_drop_names", "SELECT id, strftime(ts, '%Y%m%d-%H%M%S') || '-' || replace(stimulus, ' ', '-') || '.md' AS name FROM interactions")
