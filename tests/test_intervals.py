@@ -53,3 +53,38 @@ def test_work_grows_with_rows_not_with_pairs(spark):
     assert found.agg(F.count("*"), F.min("spans"), F.max("latest")).first() == (4000, 4000, 9)
     assert spans.select(F.max(F.size(I.bins_of_interval(F.lit(5), F.lit(9))))).first()[0] <= 4
     assert I._binned(one, "pos", spans, "b").count() == 4 * 4000
+
+
+def test_outermost_across_blocks(spark):
+    """Spans within blocks, at their borders, over many of them, of far places, in copies."""
+    rng, size = random.Random(8), 1 << I.BLOCK
+    starts = [*range(-3 * size, 3 * size, 37), *(b * size + d for b in range(-2, 3) for d in (-1, 0, 1))]
+    ends = lambda s: rng.choice([s, s + 1, s + rng.randrange(40), s + rng.randrange(4 * size), (s // size + rng.randrange(1, 4)) * size + rng.choice([-1, 0, 0, 1])])
+    spans = [(rng.choice("abcdefgh"), s := rng.choice(starts), max(s, ends(s))) for _ in range(1500)]
+    spans += [("far", s := i << 30, s + w) for i in range(-9, 10) for w in (1, (1 << 30) - 1, 1 << 30)] + [("long", -(1 << 38), 1 << 38), ("long", 5, 5), ("long", 1 << 38, 1 << 38)] + spans[:200]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(spans)], "k string, start long, stop long, id int")
+    inside = lambda x, o: o[0] == x[0] and o[1] <= x[1] and o[2] >= x[2] and (o[1], o[2]) != (x[1], x[2]) and not (x[1] == x[2] == o[2])
+    assert sorted(r.id for r in I.outermost(df, "k").collect()) == [i for i, x in enumerate(spans) if not any(inside(x, o) for o in spans)]
+
+
+def test_outermost_shuffles_a_span_a_few_times(spark):
+    """Not once for each size of bin: that was 14 rows for each of these spans."""
+
+    def sent():
+        context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+        context.listenerBus().waitUntilEmpty()
+        none, quantiles = jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(jvm.double, 0)
+        stages = context.statusStore().stageList(none, False, False, quantiles, none)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+    n, start = 30_000, F.pmod(F.xxhash64("id"), F.lit(900))
+    df = spark.range(n).select((F.col("id") % 50).alias("k"), start.alias("start"), (start + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(60))).alias("stop"), "id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = sent()
+        I.outermost(df, "k").write.format("noop").mode("overwrite").save()
+        rows = sum(x for stage, x in sent().items() if stage not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert n < rows < 4 * n

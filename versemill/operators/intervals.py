@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = 40
+#: A block has 2^BLOCK places, and so at most as many different starts of a key.
+BLOCK = 8
 
 
 def _down(x: Column, k: Column) -> Column:
@@ -71,18 +73,44 @@ def stabbed(points: DataFrame, intervals: DataFrame, by: str, at: str = "pos") -
     return p.join(found, (p[by] == F.col("_of")) & (p[at] == F.col("_at"))).drop("_of", "_at")
 
 
+def _block(x: Column) -> Column:
+    return _down(x, F.lit(BLOCK))
+
+
+def _standing(entries: Column) -> Column:
+    """Of a block's (_at, _longest), in order, those that lie in none before them."""
+    none = F.struct(F.lit(-(1 << 63)).alias("far"), F.array().cast("array<struct<_at:bigint,_longest:bigint>>").alias("kept"))
+
+    def step(before: Column, x: Column) -> Column:
+        more = F.struct(F.greatest(before["far"], x["_longest"]).alias("far"), F.concat(before["kept"], F.array(x)).alias("kept"))
+        return F.when(_inside(x, before["far"]), before).otherwise(more)
+
+    return F.aggregate(entries, none, step)["kept"]
+
+
+def _inside(x: Column, far: Column) -> Column:
+    """Whether (_at, _longest) lies in the span that reaches ``far``, the furthest of those that begin sooner."""
+    return (far > x["_at"]) & (far >= x["_longest"])
+
+
 def outermost(spans: DataFrame, by: str) -> DataFrame:
     """Spans (``by``, start, stop, ...) that lie in no other of their key; spans that overlap in part both stay. Equal spans stay or go together.
 
-    A span lies in another that begins earlier if that one, without its first place, holds the span's start and ends no
-    sooner; of all that hold a bin only the latest end matters, so a bin has one row. Those that begin together are compared
-    by their latest end.
+    Of the spans that begin at a place only the longest can stay, and it lies in another if the furthest end of those that begin
+    sooner is beyond its start and no sooner than its own end. A key's places are cut into blocks of 2^BLOCK. In a block this is a
+    fold over its places; from the blocks before only those ends matter that reach into it, and only bins of whole blocks are
+    joined for them. So the rows are shuffled once and their places twice, not for each size of bin.
     """
-    s = _long(spans, "start", "stop")
-    bins = s.select(F.col(by).alias("_by"), F.explode(bins_of_interval(F.col("start") + 1, F.col("stop"))).alias("_b"), "stop")
-    held = bins.groupBy("_by", "_b").agg(F.max("stop").alias("_until"))
+    s = _long(spans, "start", "stop").filter(F.col(by).isNotNull() & F.col("start").isNotNull() & F.col("stop").isNotNull())
     alike = s.groupBy(F.col(by).alias("_of"), F.col("start").alias("_at")).agg(F.max("stop").alias("_longest"))
-    places = _binned(alike, "_at", s, "_p")
-    reach = places.join(held, (F.col("_of") == F.col("_by")) & (F.col("_p") == F.col("_b")), "left").groupBy("_of", "_at").agg(F.max("_longest").alias("_longest"), F.max("_until").alias("_until"))
-    out = s.join(reach, (s[by] == F.col("_of")) & (s["start"] == F.col("_at")))
-    return out.filter((F.col("stop") == F.col("_longest")) & (F.col("_until").isNull() | (F.col("_until") < F.col("stop")))).select(*spans.columns)
+    blocks = alike.repartition(F.col("_of"), _block(F.col("_at"))).groupBy("_of", _block(F.col("_at")).alias("_block")).agg(_standing(F.sort_array(F.collect_list(F.struct("_at", "_longest")))).alias("_kept"))
+
+    ends = s.groupBy(F.col(by).alias("_by"), _block(F.col("start")).alias("_from")).agg(F.max("stop").alias("_until"))
+    held = ends.select("_by", F.explode(bins_of_interval(F.col("_from") + 1, _block(F.col("_until") - 1) + 1)).alias("_b"), "_until").groupBy("_by", "_b").agg(F.max("_until").alias("_until"))
+    crossed = s.select((_block(F.col("start")) + 1).alias("start"), (_block(F.col("stop") - 1) + 1).alias("stop"))
+    places = _binned(s.select(F.col(by).alias("_in"), _block(F.col("start")).alias("_place")).distinct(), "_place", crossed, "_p")
+    reach = places.join(held, (F.col("_in") == F.col("_by")) & (F.col("_p") == F.col("_b"))).groupBy("_in", "_place").agg(F.max("_until").alias("_far"))
+
+    met = blocks.join(reach, (F.col("_of") == F.col("_in")) & (F.col("_block") == F.col("_place")), "left")
+    stay = met.select("_of", F.explode(F.filter("_kept", lambda x: F.col("_far").isNull() | ~_inside(x, F.col("_far")))).alias("_x")).select("_of", "_x._at", "_x._longest")
+    return s.join(stay, (s[by] == F.col("_of")) & (s["start"] == F.col("_at")) & (s["stop"] == F.col("_longest"))).select(*spans.columns)
