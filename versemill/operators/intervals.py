@@ -106,8 +106,8 @@ def outermost(spans: DataFrame, by: str) -> DataFrame:
     blocks = alike.repartition(F.col("_of"), _block(F.col("_at"))).groupBy("_of", _block(F.col("_at")).alias("_block")).agg(_standing(F.sort_array(F.collect_list(F.struct("_at", "_longest")))).alias("_kept"))
 
     ends = s.groupBy(F.col(by).alias("_by"), _block(F.col("start")).alias("_from")).agg(F.max("stop").alias("_until"))
-    held = ends.select("_by", F.explode(bins_of_interval(F.col("_from") + 1, _block(F.col("_until") - 1) + 1)).alias("_b"), "_until").groupBy("_by", "_b").agg(F.max("_until").alias("_until"))
-    crossed = s.select((_block(F.col("start")) + 1).alias("start"), (_block(F.col("stop") - 1) + 1).alias("stop"))
+    crossed = ends.select("_by", (F.col("_from") + 1).alias("start"), (_block(F.col("_until") - 1) + 1).alias("stop"), "_until")
+    held = crossed.select("_by", F.explode(bins_of_interval(F.col("start"), F.col("stop"))).alias("_b"), "_until").groupBy("_by", "_b").agg(F.max("_until").alias("_until"))
     places = _binned(s.select(F.col(by).alias("_in"), _block(F.col("start")).alias("_place")).distinct(), "_place", crossed, "_p")
     reach = places.join(held, (F.col("_in") == F.col("_by")) & (F.col("_p") == F.col("_b"))).groupBy("_in", "_place").agg(F.max("_until").alias("_far"))
 
